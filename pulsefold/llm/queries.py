@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, secrets, urls
+from .base import WORD, written
+from . import chat, decontaminate, langid, licenses, mixing, neardup, quality, secrets, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -23,6 +24,17 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "similarity", "start", "n")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", langid.held_out("doc_id"))
+    model = langid.fit(docs.filter(~F.col("held_out")))
+    return langid.predict(docs, model, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
@@ -55,11 +67,23 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = quality.measured(_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"), keep=["doc_id", "lang", "source"])
+    return quality.judge(written(counts)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, contents = neardup.classes(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    empty = _table(spark, sf_dir, "documents", "doc_id", "text").filter(~F.coalesce("text", F.lit("")).rlike(WORD)).select("doc_id", F.col("doc_id").alias("class_id"))
+    marked = rows.join(contents, "key").select(F.col("id").alias("doc_id"), "class_id")
+    return marked.unionByName(empty)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge(_table(spark, sf_dir, "pages", "page_id", "url"), urls.rule_table(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -67,9 +91,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_language_id": op3_language_id,
     "op4_chat_format": op4_chat_format,
     "op5_license_scan": op5_license_scan,
+    "op6_quality_rules": op6_quality_rules,
     "op7_mix_to_weights": op7_mix_to_weights,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
