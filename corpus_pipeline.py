@@ -1,33 +1,55 @@
-"""The corpus pipeline: documents through a chain of the corpus operators."""
+"""The corpus pipeline: documents through five corpus operators, each stage working on what its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsefold.llm import mixing, secrets
+from pulsefold.llm import decontaminate, mixing, neardup, quality, secrets
 from pulsefold.llm.base import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the fixed rules or exceed a threshold of their language and source go."""
+    counts = written(quality.measured(docs.select(*COLUMNS)))
+    return quality.judge(counts).filter("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of exact and near copies the document with the least doc_id stays."""
+    return neardup.deduplicated(docs.select(*COLUMNS))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return decontaminate.clean(docs.select(*COLUMNS), benchmark)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; each secret in its text is replaced by a mark, and n_chars follows."""
-    found = secrets.scan(docs)
-    text = F.when(F.size("spans") > 0, secrets.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    n_chars = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumn("text", text).withColumn("n_chars", n_chars).select(*COLUMNS)
+    found = secrets.scan(docs.select(*COLUMNS))
+    some = F.size("spans") > 0
+    out = found.withColumn("text", F.when(some, secrets.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
+    return out.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them; doc_id and source with the words taken."""
-    mixed = mixing.mix(docs)
-    return mixed.select(*COLUMNS, "size", "source_size", "target", "taken", "copies").filter(F.col("copies") > 0)
+    """The documents that the mix takes, with how often (copies) and the words this makes (taken)."""
+    return mixing.mix(docs.select(*COLUMNS)).filter("copies > 0")
 
 
-STAGES = [("secret scans", secret_scan), ("mixing", mix)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("benchmark leaks", benchmark_leaks),
+    ("secret scans", secret_scan),
+    ("mixing", mix),
+]
 
-#: Hashing, sketches and signatures of the stages are not expressible in SQL.
+#: Signatures and fingerprints of the stages can't be expressed in SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
