@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import WORD, written
-from . import chat, decontaminate, langid, licenses, mixing, neardup, quality, secrets, urls
+from . import chat, decontaminate, langid, licenses, lm, mixing, neardup, quality, secrets, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -84,6 +84,11 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.unionByName(empty)
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return scored.select(F.col("id").alias("doc_id"), "n_words", "log_score", "mean_log_score")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge(_table(spark, sf_dir, "pages", "page_id", "url"), urls.rule_table(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -98,6 +103,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_mix_to_weights": op7_mix_to_weights,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_lm_score": op9_lm_score,
     "op10_url_filter": op10_url_filter,
 }
 
