@@ -1,14 +1,97 @@
-"""Admission of request batches (grows below)."""
+"""Admission of request batches: ordered gates, all-or-nothing validation, idempotency, and the events that enter the log."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsefold.functions import validation
+from pulsefold.functions import variant as V
+from pulsefold.operators.repeats import TTL_MS, accepted_arrivals, unseen
+
+#: Columns of a request.
+REQUEST = "seq long, arrived_at_ms long, method string, target string, headers map<string,string>, body binary"
+#: Route of a batch, and the headers that carry its schema version and idempotency key (fixed values).
+ROUTE, VERSION_HEADER, KEY_HEADER = ("POST", "/ingest"), "x-telemetry-schema", "idempotency-key"
+#: Largest body in bytes (fixed value).
+MAX_BODY = 1 << 20
+
+
+@dataclass(frozen=True)
+class Settings:
+    token: str | None = None
+    max_body: int = MAX_BODY
+    accepted: tuple[int, ...] = validation.ACCEPTED
+    ttl_ms: int = TTL_MS
+
 
 def first_status(gates: dict[int, Column], accepted: int = 202) -> Column:
     """The status of the first gate, in order, that refuses a request."""
     out = None
     for status, refused in gates.items():
+        refused = F.coalesce(refused, F.lit(False))
         out = F.when(refused, status) if out is None else out.when(refused, status)
     return F.lit(accepted) if out is None else out.otherwise(accepted)
+
+
+def header(name: str) -> Column:
+    """A header by its name in lower case, whatever case it was sent in."""
+    lowered = F.transform_keys("headers", lambda k, _: F.lower(k))
+    return F.try_element_at(lowered, F.lit(name))
+
+
+def judged(requests: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """`requests` with declared, key, events (array<variant>), and the status before idempotency: the first gate that refuses.
+
+    Header names may not repeat in other case. A batch is valid if each event carries the declared version and
+    is valid in it; an empty one is. The version inside the body is not read, only its events are.
+    """
+    versions = sorted({*settings.accepted, validation.VERSION})
+    read = requests.withColumn("declared", header(VERSION_HEADER)).withColumn("key", header(KEY_HEADER))
+    read = read.withColumn("path", F.regexp_extract("target", r"^([^?#]*)", 1)).withColumn("parsed", V.parse_strict(F.decode("body", "UTF-8")))
+    read = read.withColumn("events", F.when(V.is_object(F.col("parsed")), V.elements(V.field(F.col("parsed"), "events"))))
+    valid = F.forall("events", lambda e: validation.is_valid(e, F.col("declared").cast("int")))
+    token = F.regexp_extract(F.coalesce(header("authorization"), F.lit("")), r"(?i)^Bearer\s+(\S+)\s*\z", 1)
+    gates: dict[int, Column] = {401: token != settings.token} if settings.token else {}
+    gates |= {
+        404: (F.col("method") != ROUTE[0]) | (F.col("path") != ROUTE[1]),
+        415: F.col("declared").isNull() | ~F.col("declared").isin(*map(str, versions)),
+        413: (F.try_to_number(header("content-length"), F.lit("999999999999999")) > settings.max_body) | (F.octet_length("body") > settings.max_body),
+        400: F.col("events").isNull(),
+        422: ~valid,
+    }
+    return read.withColumn("status", first_status(gates)).drop("path", "parsed")
+
+
+def admitted(requests: DataFrame, seen: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
+    """`judged` with deduped and accepted, the number of events that enter the log.
+
+    A request that passes every gate is a repeat if its key is live in `seen` (key, expires_at) when it arrives,
+    or if an accepted request of this table had the key less than the TTL before. Refused requests leave no key.
+    """
+    verdicts = judged(requests, settings)
+    passed = verdicts.filter("status = 202")
+    fresh = passed if seen is None else unseen(passed, seen, "key", "arrived_at_ms")
+    first = accepted_arrivals(fresh.select("seq", "key", "arrived_at_ms"), "key", "arrived_at_ms", "seq", settings.ttl_ms).filter("accepted").select("seq", F.lit(True).alias("__first"))
+    out = verdicts.join(first, "seq", "left")
+    return out.withColumn("deduped", (F.col("status") == 202) & F.col("__first").isNull()).withColumn("accepted", F.when(F.col("__first"), F.size("events")).otherwise(0)).drop("__first")
+
+
+def log_rows(outcomes: DataFrame) -> DataFrame:
+    """(request, position, event, instant, value): the events of accepted requests, stamped with their arrival.
+
+    The stamp replaces any receivedAt that was sent.
+    """
+    each = outcomes.filter("accepted > 0").select("seq", "arrived_at_ms", F.posexplode("events").alias("position", "event"))
+    # the object is written again without an old stamp
+    members = F.map_filter(F.col("event").cast("map<string,variant>"), lambda k, _: k != "receivedAt")
+    stamped = F.map_concat(members, F.create_map(F.lit("receivedAt"), F.parse_json(F.col("arrived_at_ms").cast("string"))))
+    return each.select(F.col("seq").alias("request"), "position", F.col("arrived_at_ms").cast("double").alias("instant"), F.to_json(stamped).alias("value"))
+
+
+def live_entries(outcomes: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
+    """(key, expires_at, insert_seq) of the keys that accepted requests leave."""
+    kept = outcomes.filter((F.col("status") == 202) & ~F.col("deduped") & (F.length("key") > 0))
+    return kept.select("key", (F.col("arrived_at_ms") + ttl_ms).alias("expires_at"), F.col("seq").alias("insert_seq"))
