@@ -133,3 +133,38 @@ def judge(counts: DataFrame, language: str = "lang", source: str = "source", sta
     for name, ratio in _ratios().items():
         above = above | F.coalesce(ratio > F.col(f"t_{name}"), F.lit(False))
     return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & ~above).drop("__lang", "__source", *[f"t_{m}" for m in FLOORS])
+
+
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ln AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+pos AS (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2),
+tri AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS c FROM pos),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM tri, (VALUES (0), (1), (2)) t(k) WHERE c > 1 GROUP BY r),
+c AS (
+  SELECT d.r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN lines ON lines.r = d.r LEFT JOIN rep ON rep.r = d.r),
+m AS (
+  SELECT c.r, lang, source, measure, CASE WHEN n_words = 0 THEN 0.0::DOUBLE ELSE
+    CASE measure WHEN 'symbols' THEN n_symbols WHEN 'lines' THEN n_dup_lines WHEN 'repeats' THEN n_repeat_words ELSE word_chars END / n_words::DOUBLE END AS x
+  FROM c, (VALUES ('symbols'), ('lines'), ('repeats'), ('length')) t(measure)),
+b AS (SELECT *, CASE WHEN x > 1e-9 THEN CAST(ceil(ln(x) / {float(np.log(_GAMMA))!r}::DOUBLE) AS INTEGER) END AS bin FROM m),
+g AS (
+  SELECT 0 AS level, measure, lang, source, bin, count(*) AS n FROM b GROUP BY ALL
+  UNION ALL SELECT 1, measure, lang, NULL, bin, count(*) FROM b GROUP BY ALL
+  UNION ALL SELECT 2, measure, NULL, NULL, bin, count(*) FROM b GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY level, measure, lang, source ORDER BY bin NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY level, measure, lang, source) AS texts,
+             CASE WHEN bin IS NULL THEN 0.0::DOUBLE ELSE 2 * pow({_GAMMA!r}::DOUBLE, bin) / {_GAMMA + 1!r}::DOUBLE END AS v FROM g),
+q AS (SELECT level, measure, lang, source, max(texts) AS texts, min(v) FILTER (WHERE upto >= ceil(texts * 0.25)) AS q1, min(v) FILTER (WHERE upto >= ceil(texts * 0.75)) AS q3 FROM u GROUP BY level, measure, lang, source),
+t AS (SELECT *, greatest(q3 + {SPREAD!r}::DOUBLE * (q3 - q1), CASE measure {' '.join(f"WHEN '{k}' THEN {v!r}::DOUBLE" for k, v in FLOORS.items())} END) AS fence FROM q),
+a AS (
+  SELECT m.r, bool_or(x > CASE WHEN o.texts >= {MIN_TEXTS} THEN o.fence WHEN l.texts >= {MIN_TEXTS} THEN l.fence ELSE e.fence END) AS above
+  FROM m JOIN t o ON o.level = 0 AND o.measure = m.measure AND o.lang IS NOT DISTINCT FROM m.lang AND o.source IS NOT DISTINCT FROM m.source
+  JOIN t l ON l.level = 1 AND l.measure = m.measure AND l.lang IS NOT DISTINCT FROM m.lang JOIN t e ON e.level = 2 AND e.measure = m.measure GROUP BY m.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
+       NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words) AND NOT above AS kept
+FROM c JOIN a ON a.r = c.r
+"""

@@ -109,6 +109,7 @@ QUERIES = {
 
 ORACLES = {
     "op4_chat_format": chat.ORACLE,
+    "op6_quality_rules": quality.ORACLE,
     "op7_mix_to_weights": mixing.ORACLE,
     "op10_url_filter": urls.ORACLE,
 }
