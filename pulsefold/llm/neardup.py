@@ -1,10 +1,17 @@
 """Near-duplicate classes: BagMinHash signatures of word-shingle multisets, banded, then verified by multiset overlap.
 
 Texts are told apart by their MD5, so exact copies are one node from the start. Nodes that agree in a band share
-a bucket. First each node is compared with the least node of each of its buckets; what that joins into one
-component needs no further comparison, so a large group of near copies costs a few comparisons per text.
-Then the pairs of a bucket that still lie in different components are compared. A pair of similarity 0.8 agrees
-in none of the 26 bands with a probability of 3e-5.
+a bucket; a pair of similarity 0.8 agrees in none of the 26 bands with a probability of 3e-5.
+
+A bucket can hold a large group, so its pairs are never listed. Its members are compared with one of them, the
+hub: the member that shares most bucket places, which for near copies of one text is the text nearest to them all.
+Two members x and y that this does not join are looked at through the hub. Of a member, let r be the shingles that
+it shares with the hub and b those it has beyond. If x and y have no shingle beyond the hub in common, they share
+min(r) at most, which reaches the similarity s only if min(r) >= s (max(r) + b_x + b_y): a range join finds these
+pairs, which lack much of the hub. All others share a shingle beyond the hub, and the members that share it are a
+smaller bucket, for which the same is done again with the hub and a second one taken together. Each time the members
+have fewer shingles beyond, so this ends. Buckets of DIRECT members at most are settled by pairs. What is shared and
+what lies beyond bounds the similarity of a pair, so few pairs need their multisets.
 """
 
 from __future__ import annotations
@@ -19,13 +26,14 @@ from pyspark.sql import functions as F
 from .bagminhash import bands, signatures
 from .base import held, text_of, written
 from .graph import components
-from .kernels import counted, lists, shingles, texts_of
+from .kernels import counted, lists, mixed, shingles, texts_of
 
 #: Words of a shingle, least similarity, registers of a signature and registers of a band.
 WORDS, SIMILARITY, REGISTERS, ROWS = 5, 0.8, 130, 5
-#: A pair goes on to the exact comparison if so many registers agree in their low byte; a pair of similarity 0.8
-#: has 104 on average and falls below with a probability under 1e-6.
-LEAST_REGISTERS = 80
+#: Largest bucket below the first whose pairs are listed; each member is in fewer pairs than this.
+DIRECT = 8
+#: Width of the size classes of the range join.
+SIZE_CLASS = 1.02
 #: Bits of the table that lets through the texts whose shingles are needed.
 FILTER_BITS = 1 << 23
 
@@ -38,16 +46,10 @@ def _bags(strings: pa.Array) -> Iterator[tuple[int, int, int, tuple[np.ndarray,
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, n, (doc, element, weight) in _bags(batch.column(2)):
-            times = signatures(doc, element, weight, n, REGISTERS)
             some = np.flatnonzero(np.bincount(doc, minlength=n))
-            sketch = np.ascontiguousarray((times[some].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
+            keys = bands(signatures(doc, element, weight, n, REGISTERS)[some], ROWS).view(np.int64)
             part = batch.slice(first, last - first).take(pa.array(some))
-            sizes = np.bincount(doc, weight, n).astype(np.int64)[some]
-            keys = bands(times[some], ROWS).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(sizes), lists(keys.ravel(), np.full(len(some), keys.shape[1]), pa.int64()), pa.array([x.tobytes() for x in sketch], pa.binary())],
-                names=["id", "key", "n", "bands", "sketch"],
-            )
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists(keys.ravel(), np.full(len(some), keys.shape[1]), pa.int64())], names=["id", "key", "bands"])
 
 
 def content_key(column: str) -> Column:
@@ -88,35 +90,122 @@ def _bags_of(df: DataFrame, keys: DataFrame, text_column: str) -> DataFrame:
     return written(wanted.groupBy("key").agg(F.first("element").alias("element"), F.first("weight").alias("weight")))
 
 
-def _agree(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs (a, b) of which enough registers agree."""
-    side = lambda c: signed.select(F.col("key").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("n").alias(f"n_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b"))
-
-    def run(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, REGISTERS) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= LEAST_REGISTERS))
-
-    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a binary, b binary")
+def _compared(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) with linked, and of b: size, shared (shingles it has in common with a), beyond (those it has more often).
 
-
-def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap by `similarity` at least (weighted Jaccard)."""
+    In beyond, an element that b has w times and a v times stands for each of the copies v + 1 to w.
+    """
     side = lambda c: bags.select(F.col("key").alias(c), F.struct("element", "weight").alias(f"bag_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
 
     def run(batches):
         for batch in batches:
-            keep = []
+            linked, size, shared, beyond = [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 (e, v), (f, w) = ((np.asarray(s["element"].values), np.asarray(s["weight"].values)) for s in (x, y))
                 _, i, j = np.intersect1d(e, f, assume_unique=True, return_indices=True)
                 common = int(np.minimum(v[i], w[j]).sum())
-                keep.append(common >= similarity * (int(v.sum()) + int(w.sum()) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                less = np.zeros(len(f), np.int64)
+                less[j] = v[i]
+                times = np.maximum(w - less, 0)
+                copy = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - less, times)
+                size.append(int(w.sum()))
+                shared.append(common)
+                beyond.append(mixed(np.repeat(f.view(np.uint64), times) + copy.astype(np.uint64)).view(np.int64))
+                linked.append(common >= similarity * (int(v.sum()) + size[-1] - common))
+            counts = np.array([len(x) for x in beyond], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(shared, pa.int64()), lists(np.concatenate([np.empty(0, np.int64), *beyond]), counts, pa.int64())],
+                names=["a", "b", "linked", "size", "shared", "beyond"],
+            )
+
+    return both.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a binary, b binary, linked boolean, size long, shared long, beyond array<long>")
+
+
+def _labelled(df: DataFrame, labels: DataFrame | None, key: str, label: str) -> DataFrame:
+    """`df` with the component of its column `key`: the node itself where it has no link."""
+    if labels is None:
+        return df.withColumn(label, F.col(key))
+    of = labels.select(F.col("node").alias("__node"), F.col("label").alias("__label"))
+    return df.join(of, F.col(key) == F.col("__node"), "left").withColumn(label, F.coalesce("__label", key)).drop("__node", "__label")
+
+
+def _divided(members: DataFrame, by: str) -> DataFrame:
+    """The rows of the groups that hold more than one component."""
+    open_ = members.groupBy(by).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select(by)
+    return members.join(open_, by, "left_semi")
 
-    return both.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a binary, b binary")
+
+def _could(x: str, y: str, similarity: float) -> Column:
+    """If the members x and y of a bucket, known by size, shared and beyond, can reach the similarity, and are not linked yet."""
+    shared = F.least(f"{x}.shared", f"{y}.shared") + F.size(F.array_intersect(f"{x}.beyond", f"{y}.beyond"))
+    return (F.col(f"{x}.label") != F.col(f"{y}.label")) & (shared >= similarity * (F.col(f"{x}.size") + F.col(f"{y}.size") - shared))
+
+
+def _prefix(similarity: float) -> Column:
+    """The shingles beyond the hub by which a member is found.
+
+    A pair that reaches the similarity s shares at least s b - (1 - s) r of them, b and r being either one's shingles
+    beyond and in common with the hub. In any fixed order, such a pair has one in common among the first of each
+    when that number less one is left out at the end.
+    """
+    least = F.ceil(similarity * (F.col("size") - F.col("shared")) - (1 - similarity) * F.col("shared") - 1e-6).cast("int")
+    return F.slice(F.array_sort("beyond"), F.lit(1), F.size("beyond") - F.greatest(least, F.lit(1)) + 1)
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(f"{x}.key", f"{y}.key").alias("a"), F.greatest(f"{x}.key", f"{y}.key").alias("b")]
+
+
+def _short_pairs(seen: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of the members `seen` that may be linked without sharing a shingle beyond the hub.
+
+    With the smaller `shared` on the side of x, this takes size_y <= (shared_x - s (size_x - shared_x)) / s, and
+    size_y >= shared_y >= shared_x. So y lies in a narrow range of sizes, which x visits by size classes.
+    """
+    most = (F.col("shared") - similarity * (F.col("size") - F.col("shared"))) / similarity
+    place = lambda x: F.floor(F.log(x.cast("double")) / float(np.log(SIZE_CLASS)))
+    some = seen.filter("shared > 0").withColumn("most", most)
+    low = some.filter("most >= shared").withColumn("class", F.explode(F.sequence(place(F.col("shared")), place(F.col("most")))))
+    high = some.withColumn("class", place(F.col("size")))
+    far = (F.col("x.label") != F.col("y.label")) & (F.col("y.shared") >= F.col("x.shared")) & (F.col("y.size") <= F.col("x.most"))
+    met = low.drop("beyond").alias("x").join(high.drop("beyond").alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") == F.col("y.class")) & far)
+    return met.select(*_pair("x", "y"))
+
+
+def _linked(df: DataFrame, buckets: DataFrame, text_column: str, similarity: float) -> DataFrame | None:
+    """The components (node, label) of the links between keys that share one of `buckets` (bucket, key); None without any."""
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    live = written(buckets.join(sizes, "bucket"))
+    weight = live.groupBy("key").agg(F.sum("members").alias("weight"))
+    hubs = live.join(weight, "key").groupBy("bucket").agg(F.max(F.struct("weight", "key"))["key"].alias("hub"))
+    pairs = live.join(hubs, "bucket").filter(F.col("key") != F.col("hub")).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+    bags = _bags_of(df, live.select("key").distinct(), text_column)
+    found = written(_compared(pairs, bags, similarity))
+    links = found.filter("linked").select("a", "b")
+    labels = components(links)
+    seen = found.select(F.xxhash64("a").alias("bucket"), F.col("b").alias("key"), "size", "shared", "beyond")
+    while True:
+        # bucket, key, size, shared and beyond of members that were all compared with the hubs of the bucket
+        seen = written(_divided(_labelled(seen, labels, "key", "label"), "bucket"))
+        if not seen.take(1):
+            return labels
+        split = seen.select("bucket", "key", "label", F.explode(_prefix(similarity)).alias("element")).select("bucket", "key", "label", F.xxhash64("bucket", "element").alias("part"))
+        sizes = split.groupBy("part").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("key")).alias("who"))
+        # what several shared shingles tell is told once: of parts with the same members one is enough
+        sizes = sizes.filter("low < high").groupBy("who", "members").agg(F.min("part").alias("part")).drop("who")
+        parts = written(split.join(sizes, "part").join(seen.drop("label"), ["bucket", "key"]).drop("bucket").withColumnRenamed("part", "bucket"))
+        small, large = parts.filter(F.col("members") <= DIRECT), parts.filter(F.col("members") > DIRECT)
+        listed = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")) & _could("x", "y", similarity)).select(*_pair("x", "y"))
+        hubs = large.groupBy("bucket").agg(F.max_by(F.struct("key", "label", "size", "shared", "beyond"), F.struct("shared", "key")).alias("h"))
+        met = written(large.join(hubs, "bucket").filter(F.col("key") != F.col("h.key")))
+        starred = met.alias("x").select(F.struct("x.key", "x.label", "x.size", "x.shared", "x.beyond").alias("x"), F.col("x.h").alias("y")).filter(_could("x", "y", similarity)).select(*_pair("x", "y"))
+        pairs = written(_short_pairs(seen, similarity).unionByName(listed).unionByName(starred).distinct())
+        if pairs.take(1):
+            links = links.unionByName(written(_compared(pairs, bags, similarity)).filter("linked").select("a", "b"))
+            labels = components(links)
+        common = F.size(F.array_intersect("beyond", "h.beyond"))
+        seen = met.select("bucket", "key", "size", (F.col("shared") + common).alias("shared"), F.array_except("beyond", "h.beyond").alias("beyond"))
 
 
 def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -126,29 +215,11 @@ def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     or more. Texts of fewer than WORDS words have one shingle, all their words.
     """
     slim = df.select(F.col(id_column).alias("id"), content_key(text_column).alias("key"), text_of(text_column).alias("text"))
-    rows = written(slim.mapInArrow(_signed, f"id {df.schema[id_column].dataType.simpleString()}, key binary, n long, bands array<long>, sketch binary"))
-    signed = written(rows.groupBy("key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    members = signed.select(F.posexplode("bands").alias("band", "value"), "key")
-    hubs = members.groupBy("band", "value").agg(F.min("key").alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    shared = written(members.join(hubs, ["band", "value"]).select("band", "value", "key", "hub"))
-    first = shared.filter(F.col("key") != F.col("hub")).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-    near = written(_agree(first, signed))
-    bags = _bags_of(df, near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct(), text_column)
-    links = written(_verified(near, bags, similarity))
-    labels = components(links)
-
-    named = shared.join(labels, shared["key"] == labels["node"], "left").select("band", "value", "key", F.coalesce("label", "key").alias("label"))
-    mixed = named.groupBy("band", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band", "value")
-    open_ = written(named.join(mixed, ["band", "value"], "left_semi"))
-    left, right = (open_.select("band", "value", F.col("key").alias(k), F.col("label").alias(f"label_{k}")) for k in "ab")
-    pairs = left.join(right, ["band", "value"]).filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))).select("a", "b").distinct()
-    later = written(_agree(pairs.join(first, ["a", "b"], "left_anti"), signed))
-    if later.take(1):
-        bags = _bags_of(df, later.select(F.col("a").alias("key")).unionByName(later.select(F.col("b").alias("key"))).distinct(), text_column)
-        labels = components(links.unionByName(written(_verified(later, bags, similarity))))
-
-    named = signed.select("key", "least").join(labels, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("label", "key").alias("label"))
-    named = held(named)
+    rows = written(slim.mapInArrow(_signed, f"id {df.schema[id_column].dataType.simpleString()}, key binary, bands array<long>"))
+    signed = written(rows.groupBy("key").agg(F.min("id").alias("least"), F.first("bands").alias("bands")))
+    buckets = signed.select(F.posexplode("bands").alias("band", "value"), "key").select(F.xxhash64("band", "value").alias("bucket"), "key")
+    labels = _linked(df, buckets, text_column, similarity)
+    named = held(_labelled(signed.select("key", "least"), labels, "key", "label"))
     lowest = named.groupBy("label").agg(F.min("least").alias("class_id"))
     return rows.select("id", "key"), written(named.join(lowest, "label").select("key", "class_id"))
 
