@@ -17,7 +17,7 @@ PLAIN_NAME = r"^[a-z0-9][a-z0-9-]{0,63}\z"
 
 def filled(text: Column) -> Column:
     """The text, or null if it is empty."""
-    return F.when(F.length(text) > 0, text)
+    return F.nullif(text, F.lit(""))
 
 
 def bounded_key(text: Column) -> Column:
@@ -25,9 +25,8 @@ def bounded_key(text: Column) -> Column:
 
 
 def plain(number: Column) -> Column:
-    """A finite number as text, whole numbers without a fraction; null otherwise."""
-    d = number.cast("double")
-    return F.when(finite(d), F.when((d == F.floor(d)) & (F.abs(d) < 1e15), d.cast("long").cast("string")).otherwise(d.cast("string")))
+    """A finite number as text with six decimals at most, whole numbers without any; null otherwise."""
+    return F.regexp_replace(F.when(finite(number), number).cast("decimal(36,6)").cast("string"), r"\.?0+\z", "")
 
 
 def frame_place(function: Column, file: Column, line: Column) -> Column:

@@ -40,8 +40,12 @@ def bounded_histogram(
 
 
 def top_k(df: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
-    """(keys..., n): the k most frequent combinations of the keys, ties by the keys in order."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), *keys).limit(k)
+    """(keys..., n): the k most frequent combinations of the keys, ties by the keys in order. A null first key counts nowhere.
+
+    Null keys go after the aggregation: a filter on the key would be pushed below the expression that makes it and
+    evaluate that twice.
+    """
+    return df.groupBy(*keys).agg(F.count(keys[0]).alias("n")).filter("n > 0").orderBy(F.col("n").desc(), *keys).limit(k)
 
 
 def bucket_index(value: Column, boundaries: Sequence[float]) -> Column:

@@ -107,14 +107,14 @@ SIGNED = """s AS (
 
 @query(f"{SIGNED} SELECT signature, type, CAST(count(*) AS BIGINT) AS n FROM s WHERE signature IS NOT NULL AND signature <> '' GROUP BY signature, type ORDER BY n DESC, signature, type LIMIT 10")
 def top_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return histogram.top_k(signed(events(spark, sf_dir)).filter("signature IS NOT NULL"), ["signature", "type"], 10)
+    return histogram.top_k(signed(events(spark, sf_dir)), ["signature", "type"], 10)
 
 
 @query(f"""{SIGNED}, top AS (SELECT signature FROM s WHERE signature IS NOT NULL GROUP BY signature, type ORDER BY count(*) DESC, signature, type LIMIT 1)
 SELECT seq, signature FROM s WHERE signature IN (SELECT signature FROM top)""")
 def signature_drill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = signed(events(spark, sf_dir))
-    top = histogram.top_k(s.filter("signature IS NOT NULL"), ["signature", "type"], 1).select("signature")
+    top = histogram.top_k(s, ["signature", "type"], 1).select("signature")
     return s.join(top, "signature", "left_semi").select("seq", "signature")
 
 

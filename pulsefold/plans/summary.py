@@ -37,7 +37,7 @@ def top_error_names(events: DataFrame) -> DataFrame:
 
 
 def top_signatures(events: DataFrame) -> DataFrame:
-    return top_k(events.filter("signature IS NOT NULL").select(bounded_key(F.col("signature")).alias("signature"), "type"), ["signature", "type"], TOP)
+    return top_k(events.select(bounded_key(F.col("signature")).alias("signature"), "type"), ["signature", "type"], TOP)
 
 
 def seen(events: DataFrame) -> DataFrame:
