@@ -30,8 +30,9 @@ from .kernels import counted, lists, mixed, shingles, texts_of
 
 #: Words of a shingle, least similarity, registers of a signature and registers of a band.
 WORDS, SIMILARITY, REGISTERS, ROWS = 5, 0.8, 130, 5
-#: Largest bucket below the first whose pairs are listed; each member is in fewer pairs than this.
-DIRECT = 8
+#: Largest bucket below the first whose pairs are listed; each member is in fewer pairs than this. Once all pairs that
+#: are left are no more than so many for each comparison with a first hub, they are listed, too.
+DIRECT, PAIRS = 8, 16
 #: Width of the size classes of the range join.
 SIZE_CLASS = 1.02
 #: Bits of the table that lets through the texts whose shingles are needed.
@@ -86,8 +87,9 @@ def _bags_of(df: DataFrame, keys: DataFrame, text_column: str) -> DataFrame:
 
     texts = df.select(content_key(text_column).alias("key"), text_of(text_column).alias("text")).withColumn("slot", _slot(F.col("key")))
     bags = texts.mapInArrow(run, "key binary, element array<long>, weight array<int>")
-    wanted = bags.join(keys.select("key"), "key", "left_semi")
-    return written(wanted.groupBy("key").agg(F.first("element").alias("element"), F.first("weight").alias("weight")))
+    # copies of a text are one bag, and each task sends it once
+    single = bags.groupBy("key").agg(F.first("element").alias("element"), F.first("weight").alias("weight"))
+    return written(single.join(keys.select("key"), "key", "left_semi"))
 
 
 def _compared(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
@@ -184,28 +186,36 @@ def _linked(df: DataFrame, buckets: DataFrame, text_column: str, similarity: flo
     found = written(_compared(pairs, bags, similarity))
     links = found.filter("linked").select("a", "b")
     labels = components(links)
+    few = PAIRS * found.count()
+    # bucket, key, label, size, shared and beyond of members that were all compared with the hubs of the bucket
     seen = found.select(F.xxhash64("a").alias("bucket"), F.col("b").alias("key"), "size", "shared", "beyond")
-    while True:
-        # bucket, key, size, shared and beyond of members that were all compared with the hubs of the bucket
-        seen = written(_divided(_labelled(seen, labels, "key", "label"), "bucket"))
-        if not seen.take(1):
-            return labels
+    seen = written(_divided(_labelled(seen, labels, "key", "label"), "bucket"))
+    pairs = None
+    while seen.take(1):
         split = seen.select("bucket", "key", "label", F.explode(_prefix(similarity)).alias("element")).select("bucket", "key", "label", F.xxhash64("bucket", "element").alias("part"))
         sizes = split.groupBy("part").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("key")).alias("who"))
         # what several shared shingles tell is told once: of parts with the same members one is enough
         sizes = sizes.filter("low < high").groupBy("who", "members").agg(F.min("part").alias("part")).drop("who")
         parts = written(split.join(sizes, "part").join(seen.drop("label"), ["bucket", "key"]).drop("bucket").withColumnRenamed("part", "bucket"))
-        small, large = parts.filter(F.col("members") <= DIRECT), parts.filter(F.col("members") > DIRECT)
+        last = (parts.agg(F.sum(F.col("members") - 1)).first()[0] or 0) <= 2 * few
+        small = parts if last else parts.filter(F.col("members") <= DIRECT)
         listed = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")) & _could("x", "y", similarity)).select(*_pair("x", "y"))
+        new = _short_pairs(seen, similarity).unionByName(listed)
+        pairs = new if pairs is None else pairs.unionByName(new)
+        if last:
+            break
+        large = parts.filter(F.col("members") > DIRECT)
         hubs = large.groupBy("bucket").agg(F.max_by(F.struct("key", "label", "size", "shared", "beyond"), F.struct("shared", "key")).alias("h"))
         met = written(large.join(hubs, "bucket").filter(F.col("key") != F.col("h.key")))
-        starred = met.alias("x").select(F.struct("x.key", "x.label", "x.size", "x.shared", "x.beyond").alias("x"), F.col("x.h").alias("y")).filter(_could("x", "y", similarity)).select(*_pair("x", "y"))
-        pairs = written(_short_pairs(seen, similarity).unionByName(listed).unionByName(starred).distinct())
-        if pairs.take(1):
-            links = links.unionByName(written(_compared(pairs, bags, similarity)).filter("linked").select("a", "b"))
-            labels = components(links)
+        starred = met.select(F.struct("key", "label", "size", "shared", "beyond").alias("x"), F.col("h").alias("y")).filter(_could("x", "y", similarity)).select(*_pair("x", "y"))
+        pairs = pairs.unionByName(starred)
         common = F.size(F.array_intersect("beyond", "h.beyond"))
-        seen = met.select("bucket", "key", "size", (F.col("shared") + common).alias("shared"), F.array_except("beyond", "h.beyond").alias("beyond"))
+        seen = written(_divided(met.select("bucket", "key", "label", "size", (F.col("shared") + common).alias("shared"), F.array_except("beyond", "h.beyond").alias("beyond")), "bucket"))
+    if pairs is not None:
+        later = written(_compared(pairs.distinct(), bags, similarity)).filter("linked").select("a", "b")
+        if later.take(1):
+            labels = components(links.unionByName(later))
+    return labels
 
 
 def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
