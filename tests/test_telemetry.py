@@ -306,3 +306,18 @@ def test_summary_document_has_no_messages(spark):
     assert not any("private" in x or "hidden" in x for x in rows.values())
     assert len(json.loads(rows["byType"])) == 9
     assert json.loads(rows["featureUsage"]) == [{"name": "global-search", "uses": 3.0, "windows": 1}, {"name": "settings", "uses": 1.0, "windows": 1}]
+
+
+def test_pages(spark):
+    from pulsefold.plans import pages
+
+    lines = [json.dumps(event("crash", reason=f"r{i % 3}", timestamp=i)) for i in range(250)] + ["7", "torn{"]
+    log = ndjson.parsed(spark.createDataFrame(list(enumerate(lines)), "seq long, value string"), F.col("seq"))
+    first = pages.page(log).first()
+    assert (first["total"], first["matched"], first["limit"], first["offset"]) == (251, 250, 100, 0)
+    assert [json.loads(x)["timestamp"] for x in first["events"]] == list(range(150, 250))
+    some = pages.page(log, limit="1000", offset="70", since="10", signature="crash:r1").first()
+    assert (some["matched"], some["limit"], some["offset"]) == (80, 200, 70)
+    assert [json.loads(x)["timestamp"] for x in some["events"]] == list(range(10, 40, 3))
+    assert pages.page(log, offset="999", since="").first()["events"] == []
+    assert tuple(pages.capabilities(spark, True).first()) == (11, [9, 10, 11], True)
