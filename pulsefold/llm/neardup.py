@@ -32,7 +32,7 @@ from .kernels import counted, lists, mixed, shingles, texts_of
 WORDS, SIMILARITY, REGISTERS, ROWS = 5, 0.8, 130, 5
 #: Largest bucket below the first whose pairs are listed; each member is in fewer pairs than this. Once all pairs that
 #: are left are no more than so many for each comparison with a first hub, they are listed, too.
-DIRECT, PAIRS = 8, 16
+DIRECT, PAIRS = 8, 64
 #: Width of the size classes of the range join.
 SIZE_CLASS = 1.02
 #: Bits of the table that lets through the texts whose shingles are needed.
@@ -124,10 +124,8 @@ def _compared(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a binary, b binary, linked boolean, size long, shared long, beyond array<long>")
 
 
-def _labelled(df: DataFrame, labels: DataFrame | None, key: str, label: str) -> DataFrame:
+def _labelled(df: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
     """`df` with the component of its column `key`: the node itself where it has no link."""
-    if labels is None:
-        return df.withColumn(label, F.col(key))
     of = labels.select(F.col("node").alias("__node"), F.col("label").alias("__label"))
     return df.join(of, F.col(key) == F.col("__node"), "left").withColumn(label, F.coalesce("__label", key)).drop("__node", "__label")
 
@@ -175,8 +173,8 @@ def _short_pairs(seen: DataFrame, similarity: float) -> DataFrame:
     return met.select(*_pair("x", "y"))
 
 
-def _linked(df: DataFrame, buckets: DataFrame, text_column: str, similarity: float) -> DataFrame | None:
-    """The components (node, label) of the links between keys that share one of `buckets` (bucket, key); None without any."""
+def _linked(df: DataFrame, buckets: DataFrame, text_column: str, similarity: float) -> DataFrame:
+    """The components (node, label) of the links between keys that share one of `buckets` (bucket, key)."""
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     live = written(buckets.join(sizes, "bucket"))
     weight = live.groupBy("key").agg(F.sum("members").alias("weight"))
@@ -185,7 +183,7 @@ def _linked(df: DataFrame, buckets: DataFrame, text_column: str, similarity: flo
     bags = _bags_of(df, live.select("key").distinct(), text_column)
     found = written(_compared(pairs, bags, similarity))
     links = found.filter("linked").select("a", "b")
-    labels = components(links)
+    labels = components(links, rounds=1)  # enough to pass over most pairs that are linked by others
     few = PAIRS * found.count()
     # bucket, key, label, size, shared and beyond of members that were all compared with the hubs of the bucket
     seen = found.select(F.xxhash64("a").alias("bucket"), F.col("b").alias("key"), "size", "shared", "beyond")
@@ -212,10 +210,8 @@ def _linked(df: DataFrame, buckets: DataFrame, text_column: str, similarity: flo
         common = F.size(F.array_intersect("beyond", "h.beyond"))
         seen = written(_divided(met.select("bucket", "key", "label", "size", (F.col("shared") + common).alias("shared"), F.array_except("beyond", "h.beyond").alias("beyond")), "bucket"))
     if pairs is not None:
-        later = written(_compared(pairs.distinct(), bags, similarity)).filter("linked").select("a", "b")
-        if later.take(1):
-            labels = components(links.unionByName(later))
-    return labels
+        links = links.unionByName(written(_compared(pairs.distinct(), bags, similarity)).filter("linked").select("a", "b"))
+    return components(links)
 
 
 def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
