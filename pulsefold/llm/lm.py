@@ -27,8 +27,6 @@ from .kernels import counted, lists, mixed, texts_of
 VOCABULARY, BACKOFF = 1 << 21, 0.4
 #: Bytes of text in a block, documents in it at most, and words of the corpus for each hash partition.
 BLOCK, BLOCK_DOCUMENTS, WORDS_PER_PART = 8 << 20, 1 << 16, 1 << 20
-#: Rows by which the unigram counts are gathered.
-SLICES = 64
 
 _ID_BITS = VOCABULARY.bit_length() - 1
 _KEY_BYTES = (2 * _ID_BITS + 7) // 8
@@ -54,26 +52,14 @@ def _counted_words(batches):
         for *_, t in texts_of(batch.column(0)):
             total += np.bincount(word_ids(t.hashes()), minlength=VOCABULARY)
     some = np.flatnonzero(total)
-    cut = np.searchsorted(some, np.arange(SLICES + 1) * (VOCABULARY // SLICES))
-    sizes = np.diff(cut)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), lists(some, sizes, pa.int32()), lists(total[some], sizes, pa.int64())], names=["slice", "word", "n"])
-
-
-def _added(table: pa.Table) -> pa.Table:
-    width = VOCABULARY // SLICES
-    first = table["slice"][0].as_py() * width
-    total = np.zeros(width, np.int64)
-    for words, n in zip(table["word"], table["n"], strict=True):
-        total[np.asarray(words.values) - first] += np.asarray(n.values)
-    return pa.table({"slice": table["slice"].slice(0, 1), "n": pa.array([total], pa.list_(pa.int64()))})
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["word", "n"])
 
 
 def unigrams(df: DataFrame, text_column: str = "text") -> np.ndarray:
     """The count of each word id in all texts."""
-    parts = df.select(text_of(text_column)).mapInArrow(_counted_words, "slice int, word array<int>, n array<long>").groupBy("slice").applyInArrow(_added, "slice int, n array<long>")
+    counted = df.select(text_of(text_column)).mapInArrow(_counted_words, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # VOCABULARY rows at most
     total = np.zeros(VOCABULARY, np.int64)
-    for row in parts.toLocalIterator():
-        total[row["slice"] * (VOCABULARY // SLICES) :][: VOCABULARY // SLICES] = row["n"]
+    total[counted["word"].to_numpy()] = counted["n"].to_numpy()
     return total
 
 
