@@ -1,10 +1,11 @@
 """Language-model scores: a stupid-backoff bigram model of the whole corpus, applied to each of its documents.
 
-Words are hashed to VOCABULARY ids, so the unigram counts have a fixed size and every task can hold them. Bigram
-counts have no bound: they are partitioned by the hash of the bigram, and each partition counts its bigrams,
-joins the counts to the documents' occurrences and adds up what each document gets from it. Occurrences travel as
-blocks, one row for the bigrams that many documents send to one partition, with their ids, documents and
-frequencies as byte planes, which compress far better than a row for each.
+Words are known by 64-bit hashes and bigrams by 96 bits; neither table has a bound, so no task holds one. Documents
+are taken in blocks. A block counts its distinct words and bigrams and asks the hash partitions for the counts of the
+corpus: one row for all it asks of one partition, as byte planes, which compress far better than a row for each. A
+partition adds up what the blocks sent and answers each in the order it was asked. So a word or bigram of every
+document is one entry for each block, not for each document. The block itself travels as the places of its words among
+its distinct ones; it works out again what it asked, takes the answers and scores its documents.
 
 log S(w | v) = log c(v w) - log c(v) if another document has the bigram, else log BACKOFF + log c(w) - log N. c(v w)
 leaves out the document's own occurrences; the first word has the unigram score.
@@ -21,19 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import text_of
-from .kernels import counted, lists, mixed, texts_of
+from .kernels import counted, mixed, texts_of
 
-#: Ids of hashed words (a power of two), and the factor of a step back.
-VOCABULARY, BACKOFF = 1 << 21, 0.4
+#: The factor of a step back.
+BACKOFF = 0.4
 #: Bytes of text in a block, documents in it at most, and words of the corpus for each hash partition.
 BLOCK, BLOCK_DOCUMENTS, WORDS_PER_PART = 8 << 20, 1 << 16, 1 << 20
 
-_ID_BITS = VOCABULARY.bit_length() - 1
-_KEY_BYTES = (2 * _ID_BITS + 7) // 8
-
-
-def word_ids(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - _ID_BITS)).astype(np.int64)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of the second part of a key, of a count in a block and in the corpus, and of a place.
+_CHECK_BYTES, _N_BYTES, _TOTAL_BYTES, _PLACE_BYTES = 4, 4, 8, 4
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
@@ -43,24 +41,12 @@ def _planes(x: np.ndarray, width: int) -> bytes:
 def _whole(data: bytes, width: int) -> np.ndarray:
     out = np.zeros((len(data) // width, 8), np.uint8)
     out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
-    return out.view("<u8").ravel().astype(np.int64)
+    return out.view("<u8").ravel()
 
 
-def _counted_words(batches):
-    total = np.zeros(VOCABULARY, np.int64)
+def _word_counts(batches):
     for batch in batches:
-        for *_, t in texts_of(batch.column(0)):
-            total += np.bincount(word_ids(t.hashes()), minlength=VOCABULARY)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["word", "n"])
-
-
-def unigrams(df: DataFrame, text_column: str = "text") -> np.ndarray:
-    """The count of each word id in all texts."""
-    counted = df.select(text_of(text_column)).mapInArrow(_counted_words, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # VOCABULARY rows at most
-    total = np.zeros(VOCABULARY, np.int64)
-    total[counted["word"].to_numpy()] = counted["n"].to_numpy()
-    return total
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(t.doc) for *_, t in texts_of(batch.column(0)))], pa.int64())], names=["n"])
 
 
 def _blocks(batches):
@@ -76,6 +62,55 @@ def _blocks(batches):
             first = last
 
 
+class _Block:
+    """The words of a block of documents: its distinct hashes, the place of each word among them, words per document.
+
+    keys and checks name its distinct words and then its distinct bigrams, n counts them; `order` sorts them by
+    partition, `cut` has the bounds of each of the partitions `asked`.
+    """
+
+    def __init__(self, words: np.ndarray, place: np.ndarray, size: np.ndarray, parts: int) -> None:
+        self.words, self.place, self.size = words, place, size
+        doc = np.repeat(np.arange(len(size)), size)
+        same = np.flatnonzero(doc[1:] == doc[:-1])
+        self.doc, pair, self.own = counted(place[same] * len(words) + place[same + 1], doc[same])
+        pairs, self.bigram = np.unique(pair, return_inverse=True)
+        self.v, self.w = (pairs // max(len(words), 1)), (pairs % max(len(words), 1))
+        a, b = words[self.v], words[self.w]
+        self.keys = np.concatenate([words, mixed(a * _BASE + b)])
+        # words have 0, so no word meets a bigram
+        self.checks = np.concatenate([np.zeros(len(words), np.uint64), mixed(a ^ mixed(b + _BASE)) >> np.uint64(32) | np.uint64(1)])
+        self.n = np.concatenate([np.bincount(place, minlength=len(words)), np.bincount(self.bigram, self.own, minlength=len(pairs)).astype(np.int64)])
+        part = (self.keys % np.uint64(parts)).astype(np.int64)
+        self.order = np.argsort(part, kind="stable")
+        part = part[self.order]
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
+        self.asked, self.cut = part[first], np.append(first, len(part))
+
+    def scores(self, total: np.ndarray, lower: float, log_all: float) -> np.ndarray:
+        """The log score of each document, with the counts of the corpus for what was asked."""
+        log_word, pair = np.log(total[: len(self.words)]), total[len(self.words) :]
+        others = pair[self.bigram] - self.own
+        seen = np.log(np.maximum(others, 1)) - log_word[self.v[self.bigram]]
+        value = self.own * np.where(others > 0, seen, lower + log_word[self.w[self.bigram]] - log_all)
+        out = np.bincount(self.doc, value, minlength=len(self.size)).astype(np.float64)
+        some = np.flatnonzero(self.size)
+        out[some] += log_word[self.place[(np.cumsum(self.size) - self.size)[some]]] - log_all
+        return out
+
+
+def added_up(keys: np.ndarray, checks: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each entry the sum of n over all entries of its key and check."""
+    order = np.lexsort((checks, keys))
+    k, c = keys[order], checks[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    out = np.empty(len(k), np.int64)
+    if len(k):
+        out[order] = np.add.reduceat(n[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out
+
+
 def score(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", backoff: float = BACKOFF) -> DataFrame:
     """(id, n_words, log_score, mean_log_score), one row per row of `df`.
 
@@ -83,99 +118,66 @@ def score(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", b
     count as other documents for each other, and ids need not be unique. Texts are scored whole. An empty table
     gives an empty one. Other columns are left out.
     """
-    counts = unigrams(df, text_column)
-    n_words = int(counts.sum())
+    n_words = df.select(text_of(text_column)).mapInArrow(_word_counts, "n long").agg(F.sum("n")).first()[0] or 0
     parts = max(1, math.ceil(n_words / WORDS_PER_PART))
-    logs = np.log(np.maximum(counts, 1)).astype(np.float32)
-    shared = df.sparkSession.sparkContext.broadcast(logs)  # VOCABULARY numbers, whatever the corpus
     lower, log_all = math.log(backoff), math.log(max(n_words, 1))
-    id_kind = df.schema[id_column].dataType
+    kind = df.schema[id_column].dataType.simpleString()
 
     def sent(batches):
-        task, block = TaskContext.get().partitionId(), 0
+        task, number = TaskContext.get().partitionId(), 0
         for whole in _blocks(batches):
-            docs, keys, times, n, start = [], [], [], [], []
-            for first, _, t in texts_of(whole.column(1)):
-                word = word_ids(t.hashes())
-                count = t.words_per_text()
-                n.append(count)
-                head = np.zeros(t.n, np.float32)
-                some = np.flatnonzero(count)
-                head[some] = shared.value[word[(np.cumsum(count) - count)[some]]] - log_all
-                start.append(head)
-                same = np.flatnonzero(t.doc[1:] == t.doc[:-1])
-                d, k, c = counted(word[same] << _ID_BITS | word[same + 1], t.doc[same])
-                docs.append(d + first)
-                keys.append(k)
-                times.append(c)
-            doc, key, time = (np.concatenate(x) for x in (docs, keys, times))
-            part = (mixed(key.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((key, part))
-            doc, key, time, part = doc[order], key[order], time[order], part[order]
-            cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
-            name = (task << 24) + block
-            block += 1
-            ends = [*cut[1:], len(part)]
-            m = len(cut)
+            hashes, sizes = zip(*((t.hashes(), t.words_per_text()) for *_, t in texts_of(whole.column(1))), strict=True)
+            size = np.concatenate(sizes).astype(np.int64)
+            words, place = np.unique(np.concatenate(hashes), return_inverse=True)
+            block = _Block(words, place, size, parts)
+            name = (task << 32) + number
+            number += 1
+            m = len(block.asked)
+            each = lambda x, width: [_planes(x[block.order[a:b]], width) for a, b in zip(block.cut[:-1], block.cut[1:], strict=True)]  # noqa: E731, B023
+            once = lambda x: pa.ListArray.from_arrays(pa.array([0] * (m + 1) + [len(whole)], pa.int32()), x)  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([*part[cut], name % parts], pa.int64()),
+                    pa.array([*block.asked, -1 - name], pa.int64()),  # the block itself is a group of its own
                     pa.array(np.full(m + 1, name)),
-                    pa.array([*(_planes(key[a:b], _KEY_BYTES) for a, b in zip(cut, ends, strict=True)), b""], pa.binary()),
-                    pa.array([*(_planes(doc[a:b], 2) for a, b in zip(cut, ends, strict=True)), b""], pa.binary()),
-                    pa.array([*(_planes(time[a:b], 4) for a, b in zip(cut, ends, strict=True)), b""], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array([0] * (m + 1) + [len(whole)], pa.int32()), whole.column(0)),
-                    pa.ListArray.from_arrays(pa.array([0] * (m + 1) + [len(whole)], pa.int32()), pa.array(np.concatenate(n).astype(np.int64))),
-                    pa.ListArray.from_arrays(pa.array([0] * (m + 1) + [len(whole)], pa.int32()), pa.array(np.concatenate(start))),
+                    pa.array([*each(block.keys, 8), _planes(words, 8)], pa.binary()),
+                    pa.array([*each(block.checks, _CHECK_BYTES), b""], pa.binary()),
+                    pa.array([*each(block.n, _N_BYTES), _planes(place, _PLACE_BYTES)], pa.binary()),
+                    once(whole.column(0)),
+                    once(pa.array(size)),
                 ],
-                names=["part", "block", "keys", "docs", "times", "ids", "n", "start"],
+                names=["part", "block", "keys", "checks", "n", "ids", "size"],
             )
 
-    def joined(table: pa.Table) -> pa.Table:
-        keys = [_whole(x.as_py(), _KEY_BYTES) for x in table["keys"]]
-        row = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
-        key = np.concatenate(keys)
-        doc = np.concatenate([_whole(x.as_py(), 2) for x in table["docs"]])
-        time = np.concatenate([_whole(x.as_py(), 4) for x in table["times"]])
-        # the partition's count table, joined to its occurrences
-        _, place = np.unique(key, return_inverse=True)
-        others = np.bincount(place, time, minlength=0)[place] - time if len(key) else np.empty(0)
-        before, word = shared.value[key >> _ID_BITS], shared.value[key & (VOCABULARY - 1)]
-        value = time * np.where(others > 0, np.log(np.maximum(others, 1)) - before, lower + word - log_all)
-        at = row << 16 | doc
-        group, place = np.unique(at, return_inverse=True)
-        sums = np.bincount(place, value, minlength=len(group)).astype(np.float32)
-        cut = np.searchsorted(group >> 16, np.arange(len(keys) + 1))
-        got = [_planes(group[a:b] & 0xFFFF, 2) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.table(
-            {
-                "block": table["block"],
-                "docs": pa.array(got, pa.binary()),
-                "sums": pa.array([sums[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
-                "ids": table["ids"],
-                "n": table["n"],
-                "start": table["start"],
-            }
-        )
-
-    def summed(table: pa.Table) -> pa.Table:
+    def answered(table: pa.Table) -> pa.Table:
+        if table["part"][0].as_py() < 0:
+            return table.select(["part", "block", "keys", "n", "ids", "size"])
+        keys, checks, n = ([_whole(x.as_py(), width) for x in table[c]] for c, width in (("keys", 8), ("checks", _CHECK_BYTES), ("n", _N_BYTES)))
+        total = added_up(np.concatenate(keys), np.concatenate(checks), np.concatenate(n).astype(np.int64))
+        ends = np.cumsum([len(x) for x in keys])
+        got = [_planes(x, _TOTAL_BYTES) for x in np.split(total, ends[:-1])]
+        none = pa.array([b""] * len(got), pa.binary())
+        return pa.table({"part": table["part"], "block": table["block"], "keys": none, "n": pa.array(got, pa.binary()), "ids": table["ids"], "size": table["size"]})
+
+    def scored(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        size = np.asarray(pa.compute.list_value_length(table["ids"]))
-        at = int(size.argmax())
-        ids, n, total = (table[c][at].values for c in ("ids", "n", "start"))
-        total, n = np.asarray(total).astype(np.float64), np.asarray(n)
-        for docs, sums in zip(table["docs"], table["sums"], strict=True):
-            total[_whole(docs.as_py(), 2)] += np.frombuffer(sums.as_py(), np.float32)
-        return pa.table({"id": ids, "n_words": pa.array(n), "log_score": pa.array(total)})
-
-    kind = id_kind.simpleString()
-    carried = f"ids array<{kind}>, n array<long>, start array<float>"
+        part = table["part"].to_numpy()
+        at = int(part.argmin())
+        ids, size = (table[c].chunk(0)[at].values for c in ("ids", "size"))
+        words, place = _whole(table["keys"][at].as_py(), 8), _whole(table["n"][at].as_py(), _PLACE_BYTES).astype(np.int64)
+        block = _Block(words, place, np.asarray(size), parts)
+        total = np.zeros(len(block.keys), np.int64)
+        for i in np.flatnonzero(part >= 0):
+            k = np.searchsorted(block.asked, part[i])
+            total[block.order[block.cut[k] : block.cut[k + 1]]] = _whole(table["n"][int(i)].as_py(), _TOTAL_BYTES)
+        return pa.table({"id": ids, "n_words": size, "log_score": pa.array(block.scores(total, lower, log_all))})
+
+    carried = f"ids array<{kind}>, size array<long>"
     out = (
         df.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
-        .mapInArrow(sent, f"part long, block long, keys binary, docs binary, times binary, {carried}")
+        .mapInArrow(sent, f"part long, block long, keys binary, checks binary, n binary, {carried}")
         .groupBy("part")
-        .applyInArrow(joined, f"block long, docs binary, sums binary, {carried}")
+        .applyInArrow(answered, f"part long, block long, keys binary, n binary, {carried}")
         .groupBy("block")
-        .applyInArrow(summed, f"id {kind}, n_words long, log_score double")
+        .applyInArrow(scored, f"id {kind}, n_words long, log_score double")
     )
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

@@ -293,6 +293,40 @@ def test_scores_by_stupid_backoff(spark, odd, none, clashing):
     assert lm.score(odd).count() == 13 == lm.score(clashing).count()
 
 
+def backoff_scores(docs):
+    """(words, score) of each text by plain Python."""
+    one, two, out = Counter(), Counter(), []
+    for t in docs:
+        w = t.split()
+        one.update(w)
+        two.update(zip(w, w[1:], strict=False))
+    n = sum(one.values())
+    for t in docs:
+        w = t.split()
+        s = math.log(one[w[0]] / n) if w else 0
+        for (a, b), k in Counter(zip(w, w[1:], strict=False)).items():
+            others = two[a, b] - k
+            s += k * (math.log(others / one[a]) if others else math.log(lm.BACKOFF * one[b] / n))
+        out.append((len(w), s))
+    return out
+
+
+def test_words_with_alike_hashes_are_told_apart(spark):
+    """Rare words whose hashes begin with the same 21 bits as those of frequent ones keep their own counts."""
+    words = [f"w{i}" for i in range(20_000)]
+    ((*_, t),) = kernels.texts_of(pa.array([" ".join(words)]))
+    alike = {}
+    for w, h in zip(words, (t.hashes() >> np.uint64(43)).tolist(), strict=True):
+        alike.setdefault(h, []).append(w)
+    pairs = [x[:2] for x in alike.values() if len(x) > 1][:20]
+    assert len(pairs) == 20
+    docs = [f"v{i % 3} {a} x" for i in range(30) for a, _ in pairs] + [f"v{i % 3} {b} x {b}" for i, (_, b) in enumerate(pairs)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    got = {x["id"]: (x["n_words"], x["log_score"]) for x in lm.score(df).collect()}
+    for i, (n, s) in enumerate(backoff_scores(docs)):
+        assert got[i] == (n, pytest.approx(s))
+
+
 # pipeline
 
 
