@@ -1,11 +1,12 @@
 """Language-model scores: a stupid-backoff bigram model of the whole corpus, applied to each of its documents.
 
-Words are known by 64-bit hashes and bigrams by 96 bits; neither table has a bound, so no task holds one. Documents
-are taken in blocks. A block counts its distinct words and bigrams and asks the hash partitions for the counts of the
-corpus: one row for all it asks of one partition, as byte planes, which compress far better than a row for each. A
-partition adds up what the blocks sent and answers each in the order it was asked. So a word or bigram of every
-document is one entry for each block, not for each document. The block itself travels as the places of its words among
-its distinct ones; it works out again what it asked, takes the answers and scores its documents.
+Words are known by 64-bit hashes and bigrams by a pair of hashes: 64 bits, and the partition, which the other one
+gives. Neither table has a bound, so no task holds one. Documents are taken in blocks. A block counts its distinct
+words and bigrams and asks the hash partitions for the counts of the corpus: one row for all it asks of one partition,
+as compressed byte planes, far smaller than a row for each. A partition adds up what the blocks sent and answers each
+in the order it was asked. So a word or bigram of every document is one entry for each block, not for each document.
+The block itself travels as the places of its words among its distinct ones; it works out again what it asked, takes
+the answers and scores its documents.
 
 log S(w | v) = log c(v w) - log c(v) if another document has the bigram, else log BACKOFF + log c(w) - log N. c(v w)
 leaves out the document's own occurrences; the first word has the unigram score.
@@ -30,18 +31,16 @@ BACKOFF = 0.4
 BLOCK, BLOCK_DOCUMENTS, WORDS_PER_PART = 8 << 20, 1 << 16, 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes of the second part of a key, of a count in a block and in the corpus, and of a place.
-_CHECK_BYTES, _N_BYTES, _TOTAL_BYTES, _PLACE_BYTES = 4, 4, 8, 4
 
 
-def _planes(x: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+def _packed(x: np.ndarray) -> bytes:
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes, codec="zstd", asbytes=True) if len(x) else b""
 
 
-def _whole(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
-    return out.view("<u8").ravel()
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd") if n else b"", np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
 
 
 def _word_counts(batches):
@@ -50,7 +49,11 @@ def _word_counts(batches):
 
 
 def _blocks(batches):
-    """Record batches of at most BLOCK bytes of text, unless a single text is longer, and BLOCK_DOCUMENTS rows."""
+    """Record batches of at most BLOCK bytes of text, unless a single text is longer, and BLOCK_DOCUMENTS rows.
+
+    Small batches are put together, so that a task sends few entries for what all its documents hold.
+    """
+    held, held_size = [], 0
     for batch in batches:
         size = np.asarray(pa.compute.binary_length(batch.column(1)))
         sums = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
@@ -58,15 +61,21 @@ def _blocks(batches):
         while first < len(size):
             last = max(first + 1, int(np.searchsorted(sums, sums[first] + BLOCK, "right")) - 1)
             last = min(last, first + BLOCK_DOCUMENTS)
-            yield batch.slice(first, last - first)
+            if held and (held_size + sums[last] - sums[first] > BLOCK or sum(map(len, held)) + last - first > BLOCK_DOCUMENTS):
+                yield pa.concat_batches(held)
+                held, held_size = [], 0
+            held.append(batch.slice(first, last - first))
+            held_size += int(sums[last] - sums[first])
             first = last
+    if held:
+        yield pa.concat_batches(held)
 
 
 class _Block:
     """The words of a block of documents: its distinct hashes, the place of each word among them, words per document.
 
-    keys and checks name its distinct words and then its distinct bigrams, n counts them; `order` sorts them by
-    partition, `cut` has the bounds of each of the partitions `asked`.
+    keys and part name its distinct words and then its distinct bigrams, n counts them; `order` sorts them by
+    partition and key, `cut` has the bounds of each of the partitions `asked`.
     """
 
     def __init__(self, words: np.ndarray, place: np.ndarray, size: np.ndarray, parts: int) -> None:
@@ -78,12 +87,11 @@ class _Block:
         self.v, self.w = (pairs // max(len(words), 1)), (pairs % max(len(words), 1))
         a, b = words[self.v], words[self.w]
         self.keys = np.concatenate([words, mixed(a * _BASE + b)])
-        # words have 0, so no word meets a bigram
-        self.checks = np.concatenate([np.zeros(len(words), np.uint64), mixed(a ^ mixed(b + _BASE)) >> np.uint64(32) | np.uint64(1)])
         self.n = np.concatenate([np.bincount(place, minlength=len(words)), np.bincount(self.bigram, self.own, minlength=len(pairs)).astype(np.int64)])
-        part = (self.keys % np.uint64(parts)).astype(np.int64)
-        self.order = np.argsort(part, kind="stable")
-        part = part[self.order]
+        other = np.concatenate([mixed(words + _BASE), mixed(a ^ mixed(b + _BASE))])
+        self.part = (other % np.uint64(parts)).astype(np.int64)
+        self.order = np.lexsort((self.keys, self.part))
+        part = self.part[self.order]
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
         self.asked, self.cut = part[first], np.append(first, len(part))
 
@@ -99,12 +107,12 @@ class _Block:
         return out
 
 
-def added_up(keys: np.ndarray, checks: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For each entry the sum of n over all entries of its key and check."""
-    order = np.lexsort((checks, keys))
-    k, c = keys[order], checks[order]
+def added_up(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each entry the sum of n over all entries of its key."""
+    order = np.argsort(keys)
+    k = keys[order]
     new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    new[1:] = k[1:] != k[:-1]
     out = np.empty(len(k), np.int64)
     if len(k):
         out[order] = np.add.reduceat(n[order], np.flatnonzero(new))[np.cumsum(new) - 1]
@@ -133,50 +141,51 @@ def score(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", b
             name = (task << 32) + number
             number += 1
             m = len(block.asked)
-            each = lambda x, width: [_planes(x[block.order[a:b]], width) for a, b in zip(block.cut[:-1], block.cut[1:], strict=True)]  # noqa: E731, B023
+            each = lambda x: [_packed(x[block.order[a:b]]) for a, b in zip(block.cut[:-1], block.cut[1:], strict=True)]  # noqa: E731, B023
             once = lambda x: pa.ListArray.from_arrays(pa.array([0] * (m + 1) + [len(whole)], pa.int32()), x)  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([*block.asked, -1 - name], pa.int64()),  # the block itself is a group of its own
                     pa.array(np.full(m + 1, name)),
-                    pa.array([*each(block.keys, 8), _planes(words, 8)], pa.binary()),
-                    pa.array([*each(block.checks, _CHECK_BYTES), b""], pa.binary()),
-                    pa.array([*each(block.n, _N_BYTES), _planes(place, _PLACE_BYTES)], pa.binary()),
+                    pa.array([*np.diff(block.cut), len(words)], pa.int64()),
+                    pa.array([*each(block.keys), _packed(words)], pa.binary()),
+                    pa.array([*each(block.n), _packed(place)], pa.binary()),
                     once(whole.column(0)),
                     once(pa.array(size)),
                 ],
-                names=["part", "block", "keys", "checks", "n", "ids", "size"],
+                names=["part", "block", "asked", "keys", "n", "ids", "size"],
             )
 
     def answered(table: pa.Table) -> pa.Table:
         if table["part"][0].as_py() < 0:
-            return table.select(["part", "block", "keys", "n", "ids", "size"])
-        keys, checks, n = ([_whole(x.as_py(), width) for x in table[c]] for c, width in (("keys", 8), ("checks", _CHECK_BYTES), ("n", _N_BYTES)))
-        total = added_up(np.concatenate(keys), np.concatenate(checks), np.concatenate(n).astype(np.int64))
-        ends = np.cumsum([len(x) for x in keys])
-        got = [_planes(x, _TOTAL_BYTES) for x in np.split(total, ends[:-1])]
+            return table
+        asked = table["asked"].to_pylist()
+        keys, n = (np.concatenate([_unpacked(x.as_py(), m) for x, m in zip(table[c], asked, strict=True)]) for c in ("keys", "n"))
+        got = [_packed(x) for x in np.split(added_up(keys, n.astype(np.int64)), np.cumsum(asked)[:-1])]
         none = pa.array([b""] * len(got), pa.binary())
-        return pa.table({"part": table["part"], "block": table["block"], "keys": none, "n": pa.array(got, pa.binary()), "ids": table["ids"], "size": table["size"]})
+        return pa.table([table["part"], table["block"], table["asked"], none, pa.array(got, pa.binary()), table["ids"], table["size"]], names=table.column_names)
 
     def scored(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         part = table["part"].to_numpy()
         at = int(part.argmin())
         ids, size = (table[c].chunk(0)[at].values for c in ("ids", "size"))
-        words, place = _whole(table["keys"][at].as_py(), 8), _whole(table["n"][at].as_py(), _PLACE_BYTES).astype(np.int64)
+        words = _unpacked(table["keys"][at].as_py(), table["asked"][at].as_py())
+        place = _unpacked(table["n"][at].as_py(), int(np.asarray(size).sum())).astype(np.int64)
         block = _Block(words, place, np.asarray(size), parts)
         total = np.zeros(len(block.keys), np.int64)
         for i in np.flatnonzero(part >= 0):
             k = np.searchsorted(block.asked, part[i])
-            total[block.order[block.cut[k] : block.cut[k + 1]]] = _whole(table["n"][int(i)].as_py(), _TOTAL_BYTES)
+            some = block.order[block.cut[k] : block.cut[k + 1]]
+            total[some] = _unpacked(table["n"][int(i)].as_py(), len(some))
         return pa.table({"id": ids, "n_words": size, "log_score": pa.array(block.scores(total, lower, log_all))})
 
-    carried = f"ids array<{kind}>, size array<long>"
+    carried = f"part long, block long, asked long, keys binary, n binary, ids array<{kind}>, size array<long>"
     out = (
         df.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
-        .mapInArrow(sent, f"part long, block long, keys binary, checks binary, n binary, {carried}")
+        .mapInArrow(sent, carried)
         .groupBy("part")
-        .applyInArrow(answered, f"part long, block long, keys binary, n binary, {carried}")
+        .applyInArrow(answered, carried)
         .groupBy("block")
         .applyInArrow(scored, f"id {kind}, n_words long, log_score double")
     )

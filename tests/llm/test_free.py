@@ -327,6 +327,24 @@ def test_words_with_alike_hashes_are_told_apart(spark):
         assert got[i] == (n, pytest.approx(s))
 
 
+def test_a_word_pair_of_all_documents_is_one_entry_of_a_block(spark):
+    """However many documents hold it, and however small the batches are."""
+    batches = [pa.record_batch([pa.array(range(10)), pa.array(["a b", "a b c a b", "", " ", "\n", "a", "b", "c", "a b", "a b"])], names=["id", "text"])] * 50
+    (whole,) = lm._blocks(iter(batches))
+    assert len(whole) == 500 and whole.column(0).to_pylist() == [*range(10)] * 50
+    (_, _, t), *more = kernels.texts_of(whole.column(1))
+    words, place = np.unique(t.hashes(), return_inverse=True)
+    block = lm._Block(words, place, t.words_per_text(), 7)
+    assert not more and sorted(block.n.tolist()) == [50, 50, 100, 250, 300, 300] and len(set(block.keys.tolist())) == 6
+    keys, n = (np.concatenate([x, x]) for x in (block.keys, block.n))
+    assert lm.added_up(keys, n).tolist() == (2 * n).tolist()
+    docs = ["a b", "a b c a b", "", "a b d"] * 700
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    got = {x["id"]: (x["n_words"], x["log_score"]) for x in lm.score(df).collect()}
+    assert all(got[i] == (n, pytest.approx(s)) for i, (n, s) in enumerate(backoff_scores(docs)))
+    assert [x["log_score"] for x in lm.score(df.filter("text = ''")).limit(3).collect()] == [0, 0, 0]
+
+
 # pipeline
 
 
