@@ -1,11 +1,11 @@
-"""License scans: a positional rare-word index over licence templates, and phrases that always count."""
+"""License scans: a positional index over licence templates, weighted by the rareness of words, and phrases that always count."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import text_of
+from .base import held, text_of
 
 #: Words of the query, in texts of either case.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -29,8 +29,8 @@ TEMPLATES = (
     ("cc-by", "licensed under cc by 4 0", "cc by 4 0", "cc"),
     ("proprietary", "all rights reserved no part of this work may be reproduced", "all rights reserved", "reserved"),
 )
-#: Highest-IDF licence words of a file that are looked up, and the share of a template's weight that must agree in position.
-RARE_WORDS, ALIGNED = 32, 0.5
+#: The share of a template's weight that must agree in position.
+ALIGNED = 0.5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,29 +66,29 @@ def postings(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return spark.createDataFrame([(w, label, i) for label, text, _, _ in templates for i, w in enumerate(text.split())], "word string, template string, position int")
 
 
-def aligned(files: DataFrame, total: int, templates=TEMPLATES, rare_words: int = RARE_WORDS, share: float = ALIGNED) -> DataFrame:
+def vocabulary(templates=TEMPLATES) -> Column:
+    return F.array(*map(F.lit, sorted({w for _, text, _, _ in templates for w in text.split()})))
+
+
+def weights(texts: DataFrame, text: Column, templates=TEMPLATES) -> DataFrame:
+    """`postings` with weight: the inverse frequency of the word in all of `texts`, copies included, 0.01 at least."""
+    files = texts.select(F.array_intersect(words_of(text), vocabulary(templates)).alias("words"))
+    counts = files.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("files"))
+    index = postings(texts.sparkSession, templates).join(counts, "word", "left")
+    idf = F.log((F.lit(texts.count()) + 1) / (F.coalesce("files", F.lit(0)) + 1))
+    return held(index.select("word", "template", "position", F.greatest(idf, F.lit(0.01)).alias("weight")))
+
+
+def aligned(files: DataFrame, weighted: DataFrame, share: float = ALIGNED) -> DataFrame:
     """(key, found array<struct<template, score>>) for files (key, words), one row per key.
 
-    A file's licence words are ranked by inverse document frequency, the `rare_words` highest are looked up in
-    the postings, and the weights of the template positions that agree on one offset are added up.
+    All licence words of a file are looked up in the postings, and the weights of the template positions that
+    agree on one offset are added up. A file of many licences is scored for each as if it stood alone.
     """
-    spark = files.sparkSession
-    index = postings(spark, templates)
-    vocabulary = F.array(*map(F.lit, sorted({w for _, text, _, _ in templates for w in text.split()})))
-    known = files.withColumn("licence_words", F.array_intersect("words", vocabulary))
-    counts = known.select(F.explode("licence_words").alias("word")).groupBy("word").agg(F.count("*").alias("files"))
-    idf = index.select("word").distinct().join(counts, "word", "left").select("word", F.log((F.lit(total) + 1) / (F.coalesce("files", F.lit(0)) + 1)).alias("idf"))
-    weighted = index.join(idf, "word").withColumn("weight", F.greatest("idf", F.lit(0.01))).drop("idf")
     whole = weighted.groupBy("template").agg(F.sum("weight").alias("whole"))
-    placed = known.select("key", "licence_words", F.posexplode("words").alias("at", "word"))
+    placed = files.select("key", F.posexplode("words").alias("at", "word"))
     # broadcast: these have one row per word of the fixed templates
-    ranked = (
-        known.select("key", F.explode("licence_words").alias("word"))
-        .join(F.broadcast(idf), "word")
-        .groupBy("key")
-        .agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("idf"), "word")), asc=False), 1, rare_words)["word"].alias("rare"))
-    )
-    hits = placed.drop("licence_words").join(F.broadcast(weighted), "word").join(ranked, "key").filter(F.array_contains("rare", F.col("word")))
+    hits = placed.join(F.broadcast(weighted), "word")
     votes = hits.groupBy("key", "template", (F.col("at") - F.col("position")).alias("offset")).agg(F.sum("weight").alias("agreed"))
     best = votes.groupBy("key", "template").agg(F.max("agreed").alias("agreed")).join(F.broadcast(whole), "template")
     scored = best.select("key", "template", F.least(F.col("agreed") / F.col("whole"), F.lit(1.0)).alias("score")).filter(F.col("score") >= share)
@@ -120,7 +120,7 @@ def scan(df: DataFrame, text_column: str = "text", templates=TEMPLATES) -> DataF
     )
     some = df.filter(could).withColumn("__words", words_of(text)).withColumn("__key", F.sha2(text, 256))
     files = some.groupBy(F.col("__key").alias("key")).agg(F.first("__words").alias("words"))
-    found = aligned(files, df.count(), templates)
+    found = aligned(files, weights(df, text, templates))
     joined = some.join(found.select(F.col("key").alias("__of"), "found"), F.col("__key") == F.col("__of"), "left").withColumn("places", _places(F.col("__words")))
     line = F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" "))
     needed = F.create_map(*[F.lit(x) for label, _, phrase, _ in templates for x in (label, f" {phrase} ")])

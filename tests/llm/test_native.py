@@ -1,6 +1,7 @@
 """Operators made of DataFrame functions alone, against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -182,6 +183,21 @@ def test_licence_templates(spark):
     assert all(got[i] == got[i + 8] for i in range(8))
 
 
+def test_a_file_of_all_notices_has_all_labels(spark):
+    """Scores are those of plain Python with the frequencies of all documents, also those without a licence."""
+    notices = " --- ".join(text for _, text, _, _ in licenses.TEMPLATES)
+    part = " ".join(w if i % 4 else "else" for i, w in enumerate(licenses.TEMPLATES[5][1].split())) + " mozilla public license"
+    texts = [notices, part, *["the software of this and that to the source"] * 20, *["in this case, or not"] * 20, *["nothing"] * 160]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == (sorted(x[0] for x in licenses.TEMPLATES), 1.0)
+    files = [re.findall(licenses.WORD, t) for t in texts]
+    template = licenses.TEMPLATES[5][1].split()
+    weight = [max(math.log((len(files) + 1) / (sum(w in f for f in files) + 1)), 0.01) for w in template]
+    best = max(sum(x for i, (w, x) in enumerate(zip(template, weight, strict=True)) if 0 <= i + o < len(files[1]) and files[1][i + o] == w) for o in range(-len(template), len(files[1])))
+    assert got[1] == (["mpl"], pytest.approx(best / sum(weight)))
+    assert all(got[i] == ([], 0.0) for i in range(2, len(texts)))
+
+
 # secrets
 
 
