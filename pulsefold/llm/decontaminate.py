@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows, matched by Hamming blocks and verified.
 
-A window is as many words of a document as an item has. Its fingerprint and the item's are compared only if
+A window is as many words of a document as an item has, or the whole document where it has fewer. Its fingerprint and the item's are compared only if
 they agree, up to SLACK bits, in one of BLOCKS blocks, which holds for all fingerprints within RADIUS. The pairs
 that remain are verified by the weighted Jaccard similarity of their word-shingle multisets.
 
@@ -83,7 +83,10 @@ def _bit_table(items: DataFrame) -> np.ndarray:
 
 
 def windows(df: DataFrame, sizes: list[int], table: np.ndarray, similarity: float) -> DataFrame:
-    """(id, key, start, n, print, elements): windows of df (id, key, text) with enough shingles in the table."""
+    """(id, key, start, n, print, elements): windows of df (id, key, text) with enough shingles in the table.
+
+    n is the number of words of the items that a window is for; a whole document may have fewer.
+    """
     shared = df.sparkSession.sparkContext.broadcast((sizes, table))
 
     def run(batches):
@@ -91,7 +94,8 @@ def windows(df: DataFrame, sizes: list[int], table: np.ndarray, similarity: floa
         for batch in batches:
             for first, last, t in texts_of(batch.column(2)):
                 words = t.hashes(fold=True)
-                ends = np.cumsum(t.words_per_text())
+                size = t.words_per_text()
+                ends = np.cumsum(size)
                 at_doc, at_start, at_n, prints, elements, counts = [], [], [], [], [], []
                 for k in sorted({int(_shingle_size(n)) for n in sizes}):
                     own = [n for n in sizes if _shingle_size(n) == k]
@@ -114,15 +118,22 @@ def windows(df: DataFrame, sizes: list[int], table: np.ndarray, similarity: floa
                         start = start[start >= 0]
                         start = start[start + n <= ends[t.doc[start]]]
                         start = start[sums[start + m] - sums[start] >= least]
-                        for part in np.array_split(start, max(1, len(start) * m // 65536)):
+                        taken = [(part, m) for part in np.array_split(start, max(1, len(start) * m // 65536))]
+                        # documents with fewer words than the item, but enough shingles
+                        brief = np.flatnonzero((size < n) & (size >= max(least, 1) + k - 1))
+                        for words_of_doc in np.unique(size[brief]):
+                            own_m = int(words_of_doc) - k + 1
+                            first_word = (ends - size)[brief[size[brief] == words_of_doc]]
+                            taken.append((first_word[sums[first_word + own_m] - sums[first_word] >= least], own_m))
+                        for part, of in taken:
                             if len(part):
-                                e = by_word[part[:, None] + np.arange(m)]
+                                e = by_word[part[:, None] + np.arange(of)]
                                 at_doc.append(t.doc[part])
-                                at_start.append(part - (ends[t.doc[part]] - t.words_per_text()[t.doc[part]]))
+                                at_start.append(part - (ends - size)[t.doc[part]])
                                 at_n.append(np.full(len(part), n, np.int32))
                                 prints.append(simhash(e))
                                 elements.append(e.ravel())
-                                counts.append(np.full(len(part), m))
+                                counts.append(np.full(len(part), of))
                 if at_doc:
                     rows = pa.array(np.concatenate(at_doc))
                     yield pa.RecordBatch.from_arrays(
@@ -174,7 +185,8 @@ def leaks(
     """(id, key, item_id, similarity, start, n): the best window of each document and item that it holds.
 
     Words are split at white space, with A-Z as a-z. start is the window's first word, n its words; key is the MD5
-    of the text. An item of fewer than WORDS words has one shingle, all its words. Items without a word match
+    of the text. An item of fewer than WORDS words has one shingle, all its words. A document
+    of fewer words than an item is that item's one window. Items without a word match
     nothing, and a null or empty text holds nothing. Documents are read whole. Rows with equal id and text give
     one row; rows with equal id and different texts one each, told apart by key. Empty tables on either side
     give an empty table, as do other columns of any name, which are not read.
@@ -191,6 +203,8 @@ def leaks(
     met = asked.select("n", "print", F.col("b.block").alias("block"), F.col("b.value").alias("value")).join(near, ["n", "block", "value"])
     met = met.filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).select("n", "print", "item_id").distinct()
     pairs = found.join(met, ["n", "print"]).join(items.select("item_id", F.col("elements").alias("item_elements")), "item_id")
+    own = (F.size("elements") + F.least("n", F.lit(WORDS)) - 1).alias("n")  # words of the window
+    pairs = pairs.select("id", "key", "start", own, "item_id", "elements", "item_elements")
     best = F.max_by(F.struct("similarity", "start", "n"), F.struct("similarity", -F.col("start"), -F.col("n")))
     return _verified(pairs, similarity).groupBy("id", "key", "item_id").agg(best.alias("best")).select("id", "key", "item_id", "best.similarity", "best.start", "best.n")
 

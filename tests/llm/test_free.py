@@ -222,6 +222,29 @@ def test_leaks_of_items(spark, odd, none):
     assert decontaminate.leaks(odd, spark.createDataFrame([(1, "MORE")], "item_id long, text string")).select("id").collect() == [(2,)]
 
 
+def test_documents_shorter_than_an_item(spark):
+    items = [(i, prose(700 + i, n)) for i, n in enumerate((5, 6, 15, 31, 59))]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        docs += [(100 * i + cut, " ".join(w[:-cut])) for cut in range(1, min(len(w), 16))] + [(100 * i + 50 + cut, " ".join(w[cut:])) for cut in (1, 2, 4)]
+    want = {}
+    for d, text in docs:
+        w = text.split()
+        for i, item in items:
+            b, n = bag(item), min(len(item.split()), len(w))
+            of = lambda part: Counter(tuple(part[k : k + 5]) for k in range(len(part) - 4))
+            best = max((overlap(of(w[s : s + n]), b) for s in range(len(w) - n + 1)), default=0)
+            if best >= 0.8:
+                want[d, i] = (best, len(w))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["id"], x["item_id"]): (x["similarity"], x["n"]) for x in decontaminate.leaks(df, bench).collect()}
+    # a pair at the similarity itself may lie beyond the radius of the fingerprints
+    assert got.keys() <= want.keys() and {k for k, (s, _) in want.items() if s > 0.85} <= got.keys() and (401, 4) in got
+    assert all(got[k] == (pytest.approx(want[k][0]), want[k][1]) for k in got)
+    assert 401 not in {x["doc_id"] for x in decontaminate.clean(df, bench).collect()}
+
+
 def test_clean_with_clashing_columns(clashing, spark):
     bench = spark.createDataFrame([(1, prose(2, 40))], "item_id long, text string")
     assert sorted(str(x["doc_id"]) for x in decontaminate.clean(clashing, bench).collect()) == sorted(map(str, [3, 4, 5, None, None, 6, 7, 8, 8, 9]))
