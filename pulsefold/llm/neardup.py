@@ -215,10 +215,10 @@ def _linked(df: DataFrame, buckets: DataFrame, text_column: str, similarity: flo
 
 
 def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(rows, contents): rows has id, key of each row with a word; contents has key, class_id of each distinct text.
+    """(rows, contents): rows has id, key of each row with a word; contents has key, class_id, chief of each distinct text.
 
     class_id is the least id of the texts linked, directly or through others, by a similarity of `similarity`
-    or more. Texts of fewer than WORDS words have one shingle, all their words.
+    or more, and chief the key of the text that has it (the least key of several). Texts of fewer than WORDS words have one shingle, all their words.
     """
     slim = df.select(F.col(id_column).alias("id"), content_key(text_column).alias("key"), text_of(text_column).alias("text"))
     rows = written(slim.mapInArrow(_signed, f"id {df.schema[id_column].dataType.simpleString()}, key binary, bands array<long>"))
@@ -226,8 +226,9 @@ def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     buckets = signed.select(F.posexplode("bands").alias("band", "value"), "key").select(F.xxhash64("band", "value").alias("bucket"), "key")
     labels = _linked(df, buckets, text_column, similarity)
     named = held(_labelled(signed.select("key", "least"), labels, "key", "label"))
-    lowest = named.groupBy("label").agg(F.min("least").alias("class_id"))
-    return rows.select("id", "key"), written(named.join(lowest, "label").select("key", "class_id"))
+    lowest = named.groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "key")).alias("first"))
+    chief = lowest.select("label", F.col("first.least").alias("class_id"), F.col("first.key").alias("chief"))
+    return rows.select("id", "key"), written(named.join(chief, "label").select("key", "class_id", "chief"))
 
 
 def mark(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -245,6 +246,14 @@ def mark(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", si
 
 
 def deduplicated(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class: the one whose id names the class. Of rows with that same id one stays."""
-    kept = mark(df, id_column, text_column, similarity).filter(F.col("class_id").eqNullSafe(F.col(id_column))).drop("class_id")
-    return kept.dropDuplicates([id_column])
+    """One row of each class: the one whose id names the class. Of rows with that same id and text one stays.
+
+    Texts without a word are copies of nothing: all stay, but of rows with the same id and text one, unless the id is null.
+    """
+    _, contents = classes(df, id_column, text_column, similarity)
+    of = contents.select(F.col("key").alias("__of"), F.col("class_id").alias("__class"), F.col("chief").alias("__chief"))
+    keyed = df.withColumn("__key", content_key(text_column)).join(of, F.col("__key") == F.col("__of"), "left")
+    bare = F.col("__of").isNull()
+    named = keyed.filter((bare & F.col(id_column).isNotNull()) | ((F.col("__key") == F.col("__chief")) & F.col("__class").eqNullSafe(F.col(id_column))))
+    kept = named.dropDuplicates([id_column, "__key"]).unionByName(keyed.filter(bare & F.col(id_column).isNull()))
+    return kept.select(*df.columns)

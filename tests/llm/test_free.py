@@ -183,6 +183,16 @@ def test_near_duplicates_of_odd_tables(odd, none, clashing):
     assert kept.count(1) == 1 and 2 not in kept
 
 
+def test_different_texts_with_null_or_repeated_ids_stay(spark):
+    near = prose(40, 200)
+    rows = [(None, prose(i, 60)) for i in range(5)] + [(7, prose(i, 60)) for i in range(10, 14)]
+    rows += [(7, near), (7, near + " more"), (None, near + " again"), (None, prose(0, 60)), (None, ""), (None, None), (None, " ")]
+    got = [tuple(x) for x in neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert Counter(x for x in got if near not in (x[1] or "")) == Counter(rows[:9] + rows[-3:])
+    (one,) = (x for x in got if near in (x[1] or ""))
+    assert one in rows[9:11]
+
+
 # decontamination
 
 
