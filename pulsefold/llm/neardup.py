@@ -163,7 +163,8 @@ def _short_pairs(seen: DataFrame, similarity: float) -> DataFrame:
     With the smaller `shared` on the side of x, this takes size_y <= (shared_x - s (size_x - shared_x)) / s, and
     size_y >= shared_y >= shared_x. So y lies in a narrow range of sizes, which x visits by size classes.
     """
-    most = (F.col("shared") - similarity * (F.col("size") - F.col("shared"))) / similarity
+    # the slack keeps pairs at the very bound, which doubles can miss; _compared is exact
+    most = (F.col("shared") - similarity * (F.col("size") - F.col("shared"))) / similarity + 1e-6
     place = lambda x: F.floor(F.log(x.cast("double")) / float(np.log(SIZE_CLASS)))
     some = seen.filter("shared > 0").withColumn("most", most)
     low = some.filter("most >= shared").withColumn("class", F.explode(F.sequence(place(F.col("shared")), place(F.col("most")))))

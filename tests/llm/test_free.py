@@ -193,6 +193,13 @@ def test_different_texts_with_null_or_repeated_ids_stay(spark):
     assert one in rows[9:11]
 
 
+def test_short_pairs_at_the_very_similarity(spark):
+    """12 shingles in common of 13 and of 14 make 12 / 15 = 0.8."""
+    rows = [(1, "x", "x", 13, 12, [1]), (1, "y", "y", 14, 12, [2, 3])]
+    seen = spark.createDataFrame(rows, "bucket long, key string, label string, size long, shared long, beyond array<long>")
+    assert {tuple(x) for x in neardup._short_pairs(seen, 0.8).collect()} == {("x", "y")}
+
+
 # decontamination
 
 
