@@ -1,17 +1,16 @@
 """Near-duplicate classes: BagMinHash signatures of word-shingle multisets, banded, then verified by multiset overlap.
 
 Texts are told apart by their MD5, so exact copies are one node from the start. Nodes that agree in a band share
-a bucket; a pair of similarity 0.8 agrees in none of the 26 bands with a probability of 3e-5.
+a bucket; a pair of similarity 0.8 agrees in none of the 30 bands with a probability of 1e-4.
 
 A bucket can hold a large group, so its pairs are never listed. Its members are compared with one of them, the
 hub: the member that shares most bucket places, which for near copies of one text is the text nearest to them all.
-Two members x and y that this does not join are looked at through the hub. Of a member, let r be the shingles that
-it shares with the hub and b those it has beyond. If x and y have no shingle beyond the hub in common, they share
-min(r) at most, which reaches the similarity s only if min(r) >= s (max(r) + b_x + b_y): a range join finds these
-pairs, which lack much of the hub. All others share a shingle beyond the hub, and the members that share it are a
-smaller bucket, for which the same is done again with the hub and a second one taken together. Each time the members
-have fewer shingles beyond, so this ends. Buckets of DIRECT members at most are settled by pairs. What is shared and
-what lies beyond bounds the similarity of a pair, so few pairs need their multisets.
+That joins nearly all groups to one component. Only the texts of buckets that still hold several components are
+looked at again: the shingles of each, a shingle that stands w times taken as w elements, are put in order, those
+that fewest of these texts have first. Two texts that reach the similarity must then have one of their first
+elements in common (prefix filter), with enough elements after it on either side (position filter). The elements that
+no other text has come first and meet nothing, so texts that share a long passage but have much of their own are
+never paired. Pairs within a component are not made at all. What is left is verified.
 """
 
 from __future__ import annotations
@@ -20,23 +19,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bagminhash import bands, signatures
-from .base import held, text_of, written
+from .base import held, small_or_plain, text_of, written
 from .graph import components
 from .kernels import counted, lists, mixed, shingles, texts_of
 
 #: Words of a shingle, least similarity, registers of a signature and registers of a band.
-WORDS, SIMILARITY, REGISTERS, ROWS = 5, 0.8, 130, 5
-#: Largest bucket below the first whose pairs are listed; each member is in fewer pairs than this. Once all pairs that
-#: are left are no more than so many for each comparison with a first hub, they are listed, too.
-DIRECT, PAIRS = 8, 64
-#: Width of the size classes of the range join.
-SIZE_CLASS = 1.02
+WORDS, SIMILARITY, REGISTERS, ROWS = 5, 0.8, 180, 6
+#: Rows of one join key that go to one task; a key with more is dealt to several.
+SPLIT = 1024
 #: Bits of the table that lets through the texts whose shingles are needed.
 FILTER_BITS = 1 << 23
+#: Slack for bounds that are taken in doubles; the comparison of a pair is exact.
+SLACK = 1e-6
 
 
 def _bags(strings: pa.Array) -> Iterator[tuple[int, int, int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
@@ -44,13 +42,16 @@ def _bags(strings: pa.Array) -> Iterator[tuple[int, int, int, tuple[np.ndarray,
         yield first, last, t.n, counted(*shingles(t, t.hashes(), WORDS))
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first, last, n, (doc, element, weight) in _bags(batch.column(2)):
-            some = np.flatnonzero(np.bincount(doc, minlength=n))
-            keys = bands(signatures(doc, element, weight, n, REGISTERS)[some], ROWS).view(np.int64)
-            part = batch.slice(first, last - first).take(pa.array(some))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists(keys.ravel(), np.full(len(some), keys.shape[1]), pa.int64())], names=["id", "key", "bands"])
+def _signed(registers: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, n, (doc, element, weight) in _bags(batch.column(2)):
+                some = np.flatnonzero(np.bincount(doc, minlength=n))
+                keys = bands(signatures(doc, element, weight, n, registers)[some], rows).view(np.int64)
+                part = batch.slice(first, last - first).take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists(keys.ravel(), np.full(len(some), keys.shape[1]), pa.int64())], names=["id", "key", "bands"])
+
+    return run
 
 
 def content_key(column: str) -> Column:
@@ -92,36 +93,36 @@ def _bags_of(df: DataFrame, keys: DataFrame, text_column: str) -> DataFrame:
     return written(single.join(keys.select("key"), "key", "left_semi"))
 
 
-def _compared(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) with linked, and of b: size, shared (shingles it has in common with a), beyond (those it has more often).
+def _parts(n: Column) -> Column:
+    """Over how many tasks `n` rows of one key are dealt."""
+    return F.ceil(n / SPLIT).cast("int")
 
-    In beyond, an element that b has w times and a v times stands for each of the copies v + 1 to w.
-    """
-    side = lambda c: bags.select(F.col("key").alias(c), F.struct("element", "weight").alias(f"bag_{c}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+
+def _dealt(key: str, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(key), parts.cast("long")).cast("int")
+
+
+def _linked_pairs(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that reach the similarity. An `a` with many partners is dealt to several tasks."""
+    many = small_or_plain(held(pairs.groupBy("a").agg(_parts(F.count("*")).alias("parts")).filter("parts > 1")))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(many, "a", "left").select("a", "b", _dealt("b", parts).alias("part"))
+    bag = lambda c: bags.select(F.col("key").alias(c), F.struct("element", "weight").alias(f"bag_{c}"))
+    # a bag of `a` stands once in each of its tasks
+    first = bag("a").join(many, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    both = dealt.join(first, ["a", "part"]).join(bag("b"), "b")
 
     def run(batches):
         for batch in batches:
-            linked, size, shared, beyond = [], [], [], []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            linked = np.zeros(len(batch), bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 (e, v), (f, w) = ((np.asarray(s["element"].values), np.asarray(s["weight"].values)) for s in (x, y))
-                _, i, j = np.intersect1d(e, f, assume_unique=True, return_indices=True)
-                common = int(np.minimum(v[i], w[j]).sum())
-                less = np.zeros(len(f), np.int64)
-                less[j] = v[i]
-                times = np.maximum(w - less, 0)
-                copy = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - less, times)
-                size.append(int(w.sum()))
-                shared.append(common)
-                beyond.append(mixed(np.repeat(f.view(np.uint64), times) + copy.astype(np.uint64)).view(np.int64))
-                linked.append(common >= similarity * (int(v.sum()) + size[-1] - common))
-            counts = np.array([len(x) for x in beyond], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(shared, pa.int64()), lists(np.concatenate([np.empty(0, np.int64), *beyond]), counts, pa.int64())],
-                names=["a", "b", "linked", "size", "shared", "beyond"],
-            )
-
-    return both.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a binary, b binary, linked boolean, size long, shared long, beyond array<long>")
+                _, at, of = np.intersect1d(e, f, assume_unique=True, return_indices=True)
+                common = int(np.minimum(v[at], w[of]).sum())
+                linked[i] = common >= similarity * (int(v.sum()) + int(w.sum()) - common)
+            yield batch.select(["a", "b"]).filter(pa.array(linked))
+
+    return held(both.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a binary, b binary"))
 
 
 def _labelled(df: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
@@ -130,48 +131,55 @@ def _labelled(df: DataFrame, labels: DataFrame, key: str, label: str) -> DataFra
     return df.join(of, F.col(key) == F.col("__node"), "left").withColumn(label, F.coalesce("__label", key)).drop("__node", "__label")
 
 
-def _divided(members: DataFrame, by: str) -> DataFrame:
-    """The rows of the groups that hold more than one component."""
-    open_ = members.groupBy(by).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select(by)
-    return members.join(open_, by, "left_semi")
-
-
-def _could(x: str, y: str, similarity: float) -> Column:
-    """If the members x and y of a bucket, known by size, shared and beyond, can reach the similarity, and are not linked yet."""
-    shared = F.least(f"{x}.shared", f"{y}.shared") + F.size(F.array_intersect(f"{x}.beyond", f"{y}.beyond"))
-    return (F.col(f"{x}.label") != F.col(f"{y}.label")) & (shared >= similarity * (F.col(f"{x}.size") + F.col(f"{y}.size") - shared))
-
-
-def _prefix(similarity: float) -> Column:
-    """The shingles beyond the hub by which a member is found.
-
-    A pair that reaches the similarity s shares at least s b - (1 - s) r of them, b and r being either one's shingles
-    beyond and in common with the hub. In any fixed order, such a pair has one in common among the first of each
-    when that number less one is left out at the end.
-    """
-    least = F.ceil(similarity * (F.col("size") - F.col("shared")) - (1 - similarity) * F.col("shared") - 1e-6).cast("int")
-    return F.slice(F.array_sort("beyond"), F.lit(1), F.size("beyond") - F.greatest(least, F.lit(1)) + 1)
-
-
-def _pair(x: str, y: str) -> list[Column]:
-    return [F.least(f"{x}.key", f"{y}.key").alias("a"), F.greatest(f"{x}.key", f"{y}.key").alias("b")]
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, label, size, elements): a shingle of weight w as w elements."""
+    for batch in batches:
+        for i in range(len(batch)):
+            element, weight = (np.asarray(batch.column(c)[i].values) for c in (2, 3))
+            copy = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+            out = mixed(np.repeat(element.view(np.uint64), weight) + copy.astype(np.uint64)).view(np.int64)
+            n = np.array([len(out)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array(n), lists(out, n, pa.int64())], names=["key", "label", "size", "elements"])
 
 
-def _short_pairs(seen: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of the members `seen` that may be linked without sharing a shingle beyond the hub.
+def _candidates(bags: DataFrame, open_: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of the texts `open_` (key, label) with different labels that pass the filters.
 
-    With the smaller `shared` on the side of x, this takes size_y <= (shared_x - s (size_x - shared_x)) / s, and
-    size_y >= shared_y >= shared_x. So y lies in a narrow range of sizes, which x visits by size classes.
+    Of texts x and y, y not the smaller one, that reach the similarity s, each shares s / (1 + s) (size_x + size_y)
+    elements with the other at least. So one stands among the first size_y - s size_y + 1 of y, and among the first
+    size_x - 2 s / (1 + s) size_x + 1 of x, and of the first such one the elements that follow make up the rest.
     """
-    # the slack keeps pairs at the very bound, which doubles can miss; _compared is exact
-    most = (F.col("shared") - similarity * (F.col("size") - F.col("shared"))) / similarity + 1e-6
-    place = lambda x: F.floor(F.log(x.cast("double")) / float(np.log(SIZE_CLASS)))
-    some = seen.filter("shared > 0").withColumn("most", most)
-    low = some.filter("most >= shared").withColumn("class", F.explode(F.sequence(place(F.col("shared")), place(F.col("most")))))
-    high = some.withColumn("class", place(F.col("size")))
-    far = (F.col("x.label") != F.col("y.label")) & (F.col("y.shared") >= F.col("x.shared")) & (F.col("y.size") <= F.col("x.most"))
-    met = low.drop("beyond").alias("x").join(high.drop("beyond").alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") == F.col("y.class")) & far)
-    return met.select(*_pair("x", "y"))
+    bag = bags.join(open_, "key").select("key", "label", "element", "weight")
+    each = bag.mapInArrow(_elements, "key binary, label binary, size long, elements array<long>")
+    rows = written(each.select("key", "label", "size", F.explode("elements").alias("element")))
+    # elements of one text alone come first, and need no row; those of one component alone pair nothing
+    common = rows.groupBy("element").agg(F.count("*").alias("n"), (F.min("label") < F.max("label")).alias("meets")).filter("n > 1")
+    own = Window.partitionBy("key")
+    placed = (
+        rows.join(common, "element")
+        .withColumn("place", F.row_number().over(own.orderBy("n", "element")) + F.col("size") - F.count("*").over(own) - 1)
+        .filter(F.col("meets") & (F.col("place") <= F.col("size") * (1 - similarity) + SLACK))
+        .select("element", "key", "label", "size", "place")
+    )
+    placed = held(placed)
+    by_label = placed.groupBy("element", "label").agg(F.count("*").alias("n"))
+    # of two labels one is not the element's most frequent, so rows of that one needn't meet each other
+    top = by_label.groupBy("element").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
+    marked = held(placed.join(top, "element").withColumn("top", F.col("label") == F.col("top")))
+    share = 2 * similarity / (1 + similarity)
+    x = marked.filter(F.col("place") <= F.col("size") * (1 - share) + SLACK).alias("x")
+    y = marked.alias("y")
+    smaller = F.struct("x.size", "x.key") < F.struct("y.size", "y.key")
+    least = similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size")) - SLACK
+    fits = (
+        (F.col("x.element") == F.col("y.element"))
+        & (F.col("x.label") != F.col("y.label"))
+        & smaller
+        & (F.col("x.size") >= similarity * F.col("y.size") - SLACK)
+        & (F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= least)
+    )
+    met = x.filter("NOT x.top").join(y, fits).select("x.key", "y.key").union(x.filter("x.top").join(y.filter("NOT y.top"), fits).select("x.key", "y.key"))
+    return met.toDF("a", "b").distinct()
 
 
 def _linked(df: DataFrame, buckets: DataFrame, text_column: str, similarity: float) -> DataFrame:
@@ -179,50 +187,32 @@ def _linked(df: DataFrame, buckets: DataFrame, text_column: str, similarity: flo
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     live = written(buckets.join(sizes, "bucket"))
     weight = live.groupBy("key").agg(F.sum("members").alias("weight"))
-    hubs = live.join(weight, "key").groupBy("bucket").agg(F.max(F.struct("weight", "key"))["key"].alias("hub"))
-    pairs = live.join(hubs, "bucket").filter(F.col("key") != F.col("hub")).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+    hubs = live.join(weight, "key").groupBy("bucket").agg(F.max(F.struct("weight", "key"))["key"].alias("hub"), F.first("members").alias("members"))
+    # a large bucket is dealt to several tasks, each of which has the hub
+    dealt = hubs.select("bucket", "hub", F.explode(F.sequence(F.lit(0), _parts(F.col("members")) - 1)).alias("part"))
+    met = live.withColumn("part", _dealt("key", _parts(F.col("members")))).join(dealt, ["bucket", "part"])
+    pairs = held(met.filter(F.col("key") != F.col("hub")).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
     bags = _bags_of(df, live.select("key").distinct(), text_column)
-    found = written(_compared(pairs, bags, similarity))
-    links = found.filter("linked").select("a", "b")
-    labels = components(links, rounds=1)  # enough to pass over most pairs that are linked by others
-    few = PAIRS * found.count()
-    # bucket, key, label, size, shared and beyond of members that were all compared with the hubs of the bucket
-    seen = found.select(F.xxhash64("a").alias("bucket"), F.col("b").alias("key"), "size", "shared", "beyond")
-    seen = written(_divided(_labelled(seen, labels, "key", "label"), "bucket"))
-    pairs = None
-    while seen.take(1):
-        split = seen.select("bucket", "key", "label", F.explode(_prefix(similarity)).alias("element")).select("bucket", "key", "label", F.xxhash64("bucket", "element").alias("part"))
-        sizes = split.groupBy("part").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("key")).alias("who"))
-        # what several shared shingles tell is told once: of parts with the same members one is enough
-        sizes = sizes.filter("low < high").groupBy("who", "members").agg(F.min("part").alias("part")).drop("who")
-        parts = written(split.join(sizes, "part").join(seen.drop("label"), ["bucket", "key"]).drop("bucket").withColumnRenamed("part", "bucket"))
-        last = (parts.agg(F.sum(F.col("members") - 1)).first()[0] or 0) <= 2 * few
-        small = parts if last else parts.filter(F.col("members") <= DIRECT)
-        listed = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")) & _could("x", "y", similarity)).select(*_pair("x", "y"))
-        new = _short_pairs(seen, similarity).unionByName(listed)
-        pairs = new if pairs is None else pairs.unionByName(new)
-        if last:
-            break
-        large = parts.filter(F.col("members") > DIRECT)
-        hubs = large.groupBy("bucket").agg(F.max_by(F.struct("key", "label", "size", "shared", "beyond"), F.struct("shared", "key")).alias("h"))
-        met = written(large.join(hubs, "bucket").filter(F.col("key") != F.col("h.key")))
-        starred = met.select(F.struct("key", "label", "size", "shared", "beyond").alias("x"), F.col("h").alias("y")).filter(_could("x", "y", similarity)).select(*_pair("x", "y"))
-        pairs = pairs.unionByName(starred)
-        common = F.size(F.array_intersect("beyond", "h.beyond"))
-        seen = written(_divided(met.select("bucket", "key", "label", "size", (F.col("shared") + common).alias("shared"), F.array_except("beyond", "h.beyond").alias("beyond")), "bucket"))
-    if pairs is not None:
-        links = links.unionByName(written(_compared(pairs.distinct(), bags, similarity)).filter("linked").select("a", "b"))
-    return components(links)
-
-
-def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    links = _linked_pairs(pairs, bags, similarity)
+    labels = components(links)
+    named = _labelled(live.select("bucket", "key"), labels, "key", "label")
+    divided = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
+    open_ = held(named.join(divided, "bucket", "left_semi").select("key", "label").distinct())
+    more = _linked_pairs(held(_candidates(bags, open_, similarity)), bags, similarity)
+    return components(links.unionByName(more))
+
+
+def classes(
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY, registers: int = REGISTERS, band: int = ROWS
+) -> tuple[DataFrame, DataFrame]:
     """(rows, contents): rows has id, key of each row with a word; contents has key, class_id, chief of each distinct text.
 
     class_id is the least id of the texts linked, directly or through others, by a similarity of `similarity`
-    or more, and chief the key of the text that has it (the least key of several). Texts of fewer than WORDS words have one shingle, all their words.
+    or more, and chief the key of the text that has it (the least key of several). Texts of fewer than WORDS words
+    have one shingle, all their words. `band` of the `registers` of a signature make a band.
     """
     slim = df.select(F.col(id_column).alias("id"), content_key(text_column).alias("key"), text_of(text_column).alias("text"))
-    rows = written(slim.mapInArrow(_signed, f"id {df.schema[id_column].dataType.simpleString()}, key binary, bands array<long>"))
+    rows = written(slim.mapInArrow(_signed(registers, band), f"id {df.schema[id_column].dataType.simpleString()}, key binary, bands array<long>"))
     signed = written(rows.groupBy("key").agg(F.min("id").alias("least"), F.first("bands").alias("bands")))
     buckets = signed.select(F.posexplode("bands").alias("band", "value"), "key").select(F.xxhash64("band", "value").alias("bucket"), "key")
     labels = _linked(df, buckets, text_column, similarity)

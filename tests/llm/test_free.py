@@ -160,9 +160,13 @@ def test_near_duplicate_classes(spark):
     assert kept == set(want)
 
 
-def test_links_between_texts_that_are_far_from_their_hub(spark, monkeypatch):
+def classes_by_id(df, **parameters):
+    rows, contents = neardup.classes(df, **parameters)
+    return {x["id"]: x["class_id"] for x in rows.join(contents, "key").collect()}
+
+
+def test_links_between_texts_that_are_far_from_their_hub(spark):
     """With single registers as bands all texts share buckets; the links found must be those of all pairs."""
-    monkeypatch.setattr(neardup, "ROWS", 1)
     base = prose(5, 100).split()
     rows = []
     for i in range(12):
@@ -170,10 +174,84 @@ def test_links_between_texts_that_are_far_from_their_hub(spark, monkeypatch):
         for k in range(i, i + 30):  # neighbours share most edits, distant ones few
             words[(k * 3) % 100] = f"edit{k}"
         rows.append((i, " ".join(words)))
-    got = {x["doc_id"]: x["class_id"] for x in neardup.mark(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = classes_by_id(spark.createDataFrame(rows, "doc_id long, text string"), registers=130, band=1)
     assert [got[i] for i in range(12)] == classes_of(rows)
 
 
+def test_large_groups_of_excerpts_and_of_near_copies(spark):
+    """Excerpts of one text, two families of near copies that are 0.75 alike, texts with a long passage in common."""
+    r = random.Random(21)
+    base = prose(50, 900).split()
+    rows = []
+    for _ in range(250):
+        a = r.randrange(0, 700)
+        rows.append((len(rows), " ".join(base[a : a + r.randint(60, 900)])))
+    one = prose(51, 260).split()
+    two = one[:222] + prose(52, 38).split()
+    for family in (one, two):
+        for _ in range(120):
+            words = list(family)
+            words[r.randrange(len(words))] = f"x{r.randrange(10**9)}"
+            rows.append((len(rows), " ".join(words)))
+    passage = prose(53, 150)
+    rows += [(len(rows) + i, f"{prose(6000 + i, 60)} {passage}") for i in range(150)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = dict(zip([i for i, _ in rows], classes_of(rows), strict=True))
+    assert classes_by_id(df, registers=130, band=1) == want
+    assert classes_by_id(df) == want
+    assert len(set(want.values())) > 150
+
+
+def linked_pairs(texts):
+    """The pairs of different texts at the similarity, by an index from shingles to texts."""
+    bags = [bag(t) for t in texts]
+    holders, common = {}, Counter()
+    for i, x in enumerate(bags):
+        for element, n in x.items():
+            for j, m in holders.get(element, ()):
+                common[j, i] += min(n, m)
+            holders.setdefault(element, []).append((i, n))
+    size = [sum(x.values()) for x in bags]
+    return [(i, j) for (i, j), n in common.items() if n >= 0.8 * (size[i] + size[j] - n)]
+
+
+def test_recall_of_links_on_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(x["doc_id"], x["text"]) for x in docs.collect()]
+    got = classes_by_id(docs)
+    pairs = linked_pairs([t for _, t in rows])
+    assert len(pairs) > 30
+    assert all(got[rows[i][0]] == got[rows[j][0]] for i, j in pairs)
+
+
+def test_candidates_are_those_of_all_pairs(spark):
+    """The filters lose no pair at the similarity, the very similarity included, whatever the components are."""
+    r = random.Random(31)
+    words = [f"w{i}" for i in range(12)]
+    texts = sorted({" ".join(r.choice(words) for _ in range(r.randint(5, 9))) for _ in range(60)})
+    base = prose(70, 17).split()
+    texts += [" ".join(base), " ".join(base[:16] + ["q"]), " ".join(base + ["z"]), " ".join(["z", *base[1:]])]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    for k in range(40):
+        w = texts[r.randrange(60)].split()
+        w.insert(r.randrange(len(w)), "w0")
+        rows.append((100 + k, " ".join(w)))
+    rows = list({t: (i, t) for i, t in rows}.values())
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = df.select("doc_id", neardup.content_key("text").alias("key"))
+    id_of = {bytes(x["key"]): x["doc_id"] for x in keyed.collect()}
+    bags = neardup._bags_of(df, keyed.select("key"), "text")
+    pairs = linked_pairs([t for _, t in rows])
+    ids = [i for i, _ in rows]
+    for labels in (F.col("key"), F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("00"))).otherwise(F.col("key"))):
+        open_ = keyed.select("key", labels.alias("label"))
+        label = {x["doc_id"]: bytes(x["label"]) for x in keyed.select("doc_id", labels.alias("label")).collect()}
+        found = neardup._candidates(bags, open_, 0.8)
+        linked = {frozenset((id_of[bytes(a)], id_of[bytes(b)])) for a, b in neardup._linked_pairs(found, bags, 0.8).collect()}
+        assert linked == {frozenset((ids[i], ids[j])) for i, j in pairs if label[ids[i]] != label[ids[j]]}
+
+
 def test_near_duplicates_of_odd_tables(odd, none, clashing):
     out = [(x["doc_id"], x["class_id"]) for x in neardup.mark(odd).collect()]
     assert out.count((1, 1)) == 2 and (2, 1) in out and (4, 4) in out and (None, None) in out and len(out) == 13
@@ -193,13 +271,6 @@ def test_different_texts_with_null_or_repeated_ids_stay(spark):
     assert one in rows[9:11]
 
 
-def test_short_pairs_at_the_very_similarity(spark):
-    """12 shingles in common of 13 and of 14 make 12 / 15 = 0.8."""
-    rows = [(1, "x", "x", 13, 12, [1]), (1, "y", "y", 14, 12, [2, 3])]
-    seen = spark.createDataFrame(rows, "bucket long, key string, label string, size long, shared long, beyond array<long>")
-    assert {tuple(x) for x in neardup._short_pairs(seen, 0.8).collect()} == {("x", "y")}
-
-
 # decontamination
 
 
