@@ -1,15 +1,16 @@
-"""Language-model scores: a stupid-backoff bigram model of the whole corpus, applied to each of its documents.
-
-Words are known by 64-bit hashes and bigrams by a pair of hashes: 64 bits, and the partition, which the other one
-gives. Neither table has a bound, so no task holds one. Documents are taken in blocks. A block counts its distinct
-words and bigrams and asks the hash partitions for the counts of the corpus: one row for all it asks of one partition,
-as compressed byte planes, far smaller than a row for each. A partition adds up what the blocks sent and answers each
-in the order it was asked. So a word or bigram of every document is one entry for each block, not for each document.
-The block itself travels as the places of its words among its distinct ones; it works out again what it asked, takes
-the answers and scores its documents.
-
-log S(w | v) = log c(v w) - log c(v) if another document has the bigram, else log BACKOFF + log c(w) - log N. c(v w)
-leaves out the document's own occurrences; the first word has the unigram score.
+"""Language-model scores: a stupid-backoff model of the whole corpus, applied to each of its documents.
+
+Documents are put in blocks of a few megabytes. Their n-grams of every order are exploded, one row for each block that
+has one, so an n-gram of every document is one row a block and not one a document. The rows are added up to the count
+table by the hash of the n-gram, the table is joined to the exploded rows, and each block gets the counts of the
+n-grams that other blocks have, too; of the others it has the count itself. Then every document of the block is summed.
+
+With c the counts in all other documents (a document's own occurrences are left out at every order), a word w after
+its context v of up to ORDER - 1 words has
+
+    S(w | v) = c(v w) / c(v) if c(v w) > 0, else BACKOFF S(w | v without its first word)
+
+and, at the end, S(w) = max(c(w), UNSEEN) / c(all words). N-grams are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,171 +23,162 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import text_of
-from .kernels import counted, mixed, texts_of
-
-#: The factor of a step back.
-BACKOFF = 0.4
-#: Bytes of text in a block, documents in it at most, and words of the corpus for each hash partition.
-BLOCK, BLOCK_DOCUMENTS, WORDS_PER_PART = 8 << 20, 1 << 16, 1 << 20
-
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _packed(x: np.ndarray) -> bytes:
-    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return pa.compress(planes, codec="zstd", asbytes=True) if len(x) else b""
-
+from .base import text_of, written
+from .kernels import grams, texts_of
 
-def _unpacked(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd") if n else b"", np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
+#: Longest n-gram, the factor of a step back, the count of a word that no other document has.
+ORDER, BACKOFF, UNSEEN = 3, 0.4, 0.5
+#: Bytes of text in a block, and documents in it, at most; a longer text is a block of its own.
+BLOCK, BLOCK_DOCUMENTS = 4 << 20, 1 << 14
+#: Logarithms are added up as whole numbers of this unit, so that their order does not matter.
+UNIT = 1e-6
 
 
-def _word_counts(batches):
+def _blocked(batches):
+    """(block, id, text, n_words). Blocks are named by task and number; they are kept, so a name stays what it is."""
+    task, number, size, rows = TaskContext.get().partitionId(), 0, 0, 0
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([sum(len(t.doc) for *_, t in texts_of(batch.column(0)))], pa.int64())], names=["n"])
-
-
-def _blocks(batches):
-    """Record batches of at most BLOCK bytes of text, unless a single text is longer, and BLOCK_DOCUMENTS rows.
+        names, counts = np.empty(len(batch), np.int64), np.empty(len(batch), np.int64)
+        for first, last, t in texts_of(batch.column(1)):
+            counts[first:last] = t.words_per_text()
+            for i, own in enumerate(np.diff(t.bounds).tolist(), first):
+                if rows and (size + own > BLOCK or rows == BLOCK_DOCUMENTS):
+                    number, size, rows = number + 1, 0, 0
+                size, rows = size + own, rows + 1
+                names[i] = (task << 32) + number
+        yield pa.RecordBatch.from_arrays([pa.array(names), *batch.columns, pa.array(counts)], names=["block", "id", "text", "n_words"])
+
+
+def _hashes(strings, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(text of each word, for each n up to `order` the hash of the n-gram that ends there, 0 where a text begins, words of each text)."""
+    docs, sizes, found = [], [], [[] for _ in range(order)]
+    for first, _, t in texts_of(strings):
+        words = t.hashes()
+        for n, out in enumerate(found, 1):
+            full = np.zeros(len(words), np.uint64)
+            g, at = grams(words ^ np.uint64(n), t.doc, n)
+            full[at + n - 1] = g
+            out.append(full)
+        docs.append(t.doc + first)
+        sizes.append(t.words_per_text())
+    join = lambda x, kind: np.concatenate([np.empty(0, kind), *x]).astype(kind)
+    return join(docs, np.int64), [join(x, np.uint64) for x in found], join(sizes, np.int64)
+
+
+def _place(sizes: np.ndarray) -> np.ndarray:
+    """The place of each word in its text, from 0."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _exploded(order: int):
+    """(block, gram, n) of batches (block, text)."""
+
+    def run(batches):
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else [0]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                _, found, sizes = _hashes(batch.column(1).slice(a, b - a), order)
+                place = _place(sizes)
+                gram, n = np.unique(np.concatenate([g[place >= k] for k, g in enumerate(found)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), block[a])), pa.array(gram.view(np.int64)), pa.array(n)], names=["block", "gram", "n"])
+
+    return run
+
+
+def _totals(own: np.ndarray, gram: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """For each of the n-grams `own` of a block its count in the corpus: the one in (gram, total), else the block's."""
+    keys, at, n = np.unique(own, return_inverse=True, return_counts=True)
+    i = np.searchsorted(gram, keys)
+    known = i < len(gram)
+    known[known] = gram[i[known]] == keys[known]
+    n[known] = total[i[known]]
+    return n[at]
+
+
+def _own(doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """How often the text of each n-gram has it."""
+    order = np.lexsort((gram, doc))
+    g, d = gram[order], doc[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
+    run = np.cumsum(new) - 1
+    out = np.empty(len(g), np.int64)
+    out[order] = np.bincount(run)[run] if len(g) else 0
+    return out
 
-    Small batches are put together, so that a task sends few entries for what all its documents hold.
-    """
-    held, held_size = [], 0
-    for batch in batches:
-        size = np.asarray(pa.compute.binary_length(batch.column(1)))
-        sums = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        first = 0
-        while first < len(size):
-            last = max(first + 1, int(np.searchsorted(sums, sums[first] + BLOCK, "right")) - 1)
-            last = min(last, first + BLOCK_DOCUMENTS)
-            if held and (held_size + sums[last] - sums[first] > BLOCK or sum(map(len, held)) + last - first > BLOCK_DOCUMENTS):
-                yield pa.concat_batches(held)
-                held, held_size = [], 0
-            held.append(batch.slice(first, last - first))
-            held_size += int(sums[last] - sums[first])
-            first = last
-    if held:
-        yield pa.concat_batches(held)
-
-
-class _Block:
-    """The words of a block of documents: its distinct hashes, the place of each word among them, words per document.
-
-    keys and part name its distinct words and then its distinct bigrams, n counts them; `order` sorts them by
-    partition and key, `cut` has the bounds of each of the partitions `asked`.
-    """
 
-    def __init__(self, words: np.ndarray, place: np.ndarray, size: np.ndarray, parts: int) -> None:
-        self.words, self.place, self.size = words, place, size
-        doc = np.repeat(np.arange(len(size)), size)
-        same = np.flatnonzero(doc[1:] == doc[:-1])
-        self.doc, pair, self.own = counted(place[same] * len(words) + place[same + 1], doc[same])
-        pairs, self.bigram = np.unique(pair, return_inverse=True)
-        self.v, self.w = (pairs // max(len(words), 1)), (pairs % max(len(words), 1))
-        a, b = words[self.v], words[self.w]
-        self.keys = np.concatenate([words, mixed(a * _BASE + b)])
-        self.n = np.concatenate([np.bincount(place, minlength=len(words)), np.bincount(self.bigram, self.own, minlength=len(pairs)).astype(np.int64)])
-        other = np.concatenate([mixed(words + _BASE), mixed(a ^ mixed(b + _BASE))])
-        self.part = (other % np.uint64(parts)).astype(np.int64)
-        self.order = np.lexsort((self.keys, self.part))
-        part = self.part[self.order]
-        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
-        self.asked, self.cut = part[first], np.append(first, len(part))
-
-    def scores(self, total: np.ndarray, lower: float, log_all: float) -> np.ndarray:
-        """The log score of each document, with the counts of the corpus for what was asked."""
-        log_word, pair = np.log(total[: len(self.words)]), total[len(self.words) :]
-        others = pair[self.bigram] - self.own
-        seen = np.log(np.maximum(others, 1)) - log_word[self.v[self.bigram]]
-        value = self.own * np.where(others > 0, seen, lower + log_word[self.w[self.bigram]] - log_all)
-        out = np.bincount(self.doc, value, minlength=len(self.size)).astype(np.float64)
-        some = np.flatnonzero(self.size)
-        out[some] += log_word[self.place[(np.cumsum(self.size) - self.size)[some]]] - log_all
-        return out
-
-
-def added_up(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For each entry the sum of n over all entries of its key."""
-    order = np.argsort(keys)
-    k = keys[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    out = np.empty(len(k), np.int64)
-    if len(k):
-        out[order] = np.add.reduceat(n[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+def _scores(strings, gram: np.ndarray, total: np.ndarray, all_words: int, order: int, backoff: float) -> np.ndarray:
+    """The score of each text of a block, in UNITs."""
+    doc, found, sizes = _hashes(strings, order)
+    place = _place(sizes)
+    by_gram = np.argsort(gram)
+    gram, total = gram[by_gram], total[by_gram]
+    counts = []
+    for k, g in enumerate(found):
+        some = np.flatnonzero(place >= k)
+        c = np.zeros(len(g), np.int64)
+        c[some] = _totals(g[some], gram, total) - _own(doc[some], g[some])
+        counts.append(c)
+    rest = np.maximum(all_words - sizes, 1)
+    value = np.log(np.maximum(counts[0], UNSEEN)) - np.log(rest)[doc]
+    steps = np.minimum(place, order - 1)  # back to the single word
+    level = np.zeros(len(doc), np.int64)
+    for k in range(1, order):
+        seen = np.flatnonzero(counts[k] > 0)
+        value[seen] = np.log(counts[k][seen]) - np.log(counts[k - 1][seen - 1])
+        level[seen] = k
+    value += (steps - level) * math.log(backoff)
+    out = np.zeros(len(sizes), np.int64)
+    np.add.at(out, doc, np.rint(value / UNIT).astype(np.int64))
     return out
 
 
-def score(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", backoff: float = BACKOFF) -> DataFrame:
+def score(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", backoff: float = BACKOFF, order: int = ORDER) -> DataFrame:
     """(id, n_words, log_score, mean_log_score), one row per row of `df`.
 
     Words are split at white space. A null or empty text has no words, the score 0 and a null mean. Repeated rows
     count as other documents for each other, and ids need not be unique. Texts are scored whole. An empty table
     gives an empty one. Other columns are left out.
     """
-    n_words = df.select(text_of(text_column)).mapInArrow(_word_counts, "n long").agg(F.sum("n")).first()[0] or 0
-    parts = max(1, math.ceil(n_words / WORDS_PER_PART))
-    lower, log_all = math.log(backoff), math.log(max(n_words, 1))
     kind = df.schema[id_column].dataType.simpleString()
-
-    def sent(batches):
-        task, number = TaskContext.get().partitionId(), 0
-        for whole in _blocks(batches):
-            hashes, sizes = zip(*((t.hashes(), t.words_per_text()) for *_, t in texts_of(whole.column(1))), strict=True)
-            size = np.concatenate(sizes).astype(np.int64)
-            words, place = np.unique(np.concatenate(hashes), return_inverse=True)
-            block = _Block(words, place, size, parts)
-            name = (task << 32) + number
-            number += 1
-            m = len(block.asked)
-            each = lambda x: [_packed(x[block.order[a:b]]) for a, b in zip(block.cut[:-1], block.cut[1:], strict=True)]  # noqa: E731, B023
-            once = lambda x: pa.ListArray.from_arrays(pa.array([0] * (m + 1) + [len(whole)], pa.int32()), x)  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*block.asked, -1 - name], pa.int64()),  # the block itself is a group of its own
-                    pa.array(np.full(m + 1, name)),
-                    pa.array([*np.diff(block.cut), len(words)], pa.int64()),
-                    pa.array([*each(block.keys), _packed(words)], pa.binary()),
-                    pa.array([*each(block.n), _packed(place)], pa.binary()),
-                    once(whole.column(0)),
-                    once(pa.array(size)),
-                ],
-                names=["part", "block", "asked", "keys", "n", "ids", "size"],
-            )
-
-    def answered(table: pa.Table) -> pa.Table:
-        if table["part"][0].as_py() < 0:
-            return table
-        asked = table["asked"].to_pylist()
-        keys, n = (np.concatenate([_unpacked(x.as_py(), m) for x, m in zip(table[c], asked, strict=True)]) for c in ("keys", "n"))
-        got = [_packed(x) for x in np.split(added_up(keys, n.astype(np.int64)), np.cumsum(asked)[:-1])]
-        none = pa.array([b""] * len(got), pa.binary())
-        return pa.table([table["part"], table["block"], table["asked"], none, pa.array(got, pa.binary()), table["ids"], table["size"]], names=table.column_names)
-
-    def scored(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        part = table["part"].to_numpy()
-        at = int(part.argmin())
-        ids, size = (table[c].chunk(0)[at].values for c in ("ids", "size"))
-        words = _unpacked(table["keys"][at].as_py(), table["asked"][at].as_py())
-        place = _unpacked(table["n"][at].as_py(), int(np.asarray(size).sum())).astype(np.int64)
-        block = _Block(words, place, np.asarray(size), parts)
-        total = np.zeros(len(block.keys), np.int64)
-        for i in np.flatnonzero(part >= 0):
-            k = np.searchsorted(block.asked, part[i])
-            some = block.order[block.cut[k] : block.cut[k + 1]]
-            total[some] = _unpacked(table["n"][int(i)].as_py(), len(some))
-        return pa.table({"id": ids, "n_words": size, "log_score": pa.array(block.scores(total, lower, log_all))})
-
-    carried = f"part long, block long, asked long, keys binary, n binary, ids array<{kind}>, size array<long>"
-    out = (
-        df.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
-        .mapInArrow(sent, carried)
-        .groupBy("part")
-        .applyInArrow(answered, carried)
-        .groupBy("block")
-        .applyInArrow(scored, f"id {kind}, n_words long, log_score double")
-    )
-    return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
+    slim = df.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
+    blocks = written(slim.mapInArrow(_blocked, f"block long, id {kind}, text string, n_words long"))
+    all_words = blocks.agg(F.sum("n_words")).first()[0] or 0
+    exploded = blocks.select("block", "text").mapInArrow(_exploded(order), "block long, gram long, n long")
+    counts = exploded.groupBy("gram").agg(F.sum("n").alias("total"))
+    # what only the block has, it knows
+    known = exploded.join(counts, "gram").filter("total > n").select("block", "gram", "total")
+
+    def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        gram, total = answers["gram"].to_numpy().view(np.uint64), answers["total"].to_numpy()
+        units = _scores(texts["text"], gram, total, all_words, order, backoff)
+        return pa.table({"id": texts["id"], "n_words": texts["n_words"], "units": pa.array(units, pa.int64())})
+
+    out = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(scored, f"id {kind}, n_words long, units long")
+    out = out.withColumn("log_score", F.col("units") / F.lit(1 / UNIT))
+    return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))).drop("units")
+
+
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+n AS (SELECT sum(len(w)) AS words FROM d),
+t AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, w FROM d),
+k AS (
+  SELECT r, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS b, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS c FROM t),
+o AS (
+  SELECT r, i, count(*) OVER (PARTITION BY a) - count(*) OVER (PARTITION BY r, a) AS a,
+         CASE WHEN b IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY b) - count(*) OVER (PARTITION BY r, b) END AS b,
+         CASE WHEN c IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY r, c) END AS c
+  FROM k),
+x AS (SELECT *, lag(a) OVER (PARTITION BY r ORDER BY i) AS before_a, lag(b) OVER (PARTITION BY r ORDER BY i) AS before_b FROM o),
+v AS (
+  SELECT x.r, CASE WHEN c > 0 THEN ln(c) - ln(before_b)
+              WHEN b > 0 THEN ln(b) - ln(before_a) + (least(i - 1, 2) - 1) * {math.log(BACKOFF)!r}::DOUBLE
+              ELSE ln(greatest(a::DOUBLE, {UNSEEN!r}::DOUBLE)) - ln(greatest(n.words - len(d.w), 1)) + least(i - 1, 2) * {math.log(BACKOFF)!r}::DOUBLE END AS s
+  FROM x JOIN d ON d.r = x.r, n),
+s AS (SELECT r, sum(CAST(round(s / {UNIT!r}::DOUBLE) AS BIGINT)) AS units FROM v GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(units, 0)::DOUBLE / {1 / UNIT!r}::DOUBLE AS log_score,
+       CASE WHEN len(w) > 0 THEN units::DOUBLE / {1 / UNIT!r}::DOUBLE / len(w) END AS mean_log_score
+FROM d LEFT JOIN s ON s.r = d.r
+"""
