@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsefold.llm import decontaminate, mixing, neardup, quality, secrets
-from pulsefold.llm.base import written
+from pulsefold.llm.base import spread, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,7 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents in turn, each one's rows written to the shared folder for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS))
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:

@@ -15,12 +15,16 @@ BROADCAST_ROWS = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave it unset."""
     context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pulsefold-")
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="pulsefold-")
     context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -54,16 +58,37 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, read from files, dealt anew if it comes from fewer partitions with rows than tasks can run at once.
+
+    A file of one row group is one task, however many cores there are.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= tasks or df.select(F.spark_partition_id()).distinct().count() >= tasks:
+        return df
+    return df.repartition(tasks)
+
+
+def _chunked(values: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size)), lambda c: F.slice(values, (c * size + 1).cast("int"), F.lit(size)))
+
+
+def _added(values: Column, start: Column) -> Column:
+    """start, start + values[0], ... without the last sum; arrays grow by copies here, so `values` should be short."""
+    step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["out"], s["at"]).alias("out"))
+    return F.aggregate(values, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda s: s["out"])
+
+
+def sums_before(values: Column, size: int = 128) -> Column:
+    """For each of the integers `values` (one at least) the sum of those before it. Chunks keep what is copied small."""
+    chunks = _chunked(values, size)
+    totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x))
+    return F.flatten(F.zip_with(chunks, _added(totals, F.lit(0)), _added))
+
+
 def starts_of(text: Column, pattern: str, matches: Column) -> Column:
     """Start offsets in code points of `matches`, the array of all matches of `pattern` in `text`."""
-    gaps = F.split(text, pattern, -1)
-    sums = F.aggregate(
-        F.sequence(F.lit(1), F.size(matches)),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda s, i: F.struct(
-            (s["at"] + F.length(F.element_at(gaps, i)) + F.length(F.element_at(matches, i))).alias("at"),
-            F.concat(s["starts"], F.array(s["at"] + F.length(F.element_at(gaps, i)))).alias("starts"),
-        ),
-        lambda s: s["starts"],
-    )
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), lambda g: F.length(g))
+    lengths = F.zip_with(gaps, matches, lambda g, m: g + F.length(m))
+    sums = F.zip_with(sums_before(lengths), gaps, lambda s, g: s + g)
     return F.when(F.size(matches) > 0, sums).otherwise(F.array().cast("array<int>"))

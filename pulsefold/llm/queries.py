@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import WORD, written
+from .base import WORD, spread, written
 from . import chat, decontaminate, langid, licenses, lm, mixing, neardup, quality, secrets, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +108,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op9_lm_score": lm.ORACLE,
     "op4_chat_format": chat.ORACLE,
     "op6_quality_rules": quality.ORACLE,
     "op7_mix_to_weights": mixing.ORACLE,
