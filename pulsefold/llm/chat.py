@@ -22,8 +22,7 @@ class Template:
     turn: str = "<|turn|>"
     text: str = "<|text|>"
     end: str = "<|end|>"
-    loss_roles: tuple[str, ...] = ("assistant",)
-    #: From state and role to the next state; a role is the state after it.
+    #: From state and role to the next state.
     moves: dict[tuple[str, str], str] = field(
         default_factory=lambda: {
             ("start", "system"): "system",
@@ -33,7 +32,11 @@ class Template:
             ("assistant", "user"): "user",
         }
     )
+    #: The state in which the machine goes on after a role that has no move; "lost" for all others.
+    resume: dict[str, str] = field(default_factory=lambda: {"system": "system", "user": "user", "assistant": "assistant"})
+    #: States in which a conversation may end, and states whose texts are learnt.
     ends: tuple[str, ...] = ("assistant",)
+    loss_states: tuple[str, ...] = ("assistant",)
 
 
 TEMPLATE = Template()
@@ -48,6 +51,27 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def _trace(turns: Column, template: Template) -> tuple[Column, Column]:
+    """(array of the state after each turn, array that says if the turn had a move).
+
+    The states are folded into a string of one letter each, upper case where there was no move, so a turn adds one byte.
+    """
+    states = ["lost", "start", *sorted({*template.moves.values(), *template.resume.values()} - {"lost", "start"})]
+    letter = {s: chr(ord("a") + i) for i, s in enumerate(states)}
+    pairs = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) if d else F.create_map().cast("map<string,string>")
+    moves = pairs({f"{letter[state]}{role}": letter[to] for (state, role), to in template.moves.items()})
+    resume = pairs({role: letter[state].upper() for role, state in template.resume.items()})
+
+    def step(trace: Column, turn: Column) -> Column:
+        before = F.lower(F.right(trace, F.lit(1)))
+        return F.concat(trace, F.coalesce(F.try_element_at(moves, F.concat(before, turn["role"])), F.try_element_at(resume, turn["role"]), F.lit(letter["lost"].upper())))
+
+    trace = F.aggregate(turns, F.lit(letter["start"]), step)
+    letters = F.slice(F.filter(F.split(trace, ""), lambda c: c != ""), F.lit(2), F.size(turns))
+    name = F.create_map(*[F.lit(x) for s, c in letter.items() for x in (c, s)])
+    return F.transform(letters, lambda c: F.element_at(name, F.lower(c))), F.transform(letters, lambda c: c == F.lower(c))
+
+
 def format_chats(
     df: DataFrame,
     template: Template = TEMPLATE,
@@ -59,9 +83,9 @@ def format_chats(
     """One row per conversation: the key, formatted, segments, valid, bad_turn.
 
     formatted is the whole text; segments is the same text cut into array<struct<text, loss>>, loss true for the
-    texts of the template's loss roles alone. valid says if the machine takes every role from the start state
-    and stops in an end state; bad_turn is the index of the first turn that has no move (null if none), an
-    invalid conversation is formatted all the same.
+    texts of turns that bring the machine to one of the template's loss states. valid says if the machine has a move
+    for every role and stops in an end state; bad_turn is the index of the first turn that has none (null if all have).
+    An invalid conversation is formatted all the same: after a turn without a move the machine resumes by its role.
 
     A null role or text counts as empty; rows are ordered by turn (null first), then role, then text, so ties
     and repeated rows have one order. Rows with a null key form one conversation. An empty table gives an empty
@@ -69,38 +93,28 @@ def format_chats(
     """
     turn = F.struct(F.col(turn_column).alias("turn"), F.coalesce(F.col(role_column), F.lit("")).alias("role"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     turns = df.groupBy(F.col(conv_column)).agg(F.sort_array(F.collect_list(turn)).alias("__turns"))
-    no, loss = F.lit(False), lambda role: role.isin(*template.loss_roles)
+    states, moved = _trace(F.col("__turns"), template)
+    traced = turns.withColumn("__states", states).withColumn("__moved", moved)
+    no = F.lit(False)
     segment = lambda text, flag: F.struct(text.alias("text"), flag.alias("loss"))
     segments = F.flatten(
-        F.transform(
+        F.zip_with(
             "__turns",
-            lambda t: F.array(
+            "__states",
+            lambda t, state: F.array(
                 segment(F.concat(F.lit(template.turn), escaped(t["role"], template), F.lit(template.text)), no),
-                segment(escaped(t["text"], template), loss(t["role"])),
+                segment(escaped(t["text"], template), state.isin(*template.loss_states)),
                 segment(F.lit(template.end), no),
             ),
         )
     )
-    moves = F.create_map(*[F.lit(x) for (state, role), to in template.moves.items() for x in (f"{state}\n{role}", to)])
-    states = F.aggregate(
-        "__turns",
-        F.struct(F.lit("start").alias("state"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("bad")),
-        lambda s, t: F.struct(
-            F.coalesce(F.try_element_at(moves, F.concat(s["state"], F.lit("\n"), t["role"])), F.lit("none")).alias("state"),
-            (s["at"] + 1).alias("at"),
-            F.coalesce(s["bad"], F.when(F.try_element_at(moves, F.concat(s["state"], F.lit("\n"), t["role"])).isNull(), s["at"])).alias("bad"),
-        ),
-    )
-    return (
-        turns.withColumn("segments", segments)
-        .withColumn("__state", states)
-        .select(
-            conv_column,
-            F.array_join(F.col("segments.text"), "").alias("formatted"),
-            "segments",
-            (F.col("__state.bad").isNull() & F.col("__state.state").isin(*template.ends)).alias("valid"),
-            F.col("__state.bad").alias("bad_turn"),
-        )
+    bad = F.array_position("__moved", F.lit(False)) - 1
+    return traced.withColumn("segments", segments).select(
+        conv_column,
+        F.array_join(F.col("segments.text"), "").alias("formatted"),
+        "segments",
+        ((bad < 0) & F.element_at("__states", -1).isin(*template.ends)).alias("valid"),
+        F.when(bad >= 0, bad.cast("int")).alias("bad_turn"),
     )
 
 
@@ -124,11 +138,14 @@ WITH c AS (
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         replace(replace(coalesce(role, ''), '\', '\\'), '<|', '<\|') AS r, replace(replace(coalesce(text, ''), '\', '\\'), '<|', '<\|') AS x FROM c)
+         replace(replace(coalesce(role, ''), '\', '\\'), '<|', '<\|') AS r, replace(replace(coalesce(text, ''), '\', '\\'), '<|', '<\|') AS x FROM c),
+p AS (SELECT *, row_number() OVER o AS k, CASE WHEN row_number() OVER o = 1 THEN 'start' ELSE lag(role) OVER o END AS before FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+q AS (SELECT *, (before, role) IN (('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) AS moved FROM p)
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(length(r) + length(x) + 23) AS BIGINT) AS formatted_chars
-FROM t GROUP BY conv_id
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(r) + length(x) + 23) AS BIGINT) AS formatted_chars,
+       bool_and(moved) AND arg_max(role, k) = 'assistant' AS valid, CAST(min(k) FILTER (WHERE NOT moved) - 1 AS INTEGER) AS bad_turn
+FROM q GROUP BY conv_id
 """
