@@ -21,6 +21,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(kind).alias(f"n_{kind}") for kind in secrets.BASE_KINDS],
         F.sha2(secrets.joined(F.col("base_spans")), 256).alias("base_sha256"),
         secrets.joined(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["kind"] == "random")).cast("long").alias("n_random"),
     )
 
 

@@ -2,9 +2,11 @@
 
 Each long token is taken as a string over the alphabet of the encoding it seems to have. Three tests ask if it
 could be uniformly random: chi-squared over equal bins of the alphabet, Wald-Wolfowitz runs above and below the
-middle, and the lag-1 serial correlation. Ordinary text fails them. The tokens whose randomness is rejected,
-at a false-discovery rate held within each class of encoding and length, are ordinary; the others, if long
-enough to carry MIN_BITS, are secrets.
+middle, and the lag-1 serial correlation. The least of the three p-values, corrected for their number, is the
+token's. It is uniform for random tokens and very small for ordinary text, so within each class of encoding and length
+the tokens above NULL_FROM tell how many random ones there are (Storey's estimate), and of all tokens from a bound
+up the share that they can't explain is the share of false alarms. The lowest bound that keeps it within RATE separates
+secrets from text, if a token is long enough to carry MIN_BITS.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ ASSIGN_LENGTH = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: Tokens that the tests look at.
-TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 #: Encodings, tried in this order: name, pattern, alphabet.
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
@@ -35,17 +37,18 @@ ENCODINGS = (
     ("base64", r"^[0-9A-Za-z+/]+\z", _DIGITS + _LOWER + _UPPER + "+/"),
     ("base64url", "", _DIGITS + _LOWER + _UPPER + "-_+/"),
 )
-#: Information that a secret carries at least, and the false-discovery rate.
-MIN_BITS, RATE = 96.0, 0.05
+#: Information that a secret carries at least, the share of false alarms, and the p-value (a bin from 0) from which on only random tokens are counted.
+MIN_BITS, RATE, NULL_FROM = 96.0, 0.05, 6
 #: Bins of -log10(p): their number per decade and in all; classes of length are powers of two up to this one.
 PER_DECADE, BINS, LENGTH_CLASSES = 20, 400, 12
 
 _SPAN = "struct<kind:string,start:int,end:int>"
 
 
-def _found(df: DataFrame, text: Column, kind: str, pattern: str) -> DataFrame:
-    """`df` with __m_<kind>, all matches, and __s_<kind>, their starts."""
-    df = df.withColumn(f"__m_{kind}", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+def _found(df: DataFrame, text: Column, kind: str, pattern: str, could: Column) -> DataFrame:
+    """`df` with __m_<kind>, all matches, and __s_<kind>, their starts. `could` is a cheap test that every text with a match passes."""
+    none = F.array().cast("array<string>")
+    df = df.withColumn(f"__m_{kind}", F.when(could, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
     return df.withColumn(f"__s_{kind}", starts_of(text, pattern, F.col(f"__m_{kind}")))
 
 
@@ -69,7 +72,7 @@ def _upper_tail(z: Column) -> Column:
 
 
 def _battery(token: Column) -> Column:
-    """struct<n, encoding, letters, p> of a token; p is Bonferroni's over the three tests."""
+    """struct<n, class, bin, bits> of a token; its p-value is Sidak's over the three tests."""
     chars = F.filter(F.split(token, ""), lambda c: c != "")
     which = F.lit(len(ENCODINGS) - 1)
     for i, (_, pattern, _) in reversed(list(enumerate(ENCODINGS[:-1]))):
@@ -114,7 +117,8 @@ def _battery(token: Column) -> Column:
     def judged(x: Column) -> Column:
         spread = 2 / (9 * x["free"])
         cube = (F.pow(F.greatest(x["chi"], F.lit(0.0)) / x["free"], F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
-        p = 3 * F.least(_upper_tail(cube), 2 * _upper_tail(F.abs(x["runs"])), 2 * _upper_tail(F.abs(x["serial"])))
+        least = F.least(_upper_tail(cube), 2 * _upper_tail(F.abs(x["runs"])), 2 * _upper_tail(F.abs(x["serial"])))
+        p = -F.expm1(3 * F.log1p(-F.least(least, F.lit(1 - 1e-12))))
         return F.struct(
             x["n"].alias("n"),
             (x["e"] * (LENGTH_CLASSES + 1) + F.least(F.lit(LENGTH_CLASSES), F.floor(F.log2(x["n"])).cast("int"))).alias("class"),
@@ -128,23 +132,25 @@ def _battery(token: Column) -> Column:
 def tokens(df: DataFrame, text_column: str = "text") -> DataFrame:
     """`df` with __tokens array<struct<start, end, n, class, bin, bits>>: the long tokens and their tests."""
     text = text_of(text_column)
-    df = _found(df, text, "random", TOKEN)
+    df = _found(df, text, "random", TOKEN, text.rlike(TOKEN))
     joined = F.zip_with("__m_random", "__s_random", lambda m, s: F.struct(m.alias("m"), s.alias("s"), _battery(m).alias("b")))
     tested = F.transform(joined, lambda x: F.struct(x["s"].alias("start"), (x["s"] + F.length(x["m"])).alias("end"), *[x["b"][c].alias(c) for c in ("n", "class", "bin", "bits")]))
     return df.withColumn("__tokens", tested).drop("__m_random", "__s_random")
 
 
-def rejection_bins(df: DataFrame, text_column: str = "text", rate: float = RATE) -> dict[int, int]:
-    """For each class of encoding and length, the bin from which on randomness is rejected (Benjamini-Hochberg).
+def alarm_bins(df: DataFrame, rate: float = RATE) -> dict[int, int]:
+    """For each class of encoding and length, the bin up to which tokens are alarms; classes without one are left out.
 
-    The p-values of all tokens are counted by bin, so the table has BINS + 1 rows per class at most, whatever
-    the number of tokens.
+    `df` is the outcome of `tokens`. The p-values of all tokens are counted by bin, so the table has BINS + 1 rows
+    per class at most, and a row per class goes to the driver: as many as there are encodings and length classes.
     """
-    counts = tokens(df.select(text_column), text_column).select(F.explode("__tokens").alias("t")).groupBy("t.class", "t.bin").agg(F.count("*").alias("n"))
-    upward = Window.partitionBy("class").orderBy(F.col("bin").desc())
-    ranked = counts.withColumn("rank", F.sum("n").over(upward)).withColumn("all", F.sum("n").over(Window.partitionBy("class")))
-    met = F.pow(F.lit(10.0), -F.col("bin") / PER_DECADE) <= rate * F.col("rank") / F.col("all")
-    rows = ranked.filter(met).groupBy("class").agg(F.min("bin").alias("bin")).collect()
+    counts = df.select(F.explode("__tokens").alias("t")).groupBy("t.class", "t.bin").agg(F.count("*").alias("n"))
+    by_class = Window.partitionBy("class")
+    sure = F.coalesce(F.sum(F.when(F.col("bin") < NULL_FROM, F.col("n"))).over(by_class), F.lit(0))
+    low = lambda b: F.pow(F.lit(10.0), -b / PER_DECADE)  # noqa: E731  the least p-value of bins before b
+    random = sure / (1 - 10 ** (-NULL_FROM / PER_DECADE)) * (1 - low(F.col("bin") + 1))
+    ranked = counts.withColumn("upto", F.sum("n").over(by_class.orderBy("bin"))).withColumn("random", F.least(random, F.col("upto")))
+    rows = ranked.filter(1 - F.col("random") / F.col("upto") <= rate).groupBy("class").agg(F.max("bin").alias("bin")).collect()
     return {r["class"]: r["bin"] for r in rows}
 
 
@@ -152,43 +158,57 @@ def scan(df: DataFrame, text_column: str = "text", rate: float = RATE, min_bits:
     """`df` with base_spans and spans, array<struct<kind, start, end>> in code points, end exclusive.
 
     base_spans: leftmost non-overlapping matches per kind, `assign` with a value of ASSIGN_LENGTH characters at
-    least. spans: these, and kind `random` for the tokens that pass the tests and overlap none of them. Both
-    are ordered by start, then kind.
+    least. spans: these, and kind `random` for the tokens that the tests take as secrets, which may lie in a base
+    span. Both are ordered by start, then kind.
 
     A null text counts as empty and has no spans; texts are scanned whole. Repeated rows get equal spans. An
     empty table gives an empty one. Input columns with the names of the new ones are replaced.
     """
     df = df.drop(*[c for c in df.columns if c in ("base_spans", "spans") and c != text_column])
     text = text_of(text_column)
-    bins = rejection_bins(df, text_column, rate)
+    bins = alarm_bins(tokens(df.select(text_column), text_column), rate)
+    could = {"assign": F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")), "access": F.contains(text, F.lit("AKIA")), "hex": text.rlike(HEX)}
     out = df
     for kind, pattern in zip(BASE_KINDS, (ASSIGN, ACCESS, HEX), strict=True):
-        out = _found(out, text, kind, pattern)
+        out = _found(out, text, kind, pattern, could[kind])
     value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2))
     assigned = F.zip_with("__m_assign", "__s_assign", lambda m, s: F.struct(F.lit("assign").alias("kind"), s.alias("start"), F.when(value(m) >= ASSIGN_LENGTH, s + F.length(m)).alias("end")))
     assigned = F.filter(assigned, lambda s: s["end"].isNotNull())
     out = out.withColumn("base_spans", _ordered(F.concat(assigned, _spans("access"), _spans("hex")), BASE_KINDS))
     out = tokens(out, text_column)
-    from_bin = F.create_map(*[F.lit(x) for c, b in bins.items() for x in (c, b)]) if bins else F.create_map().cast("map<int,int>")
-    overlaps = lambda t: F.exists("base_spans", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"]))
-    random = F.filter("__tokens", lambda t: (t["bits"] >= min_bits) & (t["bin"] < F.coalesce(F.try_element_at(from_bin, t["class"]), F.lit(BINS + 1))) & ~overlaps(t))
+    upto = F.create_map(*[F.lit(x) for c, b in bins.items() for x in (c, b)]) if bins else F.create_map().cast("map<int,int>")
+    random = F.filter("__tokens", lambda t: (t["bits"] >= min_bits) & (t["bin"] <= F.coalesce(F.try_element_at(upto, t["class"]), F.lit(-1))))
     added = F.transform(random, lambda t: F.struct(F.lit("random").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
     out = out.withColumn("spans", _ordered(F.concat("base_spans", added), (*BASE_KINDS, "random")))
     return out.drop("__tokens", *[f"__{x}_{k}" for k in BASE_KINDS for x in "ms"])
 
 
+#: Characters of a piece in which spans are replaced.
+PIECE = 4096
+
+
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each span, or run of overlapping spans, replaced by `mark`."""
-    state = F.aggregate(
-        spans,
-        F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
-        lambda s, x: F.struct(
-            F.when(x["start"] >= s["at"], F.concat(s["done"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise(s["done"]).alias("done"),
-            F.greatest(s["at"], x["end"]).alias("at"),
-        ),
-        lambda s: F.concat(s["done"], F.substring(text, s["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, state).otherwise(text)
+    """The text with each span, or run of overlapping spans, replaced by `mark`. `spans` are ordered by start.
+
+    The text is cut into pieces first, so that the work does not grow with its length for each span.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def clean(piece: Column, i: Column) -> Column:
+        first = i * PIECE
+        inside = F.filter(spans, lambda x: (x["start"] < first + PIECE) & (x["end"] > first))
+        state = F.aggregate(
+            inside,
+            F.struct(F.lit("").alias("done"), first.alias("at")),
+            lambda s, x: F.struct(
+                F.when(x["start"] >= s["at"], F.concat(s["done"], F.substring(piece, s["at"] - first + 1, x["start"] - s["at"]), F.lit(mark))).otherwise(s["done"]).alias("done"),
+                F.greatest(s["at"], x["end"]).alias("at"),
+            ),
+            lambda s: F.concat(s["done"], F.substring(piece, s["at"] - first + 1, F.lit(PIECE))),
+        )
+        return F.when(F.size(inside) > 0, state).otherwise(piece)
+
+    return F.when(F.size(spans) > 0, F.array_join(F.transform(pieces, clean), "")).otherwise(text)
 
 
 def joined(spans: Column) -> Column:
