@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import held, text_of
+from .base import held, text_of, written
 
 #: Words of the query, in texts of either case.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -44,14 +44,23 @@ def _anchors(templates) -> list[str]:
     return sorted({x[3] for x in templates} | {words[-1] for words, _ in PHRASES})
 
 
-def _places(words: Column) -> Column:
-    """array<struct<at, label>>: where the words of a phrase stand consecutively."""
-    def of(phrase: tuple[str, ...], label: str) -> Column:
-        stands = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: _all(F.get(words, i + k) == w for k, w in enumerate(phrase)))
-        return F.transform(stands, lambda i: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label")))
+def _hits(words: Column, templates) -> Column:
+    """array<struct<at, word>>: the words that stand in a template or phrase, with their places."""
+    placed = F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+    return F.filter(placed, lambda h: h["word"].isin(*vocabulary(templates)))
+
 
-    places = [of(*x) for x in PHRASES]
-    return F.when(F.size(words) > 0, F.concat(*places)).otherwise(F.array().cast("array<struct<at:bigint,label:string>>"))
+def _stands(hits: Column, phrase: tuple[str, ...]) -> Column:
+    """The places in the text where the words of the phrase stand consecutively; `hits` are in order."""
+    # the index of a lambda counts the hits, of which consecutive words are neighbours
+    here = F.transform(hits, lambda h, i: F.when(_all([F.get(hits, i + k)["word"] == w for k, w in enumerate(phrase)] + [F.get(hits, i + len(phrase) - 1)["at"] == h["at"] + len(phrase) - 1]), h["at"]))
+    return F.array_compact(here)
+
+
+def _places(hits: Column) -> Column:
+    """array<struct<at, label>>: where the words of a phrase stand consecutively."""
+    of = lambda label: lambda at: F.struct(at.cast("long").alias("at"), F.lit(label).alias("label"))
+    return F.concat(*[F.transform(_stands(hits, phrase), of(label)) for phrase, label in PHRASES])
 
 
 def _all(conditions) -> Column:
@@ -66,72 +75,87 @@ def postings(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return spark.createDataFrame([(w, label, i) for label, text, _, _ in templates for i, w in enumerate(text.split())], "word string, template string, position int")
 
 
-def vocabulary(templates=TEMPLATES) -> Column:
-    return F.array(*map(F.lit, sorted({w for _, text, _, _ in templates for w in text.split()})))
+def vocabulary(templates=TEMPLATES) -> list[str]:
+    return sorted({w for _, text, _, _ in templates for w in text.split()} | {w for phrase, _ in PHRASES for w in phrase})
+
 
+def weights(files: DataFrame, n_files: int, templates=TEMPLATES, share: float = ALIGNED) -> DataFrame:
+    """`postings` with weight and rare; files (known array<string>) has the licence words of each of the `n_files` texts, copies included.
 
-def weights(texts: DataFrame, text: Column, templates=TEMPLATES) -> DataFrame:
-    """`postings` with weight: the inverse frequency of the word in all of `texts`, copies included, 0.01 at least."""
-    files = texts.select(F.array_intersect(words_of(text), vocabulary(templates)).alias("words"))
-    counts = files.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("files"))
-    index = postings(texts.sparkSession, templates).join(counts, "word", "left")
-    idf = F.log((F.lit(texts.count()) + 1) / (F.coalesce("files", F.lit(0)) + 1))
-    return held(index.select("word", "template", "position", F.greatest(idf, F.lit(0.01)).alias("weight")))
+    weight is the inverse document frequency, 0.01 at least. The words of a template are rare, from the highest
+    weight down, until those that are left weigh less than `share` of it: a file that reaches the share holds a
+    rare word in its place.
+    """
+    counts = files.select(F.explode("known").alias("word")).groupBy("word").agg(F.count("*").alias("files"))
+    index = postings(files.sparkSession, templates).join(counts, "word", "left")
+    idf = F.greatest(F.log((F.lit(n_files) + 1) / (F.coalesce("files", F.lit(0)) + 1)), F.lit(0.01))
+    # these windows run over the words of one template
+    falling = Window.partitionBy("template").orderBy(F.col("weight").desc(), "position").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.sum("weight").over(Window.partitionBy("template"))
+    before = F.coalesce(F.sum("weight").over(falling), F.lit(0.0))
+    return held(index.withColumn("weight", idf).withColumn("rare", before <= (1 - share) * whole + 1e-9).select("word", "template", "position", "weight", "rare"))
 
 
 def aligned(files: DataFrame, weighted: DataFrame, share: float = ALIGNED) -> DataFrame:
-    """(key, found array<struct<template, score>>) for files (key, words), one row per key.
+    """(key, found array<struct<template, score>>) for files (key, hits), one row per key.
 
-    All licence words of a file are looked up in the postings, and the weights of the template positions that
-    agree on one offset are added up. A file of many licences is scored for each as if it stood alone.
+    The words of a file are looked up in the postings. An offset at which a rare word of a template stands
+    nominates it, and the weights of all its words that agree on that offset are added up. A file of many
+    licences is scored for each as if it stood alone.
     """
     whole = weighted.groupBy("template").agg(F.sum("weight").alias("whole"))
-    placed = files.select("key", F.posexplode("words").alias("at", "word"))
+    placed = files.select("key", F.explode("hits").alias("h")).select("key", "h.at", "h.word")
     # broadcast: these have one row per word of the fixed templates
     hits = placed.join(F.broadcast(weighted), "word")
-    votes = hits.groupBy("key", "template", (F.col("at") - F.col("position")).alias("offset")).agg(F.sum("weight").alias("agreed"))
+    votes = hits.groupBy("key", "template", (F.col("at") - F.col("position")).alias("offset")).agg(F.sum("weight").alias("agreed"), F.max("rare").alias("nominated")).filter("nominated")
     best = votes.groupBy("key", "template").agg(F.max("agreed").alias("agreed")).join(F.broadcast(whole), "template")
     scored = best.select("key", "template", F.least(F.col("agreed") / F.col("whole"), F.lit(1.0)).alias("score")).filter(F.col("score") >= share)
     return scored.groupBy("key").agg(F.collect_list(F.struct("template", "score")).alias("found"))
 
 
-def scan(df: DataFrame, text_column: str = "text", templates=TEMPLATES) -> DataFrame:
-    """`df` with n_words, places array<struct<at, label>>, labels (sorted array<string>) and score.
+def scan(df: DataFrame, text_column: str = "text", templates=TEMPLATES, keep: list[str] | None = None) -> DataFrame:
+    """`df` (or its columns `keep`) with n_words, places array<struct<at, label>>, labels (sorted array<string>) and score.
 
-    Only files with a word that every label needs go to the index; the others have no label. A template
-    counts for a file if enough of its weight agrees in position and its mandatory phrase stands in the file.
-    Equal texts are looked up once. score: 1 if a phrase stands in the file, else the highest share of a
-    template that counts, else 0.
+    Texts are cut into words once; what is kept of each are the words that stand in templates, and, of the files
+    with a word that every label needs, their places. Only these files go to the index; the others have no label.
+    A template counts for a file if enough of its weight agrees in position and its mandatory phrase stands in the file.
+    Files with equal words in equal places are looked up once. score: 1 if a phrase stands in the file, else the highest
+    share of a template that counts, else 0.
 
     A null text counts as empty: no words, no labels. Texts are scanned whole. An empty table gives an empty
     one. Input columns with the names of the new ones are replaced.
     """
     new = ("n_words", "places", "labels", "score")
     df = df.drop(*[c for c in df.columns if c in new and c != text_column])
-    text = text_of(text_column)
-    could = text.rlike("(?i)" + "|".join(_anchors(templates)))
-    none = df.filter(~could).withColumns(
-        {
-            "n_words": F.regexp_count(text, F.lit(WORD)).cast("long"),
-            "places": F.array().cast("array<struct<at:bigint,label:string>>"),
-            "labels": F.array().cast("array<string>"),
-            "score": F.lit(0.0),
-        }
+    keep = [c for c in df.columns if c in keep] if keep else list(df.columns)
+    cut = df.withColumn("__words", words_of(text_of(text_column))).withColumn("__hits", _hits(F.col("__words"), templates))
+    known = F.array_distinct(F.col("__hits.word"))
+    could = F.arrays_overlap("__known", F.array(*map(F.lit, _anchors(templates))))
+    base = cut.select(*keep, F.size("__words").cast("long").alias("__n"), known.alias("__known"), "__hits").withColumn("__hits", F.when(could, F.col("__hits")))
+    base = written(base.withColumn("__key", F.when(F.col("__hits").isNotNull(), F.sha2(F.to_json("__hits"), 256))))
+    files = base.filter("__hits IS NOT NULL").groupBy(F.col("__key").alias("key")).agg(F.first("__hits").alias("hits"))
+    found = aligned(files, weights(base.select(F.col("__known").alias("known")), base.count(), templates))
+    joined = base.join(found.withColumnRenamed("key", "__of"), F.col("__key") == F.col("__of"), "left")
+    hits = F.coalesce("__hits", F.array().cast("array<struct<at:int,word:string>>"))
+    sure = F.filter(
+        F.coalesce("found", F.array().cast("array<struct<template:string,score:double>>")),
+        lambda x: _any((x["template"] == label) & (F.size(_stands(F.col("__hits"), tuple(phrase.split()))) > 0) for label, _, phrase, _ in templates),
     )
-    some = df.filter(could).withColumn("__words", words_of(text)).withColumn("__key", F.sha2(text, 256))
-    files = some.groupBy(F.col("__key").alias("key")).agg(F.first("__words").alias("words"))
-    found = aligned(files, weights(df, text, templates))
-    joined = some.join(found.select(F.col("key").alias("__of"), "found"), F.col("__key") == F.col("__of"), "left").withColumn("places", _places(F.col("__words")))
-    line = F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" "))
-    needed = F.create_map(*[F.lit(x) for label, _, phrase, _ in templates for x in (label, f" {phrase} ")])
-    joined = joined.withColumn("__line", line).withColumn(
-        "__sure", F.filter(F.coalesce("found", F.array().cast("array<struct<template:string,score:double>>")), lambda x: F.contains(F.col("__line"), F.element_at(needed, x["template"])))
-    )
-    labelled = joined.withColumns(
+    placed = joined.withColumn("__places", _places(hits)).withColumn("__sure", sure)
+    if text_column in new:
+        placed = placed.drop(text_column)
+    return placed.withColumns(
         {
-            "n_words": F.size("__words").cast("long"),
-            "labels": F.array_sort(F.array_distinct(F.concat(F.col("places.label"), F.col("__sure.template")))),
-            "score": F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.col("__sure.score")), F.lit(0.0))),
+            "n_words": F.col("__n"),
+            "places": F.col("__places"),
+            "labels": F.array_sort(F.array_distinct(F.concat(F.col("__places.label"), F.col("__sure.template")))),
+            "score": F.when(F.size("__places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.col("__sure.score")), F.lit(0.0))),
         }
-    )
-    return labelled.select(*none.columns).unionByName(none)
+    ).select(*[c for c in keep if c not in new], *new)
+
+
+def _any(conditions) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out

@@ -56,7 +56,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = licenses.scan(_table(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
     at = F.col("places.at")
     return found.select(
         "doc_id",

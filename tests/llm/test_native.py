@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from pulsefold.llm import chat, licenses, mixing, secrets, urls
 
+from .conftest import prose
+
 # mixing
 
 
@@ -142,6 +144,15 @@ def test_chats_of_odd_tables(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_loss_flags_follow_the_states(spark):
+    """Another machine: what is learnt are answers to questions, not those to a system turn."""
+    template = chat.Template(moves={("start", "user"): "asked", ("asked", "bot"): "answer", ("answer", "user"): "asked", ("start", "bot"): "greeting", ("greeting", "user"): "asked"}, resume={"user": "asked"}, ends=("answer",), loss_states=("answer",))
+    cases = {1: "bot user bot", 2: "user bot bot user bot", 3: "bot"}
+    df = spark.createDataFrame([(c, i, role, f"t{i}") for c, roles in cases.items() for i, role in enumerate(roles.split())], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: ([s["text"] for s in r["segments"] if s["loss"]], r["valid"], r["bad_turn"]) for r in chat.format_chats(df, template).collect()}
+    assert got == {1: (["t2"], True, None), 2: (["t1", "t4"], False, 2), 3: ([], False, None)}
+
+
 # licences
 
 
@@ -238,6 +249,79 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert all(x["text"][s["start"] : s["end"]] not in words for x in out.values() for s in x["spans"])
 
 
+def plain_battery(token):
+    """(alphabet size, p-value) of a token by plain Python."""
+    import statistics
+
+    which = next(i for i, (_, pattern, _) in enumerate(secrets.ENCODINGS) if re.search(pattern.replace("\\z", "$"), token))
+    alphabet = secrets.ENCODINGS[which][2]
+    codes, k, n = [alphabet.index(c) for c in token], len(alphabet), len(token)
+    bins = max(2, min(k, n // 5))
+    seen, wide = [0] * bins, [0] * bins
+    for c in codes:
+        seen[c * bins // k] += 1
+    for c in range(k):
+        wide[c * bins // k] += 1
+    chi = sum((s - n * w / k) ** 2 / (n * w / k) for s, w in zip(seen, wide, strict=True))
+    tail = lambda z: 1 - statistics.NormalDist().cdf(z)
+    free = bins - 1
+    p_chi = tail((max(chi, 0) / free) ** (1 / 3) / math.sqrt(2 / (9 * free)) - (1 - 2 / (9 * free)) / math.sqrt(2 / (9 * free)))
+    high = [2 * c >= k for c in codes]
+    a, b = sum(high), n - sum(high)
+    runs = 1 + sum(x != y for x, y in zip(high, high[1:], strict=False))
+    variance = 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
+    p_runs = 2 * tail(abs(runs - 1 - 2 * a * b / n) / math.sqrt(variance)) if variance > 0 else 0
+    mean = (k - 1) / 2
+    serial = sum((x - mean) * (y - mean) for x, y in zip(codes, codes[1:], strict=False)) / ((k * k - 1) / 12) / math.sqrt(n - 1)
+    return which, 1 - (1 - min(p_chi, p_runs, 2 * tail(abs(serial)))) ** 3
+
+
+def test_the_battery_is_that_of_plain_python(spark):
+    r = random.Random(17)
+    sets = ["0123456789", "0123456789abcdef", "ABCDEF0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcXYZ019", "abcXYZ019+/", "abc-_XYZ"]
+    tokens = ["".join(r.choice(s) for _ in range(r.choice([20, 33, 64, 200]))) for s in sets for _ in range(12)] + ["a" * 40, "ab" * 20, "deadbeef" * 4, "q" * 19 + "Z"]
+    rows = {x["text"]: x["__tokens"][0] for x in secrets.tokens(spark.createDataFrame([(t,) for t in tokens], "text string")).collect()}
+    for token, x in rows.items():
+        which, p = plain_battery(token)
+        assert x["class"] == which * (secrets.LENGTH_CLASSES + 1) + int(math.log2(len(token))) and (x["start"], x["end"], x["n"]) == (0, len(token), len(token))
+        if p > 1e-6:
+            assert abs(x["bin"] + 0.5 + math.log10(p) * secrets.PER_DECADE) <= 0.6
+        else:
+            assert x["bin"] >= 5.9 * secrets.PER_DECADE
+
+
+def test_false_alarms_stay_within_the_rate(spark):
+    """Of each encoding 400 ordinary tokens and 100 random ones: names in camel case, paths, dates, repeated digits."""
+    r = random.Random(23)
+    words = prose(77, 400).split()
+    hexes, letters = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    ordinary = ["".join(w.title() for w in r.sample(words, 8)) for _ in range(400)] + ["/".join(r.sample(words, 9)) for _ in range(400)] + ["-".join(r.sample(words, 8)) for _ in range(400)]
+    ordinary += ["2024" + "0" * r.randint(10, 20) + str(r.randrange(10**6)) + "0" * 10 for _ in range(400)] + [f"{r.randrange(99)}abc" * 9 for _ in range(400)]
+    secret = ["".join(r.choice(hexes) for _ in range(40)) for _ in range(100)] + ["".join(r.choice(letters) for _ in range(32)) for _ in range(100)]
+    ordinary = [t for t in ordinary if len(t) >= 20]
+    rows = [(f"a {t} b",) for t in ordinary + secret]
+    alarms = [x["text"][s["start"] : s["end"]] for x in secrets.scan(spark.createDataFrame(rows, "text string")).collect() for s in x["spans"] if s["kind"] == "random"]
+    assert len(set(alarms) & set(secret)) >= 190
+    assert len(set(alarms) - set(secret)) <= 0.1 * len(alarms)
+
+
+def test_spans_of_long_texts(spark):
+    """Many matches in one text: starts and replacements are those of plain Python, also over the bounds of chunks and pieces."""
+    r = random.Random(29)
+    parts = []
+    for _ in range(3000):
+        parts.append(r.choice(["é" * r.randint(1, 9), "x 😀", "".join(r.choice("0123456789abcdef") for _ in range(r.randint(12, 40))), "password=" + "k" * r.randint(9, 15)]))
+    text = " ".join(parts)
+    row = secrets.scan(spark.createDataFrame([(text,)], "text string")).select("base_spans", "spans", secrets.redacted(F.col("text"), F.col("spans")).alias("clean")).first()
+    assert [tuple(s) for s in row["base_spans"]] == base(text) and len(row["base_spans"]) > 1000
+    out, at = [], 0
+    for _, a, b in row["spans"]:
+        if a >= at:
+            out.append(text[at:a] + "[SECRET]")
+        at = max(at, b)
+    assert row["clean"] == "".join(out) + text[at:]
+
+
 def test_secrets_are_redacted_once(spark):
     df = spark.createDataFrame([("é password=abcdefabcdefabcdef0 z",), ("nothing",), (None,)], "text string")
     got = secrets.scan(df).select(secrets.redacted(F.coalesce("text", F.lit("")), F.col("spans")).alias("t")).collect()
