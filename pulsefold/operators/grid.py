@@ -31,8 +31,11 @@ def epoch_slots(df: DataFrame, instant: str, now: Column, weight: Column | None
     """(bucket, bucket_start, bucket_end, n): weights by slot of the epoch, laid over the grid that ends now.
 
     A slot is a multiple of the bucket width since the epoch. Slots that begin before the window are left out;
-    later ones than the newest bucket count there. A weight that is not positive and finite counts as 1.
+    later ones than the newest bucket count there. A weight that is not positive and finite counts as 1. Without a
+    window or a bucket there are no slots.
     """
+    if window_ms <= 0 or buckets < 1:
+        return df.sparkSession.createDataFrame([], "bucket long, bucket_start long, bucket_end long, n long")
     width = window_ms / buckets
     weight = F.lit(1) if weight is None else F.when(finite(weight) & (weight > 0), weight).otherwise(F.lit(1))
     slots = df.filter(finite(F.col(instant))).groupBy(F.floor(F.col(instant) / width).alias("slot")).agg(F.sum(weight).alias("n"))

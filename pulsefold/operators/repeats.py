@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: How long an accepted key is remembered, and how many keys.
 TTL_MS, MAX_KEYS = 600_000, 10_000
@@ -12,28 +16,39 @@ TTL_MS, MAX_KEYS = 600_000, 10_000
 def accepted_arrivals(df: DataFrame, key: str, instant: str, order: str, ttl_ms: int = TTL_MS) -> DataFrame:
     """`df` with accepted: an arrival counts unless an accepted one of its key came less than the TTL before.
 
-    Refused arrivals don't prolong the memory. A null or empty key is always accepted. An arrival with no other
-    of its key in the TTL before it is accepted whatever came earlier, so each key's arrivals fall apart
-    there into runs that are folded on their own; only a burst longer than the TTL makes a long run.
+    Refused arrivals don't prolong the memory. A null or empty key is always accepted; with a key, an arrival without
+    an instant never is. Arrivals are sorted within partitions by key and read as a stream that remembers
+    one key and one instant, so a key's history is never held at once, however long it is.
     """
-    keyed = df.filter(F.length(F.col(key).cast("string")) > 0)
-    arrival = Window.partitionBy(key).orderBy(instant, order)
-    gap = F.col(instant) - F.lag(instant).over(arrival)
-    runs = keyed.withColumn("__new", F.when(gap < ttl_ms, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(arrival.rowsBetween(Window.unboundedPreceding, 0)))
-    folded = runs.groupBy(key, "__run").agg(F.sort_array(F.collect_list(F.struct(F.col(instant).alias("t"), F.col(order).alias("o")))).alias("__arrivals"))
-    taken = F.aggregate(
-        "__arrivals",
-        F.struct(F.lit(None).cast("long").alias("until"), F.array().cast("array<bigint>").alias("orders")),
-        lambda s, x: F.when(
-            s["until"].isNull() | (x["t"] >= s["until"]),
-            F.struct((x["t"] + ttl_ms).cast("long").alias("until"), F.concat(s["orders"], F.array(x["o"].cast("long"))).alias("orders")),
-        ).otherwise(s),
-        lambda s: s["orders"],
-    )
-    orders = folded.select(F.explode(taken).alias("__accepted"))
-    marked = df.join(orders, F.col(order) == F.col("__accepted"), "left")
-    free = F.coalesce(F.length(F.col(key).cast("string")), F.lit(0)) == 0
-    return marked.withColumn("accepted", free | F.col("__accepted").isNotNull()).drop("__accepted")
+    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    free = df.filter(text == "").withColumn("accepted", F.lit(True))
+    some = df.filter(text != "").withColumns({"__key": text, "__at": F.col(instant).cast("long")})
+    ordered = some.repartition("__key").sortWithinPartitions("__key", "__at", order)
+    schema = T.StructType([*df.schema, T.StructField("accepted", T.BooleanType())])
+
+    def fold(batches):
+        held, until = None, None
+        for batch in batches:
+            keys, times = batch.column(len(df_columns)), batch.column(len(df_columns) + 1)
+            known = np.asarray(pc.is_valid(times))
+            at = np.asarray(pc.fill_null(times, 0))
+            codes = keys.dictionary_encode()
+            names, code = codes.dictionary.to_pylist(), np.asarray(codes.indices)
+            cut = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]]))
+            accepted = np.zeros(len(batch), bool)
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if names[code[a]] != held:
+                    held, until = names[code[a]], None
+                i = a + int(np.searchsorted(known[a:b], True))  # those without an instant come first
+                if until is not None:
+                    i += int(np.searchsorted(at[i:b], until))
+                while i < b:
+                    accepted[i], until = True, int(at[i]) + ttl_ms
+                    i = max(i + 1, i + int(np.searchsorted(at[i:b], until)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(df_columns)], pa.array(accepted)], names=[*df_columns, "accepted"])
+
+    df_columns = list(df.columns)
+    return ordered.mapInArrow(fold, schema).unionByName(free)
 
 
 def live_keys(entries: DataFrame, now_ms: int, max_keys: int = MAX_KEYS) -> DataFrame:

@@ -27,10 +27,17 @@ class Settings:
     ttl_ms: int = TTL_MS
 
 
-def first_status(gates: dict[int, Column], accepted: int = 202) -> Column:
+#: Targets that name no resource: two slashes, then no host, or one with characters that no host has.
+_NO_TARGET = r"^[/\\\\]{2,}(?:[^/\\\\?#@]*@)?(?:\[(?![0-9a-fA-F:.]+\])|[^/\\\\?#\[]*[\s<>^|%\]]|(?::\d*)?(?:[/\\\\?#]|\z))"
+#: What is told of a refusal, by status and, for the two kinds of 400, by gate.
+REASONS = {401: "no or another token", 404: "no such route", 415: "schema version not accepted", 413: "body too large", 422: "batch not valid", 503: "events not stored"}
+NO_TARGET, NO_BATCH = "request target not readable", "body is no batch"
+
+
+def first_status(gates: dict[int, Column] | list[tuple[int, Column]], accepted: int = 202) -> Column:
     """The status of the first gate, in order, that refuses a request."""
     out = None
-    for status, refused in gates.items():
+    for status, refused in gates.items() if isinstance(gates, dict) else gates:
         refused = F.coalesce(refused, F.lit(False))
         out = F.when(refused, status) if out is None else out.when(refused, status)
     return F.lit(accepted) if out is None else out.otherwise(accepted)
@@ -43,26 +50,31 @@ def header(name: str) -> Column:
 
 
 def judged(requests: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """`requests` with declared, key, events (array<variant>), and the status before idempotency: the first gate that refuses.
+    """`requests` with declared, key, events (array<variant>), the status before idempotency, which is that of the first
+    gate that refuses, and its reason (null if none does).
 
     Header names may not repeat in other case. A batch is valid if each event carries the declared version and
     is valid in it; an empty one is. The version inside the body is not read, only its events are.
     """
     versions = sorted({*settings.accepted, validation.VERSION})
     read = requests.withColumn("declared", header(VERSION_HEADER)).withColumn("key", header(KEY_HEADER))
-    read = read.withColumn("path", F.regexp_extract("target", r"^([^?#]*)", 1)).withColumn("parsed", V.parse_strict(F.decode("body", "UTF-8")))
+    read = read.withColumn("path", F.regexp_extract("target", r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?[/\\\\]{2,}[^/\\\\?#]*)?([^?#]*)", 1)).withColumn("parsed", V.parse_strict(F.decode("body", "UTF-8")))
     read = read.withColumn("events", F.when(V.is_object(F.col("parsed")), V.elements(V.field(F.col("parsed"), "events"))))
     valid = F.forall("events", lambda e: validation.is_valid(e, F.col("declared").cast("int")))
     token = F.regexp_extract(F.coalesce(header("authorization"), F.lit("")), r"(?i)^Bearer\s+(\S+)\s*\z", 1)
-    gates: dict[int, Column] = {401: token != settings.token} if settings.token else {}
-    gates |= {
-        404: (F.col("method") != ROUTE[0]) | (F.col("path") != ROUTE[1]),
-        415: F.col("declared").isNull() | ~F.col("declared").isin(*map(str, versions)),
-        413: (F.try_to_number(header("content-length"), F.lit("999999999999999")) > settings.max_body) | (F.octet_length("body") > settings.max_body),
-        400: F.col("events").isNull(),
-        422: ~valid,
-    }
-    return read.withColumn("status", first_status(gates)).drop("path", "parsed")
+    no_target = F.col("target").isNull() | F.col("target").rlike(_NO_TARGET)
+    gates: list[tuple[int, Column]] = [(401, token != settings.token)] if settings.token else []
+    gates += [
+        (400, no_target),
+        (404, (F.col("method") != ROUTE[0]) | (F.col("path") != ROUTE[1])),
+        (415, F.col("declared").isNull() | ~F.col("declared").isin(*map(str, versions))),
+        (413, (F.try_to_number(header("content-length"), F.lit("999999999999999")) > settings.max_body) | (F.octet_length("body") > settings.max_body)),
+        (400, F.col("events").isNull()),
+        (422, ~valid),
+    ]
+    told = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])
+    reason = F.when(F.col("status") == 400, F.when(no_target, NO_TARGET).otherwise(NO_BATCH)).otherwise(F.try_element_at(told, F.col("status")))
+    return read.withColumn("status", first_status(gates)).withColumn("reason", reason).drop("path", "parsed")
 
 
 def admitted(requests: DataFrame, seen: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
@@ -79,6 +91,12 @@ def admitted(requests: DataFrame, seen: DataFrame | None = None, settings: Setti
     return out.withColumn("deduped", (F.col("status") == 202) & F.col("__first").isNull()).withColumn("accepted", F.when(F.col("__first"), F.size("events")).otherwise(0)).drop("__first")
 
 
+def not_stored(outcomes: DataFrame) -> DataFrame:
+    """The outcomes when the events can't be written: who sent them is told to send them again, and leaves no key."""
+    lost = (F.col("status") == 202) & ~F.col("deduped")
+    return outcomes.withColumns({"reason": F.when(lost, REASONS[503]).otherwise(F.col("reason")), "accepted": F.when(lost, 0).otherwise(F.col("accepted")), "status": F.when(lost, 503).otherwise(F.col("status"))})
+
+
 def log_rows(outcomes: DataFrame) -> DataFrame:
     """(request, position, event, instant, value): the events of accepted requests, stamped with their arrival.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsefold.functions import variant as V
@@ -10,7 +10,7 @@ from pulsefold.functions.keys import GENERATED_NAME, bounded_key, filled, releas
 from pulsefold.functions.numbers import finite, half_up, integral, when_finite
 from pulsefold.functions.validation import INTRODUCED, RUNTIMES
 from pulsefold.operators import grid
-from pulsefold.operators.histogram import OVERFLOW, bounded_histogram, top_k
+from pulsefold.operators.histogram import OVERFLOW, bounded_histogram, bucket_percentiles, top_k
 
 #: Caps of the axes (fixed values).
 AXIS_CAP, OPERATION_CAP, FEATURE_CAP, RELEASE_CAP, NAME_CAP, SCALE_CAP, TOP = 10, 129, 64, 64, 200, 4, 10
@@ -27,6 +27,11 @@ def axis(events: DataFrame, column: str, cap: int = AXIS_CAP) -> DataFrame:
     return bounded_histogram(events.withColumn(column, bounded_key(filled(F.col(column)))), column, ["seq"], cap)
 
 
+def schema_versions(events: DataFrame) -> DataFrame:
+    """(schema_version, n): all versions; there is no cap, and nothing is ranked or broadcast."""
+    return events.select(bounded_key(filled(F.col("schema_version"))).alias("schema_version")).filter("schema_version IS NOT NULL").groupBy("schema_version").agg(F.count("*").alias("n"))
+
+
 def crash_reasons(events: DataFrame) -> DataFrame:
     return axis(events.filter("type = 'crash'"), "reason")
 
@@ -113,21 +118,17 @@ def operation_latency(events: DataFrame) -> DataFrame:
     whole = F.forall("buckets", lambda x: F.coalesce(integral(x) & (x >= 0), F.lit(False))) & F.forall("boundaries", lambda x: F.coalesce(finite(x), F.lit(False)))
     usable = rows.filter(whole & (F.size("buckets") == F.size("boundaries") + 1)).withColumn("held", F.aggregate("buckets", F.lit(0.0), lambda s, x: s + x)).filter("held > 0")
     scales = usable.groupBy("name", "boundaries").agg(F.min(F.struct("seq", "pos")).alias("first"), F.sum("held").alias("held"))
-    ranked = scales.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("first", "held", "boundaries"))).alias("all"), F.sum("held").alias("everything"))
-    kept = F.slice("all", 1, SCALE_CAP)
-    best = F.array_max(F.transform(kept, lambda s, i: F.struct(s["held"].alias("held"), (-i).alias("before"), s["boundaries"].alias("boundaries"))))
-    chosen = ranked.select("name", "everything", best.alias("best")).select("name", "best.boundaries", F.col("best.held").alias("n"), (F.col("everything") - F.col("best.held")).alias("excluded"))
-    sums = usable.join(chosen.select("name", "boundaries"), ["name", "boundaries"], "left_semi").select("name", F.posexplode("buckets").alias("i", "x")).groupBy("name", "i").agg(F.sum("x").alias("x"))
-    lists = sums.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("buckets"))
-    both = names.join(chosen, "name", "left").join(lists, "name", "left")
-
-    def percentile(p: int) -> Column:
-        rank = F.ceil(F.col("n") * p / 100)
-        upto = F.transform("buckets", lambda _, i: F.aggregate(F.slice("buckets", F.lit(1), i + 1), F.lit(0.0), lambda s, x: s + x))
-        index = F.array_position(F.transform(upto, lambda u: u >= rank), F.lit(True)).cast("int")
-        return F.get("boundaries", index - 1)
-
-    return both.select("name", F.coalesce("n", F.lit(0.0)).alias("n"), F.coalesce("excluded", F.lit(0.0)).alias("excluded"), "boundaries", *[percentile(p).alias(f"p{p}") for p in (50, 95, 99)])
+    # the first scales of a name, by a ranking within the name: boundaries come from clients, so a name can have many
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("first"))
+    kept = scales.withColumn("rank", rank).filter(F.col("rank") <= SCALE_CAP)
+    best = kept.groupBy("name").agg(F.max_by(F.struct("boundaries", "held"), F.struct("held", -F.col("rank"))).alias("best"))
+    everything = scales.groupBy("name").agg(F.sum("held").alias("everything"))
+    chosen = best.join(everything, "name").select("name", "best.boundaries", F.col("best.held").alias("n"), (F.col("everything") - F.col("best.held")).alias("excluded"))
+    sums = usable.join(chosen.select("name", "boundaries"), ["name", "boundaries"]).select("name", "boundaries", F.posexplode("buckets").alias("i", "x"))
+    sums = sums.groupBy("name", "boundaries", "i").agg(F.sum("x").alias("x"))
+    percentiles = bucket_percentiles(sums.withColumn("bound", F.get("boundaries", F.col("i"))), ["name"], "i", "x", "bound")
+    both = names.join(chosen, "name", "left").join(percentiles, "name", "left")
+    return both.select("name", F.coalesce("n", F.lit(0.0)).alias("n"), F.coalesce("excluded", F.lit(0.0)).alias("excluded"), "boundaries", "p50", "p95", "p99")
 
 
 def workspace_shape(events: DataFrame) -> DataFrame:
@@ -137,6 +138,12 @@ def workspace_shape(events: DataFrame) -> DataFrame:
     return each.groupBy("measure").agg(F.count("x").alias("windows"), F.min("x").alias("low"), F.max("x").alias("high"), F.coalesce(F.avg("x"), F.lit(0.0)).alias("mean"))
 
 
+def workspace_shape_seen(events: DataFrame) -> DataFrame:
+    """(windows_seen, last_snapshot_at) of all shape windows."""
+    own = events.filter("type = 'workspace-shape'")
+    return own.agg(F.count("*").alias("windows_seen"), F.max(when_finite(V.number(V.field(F.col("event"), "windowEndedAt")))).alias("last_snapshot_at"))
+
+
 def workspace_names(events: DataFrame) -> DataFrame:
     """(name, windows): the windows that hold each name; a name counts once in a window."""
     own = events.filter("type = 'workspace-names'").select("seq", F.posexplode(V.elements(V.field(F.col("event"), "chats"))).alias("pos", "c")).select("seq", "pos", bounded_key(filled(V.text(F.col("c")))).alias("name"))
@@ -167,6 +174,19 @@ def feature_usage(events: DataFrame) -> DataFrame:
     return named.groupBy("name", "seq").agg(F.sum("n").alias("n")).groupBy("name").agg(F.sum("n").alias("uses"), F.count("*").alias("windows"))
 
 
+def feature_usage_seen(events: DataFrame) -> DataFrame:
+    """(distinct_count, last_window_at): the names of `feature_usage`, the shared one included, and the latest window's end."""
+    own = events.filter("type = 'feature-usage'")
+    last = own.agg(F.max(when_finite(V.number(V.field(F.col("event"), "windowEndedAt")))).alias("last_window_at"))
+    return feature_usage(events).agg(F.count("*").alias("distinct_count")).crossJoin(last)  # each side is one row
+
+
+def generated_shaped(events: DataFrame) -> DataFrame:
+    """(distinct_count, considered, generated, share) of the workspace names; the shared one is a name, but not considered."""
+    names = workspace_names(events)
+    return names.agg(F.count("*").alias("distinct_count")).crossJoin(generated_share(names))  # each side is one row
+
+
 def process_memory(events: DataFrame) -> DataFrame:
     """(runtime, windows, samples, low, high, mean, heap, peak, latest) for each runtime; nulls without a report."""
     at = lambda name: V.number(V.field(F.col("event"), name))
@@ -228,15 +248,19 @@ def stalls_timeline(events: DataFrame, now_ms: int, window_ms: int = grid.WINDOW
 
 
 AXES = {
-    "byType": by_type, "appVersions": lambda e: axis(e, "app_version"), "platforms": lambda e: axis(e, "platform"), "byRuntime": lambda e: axis(e, "runtime"), "schemaVersions": lambda e: axis(e, "schema_version", 1 << 20),
+    "byType": by_type, "appVersions": lambda e: axis(e, "app_version"), "platforms": lambda e: axis(e, "platform"), "byRuntime": lambda e: axis(e, "runtime"), "schemaVersions": schema_versions,
     "crashReasons": crash_reasons, "topErrorNames": top_error_names, "topSignatures": top_signatures, "seen": seen, "stalls": stalls, "stallsBySource": stalls_by_source, "operations": operations, "operationLatency": operation_latency,
-    "workspaceShape": workspace_shape, "workspaceNames": workspace_names, "workspaceLatest": workspace_latest, "featureUsage": feature_usage, "processMemory": process_memory, "operationRejections": operation_rejections,
+    "workspaceShape": workspace_shape, "workspaceShapeSeen": workspace_shape_seen, "workspaceNames": workspace_names, "generatedShaped": generated_shaped, "workspaceLatest": workspace_latest, "featureUsage": feature_usage, "featureUsageSeen": feature_usage_seen, "processMemory": process_memory, "operationRejections": operation_rejections,
     "releases": releases, "newestRelease": newest_release, "typeReach": type_reach,
 }
 
 
 def document(events: DataFrame, now_ms: int) -> DataFrame:
-    """(axis, rows): the whole summary, each axis as a JSON list of its rows."""
+    """(axis, rows): the axes of the events, each as a JSON list of its rows.
+
+    Each axis reads `events` anew, so `events` should be a written table of parsed events and not the text of the log.
+    The rows of an axis are bounded by its cap; those of schemaVersions by the versions that senders made up.
+    """
     tables = {name: make(events) for name, make in AXES.items()} | {"timeline": timeline(events, now_ms), "stallsTimeline": stalls_timeline(events, now_ms)}
     out = None
     for name, table in tables.items():

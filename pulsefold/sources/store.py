@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from dataclasses import dataclass
 
@@ -14,55 +15,82 @@ from pulsefold.operators.retention import retained
 SCHEMA = T.StructType([T.StructField("seq", T.LongType()), T.StructField("instant", T.DoubleType()), T.StructField("value", T.StringType())])
 
 
+#: Name of the part that pruning writes; each append is a part of its own.
+BASE = "part=base"
+
+
 @dataclass
 class Store:
-    """Events (seq, instant, value) below a folder. One writer; readers see the snapshot the pointer named when they began."""
+    """Events (seq, instant, value) below a folder, in snapshots of parts.
+
+    Changes by one Store follow each other; a folder has one writer. Readers see the snapshot the pointer named when
+    they began. An append with a `number` can be repeated: its part is replaced, or left out if a snapshot has taken it in.
+    """
 
     spark: SparkSession
     folder: str
 
+    def __post_init__(self) -> None:
+        self._lock = threading.RLock()
+
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _pointer(self) -> str | None:
+    def _pointer(self) -> tuple[str, int] | None:
+        """The snapshot, and the last number of an append that its base holds (-1: none)."""
         fs, p = self._fs(f"{self.folder}/CURRENT")
-        return self.spark.read.text(f"{self.folder}/CURRENT").first()[0] if fs.exists(p) else None
+        if not fs.exists(p):
+            return None
+        name, number = self.spark.read.text(f"{self.folder}/CURRENT").first()[0].split(" ")
+        return name, int(number)
 
-    def _point(self, name: str) -> None:
-        """Write the pointer aside and rename it over the old one."""
+    def _point(self, name: str, number: int) -> None:
+        """Write the pointer aside and rename it over the old one in one step."""
+        jvm = self.spark.sparkContext._jvm
         fs, temporary = self._fs(f"{self.folder}/.CURRENT-{uuid.uuid4().hex}")
         out = fs.create(temporary)
-        out.write(bytearray(name.encode()))
+        out.write(bytearray(f"{name} {number}".encode()))
         out.close()
         _, target = self._fs(f"{self.folder}/CURRENT")
-        if not fs.rename(temporary, target):  # file systems that don't replace on rename
-            fs.delete(target, False)
-            fs.rename(temporary, target)
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(temporary), fs.makeQualified(target), how)
 
     def read(self) -> DataFrame:
         """The events; none before the first append."""
-        name = self._pointer()
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/{name}") if name else self.spark.createDataFrame([], SCHEMA)
-
-    def append(self, events: DataFrame) -> None:
-        """Add the events whole or not at all; the file commit of the write is the only step."""
-        name = self._pointer()
-        if name is None:
-            name = f"snapshot-{uuid.uuid4().hex}"
-            events.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMA]).write.parquet(f"{self.folder}/{name}")
-            self._point(name)
-        else:
-            events.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMA]).write.mode("append").parquet(f"{self.folder}/{name}")
-
-    def prune(self, now_ms: float, max_rows: int = 0, max_age_ms: float = 0) -> dict:
-        """Apply retention and report before, after, pruned and rewrote; nothing is written if nothing goes."""
-        events = self.read()
-        kept = retained(events, "seq", "instant", F.lit(now_ms), max_rows, max_age_ms)
-        before, after = events.count(), kept.count()
-        if before != after:
-            name = f"snapshot-{uuid.uuid4().hex}"
-            kept.write.parquet(f"{self.folder}/{name}")
-            self._point(name)
-        return {"before": before, "after": after, "pruned": before - after, "rewrote": before != after}
+        at = self._pointer()
+        if at is None:
+            return self.spark.createDataFrame([], SCHEMA)
+        read = self.spark.read.schema(SCHEMA).option("recursiveFileLookup", "true")
+        return read.parquet(f"{self.folder}/{at[0]}")
+
+    def append(self, events: DataFrame, number: int | None = None) -> None:
+        """Add the events whole or not at all; with a `number`, once however often it is called."""
+        with self._lock:
+            name, taken = self._pointer() or (None, -1)
+            if number is not None and number <= taken:
+                return
+            snapshot = name or "snapshot-first"
+            part = f"part={uuid.uuid4().hex}" if number is None else f"part=batch-{number}"
+            events.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMA]).write.mode("overwrite").parquet(f"{self.folder}/{snapshot}/{part}")
+            if name is None:
+                self._point(snapshot, -1)
+
+    def prune(self, now_ms: float, max_rows: int = 0, max_age_ms: float = 0, number: int | None = None) -> dict:
+        """Apply retention and report before, after, pruned and rewrote; nothing is written if nothing goes.
+
+        `number` is that of the last numbered append.
+        """
+        with self._lock:
+            events = self.read()
+            kept = retained(events, "seq", "instant", F.lit(now_ms), max_rows, max_age_ms)
+            before, after = events.count(), kept.count()
+            if before != after:
+                name = f"snapshot-{uuid.uuid4().hex}"
+                kept.write.parquet(f"{self.folder}/{name}/{BASE}")
+                self._point(name, self._pointer()[1] if number is None else number)
+            return {"before": before, "after": after, "pruned": before - after, "rewrote": before != after}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pulsefold.operators.repeats import live_keys
-from pulsefold.plans.ingest import REQUEST, Settings, admitted, live_entries, log_rows
+from pulsefold.plans.ingest import REQUEST, Settings, admitted, live_entries, log_rows, not_stored
 from pulsefold.sources.store import Store
 
 
@@ -16,16 +18,29 @@ def request_stream(spark: SparkSession, folder: str, files: int = 100) -> DataFr
     return spark.readStream.schema(REQUEST).option("maxFilesPerTrigger", files).parquet(folder)
 
 
+#: Columns of an outcome and of a prune that are kept for the tallies.
+OUTCOME = "seq long, arrived_at_ms long, declared string, key string, status int, reason string, deduped boolean, accepted int"
+PRUNE = "at_ms long, before long, after long, pruned long, rewrote boolean"
+
+
 class Receiver:
-    """Admits micro-batches. Each leaves its outcomes and live keys in a folder of its own number.
+    """Admits micro-batches, and keeps the store within its bounds.
 
-    A micro-batch that is run again after a failure finds its outcomes written and does nothing more, so its
-    events enter the log once. Keys of earlier batches are read back from the folders of the batch before.
+    A micro-batch writes three things under its number: its events, as a part of the store, its outcomes, and the
+    keys that are live after it. Each replaces what an earlier run of the batch left, and the keys come last: with them
+    the batch is done, and a further run does nothing. So a run that ends between any two steps is made good by the next
+    one, and events enter the log once. If the events can't be written, the batch's requests are told so (503).
+
+    Retention runs after a batch once `max_rows` events were appended since it last ran, or, where there is an age
+    bound, once `sweep_ms` went by; its reports are kept as a prune log. A failed one changes nothing and is not told.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings = Settings()) -> None:
+    def __init__(self, spark: SparkSession, folder: str, settings: Settings = Settings(), max_rows: int = 0, max_age_ms: int = 0, sweep_ms: int = 300_000) -> None:
         self.spark, self.folder, self.settings = spark, folder, settings
+        self.max_rows, self.max_age_ms, self.sweep_ms = max_rows, max_age_ms, sweep_ms
         self.store = Store(spark, f"{folder}/events")
+        self.started_at = int(time.time() * 1000)
+        self._appended, self._swept_at = 0, None
 
     def _there(self, path: str) -> bool:
         fs, p = self.store._fs(f"{path}/_SUCCESS")
@@ -37,21 +52,54 @@ class Receiver:
             return
         before = f"{self.folder}/keys/batch={number - 1}"
         schema = "key string, expires_at long, insert_seq long"
-        seen = self.spark.read.schema(schema).parquet(before) if self._there(before) else self.spark.createDataFrame([], schema)
+        if number and not self._there(before):
+            raise ValueError(f"the keys of batch {number - 1} are not there")
+        seen = self.spark.read.schema(schema).parquet(before) if number else self.spark.createDataFrame([], schema)
+        seen = seen.filter((F.length("key") > 0) & F.col("expires_at").isNotNull())
         outcomes = admitted(requests, seen, self.settings).persist()
         try:
-            if not self._there(outcomes_at):
-                rows = log_rows(outcomes)
-                self.store.append(rows.select((F.shiftleft(F.col("request"), 16) + F.col("position")).alias("seq"), "instant", "value"))
-                outcomes.select("seq", "arrived_at_ms", "declared", "key", "status", "deduped", "accepted").write.mode("overwrite").parquet(outcomes_at)
-            now = outcomes.agg(F.max("arrived_at_ms")).first()[0] or 0
-            live_keys(seen.unionByName(live_entries(outcomes, self.settings.ttl_ms)), now).write.mode("overwrite").parquet(keys_at)
+            rows = log_rows(outcomes)
+            told = outcomes
+            try:
+                self.store.append(rows.select((F.shiftleft(F.col("request"), 16) + F.col("position")).alias("seq"), "instant", "value"), number)
+            except Exception:  # whatever kept the events from the log, their senders keep them
+                told = not_stored(outcomes)
+            told.select(*[c.split(" ")[0] for c in OUTCOME.split(", ")]).write.mode("overwrite").parquet(outcomes_at)
+            now, appended = told.agg(F.max("arrived_at_ms"), F.sum("accepted")).first()
+            live_keys(seen.unionByName(live_entries(told, self.settings.ttl_ms)), now or 0).write.mode("overwrite").parquet(keys_at)
+            self._retain(now or 0, appended or 0, number)
         finally:
             outcomes.unpersist()
 
+    def _retain(self, now: int, appended: int, number: int) -> None:
+        self._appended += appended
+        self._swept_at = now if self._swept_at is None else self._swept_at
+        swept = self.max_age_ms > 0 and now - self._swept_at >= self.sweep_ms
+        if not swept and not (self.max_rows > 0 and self._appended >= self.max_rows):
+            return
+        self._appended, self._swept_at = 0, now
+        try:
+            report = self.store.prune(now, self.max_rows, self.max_age_ms, number)
+        except Exception:  # the old snapshot stays whole, and the next run tries again
+            return
+        row = self.spark.createDataFrame([(now, *(report[c] for c in ("before", "after", "pruned", "rewrote")))], PRUNE)
+        row.write.mode("overwrite").parquet(f"{self.folder}/prunes/batch={number}")
+
     def start(self, requests: DataFrame, available_now: bool = False) -> StreamingQuery:
         writer = requests.writeStream.foreachBatch(self.batch).option("checkpointLocation", f"{self.folder}/checkpoint")
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
 
+    def _kept(self, name: str, schema: str) -> DataFrame:
+        fs, p = self.store._fs(f"{self.folder}/{name}")
+        read = self.spark.read.schema(schema).option("recursiveFileLookup", "true")
+        return read.parquet(f"{self.folder}/{name}") if fs.exists(p) else self.spark.createDataFrame([], schema)
+
     def outcomes(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/outcomes")
+        return self._kept("outcomes", OUTCOME)
+
+    def prunes(self) -> DataFrame:
+        return self._kept("prunes", PRUNE)
+
+    def live(self, number: int) -> DataFrame:
+        """The keys that are live after batch `number`."""
+        return self.spark.read.parquet(f"{self.folder}/keys/batch={number}")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pulsefold.plans import catalog
+from pulsefold.plans import catalog, catalog_log
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -22,10 +22,13 @@ def shown(value):
     return f"{value:.4f}" if isinstance(value, float) else str(value)
 
 
-@pytest.mark.parametrize("name", catalog.QUERIES)
+QUERIES, ORACLES = catalog.QUERIES | catalog_log.QUERIES, catalog.ORACLES | catalog_log.ORACLES
+
+
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_its_sql(spark, tiny, sql, name):
-    df = catalog.QUERIES[name](spark, tiny)
-    result = sql.execute(catalog.ORACLES[name])
+    df = QUERIES[name](spark, tiny)
+    result = sql.execute(ORACLES[name])
     columns = [d[0] for d in result.description]
     assert sorted(columns) == sorted(df.columns)
     want = sorted(tuple(shown(r[columns.index(c)]) for c in df.columns) for r in result.fetchall())

@@ -175,6 +175,14 @@ def test_idempotency_is_a_fold(spark):
         assert got[seq] == ok
 
 
+def test_a_long_run_of_one_key_is_folded_as_a_stream(spark):
+    """Gaps below the memory all along, over many batches of rows, and an arrival without an instant."""
+    rows = [(i, "hot", 3 * i) for i in range(30_000)] + [(30_000 + i, f"k{i}", i) for i in range(200)] + [(99_999, "hot", None)]
+    got = {r["seq"]: r["accepted"] for r in repeats.accepted_arrivals(spark.createDataFrame(rows, "seq long, key string, t long").repartition(5), "key", "t", "seq", 10).collect()}
+    assert len(got) == len(rows) and not got[99_999] and all(got[30_000 + i] for i in range(200))
+    assert [i for i in range(30_000) if got[i]] == list(range(0, 30_000, 4))
+
+
 def test_retention_and_pages(spark):
     df = spark.createDataFrame([(i, None if i % 5 == 0 else float(i * 10)) for i in range(20)], "seq long, t double")
     at = lambda d: sorted(r["seq"] for r in d.collect())
@@ -223,6 +231,104 @@ def test_admission_and_log(spark):
     assert totals == {"rejections": 1, "persist_errors": 0, "deduped": 2}
 
 
+def test_targets_that_name_nothing(spark):
+    targets = {"//": 400, "///x": 400, "//?a": 400, "//:80/ingest": 400, "//a b/ingest": 400, "//[x/ingest": 400, None: 400, "": 404, "//host/ingest": 202, "//[::1]:8/ingest": 202, "http://h/ingest?x": 202, "/ingest#f": 202, "/ingest/": 404, "/a//b": 404}
+    df = spark.createDataFrame([request(i, [], target=t) for i, t in enumerate(targets)], ingest.REQUEST)
+    rows = {r["seq"]: r for r in ingest.judged(df).collect()}
+    assert [rows[i]["status"] for i in range(len(targets))] == list(targets.values())
+    assert rows[0]["reason"] == ingest.NO_TARGET and rows[8]["reason"] is None
+
+
+def test_numbered_appends_count_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    rows = lambda a, b: spark.createDataFrame([(i, float(i), "{}") for i in range(a, b)], "seq long, instant double, value string")
+    for number in (0, 0, 1, 1):
+        store.append(rows(10 * number, 10 * number + 10), number)
+    store.append(rows(20, 22))
+    assert store.read().count() == 22
+    assert store.prune(0, 15, number=1)["after"] == 15
+    store.append(rows(10, 20), 1)  # a snapshot has taken it in
+    store.append(rows(30, 31), 2)
+    assert sorted(r["seq"] for r in store.read().collect()) == [*range(7, 22), 30]
+
+
+class Stop(Exception):
+    pass
+
+
+def test_a_batch_that_broke_off_anywhere_is_made_good(spark, tmp_path, monkeypatch):
+    """The run ends after the events, or after the outcomes; the next run of the batch leaves all of it once."""
+    from pulsefold.streaming import receiver as module
+
+    e = VALID["crash"]
+    batch = spark.createDataFrame([request(0, [e, e], "a", 1000), request(1, [e], "a", 1500), request(2, [e], "b", 2000)], ingest.REQUEST)
+    for i, name in enumerate(("live_entries", "live_keys")):
+        r = Receiver(spark, str(tmp_path / f"r{i}"))
+        with monkeypatch.context() as m:
+            m.setattr(module, name, lambda *a: (_ for _ in ()).throw(Stop()))
+            with pytest.raises(Stop):
+                r.batch(batch, 0)
+        assert r.store.read().count() == 3
+        again = Receiver(spark, str(tmp_path / f"r{i}"))
+        again.batch(batch, 0)
+        again.batch(batch, 0)
+        assert again.store.read().count() == 3 and again.outcomes().count() == 3
+        assert {x["key"] for x in again.live(0).collect()} == {"a", "b"}
+        with pytest.raises(ValueError, match="keys of batch 1"):
+            again.batch(batch, 2)
+
+
+def test_events_that_cannot_be_stored(spark, tmp_path, monkeypatch):
+    r = Receiver(spark, str(tmp_path / "r"))
+    e = VALID["crash"]
+    batch = spark.createDataFrame([request(0, [e], "a", 1000), request(1, [{}], "b", 1001)], ingest.REQUEST)
+    monkeypatch.setattr(r.store, "append", lambda *a: (_ for _ in ()).throw(OSError()))
+    r.batch(batch, 0)
+    assert {x["seq"]: x["status"] for x in r.outcomes().collect()} == {0: 503, 1: 422}
+    assert r.live(0).count() == 0
+    tally = tallies.persist_tally(r.outcomes(), F.lit(5000)).first()
+    assert (tally["total"], tally["last_reason"], tally["last_seen"]) == (1, ingest.REASONS[503], 1000) and tally["timeline"][-1]["n"] == 1
+
+
+def test_retention_runs_with_the_receiver(spark, tmp_path):
+    r = Receiver(spark, str(tmp_path / "r"), max_rows=5, max_age_ms=1_000_000, sweep_ms=50_000)
+    e = VALID["crash"]
+    sizes = []
+    for i, (n, at) in enumerate([(3, 1000), (3, 2000), (1, 3000), (1, 60_000)]):
+        r.batch(spark.createDataFrame([request(10 * i + k, [e], None, at) for k in range(n)], ingest.REQUEST), i)
+        sizes.append(r.store.read().count())
+    assert sizes == [3, 5, 6, 5]  # the bound is crossed, then not, then a sweep is due
+    tally = tallies.retention_tally(r.prunes(), F.lit(60_001), 5, 1_000_000).first()
+    assert tally["total_pruned"] == 3 and tally["retained"] == 5 and tally["last"]["before"] == 7 and tuple(tally["configured"]) == (5, 1_000_000)
+    assert sum(x["n"] for x in tally["timeline"]) == 3
+    assert tallies.since_start(r.prunes(), 50_000, "at_ms").count() == 1
+
+
+def test_read_routes(spark):
+    from pulsefold.plans import routes
+
+    assert routes.parameters("/events?type=a&type=b&since=&x=%20y") == ("/events", {"type": "a", "since": "", "x": " y"})
+    lines = [json.dumps(event("crash", reason="oom", timestamp=i, platform="linux" if i % 2 else "mac")) for i in range(10)] + ["torn{", "7"]
+    log = ndjson.parsed(spark.createDataFrame(list(enumerate(lines)), "seq long, value string"), F.col("seq"))
+    outcomes = spark.createDataFrame([(1, 50, "8", None, 415, "old", False, 0), (2, 60, "11", "k", 202, None, True, 0), (3, 5, "7", None, 415, "before", False, 0)], routes._EMPTY_OUTCOMES)
+    state = routes.State(started_at=8, version="v1", outcomes=outcomes)
+    ask = lambda target, method="GET": tuple(routes.answer(spark, log, target, state, 100, method).first())
+    status, body = ask("/summary?platform=linux")
+    whole = json.loads(body)
+    assert status == 200 and (whole["total"], whole["matched"], whole["unreadable"], whole["first_seen"], whole["last_seen"]) == (11, 5, 1, 1, 9)
+    assert (whole["started_at"], whole["read_at"], whole["receiver_version"]) == (8, 100, "v1")
+    live = whole["liveness"]
+    assert (live["last_accepted_at"], live["age_ms"], live["accepted_since_boot"], live["last_rejection_at"], live["rejection_age_ms"], live["mismatched_versions"]) == (9, 91, True, 50, 50, ["8"])
+    assert whole["rejections"]["total"] == 1 and whole["rejections"]["last_reason"] == "old" and whole["deduped"]["total"] == 1 and whole["persist_errors"]["last_seen"] is None
+    assert whole["seen_keys"] == {"configured": {"max_keys": 0, "ttl_ms": 0}, "size": 0} and whole["retention"]["last"] is None
+    assert {x["type"]: x["n"] for x in whole["axes"]["byType"]}["crash"] == 5
+    status, body = ask("/events?limit=2&offset=1&platform=mac")
+    page = json.loads(body)
+    assert status == 200 and [x["timestamp"] for x in page["events"]] == [4, 6] and (page["limit"], page["offset"], page["matched"]) == (2, 1, 5)
+    assert json.loads(ask("/capabilities")[1])["schema_version"] == 11
+    assert ask("/other")[0] == ask("/summary", "POST")[0] == 404 and ask("//[x")[0] == 400
+
+
 def test_store_snapshots(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     assert store.read().count() == 0 and store.prune(0, 5)["rewrote"] is False
