@@ -2,52 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsefold.sources.scratch import shared_folder, written  # noqa: F401
+
 #: A word between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Largest number of rows of a table that is broadcast; the rows are narrow (names and numbers).
 BROADCAST_ROWS = 10_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave it unset."""
-    context = spark.sparkContext
-    held = context._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="pulsefold-")
-    context.setCheckpointDir(folder)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def held(df: DataFrame) -> DataFrame:
     """A narrow table, computed once and kept in the shared folder; its lineage ends here."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """A wide table, written to the shared folder as Parquet and read again; its lineage ends here.
-
-    The files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.parquet(path)
-
-
 def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, marked for broadcast if it has at most `rows` rows; beyond that Spark joins it by a shuffle."""
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df

@@ -135,23 +135,23 @@ def scan(df: DataFrame, text_column: str = "text", templates=TEMPLATES, keep: li
     base = written(base.withColumn("__key", F.when(F.col("__hits").isNotNull(), F.sha2(F.to_json("__hits"), 256))))
     files = base.filter("__hits IS NOT NULL").groupBy(F.col("__key").alias("key")).agg(F.first("__hits").alias("hits"))
     found = aligned(files, weights(base.select(F.col("__known").alias("known")), base.count(), templates))
-    joined = base.join(found.withColumnRenamed("key", "__of"), F.col("__key") == F.col("__of"), "left")
-    hits = F.coalesce("__hits", F.array().cast("array<struct<at:int,word:string>>"))
+    # the others stay out of the join, where their empty keys would meet in one task
+    joined = base.filter("__key IS NOT NULL").join(found.withColumnRenamed("key", "__of"), F.col("__key") == F.col("__of"), "left")
     sure = F.filter(
         F.coalesce("found", F.array().cast("array<struct<template:string,score:double>>")),
         lambda x: _any((x["template"] == label) & (F.size(_stands(F.col("__hits"), tuple(phrase.split()))) > 0) for label, _, phrase, _ in templates),
     )
-    placed = joined.withColumn("__places", _places(hits)).withColumn("__sure", sure)
-    if text_column in new:
-        placed = placed.drop(text_column)
-    return placed.withColumns(
-        {
-            "n_words": F.col("__n"),
-            "places": F.col("__places"),
-            "labels": F.array_sort(F.array_distinct(F.concat(F.col("__places.label"), F.col("__sure.template")))),
-            "score": F.when(F.size("__places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.col("__sure.score")), F.lit(0.0))),
-        }
-    ).select(*[c for c in keep if c not in new], *new)
+    some = joined.withColumn("__places", _places(F.col("__hits"))).withColumn("__sure", sure)
+    labelled = {
+        "n_words": F.col("__n"),
+        "places": F.col("__places"),
+        "labels": F.array_sort(F.array_distinct(F.concat(F.col("__places.label"), F.col("__sure.template")))),
+        "score": F.when(F.size("__places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.col("__sure.score")), F.lit(0.0))),
+    }
+    nothing = {"n_words": F.col("__n"), "places": F.array().cast("array<struct<at:bigint,label:string>>"), "labels": F.array().cast("array<string>"), "score": F.lit(0.0)}
+    columns = [c for c in keep if c not in new]
+    named = lambda rows, made: rows.select(*columns, *[x.alias(c) for c, x in made.items()])
+    return named(some, labelled).unionByName(named(base.filter("__key IS NULL"), nothing))
 
 
 def _any(conditions) -> Column:
