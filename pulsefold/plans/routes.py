@@ -19,9 +19,6 @@ from . import pages, summary, tallies
 SUMMARY_PATH, EVENTS_PATH, CAPABILITIES_PATH = "/summary", "/events", "/capabilities"
 #: Parameters that filter both routes, by the names they have in a query string; `signature` filters events alone.
 _FILTERS = {"type": "type", "platform": "platform", "appVersion": "app_version"}
-_EMPTY_OUTCOMES = "seq long, arrived_at_ms long, declared string, key string, status int, reason string, deduped boolean, accepted int"
-_EMPTY_PRUNES = "at_ms long, before long, after long, pruned long, rewrote boolean"
-_EMPTY_KEYS = "key string, expires_at long, insert_seq long"
 
 
 @dataclass(frozen=True)
@@ -58,8 +55,8 @@ def summary_row(log: DataFrame, state: State, now_ms: int, query: dict[str, str]
     since = parameter_number(query["since"]) if "since" in query else None
     picked = filtered(events, since=since, **{column: query.get(name) for name, column in _FILTERS.items()})
     table = lambda df, schema: spark.createDataFrame([], schema) if df is None else df
-    outcomes = tallies.since_start(table(state.outcomes, _EMPTY_OUTCOMES), state.started_at)
-    prunes = tallies.since_start(table(state.prunes, _EMPTY_PRUNES), state.started_at, "at_ms")
+    outcomes = tallies.since_start(table(state.outcomes, tallies.OUTCOME), state.started_at)
+    prunes = tallies.since_start(table(state.prunes, tallies.PRUNE), state.started_at, "at_ms")
     now = F.lit(now_ms)
     counts = unreadable(log).crossJoin(picked.agg(F.count("*").alias("matched"), F.min("instant").alias("first_seen"), F.max("instant").alias("last_seen")))
     blocks = {
@@ -68,7 +65,7 @@ def summary_row(log: DataFrame, state: State, now_ms: int, query: dict[str, str]
         "persist_errors": tallies.persist_tally(outcomes, now),
         "retention": tallies.retention_tally(prunes, now, state.max_rows, state.max_age_ms),
         "deduped": tallies.dedup_tally(outcomes, now),
-        "seen_keys": tallies.seen_key_tally(table(state.live_keys, _EMPTY_KEYS), *((0, 0) if state.live_keys is None else (MAX_KEYS, TTL_MS))),
+        "seen_keys": tallies.seen_key_tally(table(state.live_keys, tallies.ENTRY), *((0, 0) if state.live_keys is None else (MAX_KEYS, TTL_MS))),
         "axes": summary.document(picked, now_ms).agg(F.map_from_entries(F.collect_list(F.struct("axis", F.parse_json("rows")))).alias("axes")),
     }
     out = counts

@@ -17,6 +17,11 @@ from pulsefold.operators.repeats import MAX_KEYS, TTL_MS
 #: Statuses that count as rejections, and the cap of declared versions (fixed values).
 REJECTED, VERSION_CAP = (400, 401, 404, 413, 415, 422), 32
 
+#: Columns of an outcome, of a prune, and of a live key, as they are kept for the tallies.
+OUTCOME = "seq long, arrived_at_ms long, declared string, key string, status int, reason string, deduped boolean, accepted int"
+PRUNE = "at_ms long, before long, after long, pruned long, rewrote boolean"
+ENTRY = "key string, expires_at long, insert_seq long"
+
 
 def since_start(outcomes: DataFrame, started_at: int, instant: str = "arrived_at_ms") -> DataFrame:
     return outcomes.filter(F.col(instant) >= started_at)

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pulsefold.operators.repeats import live_keys
 from pulsefold.plans.ingest import REQUEST, Settings, admitted, live_entries, log_rows, not_stored
+from pulsefold.plans.tallies import ENTRY, OUTCOME, PRUNE
 from pulsefold.sources.store import Store
 
 
@@ -18,11 +19,6 @@ def request_stream(spark: SparkSession, folder: str, files: int = 100) -> DataFr
     return spark.readStream.schema(REQUEST).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-#: Columns of an outcome and of a prune that are kept for the tallies.
-OUTCOME = "seq long, arrived_at_ms long, declared string, key string, status int, reason string, deduped boolean, accepted int"
-PRUNE = "at_ms long, before long, after long, pruned long, rewrote boolean"
-
-
 class Receiver:
     """Admits micro-batches, and keeps the store within its bounds.
 
@@ -51,10 +47,9 @@ class Receiver:
         if self._there(keys_at):
             return
         before = f"{self.folder}/keys/batch={number - 1}"
-        schema = "key string, expires_at long, insert_seq long"
         if number and not self._there(before):
             raise ValueError(f"the keys of batch {number - 1} are not there")
-        seen = self.spark.read.schema(schema).parquet(before) if number else self.spark.createDataFrame([], schema)
+        seen = self.spark.read.schema(ENTRY).parquet(before) if number else self.spark.createDataFrame([], ENTRY)
         seen = seen.filter((F.length("key") > 0) & F.col("expires_at").isNotNull())
         outcomes = admitted(requests, seen, self.settings).persist()
         try:

@@ -310,7 +310,7 @@ def test_read_routes(spark):
     assert routes.parameters("/events?type=a&type=b&since=&x=%20y") == ("/events", {"type": "a", "since": "", "x": " y"})
     lines = [json.dumps(event("crash", reason="oom", timestamp=i, platform="linux" if i % 2 else "mac")) for i in range(10)] + ["torn{", "7"]
     log = ndjson.parsed(spark.createDataFrame(list(enumerate(lines)), "seq long, value string"), F.col("seq"))
-    outcomes = spark.createDataFrame([(1, 50, "8", None, 415, "old", False, 0), (2, 60, "11", "k", 202, None, True, 0), (3, 5, "7", None, 415, "before", False, 0)], routes._EMPTY_OUTCOMES)
+    outcomes = spark.createDataFrame([(1, 50, "8", None, 415, "old", False, 0), (2, 60, "11", "k", 202, None, True, 0), (3, 5, "7", None, 415, "before", False, 0)], tallies.OUTCOME)
     state = routes.State(started_at=8, version="v1", outcomes=outcomes)
     ask = lambda target, method="GET": tuple(routes.answer(spark, log, target, state, 100, method).first())
     status, body = ask("/summary?platform=linux")
