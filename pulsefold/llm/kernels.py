@@ -71,8 +71,8 @@ class Texts:
         return mixed((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(_U))
 
 
-def texts_of(strings: pa.Array) -> Iterator[tuple[int, int, Texts]]:
-    """(first, last, Texts) for runs of rows of about CHUNK bytes; a null counts as the empty text."""
+def texts_of(strings: pa.Array, chunk: int | None = None) -> Iterator[tuple[int, int, Texts]]:
+    """(first, last, Texts) for runs of rows of about `chunk` (CHUNK) bytes; a null counts as the empty text."""
     strings = pc.fill_null(strings.combine_chunks() if isinstance(strings, pa.ChunkedArray) else strings, "").cast(pa.large_string())
     if not len(strings):
         return
@@ -80,7 +80,7 @@ def texts_of(strings: pa.Array) -> Iterator[tuple[int, int, Texts]]:
     data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)
     first = 0
     while first < len(strings):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + (chunk or CHUNK), "right")) - 1)
         bounds = offsets[first : last + 1] - offsets[first]
         part = data[offsets[first] : offsets[last]]
         yield first, last, _split(part, bounds)

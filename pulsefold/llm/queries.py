@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import WORD, spread, written
-from . import chat, decontaminate, langid, licenses, lm, mixing, neardup, quality, secrets, urls
+from . import chat, decontaminate, langid, licenses, lm, mixing, neardup, packed, quality, secrets, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -97,6 +97,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+#: File of the tokenizer of op11, and the id that ends a document.
+TOKENIZER, END_ID = "word_bpe_49k.json", 2
+
+
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    done = packed.write(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(TOKENIZER), end_id=END_ID)
+    return packed.read(spark, done.folder).select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), "ids_crc32")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_decontaminate": op2_decontaminate,
@@ -108,6 +119,7 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_lm_score": op9_lm_score,
     "op10_url_filter": op10_url_filter,
+    "op11_token_ids": op11_token_ids,
 }
 
 ORACLES = {
