@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import WORD, spread, written
-from . import chat, decontaminate, divergence, langid, licenses, lm, mixing, neardup, packed, quality, secrets, urls
+from . import chat, decontaminate, divergence, langid, licenses, lm, mixing, neardup, packed, quality, secrets, spelling, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -108,6 +108,10 @@ def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.read(spark, done.folder).select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), "ids_crc32")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents", "text", "lang", "source"))
 
@@ -124,10 +128,12 @@ QUERIES = {
     "op9_lm_score": op9_lm_score,
     "op10_url_filter": op10_url_filter,
     "op11_token_ids": op11_token_ids,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES = {
+    "op12_spelling_variants": spelling.ORACLE,
     "op13_source_divergence": divergence.ORACLE,
     "op9_lm_score": lm.ORACLE,
     "op4_chat_format": chat.ORACLE,
