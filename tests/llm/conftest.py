@@ -44,7 +44,7 @@ def none(spark):
 
 
 #: Names that results of the operators use, as extra columns of their input.
-CLASHES = ("n_words", "size", "target", "taken", "copies", "spans", "base_spans", "class_id", "labels", "places", "score", "kept", "base_failed", "lang_pred", "accepted", "rule", "verdict", "host", "path", "key", "id", "hash", "bands", "element", "item_id", "word", "cut", "budget")
+CLASHES = ("n_words", "size", "target", "taken", "copies", "spans", "base_spans", "class_id", "labels", "places", "score", "kept", "base_failed", "lang_pred", "accepted", "rule", "verdict", "host", "path", "key", "id", "hash", "bands", "element", "item_id", "word", "cut", "budget", "term", "form", "root", "n", "near", "part", "item", "value", "rank", "start", "ids", "tie", "chunk", "counts")
 
 
 @pytest.fixture
