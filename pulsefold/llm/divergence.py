@@ -1,20 +1,22 @@
 """Divergence of sources: how far the term probabilities of each source of a language are from the others' and from the language's.
 
 Each task counts the terms of its texts by group, which is a language and a source, and in how many documents of the
-group a term stands. Terms in enough documents of a language are kept and dealt to ranges of (language, term), so a
-range holds its kept terms sorted. It is cut into chunks of CHUNK terms; in a chunk a term's id is its
-place in the sorted array (searchsorted), and the counts of a source are one dense vector by id (bincount). Ids follow the order of UTF-8, in a
-chunk and from chunk to chunk, so sums run over dense vectors and ties go to the lower id. All arithmetic is in whole numbers.
+group a term stands. Terms in enough documents of a language are kept, sorted by ranges and numbered: a term's id is
+its place among the language's terms. CHUNK ids make a chunk, in which a term is found by searchsorted in the sorted ids,
+and the counts of a source are one dense vector (bincount). Ids follow the order of UTF-8, so sums run over dense vectors
+and ties go to the lower id. All arithmetic is in whole numbers.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import text_of, written
+from .base import small_or_plain, text_of, written
 from .kernels import texts_of
 from .terms import runs, wide_letters
 
@@ -87,41 +89,30 @@ def term_counts(df: DataFrame, least: int = LEAST_DOCUMENTS, text_column: str =
     return all_.filter((F.col("term") == "") | (F.col("in_lang") >= least)).select("lang", "source", "term", "n", (F.col("source") == F.col("least")).alias("first"))
 
 
-def _vectors(size: int):
-    """(lang, chunk, source, counts), and for each chunk a row of its terms, of rows sorted by lang and term."""
-
-    def made(lang: str, part: str, rows: list[tuple]) -> pa.RecordBatch:
-        column = pa.array([r[0] for r in rows], pa.string())
-        terms = np.array(list(dict.fromkeys(r[0] for r in rows)), object)  # sorted by UTF-8, as the rows are
-        raw = np.array([x.encode() for x in terms], object)
-        ids = np.searchsorted(raw, np.array([x.encode() for x in column.to_pylist()], object))
-        sources = list(dict.fromkeys(r[1] for r in rows))
-        at = {s: i for i, s in enumerate(sources)}
-        own, n = np.array([at[r[1]] for r in rows]), np.array([r[2] for r in rows], np.int64)
-        where = own * len(terms) + ids
-        # high and low halves apart: bincount adds up doubles
-        dense = np.bincount(where, n >> 26, len(sources) * len(terms)).astype(np.int64) << 26
-        dense += np.bincount(where, n & (1 << 26) - 1, len(sources) * len(terms)).astype(np.int64)
-        k = len(sources) + 1
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * k), pa.array([part] * k), pa.array([None, *sources], pa.string()), pa.array([None, *dense.reshape(len(sources), -1).tolist()], pa.list_(pa.int64())), pa.array([terms.tolist()] + [None] * (k - 1), pa.list_(pa.string()))],
-            names=["lang", "chunk", "source", "counts", "terms"],
-        )
-
-    def run(batches):
-        lang, rows, terms = None, [], 0
-        for batch in batches:
-            for x, term, source, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "term", "source", "n")), strict=True):
-                new = not rows or term != rows[-1][0]
-                if rows and (x != lang or (new and terms == size)):
-                    yield made(lang, rows[0][0], rows)
-                    rows, terms, new = [], 0, True
-                lang, terms = x, terms + new
-                rows.append((term, source, n))
-        if rows:
-            yield made(lang, rows[0][0], rows)
-
-    return run
+def _numbered(batches):
+    """(lang, part, place, term, source, n) of batches sorted by lang and term: place counts the terms of the partition, part names it."""
+    part, place, last = TaskContext.get().partitionId(), -1, (None, None)
+    for batch in batches:
+        if not len(batch):
+            continue
+        lang, term = batch.column("lang"), batch.column("term")
+        new = np.ones(len(batch), bool)
+        new[0] = (lang[0].as_py(), term[0].as_py()) != last
+        if len(batch) > 1:
+            new[1:] = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1])).to_numpy(zero_copy_only=False)
+        places = place + np.cumsum(new)
+        place, last = int(places[-1]), (lang[-1].as_py(), term[-1].as_py())
+        yield pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(batch), part)), pa.array(places), term, batch.column("source"), batch.column("n")], names=["lang", "part", "place", "term", "source", "n"])
+
+
+def numbered(counts: DataFrame) -> DataFrame:
+    """`counts` (lang, term, source, n) with id: the place of the term, from 0, among all terms of the language in the order of UTF-8."""
+    dealt = counts.select("lang", "term", "source", "n").repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
+    rows = written(dealt.mapInArrow(_numbered, "lang string, part long, place long, term string, source string, n long"))
+    parts = rows.groupBy("lang", "part").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.min("term").alias("least"))
+    before = F.sum(F.col("high") - F.col("low") + 1).over(Window.partitionBy("lang").orderBy("least").rowsBetween(Window.unboundedPreceding, -1))
+    shift = parts.select("lang", "part", (F.coalesce(before, F.lit(0)) - F.col("low")).alias("shift"))  # a row per language and task
+    return rows.join(small_or_plain(shift), ["lang", "part"]).select("lang", (F.col("place") + F.col("shift")).alias("id"), "term", "source", "n")
 
 
 def _p(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -136,18 +127,23 @@ def _p(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 
 def _compared(top: int):
-    """The parts of a chunk: its rows have all sources of the language with their totals, counts where they have any, and the terms."""
+    """The parts of a chunk: rows of all sources of the language with their totals, and rows with the counts (source, id, term, n)."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = [r for r in table.to_pylist() if r["terms"] is None]
-        terms = next(r["terms"] for r in table.to_pylist() if r["terms"] is not None)
-        rows.sort(key=lambda r: r["source"].encode())
-        width = len(terms)
-        counts = np.array([r["counts"] or [0] * width for r in rows], np.int64)
-        kept = rows[0]["v"]
-        totals = np.array([r["total"] for r in rows], np.int64) + SMOOTHING * kept
-        p = _p(counts + SMOOTHING, np.maximum(totals, 1)[:, None])
-        q = _p(counts.sum(0) + SMOOTHING, np.int64(max(1, sum(r["total"] for r in rows) + SMOOTHING * kept)))
+        own = sorted(table.filter(pc.is_valid(table["total"])).select(["source", "total", "v"]).to_pylist(), key=lambda r: r["source"].encode())
+        names, v = [r["source"] for r in own], own[0]["v"]
+        found = table.filter(pc.is_valid(table["n"])).combine_chunks()
+        ids = found["id"].to_numpy()
+        kept, first = np.unique(ids, return_index=True)
+        terms = found["term"].take(pa.array(first)).to_pylist()
+        where = pc.index_in(found["source"], pa.array(names)).to_numpy() * len(kept) + np.searchsorted(kept, ids)
+        n, size = found["n"].to_numpy(), len(names) * len(kept)
+        # high and low halves apart: bincount adds up doubles
+        dense = (np.bincount(where, n >> 26, size).astype(np.int64) << 26) + np.bincount(where, n & (1 << 26) - 1, size).astype(np.int64)
+        counts = dense.reshape(len(names), -1)
+        totals = np.array([r["total"] for r in own], np.int64) + SMOOTHING * v
+        p = _p(counts + SMOOTHING, totals[:, None])
+        q = _p(counts.sum(0) + SMOOTHING, np.int64(sum(r["total"] for r in own) + SMOOTHING * v))
         out: dict[str, list] = {c: [] for c in ("source", "part", "item", "value")}
 
         def add(source: str, part: str, items: list[str], values: list[int]) -> None:
@@ -156,16 +152,15 @@ def _compared(top: int):
             out["item"] += items
             out["value"] += values
 
-        names = [r["source"] for r in rows]
         for i, name in enumerate(names):
             apart = np.abs(p - p[i]).sum(1)
             others = [j for j in range(len(names)) if j != i]
             add(name, "pair", [names[j] for j in others], apart[others].tolist())
             some = np.flatnonzero((counts[i] > 0) & (p[i] > q))
-            far = p[i][some] - q[some]
-            best = some[np.lexsort((some, -far))[:top]]
+            best = some[np.lexsort((some, q[some] - p[i][some]))[:top]]
             add(name, "term", [terms[j] for j in best], (p[i][best] - q[best]).tolist())
-        return pa.table({"lang": pa.array([rows[0]["lang"]] * len(out["source"]), pa.string())} | {c: pa.array(x, pa.int64() if c == "value" else pa.string()) for c, x in out.items()})
+        lang = pa.array([table["lang"][0].as_py()] * len(out["source"]), pa.string())
+        return pa.table({"lang": lang} | {c: pa.array(x, pa.int64() if c == "value" else pa.string()) for c, x in out.items()})
 
     return run
 
@@ -185,14 +180,12 @@ def audit(df: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP, chunk: in
     groups = counts.groupBy("lang", "source").agg(F.sum("n").alias("kept_n"), F.count_if(F.col("first") & (F.col("term") != "")).alias("v"))
     groups = groups.withColumn("total", F.col("kept_n")).withColumn("v", F.sum("v").over(Window.partitionBy("lang"))).select("lang", "source", "total", "v")
     groups = written(groups)
-    kept = counts.filter("term <> ''").select("lang", "term", "source", "n")
-    dealt = kept.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term", "source")
-    vectors = written(dealt.mapInArrow(_vectors(chunk), "lang string, chunk string, source string, counts array<bigint>, terms array<string>"))
-    names = vectors.filter("terms IS NOT NULL").select("lang", "chunk", F.lit(None).cast("string").alias("source"), F.lit(None).cast("bigint").alias("total"), F.lit(None).cast("bigint").alias("v"), F.lit(None).cast("array<bigint>").alias("counts"), "terms")
-    every = groups.join(names.select("lang", "chunk"), "lang")
-    filled = every.join(vectors.filter("terms IS NULL").drop("terms"), ["lang", "chunk", "source"], "left")
-    whole = filled.select("lang", "chunk", "source", "total", "v", "counts", F.lit(None).cast("array<string>").alias("terms")).unionByName(names)
-    parts = written(whole.groupBy("lang", "chunk").applyInArrow(_compared(top), "lang string, source string, part string, item string, value long"))
+    found = written(numbered(counts.filter("term <> ''")).withColumn("chunk", F.floor(F.col("id") / chunk)))
+    none = {c: F.lit(None).cast(t) for c, t in (("id", "long"), ("term", "string"), ("n", "long"), ("total", "long"), ("v", "long"))}
+    every = groups.join(found.select("lang", "chunk").distinct(), "lang")
+    columns = ["lang", "chunk", "source", *none]
+    rows = every.withColumns({c: none[c] for c in ("id", "term", "n")}).select(*columns).unionByName(found.withColumns({c: none[c] for c in ("total", "v")}).select(*columns))
+    parts = written(rows.groupBy("lang", "chunk").applyInArrow(_compared(top), "lang string, source string, part string, item string, value long"))
     others = groups.select("lang", "source").join(groups.select("lang", F.col("source").alias("item")), "lang").filter("source <> item").withColumn("value", F.lit(0).cast("bigint"))
     pairs = parts.filter("part = 'pair'").select("lang", "source", "item", "value").unionByName(others).groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).withColumn("part", F.lit("pair"))
     both = pairs.unionByName(parts.filter("part = 'term'"), allowMissingColumns=True)
