@@ -39,13 +39,16 @@ def bounded_histogram(
     return named.groupBy(*partition, F.col("__key").alias(key)).agg(*[merge[how](n).alias(n) for n, (_, how) in aggregates.items()])
 
 
-def top_k(df: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+def top_k(df: DataFrame, keys: Sequence[str], k: int, count: Column | None = None) -> DataFrame:
     """(keys..., n): the k most frequent combinations of the keys, ties by the keys in order. A null first key counts nowhere.
 
+    `count` is an aggregate that says how many rows a group stands for (default: as many as it has).
+
     Null keys go after the aggregation: a filter on the key would be pushed below the expression that makes it and
     evaluate that twice.
     """
-    return df.groupBy(*keys).agg(F.count(keys[0]).alias("n")).filter("n > 0").orderBy(F.col("n").desc(), *keys).limit(k)
+    n = F.count(keys[0]) if count is None else F.when(F.count(keys[0]) > 0, count).otherwise(0)
+    return df.groupBy(*keys).agg(n.alias("n")).filter("n > 0").orderBy(F.col("n").desc(), *keys).limit(k)
 
 
 def bucket_index(value: Column, boundaries: Sequence[float]) -> Column:

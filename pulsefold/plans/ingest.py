@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsefold.functions import validation
 from pulsefold.functions import variant as V
+from pulsefold.functions.target import parts
 from pulsefold.operators.repeats import TTL_MS, accepted_arrivals, unseen
 
 #: Columns of a request.
@@ -27,8 +28,6 @@ class Settings:
     ttl_ms: int = TTL_MS
 
 
-#: Targets that name no resource: two slashes, then no host, or one with characters that no host has.
-_NO_TARGET = r"^[/\\\\]{2,}(?:[^/\\\\?#@]*@)?(?:\[(?![0-9a-fA-F:.]+\])|[^/\\\\?#\[]*[\s<>^|%\]]|(?::\d*)?(?:[/\\\\?#]|\z))"
 #: What is told of a refusal, by status and, for the two kinds of 400, by gate.
 REASONS = {401: "no or another token", 404: "no such route", 415: "schema version not accepted", 413: "body too large", 422: "batch not valid", 503: "events not stored"}
 NO_TARGET, NO_BATCH = "request target not readable", "body is no batch"
@@ -58,11 +57,11 @@ def judged(requests: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     versions = sorted({*settings.accepted, validation.VERSION})
     read = requests.withColumn("declared", header(VERSION_HEADER)).withColumn("key", header(KEY_HEADER))
-    read = read.withColumn("path", F.regexp_extract("target", r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?[/\\\\]{2,}[^/\\\\?#]*)?([^?#]*)", 1)).withColumn("parsed", V.parse_strict(F.decode("body", "UTF-8")))
+    read = read.withColumn("path", parts(F.col("target"))["path"]).withColumn("parsed", V.parse_strict(F.decode("body", "UTF-8")))
     read = read.withColumn("events", F.when(V.is_object(F.col("parsed")), V.elements(V.field(F.col("parsed"), "events"))))
     valid = F.forall("events", lambda e: validation.is_valid(e, F.col("declared").cast("int")))
     token = F.regexp_extract(F.coalesce(header("authorization"), F.lit("")), r"(?i)^Bearer\s+(\S+)\s*\z", 1)
-    no_target = F.col("target").isNull() | F.col("target").rlike(_NO_TARGET)
+    no_target = F.col("path").isNull()
     gates: list[tuple[int, Column]] = [(401, token != settings.token)] if settings.token else []
     gates += [
         (400, no_target),

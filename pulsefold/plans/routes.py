@@ -1,19 +1,22 @@
-"""The read routes: a request target and the receiver's tables in, one row with status and JSON body out."""
+"""The read routes: a request target and the receiver's store in, one row with status and JSON body out."""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
-from urllib.parse import parse_qsl, urlsplit
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsefold.functions.numbers import parameter_number
+from pulsefold.functions.target import parameters
 from pulsefold.operators.repeats import MAX_KEYS, TTL_MS
 from pulsefold.sources.ndjson import filtered, typed, unreadable
-from pulsefold.sources.scratch import written
+from pulsefold.sources.scratch import temporary
+from pulsefold.sources.store import Snapshot
 
-from . import pages, summary, tallies
+from . import body, pages, summary, tallies
 
 #: Paths of the routes (fixed values).
 SUMMARY_PATH, EVENTS_PATH, CAPABILITIES_PATH = "/summary", "/events", "/capabilities"
@@ -35,63 +38,83 @@ class State:
     max_age_ms: int = 0
 
 
-def parameters(target: str) -> tuple[str, dict[str, str]]:
-    """(path, parameters) of a request target; of a repeated parameter the first value counts."""
-    parts = urlsplit(target)
-    out: dict[str, str] = {}
-    for name, value in parse_qsl(parts.query, keep_blank_values=True):
-        out.setdefault(name, value)
-    return parts.path, out
+def version_of(path: str) -> str | None:
+    """The `version` of a JSON file, if it is a text that is not empty; null whatever else is wrong."""
+    try:
+        version = json.loads(Path(path).read_text()).get("version")
+    except (OSError, ValueError, AttributeError):
+        return None
+    return version if isinstance(version, str) and version else None
+
 
+def _tables(parts: DataFrame) -> dict[str, list[dict]]:
+    """The rows of each axis; all axes have a bounded number of rows."""
+    return {r["axis"]: json.loads(r["rows"]) for r in parts.collect()}
 
-def summary_row(log: DataFrame, state: State, now_ms: int, query: dict[str, str] | None = None) -> DataFrame:
-    """One row: the summary of the log's events that the query picks, with the receiver's state.
 
-    `log` is a parsed log. Its typed events are written to the shared folder once, and every axis reads them there.
-    total, last_accepted_at, the tallies and unreadable are of the whole log and receiver, whatever the query picks.
+def summary_body(log: DataFrame | Snapshot, state: State, now_ms: int, query: dict[str, str] | None = None) -> dict:
+    """The summary of the log's events that the query picks, with the receiver's state.
+
+    `log` is a version of the store, or a parsed log, whose typed events are then written once and removed with the answer. Of a
+    version, axes of labels come from the parts' rollups unless `since` is asked for, and no event is read for them.
+    total, liveness, the tallies and unreadable are of the whole log and receiver, whatever the query picks.
     """
-    spark, query = log.sparkSession, query or {}
-    events = written(typed(log))
+    query = query or {}
     since = parameter_number(query["since"]) if "since" in query else None
-    picked = filtered(events, since=since, **{column: query.get(name) for name, column in _FILTERS.items()})
+    bounded = since is not None and abs(since) < float("inf")
+    chosen = {column: query.get(name) for name, column in _FILTERS.items()}
+    if isinstance(log, Snapshot):
+        labels = None if bounded else log.rollup(**chosen)
+        tables = _tables(summary.document(log.events(since, **chosen), now_ms, labels))
+        counts, last = {"total": log.total, "unreadable": log.unreadable}, log.last_instant
+        spark = log.spark
+    else:
+        spark = log.sparkSession
+        counts = unreadable(log).first().asDict()
+        with temporary(typed(log)) as events:
+            tables = _tables(summary.document(filtered(events, since=since, **chosen), now_ms))
+            last = events.agg(F.max("instant")).first()[0]
     table = lambda df, schema: spark.createDataFrame([], schema) if df is None else df
     outcomes = tallies.since_start(table(state.outcomes, tallies.OUTCOME), state.started_at)
     prunes = tallies.since_start(table(state.prunes, tallies.PRUNE), state.started_at, "at_ms")
     now = F.lit(now_ms)
-    counts = unreadable(log).crossJoin(picked.agg(F.count("*").alias("matched"), F.min("instant").alias("first_seen"), F.max("instant").alias("last_seen")))
     blocks = {
-        "liveness": tallies.liveness_row(events.agg(F.max("instant").alias("last_accepted_at")), outcomes, F.lit(state.started_at), now),
+        "liveness": tallies.liveness_row(spark.createDataFrame([(last,)], "last_accepted_at double"), outcomes, F.lit(state.started_at), now),
         "rejections": tallies.rejection_tally(outcomes, now),
         "persist_errors": tallies.persist_tally(outcomes, now),
         "retention": tallies.retention_tally(prunes, now, state.max_rows, state.max_age_ms),
         "deduped": tallies.dedup_tally(outcomes, now),
         "seen_keys": tallies.seen_key_tally(table(state.live_keys, tallies.ENTRY), *((0, 0) if state.live_keys is None else (MAX_KEYS, TTL_MS))),
-        "axes": summary.document(picked, now_ms).agg(F.map_from_entries(F.collect_list(F.struct("axis", F.parse_json("rows")))).alias("axes")),
     }
-    out = counts
-    for name, block in blocks.items():  # each side is one row
-        out = out.crossJoin(block if name == "axes" else block.select(F.struct(*block.columns).alias(name)))
-    return out.withColumns({"started_at": F.lit(state.started_at), "read_at": now, "receiver_version": F.lit(state.version).cast("string")})
-
-
-def sent(df: DataFrame) -> DataFrame:
-    """(status, body): the one row of `df` as a JSON object; nulls stay members."""
-    return df.select(F.lit(200).alias("status"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("body"))
-
-
-def answer(spark: SparkSession, log: DataFrame, target: str, state: State, now_ms: int, method: str = "GET") -> DataFrame:
-    """(status, body) for a GET of the summary, of a page of events, or of what is accepted; 400 and 404 else."""
-    refused = lambda status: spark.createDataFrame([(status, None)], "status int, body string")
-    try:
-        path, query = parameters(target)
-    except ValueError:
-        return refused(400)
-    if method == "GET" and path == SUMMARY_PATH:
-        return sent(summary_row(log, state, now_ms, query))
-    if method == "GET" and path == EVENTS_PATH:
-        filters = {column: query.get(name) for name, column in (_FILTERS | {"signature": "signature"}).items()}
-        page = pages.page(log, query.get("limit"), query.get("offset"), query.get("since"), **filters)
-        return sent(page.withColumn("events", F.transform("events", F.parse_json)))
+    rows = None
+    for name, block in blocks.items():  # one row each
+        row = block.select(F.lit(name).alias("name"), F.to_json(F.struct(*block.columns)).alias("row"))
+        rows = row if rows is None else rows.unionByName(row)
+    matched = sum(r["n"] for r in tables["matched"])
+    own = {"total": counts["total"], "matched": matched, "unreadable": counts["unreadable"], "startedAt": state.started_at, "readAt": now_ms, "receiverVersion": state.version}
+    return body.axes(tables, now_ms) | own | body.tallies({r["name"]: json.loads(r["row"]) for r in rows.collect()})
+
+
+def page_body(log: DataFrame | Snapshot, query: dict[str, str]) -> dict:
+    filters = {column: query.get(name) for name, column in (_FILTERS | {"signature": "signature"}).items()}
+    page = pages.page(log, query.get("limit"), query.get("offset"), query.get("since"), **filters).first()
+    return {"events": [json.loads(e) for e in page["events"]], **{c: page[c] for c in ("total", "matched", "limit", "offset")}}
+
+
+def answer(spark: SparkSession, log: DataFrame | Snapshot, target: str, state: State, now_ms: int, method: str = "GET") -> DataFrame:
+    """(status, body) for a GET of the summary, of a page of events, or of what is accepted; 400 and 404 else, and 500 with the reason if the log can't be read."""
+    told = lambda status, what: spark.createDataFrame([(status, body.encoded(what))], "status int, body string")
+    parts = parameters(spark, target)
+    if parts is None:
+        return told(400, {"error": "invalid request-target"})
+    path, query = parts
+    for own, name, make in ((SUMMARY_PATH, "summary", lambda: summary_body(log, state, now_ms, query)), (EVENTS_PATH, "events", lambda: page_body(log, query))):
+        if method == "GET" and path == own:
+            try:
+                return told(200, make())
+            except Exception as e:  # whatever keeps the log from being read, who asks is told
+                return told(500, {"error": f"could not read {name}: {str(e).splitlines()[0] if str(e) else type(e).__name__}"})
     if method == "GET" and path == CAPABILITIES_PATH:
-        return sent(pages.capabilities(spark, state.needs_token))
-    return refused(404)
+        own = pages.capabilities(spark, state.needs_token).first()
+        return told(200, {"schemaVersion": own["schema_version"], "acceptedSchemaVersions": own["accepted_versions"], "authRequired": own["auth"]})
+    return told(404, {"error": "not found"})

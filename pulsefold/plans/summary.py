@@ -16,20 +16,33 @@ from pulsefold.operators.histogram import OVERFLOW, bounded_histogram, bucket_pe
 AXIS_CAP, OPERATION_CAP, FEATURE_CAP, RELEASE_CAP, NAME_CAP, SCALE_CAP, TOP = 10, 129, 64, 64, 200, 4, 10
 
 
+def _is_rollup(events: DataFrame) -> bool:
+    return "weight" in events.columns
+
+
+def _n(events: DataFrame) -> Column:
+    """How many events the rows stand for: of a rollup, the sum of their weights."""
+    return F.coalesce(F.sum("weight"), F.lit(0)) if _is_rollup(events) else F.count("*")
+
+
+def _first_last(events: DataFrame) -> tuple[Column, Column]:
+    return (F.min("low_instant"), F.max("high_instant")) if _is_rollup(events) else (F.min("instant"), F.max("instant"))
+
+
 def by_type(events: DataFrame) -> DataFrame:
     """(type, n) for every known type."""
-    counts = events.groupBy("type").agg(F.count("*").alias("n"))
+    counts = events.groupBy("type").agg(_n(events).alias("n"))
     return events.sparkSession.createDataFrame([(t,) for t in INTRODUCED], "type string").join(counts, "type", "left").select("type", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def axis(events: DataFrame, column: str, cap: int = AXIS_CAP) -> DataFrame:
     """(column, n): a bounded histogram of non-empty texts."""
-    return bounded_histogram(events.withColumn(column, bounded_key(filled(F.col(column)))), column, ["seq"], cap)
+    return bounded_histogram(events.withColumn(column, bounded_key(filled(F.col(column)))), column, ["seq"], cap, {"n": (_n(events), "sum")})
 
 
 def schema_versions(events: DataFrame) -> DataFrame:
     """(schema_version, n): all versions; there is no cap, and nothing is ranked or broadcast."""
-    return events.select(bounded_key(filled(F.col("schema_version"))).alias("schema_version")).filter("schema_version IS NOT NULL").groupBy("schema_version").agg(F.count("*").alias("n"))
+    return events.withColumn("schema_version", bounded_key(filled(F.col("schema_version")))).filter("schema_version IS NOT NULL").groupBy("schema_version").agg(_n(events).alias("n"))
 
 
 def crash_reasons(events: DataFrame) -> DataFrame:
@@ -37,20 +50,23 @@ def crash_reasons(events: DataFrame) -> DataFrame:
 
 
 def top_error_names(events: DataFrame) -> DataFrame:
-    names = events.filter("type = 'error' AND error_name IS NOT NULL").select(bounded_key(F.col("error_name")).alias("name"))
-    return top_k(names, ["name"], TOP)
+    names = events.filter("type = 'error' AND error_name IS NOT NULL").withColumn("name", bounded_key(F.col("error_name")))
+    return top_k(names, ["name"], TOP, _n(events))
 
 
 def top_signatures(events: DataFrame) -> DataFrame:
-    return top_k(events.select(bounded_key(F.col("signature")).alias("signature"), "type"), ["signature", "type"], TOP)
+    return top_k(events.withColumn("signature", bounded_key(F.col("signature"))), ["signature", "type"], TOP, _n(events))
 
 
 def seen(events: DataFrame) -> DataFrame:
-    return events.agg(F.min("instant").alias("first_seen"), F.max("instant").alias("last_seen"))
+    first, last = _first_last(events)
+    return events.agg(first.alias("first_seen"), last.alias("last_seen"))
 
 
-def _stats(value: Column) -> dict[str, tuple[Column, str]]:
-    v = when_finite(value)
+def _stats(events: DataFrame) -> dict[str, tuple[Column, str]]:
+    if _is_rollup(events):
+        return {"n": (_n(events), "sum"), "low": (F.min("lag_low"), "min"), "high": (F.max("lag_high"), "max"), "total": (F.sum("lag_total"), "sum"), "usable": (F.coalesce(F.sum("lag_n"), F.lit(0)), "sum")}
+    v = when_finite(F.col("lag"))
     return {"n": (F.count("*"), "sum"), "low": (F.min(v), "min"), "high": (F.max(v), "max"), "total": (F.sum(v), "sum"), "usable": (F.count(v), "sum")}
 
 
@@ -60,12 +76,12 @@ def _with_mean(df: DataFrame) -> DataFrame:
 
 def stalls(events: DataFrame) -> DataFrame:
     """(n, low, high, mean) of all stalls; a lag that is not finite counts as a stall alone."""
-    return _with_mean(events.filter("type = 'performance-stall'").agg(*[a.alias(k) for k, (a, _) in _stats(F.col("lag")).items()]))
+    return _with_mean(events.filter("type = 'performance-stall'").agg(*[a.alias(k) for k, (a, _) in _stats(events).items()]))
 
 
 def stalls_by_source(events: DataFrame) -> DataFrame:
     own = events.filter("type = 'performance-stall'").withColumn("source", bounded_key(F.col("source")))
-    return _with_mean(bounded_histogram(own, "source", ["seq"], AXIS_CAP, _stats(F.col("lag"))))
+    return _with_mean(bounded_histogram(own, "source", ["seq"], AXIS_CAP, _stats(events)))
 
 
 def operation_rows(events: DataFrame) -> DataFrame:
@@ -109,7 +125,7 @@ def operations(events: DataFrame) -> DataFrame:
 
 
 def operation_latency(events: DataFrame) -> DataFrame:
-    """(name, n, excluded, boundaries, p50, p95, p99): histograms of one scale added up, the fullest of the first scales reported.
+    """(name, n, excluded, boundaries, buckets, p50, p95, p99): histograms of one scale added up, the fullest of the first scales reported.
 
     Histograms with other boundaries are never added; what they hold, and the scales beyond the cap, is `excluded`.
     """
@@ -126,9 +142,10 @@ def operation_latency(events: DataFrame) -> DataFrame:
     chosen = best.join(everything, "name").select("name", "best.boundaries", F.col("best.held").alias("n"), (F.col("everything") - F.col("best.held")).alias("excluded"))
     sums = usable.join(chosen.select("name", "boundaries"), ["name", "boundaries"]).select("name", "boundaries", F.posexplode("buckets").alias("i", "x"))
     sums = sums.groupBy("name", "boundaries", "i").agg(F.sum("x").alias("x"))
+    listed = sums.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("i", "x")))["x"].alias("buckets"))  # as many as one scale has
     percentiles = bucket_percentiles(sums.withColumn("bound", F.get("boundaries", F.col("i"))), ["name"], "i", "x", "bound")
-    both = names.join(chosen, "name", "left").join(percentiles, "name", "left")
-    return both.select("name", F.coalesce("n", F.lit(0.0)).alias("n"), F.coalesce("excluded", F.lit(0.0)).alias("excluded"), "boundaries", "p50", "p95", "p99")
+    both = names.join(chosen, "name", "left").join(listed, "name", "left").join(percentiles, "name", "left")
+    return both.select("name", F.coalesce("n", F.lit(0.0)).alias("n"), F.coalesce("excluded", F.lit(0.0)).alias("excluded"), "boundaries", "buckets", "p50", "p95", "p99")
 
 
 def workspace_shape(events: DataFrame) -> DataFrame:
@@ -181,6 +198,17 @@ def feature_usage_seen(events: DataFrame) -> DataFrame:
     return feature_usage(events).agg(F.count("*").alias("distinct_count")).crossJoin(last)  # each side is one row
 
 
+def windows(events: DataFrame) -> DataFrame:
+    """(type, windows, last_ended): the events of each type that has windows, and the latest end of one."""
+    own = events.filter(F.col("type").isin("operational-metrics", "workspace-names", "workspace-shape", "feature-usage", "process-memory"))
+    return own.groupBy("type").agg(F.count("*").alias("windows"), F.max(when_finite(V.number(V.field(F.col("event"), "windowEndedAt")))).alias("last_ended"))
+
+
+def matched(events: DataFrame) -> DataFrame:
+    """(n): how many events there are."""
+    return events.agg(_n(events).alias("n"))
+
+
 def generated_shaped(events: DataFrame) -> DataFrame:
     """(distinct_count, considered, generated, share) of the workspace names; the shared one is a name, but not considered."""
     names = workspace_names(events)
@@ -219,7 +247,8 @@ def operation_rejections(events: DataFrame) -> DataFrame:
 
 def releases(events: DataFrame) -> DataFrame:
     own = events.withColumn("release", bounded_key(filled(F.col("app_version"))))
-    return bounded_histogram(own, "release", ["seq"], RELEASE_CAP, {"n": (F.count("*"), "sum"), "first_seen": (F.min("instant"), "min"), "last_seen": (F.max("instant"), "max")})
+    first, last = _first_last(events)
+    return bounded_histogram(own, "release", ["seq"], RELEASE_CAP, {"n": (_n(events), "sum"), "first_seen": (first, "min"), "last_seen": (last, "max")})
 
 
 def newest_release(events: DataFrame) -> DataFrame:
@@ -231,7 +260,7 @@ def newest_release(events: DataFrame) -> DataFrame:
 def type_reach(events: DataFrame) -> DataFrame:
     """(type, introduced, eligible, emitted, verdict). The events are counted by version first, so the join meets few rows."""
     dimension = events.sparkSession.createDataFrame(list(INTRODUCED.items()), "type string, introduced int")
-    versions = events.filter(finite(F.col("schema_number"))).groupBy("schema_number").agg(F.count("*").alias("n"))
+    versions = events.filter(finite(F.col("schema_number"))).groupBy("schema_number").agg(_n(events).alias("n"))
     eligible = dimension.join(versions, F.col("schema_number") >= F.col("introduced"), "left").groupBy("type", "introduced").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("eligible"))
     out = eligible.join(by_type(events).withColumnRenamed("n", "emitted"), "type")
     return out.withColumn("verdict", F.when(F.col("emitted") > 0, "emitting").when(F.col("eligible") > 0, "eligible-silent").otherwise("no-eligible-builds"))
@@ -251,19 +280,29 @@ AXES = {
     "byType": by_type, "appVersions": lambda e: axis(e, "app_version"), "platforms": lambda e: axis(e, "platform"), "byRuntime": lambda e: axis(e, "runtime"), "schemaVersions": schema_versions,
     "crashReasons": crash_reasons, "topErrorNames": top_error_names, "topSignatures": top_signatures, "seen": seen, "stalls": stalls, "stallsBySource": stalls_by_source, "operations": operations, "operationLatency": operation_latency,
     "workspaceShape": workspace_shape, "workspaceShapeSeen": workspace_shape_seen, "workspaceNames": workspace_names, "generatedShaped": generated_shaped, "workspaceLatest": workspace_latest, "featureUsage": feature_usage, "featureUsageSeen": feature_usage_seen, "processMemory": process_memory, "operationRejections": operation_rejections,
-    "releases": releases, "newestRelease": newest_release, "typeReach": type_reach,
+    "releases": releases, "newestRelease": newest_release, "typeReach": type_reach, "windows": windows, "matched": matched,
 }
 
 
-def document(events: DataFrame, now_ms: int) -> DataFrame:
+#: Axes that read labels alone: a rollup gives them as well as the events do.
+LABEL_AXES = ("byType", "appVersions", "platforms", "byRuntime", "schemaVersions", "crashReasons", "topErrorNames", "topSignatures", "seen", "stalls", "stallsBySource", "releases", "newestRelease", "typeReach", "matched")
+
+
+def axes(events: DataFrame, now_ms: int, labels: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Every axis by name. `labels`, a rollup of the same events, spares LABEL_AXES the events; timelines read the days they show."""
+    tables = {name: make(labels if labels is not None and name in LABEL_AXES else events) for name, make in AXES.items()}
+    recent = events.filter(F.col("day") >= (now_ms - grid.WINDOW_MS) // 86_400_000) if "day" in events.columns else events
+    return tables | {"timeline": timeline(recent, now_ms), "stallsTimeline": stalls_timeline(recent, now_ms)}
+
+
+def document(events: DataFrame, now_ms: int, labels: DataFrame | None = None) -> DataFrame:
     """(axis, rows): the axes of the events, each as a JSON list of its rows.
 
-    Each axis reads `events` anew, so `events` should be a written table of parsed events and not the text of the log.
+    Each axis reads `events` anew, so `events` should be a table of typed events and not the text of the log.
     The rows of an axis are bounded by its cap; those of schemaVersions by the versions that senders made up.
     """
-    tables = {name: make(events) for name, make in AXES.items()} | {"timeline": timeline(events, now_ms), "stallsTimeline": stalls_timeline(events, now_ms)}
     out = None
-    for name, table in tables.items():
+    for name, table in axes(events, now_ms, labels).items():
         part = table.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*table.columns)))).alias("rows")).select(F.lit(name).alias("axis"), "rows")
         out = part if out is None else out.unionByName(part)
     return out

@@ -9,17 +9,39 @@ from pyspark.sql import functions as F
 from pulsefold.functions import variant as V
 from pulsefold.functions.keys import effective_instant, filled, frame_place, signature
 
+from .ledger import Files
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value): the lines of the log; a log that is not there is empty."""
+    """(value): the lines of the log, a file or a folder of them; a log that is not there is empty."""
     try:
-        return spark.read.text(path)
+        return spark.read.option("recursiveFileLookup", "true").text(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "value string")
 
 
+def ordered_lines(spark: SparkSession, path: str, first: int = 0) -> DataFrame:
+    """(seq, value): the lines of the log, numbered from `first` by the order of the files' paths, then of the lines.
+
+    A line's number is its place in its block of a file and the lines of all blocks before, so it is the same however many tasks
+    read the files. The counts of the blocks go to the driver, which plans a task for each of them anyway.
+    """
+    lines = read_lines(spark, path)
+    if not lines.inputFiles():
+        return lines.select(F.lit(0).cast("long").alias("seq"), "value")
+    where = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
+    placed = lines.select("value", *where, F.monotonically_increasing_id().alias("place"))
+    blocks = placed.groupBy("path", "block").agg(F.min("place").alias("least"), F.count("*").alias("n")).collect()
+    shifts, before = [], first
+    for b in sorted(blocks, key=lambda b: (b["path"], b["block"])):
+        shifts.append((b["path"], b["block"], before - b["least"]))
+        before += b["n"]
+    shift = spark.createDataFrame(shifts, "path string, block long, shift long")
+    return placed.join(shift, ["path", "block"]).select((F.col("place") + F.col("shift")).alias("seq"), "value")
+
+
 def parsed(lines: DataFrame, order: Column | None = None) -> DataFrame:
     """(seq, value, event): blank lines are left out; event is null where a line is not one JSON value.
 
@@ -88,5 +110,11 @@ def filtered(events: DataFrame, type: str | None = None, since: float | None = N
 
 
 def write_lines(log: DataFrame, path: str) -> None:
-    """Append the events to the log, one JSON text per line."""
-    log.filter(F.col("event").isNotNull()).select(F.to_json("event").alias("value")).write.mode("append").text(path)
+    """Append the events to the log, one JSON text per line, in the order of their `seq`.
+
+    Each append is a folder of its own below `path`, and its files have ranges of `seq`, so `ordered_lines` reads the log in order.
+    """
+    spark = log.sparkSession
+    number = sum(n.startswith("append-") for n in Files(spark, path).listed(""))
+    events = log.filter(F.col("event").isNotNull()).select("seq", F.to_json("event").alias("value"))
+    events.repartitionByRange("seq").sortWithinPartitions("seq").select("value").write.text(f"{path}/append-{number:012d}")

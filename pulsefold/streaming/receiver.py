@@ -1,8 +1,9 @@
-"""The receiver as a stream: request files in, events appended to the store, outcomes kept for the tallies."""
+"""The receiver as a stream: request files in; events, outcomes and live keys out, in one version of the store for each batch."""
 
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from pulsefold.plans.ingest import REQUEST, Settings, admitted, live_entries, lo
 from pulsefold.plans.tallies import ENTRY, OUTCOME, PRUNE
 from pulsefold.sources.store import Store
 
+from .maintenance import Maintenance
+
 
 def request_stream(spark: SparkSession, folder: str, files: int = 100) -> DataFrame:
     """Requests from Parquet files as they arrive; the number of files in a micro-batch is bounded."""
@@ -22,79 +25,70 @@ def request_stream(spark: SparkSession, folder: str, files: int = 100) -> DataFr
 class Receiver:
     """Admits micro-batches, and keeps the store within its bounds.
 
-    A micro-batch writes three things under its number: its events, as a part of the store, its outcomes, and the
-    keys that are live after it. Each replaces what an earlier run of the batch left, and the keys come last: with them
-    the batch is done, and a further run does nothing. So a run that ends between any two steps is made good by the next
-    one, and events enter the log once. If the events can't be written, the batch's requests are told so (503).
+    A micro-batch writes its events, its outcomes and the keys that are live after it as files of their own, and commits all three
+    by one version under its number. Until then no reader sees any of them, and a further run of a committed batch
+    does nothing; so a run that ends between any two steps leaves no row, and the next one begins anew. If the events can't be written,
+    the batch's requests are told so (503), and none of them is stored.
 
-    Retention runs after a batch once `max_rows` events were appended since it last ran, or, where there is an age
-    bound, once `sweep_ms` went by; its reports are kept as a prune log. A failed one changes nothing and is not told.
+    Retention is `maintenance`: it runs after a batch if it is due, and by its own timer (`start_maintenance`) without traffic, too.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings = Settings(), max_rows: int = 0, max_age_ms: int = 0, sweep_ms: int = 300_000) -> None:
+    def __init__(self, spark: SparkSession, folder: str, settings: Settings = Settings(), max_rows: int = 0, max_age_ms: int = 0, sweep_ms: int = 300_000, debounce_ms: int = 0) -> None:
         self.spark, self.folder, self.settings = spark, folder, settings
-        self.max_rows, self.max_age_ms, self.sweep_ms = max_rows, max_age_ms, sweep_ms
-        self.store = Store(spark, f"{folder}/events")
+        self.store = Store(spark, folder)
         self.started_at = int(time.time() * 1000)
-        self._appended, self._swept_at = 0, None
-
-    def _there(self, path: str) -> bool:
-        fs, p = self.store._fs(f"{path}/_SUCCESS")
-        return fs.exists(p)
+        self.maintenance = Maintenance(self.store, max_rows, max_age_ms, sweep_ms, debounce_ms)
 
     def batch(self, requests: DataFrame, number: int) -> None:
-        outcomes_at, keys_at = f"{self.folder}/outcomes/batch={number}", f"{self.folder}/keys/batch={number}"
-        if self._there(keys_at):
+        before = self.store.snapshot()
+        done = before.manifest["batch"]
+        if number <= done:
             return
-        before = f"{self.folder}/keys/batch={number - 1}"
-        if number and not self._there(before):
+        if number != done + 1:
             raise ValueError(f"the keys of batch {number - 1} are not there")
-        seen = self.spark.read.schema(ENTRY).parquet(before) if number else self.spark.createDataFrame([], ENTRY)
-        seen = seen.filter((F.length("key") > 0) & F.col("expires_at").isNotNull())
+        seen = before.keys(ENTRY).filter((F.length("key") > 0) & F.col("expires_at").isNotNull())
         outcomes = admitted(requests, seen, self.settings).persist()
+        written: list[str] = []
+        part = None
         try:
             rows = log_rows(outcomes)
             told = outcomes
             try:
-                self.store.append(rows.select((F.shiftleft(F.col("request"), 16) + F.col("position")).alias("seq"), "instant", "value"), number)
+                part = self.store.part(rows.select((F.shiftleft(F.col("request"), 16) + F.col("position")).alias("seq"), "value"))
             except Exception:  # whatever kept the events from the log, their senders keep them
                 told = not_stored(outcomes)
-            told.select(*[c.split(" ")[0] for c in OUTCOME.split(", ")]).write.mode("overwrite").parquet(outcomes_at)
-            now, appended = told.agg(F.max("arrived_at_ms"), F.sum("accepted")).first()
-            live_keys(seen.unionByName(live_entries(told, self.settings.ttl_ms)), now or 0).write.mode("overwrite").parquet(keys_at)
-            self._retain(now or 0, appended or 0, number)
+            now, first, count = told.agg(F.max("arrived_at_ms"), F.min("arrived_at_ms"), F.count("*")).first()
+            written.append(self.store.write(told.select(*[c.split(" ")[0] for c in OUTCOME.split(", ")]), "outcomes"))
+            keys = live_keys(seen.unionByName(live_entries(told, self.settings.ttl_ms)), now or 0)
+            written.append(self.store.write(keys, "keys"))
+            self.store.commit(part, number, now or 0, self.maintenance.max_rows, {"path": written[0], "rows": count, "last_ms": now}, {"path": written[1]})
+        except BaseException:
+            for path in written:
+                self.store.files.remove(path)
+            if part:
+                self.store.drop(part)
+            raise
         finally:
             outcomes.unpersist()
-
-    def _retain(self, now: int, appended: int, number: int) -> None:
-        self._appended += appended
-        self._swept_at = now if self._swept_at is None else self._swept_at
-        swept = self.max_age_ms > 0 and now - self._swept_at >= self.sweep_ms
-        if not swept and not (self.max_rows > 0 and self._appended >= self.max_rows):
-            return
-        self._appended, self._swept_at = 0, now
-        try:
-            report = self.store.prune(now, self.max_rows, self.max_age_ms, number)
-        except Exception:  # the old snapshot stays whole, and the next run tries again
-            return
-        row = self.spark.createDataFrame([(now, *(report[c] for c in ("before", "after", "pruned", "rewrote")))], PRUNE)
-        row.write.mode("overwrite").parquet(f"{self.folder}/prunes/batch={number}")
+        self.maintenance.tick(now or 0)
 
     def start(self, requests: DataFrame, available_now: bool = False) -> StreamingQuery:
         writer = requests.writeStream.foreachBatch(self.batch).option("checkpointLocation", f"{self.folder}/checkpoint")
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
 
-    def _kept(self, name: str, schema: str) -> DataFrame:
-        fs, p = self.store._fs(f"{self.folder}/{name}")
-        read = self.spark.read.schema(schema).option("recursiveFileLookup", "true")
-        return read.parquet(f"{self.folder}/{name}") if fs.exists(p) else self.spark.createDataFrame([], schema)
+    def start_maintenance(self, every: str = "5 seconds", grace_ms: int = 3_600_000) -> StreamingQuery:
+        """Retention and cleaning by a timer of their own."""
+        return self.maintenance.start(f"{self.folder}/timer-{uuid.uuid4().hex}", every, grace_ms, self.started_at)
 
     def outcomes(self) -> DataFrame:
-        return self._kept("outcomes", OUTCOME)
+        return self.store.snapshot().outcomes(OUTCOME)
 
     def prunes(self) -> DataFrame:
-        return self._kept("prunes", PRUNE)
+        return self.store.snapshot().prunes(PRUNE)
 
     def live(self, number: int) -> DataFrame:
-        """The keys that are live after batch `number`."""
-        return self.spark.read.parquet(f"{self.folder}/keys/batch={number}")
+        """The keys that are live after batch `number`, the last one."""
+        at = self.store.snapshot()
+        if at.manifest["batch"] != number:
+            raise ValueError(f"the last batch is {at.manifest['batch']}")
+        return at.keys(ENTRY)

@@ -232,7 +232,7 @@ def test_admission_and_log(spark):
 
 
 def test_targets_that_name_nothing(spark):
-    targets = {"//": 400, "///x": 400, "//?a": 400, "//:80/ingest": 400, "//a b/ingest": 400, "//[x/ingest": 400, None: 400, "": 404, "//host/ingest": 202, "//[::1]:8/ingest": 202, "http://h/ingest?x": 202, "/ingest#f": 202, "/ingest/": 404, "/a//b": 404}
+    targets = {"//": 400, "///x": 404, "//?a": 400, "//:80/ingest": 400, "//a b/ingest": 400, "//[x/ingest": 400, None: 400, "": 404, "//host/ingest": 202, "//[::1]:8/ingest": 202, "http://h/ingest?x": 202, "/ingest#f": 202, "/ingest/": 404, "/a//b": 404}
     df = spark.createDataFrame([request(i, [], target=t) for i, t in enumerate(targets)], ingest.REQUEST)
     rows = {r["seq"]: r for r in ingest.judged(df).collect()}
     assert [rows[i]["status"] for i in range(len(targets))] == list(targets.values())
@@ -246,8 +246,8 @@ def test_numbered_appends_count_once(spark, tmp_path):
         store.append(rows(10 * number, 10 * number + 10), number)
     store.append(rows(20, 22))
     assert store.read().count() == 22
-    assert store.prune(0, 15, number=1)["after"] == 15
-    store.append(rows(10, 20), 1)  # a snapshot has taken it in
+    assert store.prune(0, 15)["after"] == 15
+    store.append(rows(10, 20), 1)  # a version has taken it in
     store.append(rows(30, 31), 2)
     assert sorted(r["seq"] for r in store.read().collect()) == [*range(7, 22), 30]
 
@@ -257,19 +257,35 @@ class Stop(Exception):
 
 
 def test_a_batch_that_broke_off_anywhere_is_made_good(spark, tmp_path, monkeypatch):
-    """The run ends after the events, or after the outcomes; the next run of the batch leaves all of it once."""
+    """Whatever step a run ends at, no row of it shows, no file of it stays, and the next run of the batch stores all of it once."""
     from pulsefold.streaming import receiver as module
 
     e = VALID["crash"]
     batch = spark.createDataFrame([request(0, [e, e], "a", 1000), request(1, [e], "a", 1500), request(2, [e], "b", 2000)], ingest.REQUEST)
-    for i, name in enumerate(("live_entries", "live_keys")):
-        r = Receiver(spark, str(tmp_path / f"r{i}"))
+    stop = lambda *a, **k: (_ for _ in ()).throw(Stop())
+
+    def after(kind, write):
+        return lambda table, k: stop() if k == kind else write(table, k)
+
+    def unnamed(r, what):
+        return [n for n in r.store.files.listed(what) if n.startswith("part=")]
+
+    for step in ("admitted", "log_rows", "live_entries", "live_keys", "outcomes", "keys", "commit", "create"):
+        r = Receiver(spark, str(tmp_path / step))
         with monkeypatch.context() as m:
-            m.setattr(module, name, lambda *a: (_ for _ in ()).throw(Stop()))
+            if step in ("outcomes", "keys"):
+                m.setattr(r.store, "write", after(step, r.store.write))
+            elif step == "commit":
+                m.setattr(r.store, step, stop)
+            elif step == "create":
+                m.setattr(r.store.files, step, stop)
+            else:
+                m.setattr(module, step, stop)
             with pytest.raises(Stop):
                 r.batch(batch, 0)
-        assert r.store.read().count() == 3
-        again = Receiver(spark, str(tmp_path / f"r{i}"))
+        assert r.store.read().count() == r.outcomes().count() == 0
+        assert not any(unnamed(r, kind) for kind in ("events", "rollups", "outcomes", "keys")), step
+        again = Receiver(spark, str(tmp_path / step))
         again.batch(batch, 0)
         again.batch(batch, 0)
         assert again.store.read().count() == 3 and again.outcomes().count() == 3
@@ -282,8 +298,9 @@ def test_events_that_cannot_be_stored(spark, tmp_path, monkeypatch):
     r = Receiver(spark, str(tmp_path / "r"))
     e = VALID["crash"]
     batch = spark.createDataFrame([request(0, [e], "a", 1000), request(1, [{}], "b", 1001)], ingest.REQUEST)
-    monkeypatch.setattr(r.store, "append", lambda *a: (_ for _ in ()).throw(OSError()))
+    monkeypatch.setattr(r.store, "part", lambda *a: (_ for _ in ()).throw(OSError()))
     r.batch(batch, 0)
+    assert r.store.read().count() == 0
     assert {x["seq"]: x["status"] for x in r.outcomes().collect()} == {0: 503, 1: 422}
     assert r.live(0).count() == 0
     tally = tallies.persist_tally(r.outcomes(), F.lit(5000)).first()
@@ -307,7 +324,7 @@ def test_retention_runs_with_the_receiver(spark, tmp_path):
 def test_read_routes(spark):
     from pulsefold.plans import routes
 
-    assert routes.parameters("/events?type=a&type=b&since=&x=%20y") == ("/events", {"type": "a", "since": "", "x": " y"})
+    assert routes.parameters(spark, "/events?type=a&type=b&since=&x=%20y") == ("/events", {"type": "a", "since": "", "x": " y"})
     lines = [json.dumps(event("crash", reason="oom", timestamp=i, platform="linux" if i % 2 else "mac")) for i in range(10)] + ["torn{", "7"]
     log = ndjson.parsed(spark.createDataFrame(list(enumerate(lines)), "seq long, value string"), F.col("seq"))
     outcomes = spark.createDataFrame([(1, 50, "8", None, 415, "old", False, 0), (2, 60, "11", "k", 202, None, True, 0), (3, 5, "7", None, 415, "before", False, 0)], tallies.OUTCOME)
@@ -315,17 +332,18 @@ def test_read_routes(spark):
     ask = lambda target, method="GET": tuple(routes.answer(spark, log, target, state, 100, method).first())
     status, body = ask("/summary?platform=linux")
     whole = json.loads(body)
-    assert status == 200 and (whole["total"], whole["matched"], whole["unreadable"], whole["first_seen"], whole["last_seen"]) == (11, 5, 1, 1, 9)
-    assert (whole["started_at"], whole["read_at"], whole["receiver_version"]) == (8, 100, "v1")
+    assert status == 200 and (whole["total"], whole["matched"], whole["unreadable"], whole["firstSeen"], whole["lastSeen"]) == (11, 5, 1, 1, 9)
+    assert (whole["startedAt"], whole["readAt"], whole["receiverVersion"]) == (8, 100, "v1")
     live = whole["liveness"]
-    assert (live["last_accepted_at"], live["age_ms"], live["accepted_since_boot"], live["last_rejection_at"], live["rejection_age_ms"], live["mismatched_versions"]) == (9, 91, True, 50, 50, ["8"])
-    assert whole["rejections"]["total"] == 1 and whole["rejections"]["last_reason"] == "old" and whole["deduped"]["total"] == 1 and whole["persist_errors"]["last_seen"] is None
-    assert whole["seen_keys"] == {"configured": {"max_keys": 0, "ttl_ms": 0}, "size": 0} and whole["retention"]["last"] is None
-    assert {x["type"]: x["n"] for x in whole["axes"]["byType"]}["crash"] == 5
+    assert live == {"lastAcceptedAt": 9, "ageSinceLastAcceptedMs": 91, "acceptedSinceBoot": True, "lastRejectionAt": 50, "ageSinceLastRejectionMs": 50, "mismatchedDeclaredVersions": ["8"]}
+    assert whole["rejections"]["total"] == 1 and whole["rejections"]["lastReason"] == "old" and whole["rejections"]["byDeclaredVersion"] == {"8": 1} and whole["deduped"]["total"] == 1 and whole["persistErrors"]["lastSeen"] is None
+    assert whole["seenKeys"] == {"configured": {"maxKeys": 0, "ttlMs": 0}, "size": 0} and whole["retention"]["last"] is None
+    assert whole["byType"]["crash"] == 5 and whole["platforms"] == {"linux": 5} and whole["topSignatures"] == [{"signature": "crash:oom", "type": "crash", "count": 5}]
+    assert whole["workspaceShape"]["counts"]["chats"] == {"windowsSeen": 0, "min": None, "avg": 0, "max": None} and whole["timeline"]["bucketMs"] == 1_800_000
     status, body = ask("/events?limit=2&offset=1&platform=mac")
     page = json.loads(body)
     assert status == 200 and [x["timestamp"] for x in page["events"]] == [4, 6] and (page["limit"], page["offset"], page["matched"]) == (2, 1, 5)
-    assert json.loads(ask("/capabilities")[1])["schema_version"] == 11
+    assert json.loads(ask("/capabilities")[1]) == {"schemaVersion": 11, "acceptedSchemaVersions": [9, 10, 11], "authRequired": False}
     assert ask("/other")[0] == ask("/summary", "POST")[0] == 404 and ask("//[x")[0] == 400
 
 
