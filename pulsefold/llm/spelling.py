@@ -28,8 +28,8 @@ from .terms import latin_letters, runs
 LEAST_LENGTH, LEAST_COUNT, FACTOR, CUT_ONE_IN = 7, 2, 10, 31
 #: Code points that a subtree's words share, and words of a subtree beyond which it is opened.
 DEPTH, SUBTREE = 3, 100_000
-#: Words that a task counts before it hands them on.
-HELD = 1 << 19
+#: Words that a task counts before it hands them on, and words of subtrees that it walks down together.
+HELD, TOGETHER = 1 << 17, 1 << 14
 
 
 # words
@@ -160,7 +160,7 @@ def near_in(block: np.ndarray, chars: np.ndarray, start: np.ndarray, length: np.
         above, depth = level, depth + 1
 
 
-def _near(limit: int):
+def _near(together: int = TOGETHER):
     """(word, near, near_n), both ways, of batches (side, depth, block, key, word, n) sorted by side, depth, block and key."""
 
     def joined(rows: list[tuple]):
@@ -186,7 +186,7 @@ def _near(limit: int):
         for batch in batches:
             for side, depth, block, key, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (side, depth, block) != last:
-                    if len(rows) >= limit:
+                    if len(rows) >= together:
                         yield from joined(rows)
                         rows = []
                     number, last = number + 1, (side, depth, block)
@@ -239,7 +239,7 @@ def near_words(words: DataFrame, limit: int = SUBTREE) -> DataFrame:
         open_ = opened.filter(F.length("key") > F.col("depth")).withColumn("depth", F.col("depth") + 1).withColumn("block", block)
     order = ["side", "depth", "block"]
     dealt = settled.select(*order, "key", "word", "n").repartition(*order).sortWithinPartitions(*order, "key")
-    near = dealt.mapInArrow(_near(limit), "word string, near string, near_n long")
+    near = dealt.mapInArrow(_near(), "word string, near string, near_n long")
     return near if cuts is None else near.unionByName(_matched(cuts))
 
 
