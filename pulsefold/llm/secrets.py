@@ -3,17 +3,22 @@
 Each long token is taken as a string over the alphabet of the encoding it seems to have. Three tests ask if it
 could be uniformly random: chi-squared over equal bins of the alphabet, Wald-Wolfowitz runs above and below the
 middle, and the lag-1 serial correlation. The least of the three p-values, corrected for their number, is the
-token's. It is uniform for random tokens and very small for ordinary text, so within each class of encoding and length
-the tokens above NULL_FROM tell how many random ones there are (Storey's estimate), and of all tokens from a bound
-up the share that they can't explain is the share of false alarms. The lowest bound that keeps it within RATE separates
-secrets from text, if a token is long enough to carry MIN_BITS.
+token's. It is uniform for random tokens and very small for ordinary text, the smaller the longer a token is.
+
+A token of MIN_BITS is a secret if its p-value is above a bound, LEAST_P or a higher one. Which one is told by the p-values in its class of
+encoding and length: from those above some level follows how many random tokens there are at most (Storey's estimate,
+raised by a standard error, by two for small classes), and the share of the tokens above the bound that they don't explain, the share of false alarms, must not
+exceed RATE. A class of fewer than OWN such tokens says little about itself, so small classes are taken together: a class's share is
+blended, by numbers of tokens, with that of the small classes of its encoding, that one with all small classes', and that with a prior by which
+what no test can tell from random is random. So a lone secret is found whatever else a corpus holds, and a class in which many ordinary
+tokens look random gets a higher bound or none, and hides no other's secrets.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import starts_of, text_of
@@ -37,8 +42,12 @@ ENCODINGS = (
     ("base64", r"^[0-9A-Za-z+/]+\z", _DIGITS + _LOWER + _UPPER + "+/"),
     ("base64url", "", _DIGITS + _LOWER + _UPPER + "-_+/"),
 )
-#: Information that a secret carries at least, the share of false alarms, and the p-value (a bin from 0) from which on only random tokens are counted.
-MIN_BITS, RATE, NULL_FROM = 96.0, 0.05, 6
+#: Information that a secret carries at least, the share of false alarms, and the least p-value of a secret.
+MIN_BITS, RATE, LEAST_P = 96.0, 0.05, 1e-3
+#: Levels of p above which tokens are counted to estimate the random ones, as bins.
+LEVELS = (2, 6, 14, 26)
+#: Tokens above LEAST_P from which on a class is judged by itself, those by which a smaller one leans on the others, and those by which all lean on the prior.
+OWN, LEAN, PRIOR = 50, 50.0, 20.0
 #: Bins of -log10(p): their number per decade and in all; classes of length are powers of two up to this one.
 PER_DECADE, BINS, LENGTH_CLASSES = 20, 400, 12
 
@@ -101,11 +110,18 @@ def _battery(token: Column) -> Column:
         low = n - high
         # the bins hold k/bins codes each, as nearly as whole codes allow; the expected counts follow the exact widths
         first = lambda j: F.ceil(j * x["k"] / x["bins"])
-        chi = F.aggregate(
-            F.sequence(F.lit(0), x["bins"] - 1),
-            F.lit(0.0),
-            lambda s, j: s + F.pow(F.size(F.filter(x["codes"], lambda c: F.floor(c * x["bins"] / x["k"]) == j)), F.lit(2)) / (n * (first(j + 1) - first(j)) / k),
-        ) - n
+        width = lambda j: (first(j + 1) - first(j)).cast("double")
+        # sorted bins are counted in one fold
+        placed = F.array_sort(F.transform(x["codes"], lambda c: F.floor(c * x["bins"] / x["k"]).cast("int")))
+        squares = F.aggregate(
+            placed,
+            F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("c"), F.lit(0.0).alias("s")),
+            lambda s, j: F.when(s["at"] == j, F.struct(s["at"].alias("at"), (s["c"] + 1).alias("c"), s["s"].alias("s"))).otherwise(
+                F.struct(j.alias("at"), F.lit(1.0).alias("c"), (s["s"] + s["c"] * s["c"] / width(s["at"])).alias("s"))
+            ),
+            lambda s: s["s"] + s["c"] * s["c"] / width(s["at"]),
+        )
+        chi = squares * k / n - n
         pairs = F.zip_with(F.slice(x["codes"], F.lit(1), x["n"] - 1), F.slice(x["codes"], F.lit(2), x["n"] - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         runs = 1 + F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.when((p["a"] * 2 >= x["k"]) != (p["b"] * 2 >= x["k"]), 1.0).otherwise(0.0))
         mean = (k - 1) / 2
@@ -138,20 +154,57 @@ def tokens(df: DataFrame, text_column: str = "text") -> DataFrame:
     return df.withColumn("__tokens", tested).drop("__m_random", "__s_random")
 
 
+def _random(counts: dict[int, int], upto: int, errors: float) -> float:
+    """Of tokens by bin, how many up to bin `upto` are random at most, by the uniform p-values of random ones and so many standard errors."""
+    most = math.inf
+    for level in LEVELS:
+        below = 10 ** (-level / PER_DECADE)
+        sure = sum(n for b, n in counts.items() if b < level)
+        most = min(most, (sure + below + errors * math.sqrt((sure + 1) * below)) / (1 - below))
+    return most * (1 - 10 ** (-(upto + 1) / PER_DECADE))
+
+
+def bounds(counts: dict[tuple[int, int], int], rate: float = RATE) -> dict[int, int]:
+    """For each class of encoding and length in `counts` (tokens by class and bin) the bin up to which tokens are secrets; classes without one are left out."""
+    last = round(-math.log10(LEAST_P) * PER_DECADE) - 1
+    classes: dict[int, dict[int, int]] = {}
+    for (c, b), n in counts.items():
+        classes.setdefault(c, {})[b] = n
+    small = {c for c, own in classes.items() if sum(n for b, n in own.items() if b <= last) < OWN}
+    encodings: dict[int, dict[int, int]] = {}
+    every: dict[int, int] = {}
+    for c in small:
+        group = encodings.setdefault(c // (LENGTH_CLASSES + 1), {})
+        for b, n in classes[c].items():
+            group[b] = group.get(b, 0) + n
+            every[b] = every.get(b, 0) + n
+
+    def blended(own: dict[int, int], upto: int, lean: float, other: float) -> float:
+        """The share of random tokens up to a bin; 1 of none."""
+        total = sum(n for b, n in own.items() if b <= upto)
+        return (min(total, _random(own, upto, 2.0 if lean else 1.0)) + lean * other) / (total + lean) if total + lean else 1.0
+
+    out = {}
+    for c, own in classes.items():
+        for upto in range(last, -1, -1):
+            if c in small:
+                encoding = blended(encodings[c // (LENGTH_CLASSES + 1)], upto, LEAN, blended(every, upto, PRIOR, 1.0))
+                share = blended(own, upto, LEAN, encoding)
+            else:
+                share = blended(own, upto, 0.0, 1.0)
+            if 1 - share <= rate:
+                out[c] = upto
+                break
+    return out
+
+
 def alarm_bins(df: DataFrame, rate: float = RATE) -> dict[int, int]:
-    """For each class of encoding and length, the bin up to which tokens are alarms; classes without one are left out.
+    """`bounds` of the tokens of `df`, the outcome of `tokens`.
 
-    `df` is the outcome of `tokens`. The p-values of all tokens are counted by bin, so the table has BINS + 1 rows
-    per class at most, and a row per class goes to the driver: as many as there are encodings and length classes.
+    A count for each class and bin goes to the driver: BINS + 1 for each pair of an encoding and a class of length, at most.
     """
-    counts = df.select(F.explode("__tokens").alias("t")).groupBy("t.class", "t.bin").agg(F.count("*").alias("n"))
-    by_class = Window.partitionBy("class")
-    sure = F.coalesce(F.sum(F.when(F.col("bin") < NULL_FROM, F.col("n"))).over(by_class), F.lit(0))
-    low = lambda b: F.pow(F.lit(10.0), -b / PER_DECADE)  # noqa: E731  the least p-value of bins before b
-    random = sure / (1 - 10 ** (-NULL_FROM / PER_DECADE)) * (1 - low(F.col("bin") + 1))
-    ranked = counts.withColumn("upto", F.sum("n").over(by_class.orderBy("bin"))).withColumn("random", F.least(random, F.col("upto")))
-    rows = ranked.filter(1 - F.col("random") / F.col("upto") <= rate).groupBy("class").agg(F.max("bin").alias("bin")).collect()
-    return {r["class"]: r["bin"] for r in rows}
+    counts = df.select(F.explode("__tokens").alias("t")).groupBy(F.col("t.class").alias("class"), F.col("t.bin").alias("bin")).agg(F.count("*").alias("n")).collect()
+    return bounds({(r["class"], r["bin"]): r["n"] for r in counts}, rate)
 
 
 def scan(df: DataFrame, text_column: str = "text", rate: float = RATE, min_bits: float = MIN_BITS) -> DataFrame:

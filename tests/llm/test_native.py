@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -290,6 +291,48 @@ def test_the_battery_is_that_of_plain_python(spark):
             assert x["bin"] >= 5.9 * secrets.PER_DECADE
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lone_secrets_are_found(spark, seed):
+    """One random token for each encoding and length, among ordinary ones: whether it is found doesn't depend on others of its kind."""
+    r = random.Random(seed)
+    secret = ["".join(r.choice(alphabet) for _ in range(n)) for *_, alphabet in secrets.ENCODINGS for n in (40, 90, 170, 300)]
+    plain = ["".join(w.capitalize() for w in prose(1000 * seed + i, 12).split())[: r.choice([30, 45, 80])] for i in range(80)]
+    plain += ["/".join(prose(5000 * seed + i, 9).split()) for i in range(40)] + ["0" * 40, "ab" * 30, "2024010120240102202401032024010420240105"]
+    rows = [(f"see {t} here",) for t in [*secret, *plain]]
+    found = {x["text"][s["start"] : s["end"]] for x in secrets.scan(spark.createDataFrame(rows, "text string")).collect() for s in x["spans"] if s["kind"] == "random"}
+    assert len(found & set(secret)) >= 0.9 * len(secret)
+    assert len(found - set(secret)) <= 2
+
+
+def test_bounds_by_class():
+    """Simulated p-values: lone random tokens pass, ordinary ones of a class that looks random don't, nor does such a class hide others' secrets."""
+    r = random.Random(3)
+    at = lambda p: min(secrets.BINS, int(-math.log10(max(p, 1e-30)) * secrets.PER_DECADE))
+    missed = kept = alarms = 0
+    for _ in range(60):
+        own = {c: r.random() for c in range(90) if c % 13 in (5, 6, 7, 8)}
+        counts = Counter((c, at(p)) for c, p in own.items())
+        counts.update((5, at(10 ** -r.uniform(0.3, 4))) for _ in range(3000))  # ordinary tokens, some with p from 0.001 to 0.5
+        counts.update((c, at(10 ** -r.uniform(6, 15))) for c in own for _ in range(200))
+        limit = secrets.bounds(counts)
+        missed += sum(at(p) > limit.get(c, -1) for c, p in own.items() if c != 5)
+        kept += sum(c != 5 for c in own)
+        alarms += sum(n for (c, b), n in counts.items() if c == 5 and b <= limit.get(5, -1))
+    assert missed <= 0.02 * kept and alarms <= 60 * 3
+
+
+def test_alarm_bins_are_the_bounds_of_plain_counts(spark):
+    r = random.Random(4)
+    tokens = ["".join(r.choice(r.choice(secrets.ENCODINGS)[2]) for _ in range(r.randint(20, 200))) for _ in range(40)] + ["".join(prose(i, 20).split())[:50] for i in range(40)]
+    df = secrets.tokens(spark.createDataFrame([(" ".join(tokens[i : i + 7]),) for i in range(0, 80, 7)], "text string"))
+    counts = Counter()
+    for t in tokens:
+        which, p = plain_battery(t)
+        counts[which * (secrets.LENGTH_CLASSES + 1) + int(math.log2(len(t))), min(secrets.BINS, int(-math.log10(max(min(p, 1), 1e-30)) * secrets.PER_DECADE))] += 1
+    got, want = secrets.alarm_bins(df), secrets.bounds(counts)
+    assert set(got) == set(want) and all(abs(got[c] - want[c]) <= 1 for c in want)
+
+
 def test_false_alarms_stay_within_the_rate(spark):
     """Of each encoding 400 ordinary tokens and 100 random ones: names in camel case, paths, dates, repeated digits."""
     r = random.Random(23)
