@@ -113,6 +113,11 @@ class Encoder:
         self.by_piece = bool(pieces) and set(changes) <= {"NFC", "Replace", "Lowercase"}
         self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
         self.known: dict[str, bytes] = {}
+        # tokens that end a word; a run of letters is one word, so they tell where each of many runs ends
+        suffix = (spec.get("model") or {}).get("end_of_word_suffix")
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
@@ -149,17 +154,31 @@ class Encoder:
             self.known.clear()
         known = self.known
         new = [p for p in pieces if p not in known]
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
-            made = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(p) + 1 for p in part[:-1])])
-            cut = (np.searchsorted(np.array(made.offsets, np.int64).reshape(-1, 2)[:, 0], starts) * self.kind.itemsize).tolist()
-            raw = np.array(made.ids, self.kind).tobytes()
-            for p, a, b in zip(part, cut, [*cut[1:], len(raw)], strict=True):
-                known[p] = raw[a:b]
+        words, rest = [], []
+        for p in new:
+            (words if p.isascii() and p.isalpha() else rest).append(p)
+        for many, cut_of in ((words, self._by_word), (rest, self._by_offset)):
+            for i in range(0, len(many), 2000):
+                part = many[i : i + 2000]
+                ids, cut = cut_of(part)
+                raw, cut = ids.tobytes(), (cut * self.kind.itemsize).tolist()
+                for p, a, b in zip(part, cut, [*cut[1:], len(raw)], strict=True):
+                    known[p] = raw[a:b]
         return [known[p] for p in pieces]
 
 
+    def _by_word(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, where each piece's begin) of runs of letters."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, np.append(0, ends[:-1])) if len(ends) == len(part) and ends[-1] == len(ids) else self._by_offset(part)
+
+    def _by_offset(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(p) + 1 for p in part[:-1])])
+        return np.array(made.ids, self.kind), np.searchsorted(np.array(made.offsets, np.int64).reshape(-1, 2)[:, 0], starts)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
