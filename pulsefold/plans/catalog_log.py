@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulsefold.functions import validation
 from pulsefold.functions import variant as V
 from pulsefold.operators.histogram import OVERFLOW
+from pulsefold.operators.repeats import live_keys
 from pulsefold.sources import ndjson
 from pulsefold.sources.scratch import written
 
@@ -34,9 +35,23 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ndjson.parsed(synthetic.lines(spark, sf_dir), F.col("seq"))
 
 
+def _shared(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """`make`, whose table is written once for each application and folder."""
+    made: dict[tuple[str, str], DataFrame] = {}
+
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in made:
+            made[key] = written(make(spark, sf_dir))
+        return made[key]
+
+    return get
+
+
+@_shared
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The typed events; written once, as axes read them several times."""
-    return written(ndjson.typed(_log(spark, sf_dir)))
+    """The typed events; axes read them several times."""
+    return ndjson.typed(_log(spark, sf_dir))
 
 
 def _newest(spark: SparkSession, sf_dir: str) -> int:
@@ -69,7 +84,7 @@ def log_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SIGNATURE = """CASE kind WHEN 'error' THEN op || coalesce(' @ ' || nullif(concat_ws(' ', nullif(CASE WHEN k % 5 > 0 THEN 'file' || (k % 3) || '.ts' ELSE '' END || CASE WHEN k % 2 > 0 THEN ':' || k ELSE '' END, ''), CASE WHEN k % 3 > 0 THEN '(f' || (k % 4) || ')' END), ''), '')
   WHEN 'crash' THEN 'crash:r' || (k % 13) || CASE WHEN k % 4 > 0 THEN ':exit=' || (k % 3) ELSE '' END WHEN 'performance-stall' THEN 'stall:s' || (k % 20) END"""
-_RUNTIME = "CASE kind WHEN 'feature-usage' THEN 'renderer' WHEN 'workspace-shape' THEN 'renderer' WHEN 'workspace-names' THEN 'server' ELSE runtime END"
+_RUNTIME = "CASE kind WHEN 'feature-usage' THEN 'renderer' WHEN 'workspace-shape' THEN 'renderer' WHEN 'workspace-names' THEN 'server' WHEN 'server-stall' THEN 'server' ELSE runtime END"
 
 
 @query(f"""SELECT seq, kind AS type, {_RUNTIME} AS runtime, app_version, CAST(schema_version AS VARCHAR) AS schema_version, instant, {_SIGNATURE} AS signature,
@@ -162,12 +177,17 @@ def log_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(summary.operations(_events(spark, sf_dir)), "low", "high", "mean")
 
 
-@query(f"""{_OPERATION}, y AS ({_capped('x', 'op', 129, 'name, sum(n) FILTER (WHERE i = 0) AS a, sum(n) FILTER (WHERE i <= 1) AS b, sum(n) AS n').replace('f AS (', 'SELECT * FROM (WITH f AS (', 1)})),
-z AS (SELECT name, coalesce(a, 0) AS a, coalesce(b, 0) AS b, n FROM y)
-SELECT name, CAST(n AS DOUBLE) AS n, CAST(CASE WHEN n > 0 THEN 2 END AS BIGINT) AS boundaries,
-  {', '.join(f"CASE WHEN n > 0 THEN CASE WHEN a >= ceil(n * {p} / 100.0) THEN 40.0::DOUBLE WHEN b >= ceil(n * {p} / 100.0) THEN 80.0::DOUBLE END END AS p{p}" for p in (50, 95, 99))} FROM z""")
+@query(f"""{_OPERATION}, f AS (SELECT op, row_number() OVER (ORDER BY min(seq)) AS rank FROM x GROUP BY 1),
+c AS (SELECT CASE WHEN rank <= 129 THEN x.op ELSE '{OVERFLOW}' END AS name, k % 10 < 3 AS wide, CASE WHEN k % 10 < 3 THEN least(CAST(floor(mag / 50) AS INTEGER), 1) ELSE i END AS i, n, seq FROM x JOIN f ON x.op = f.op),
+g AS (SELECT name, wide, sum(n) AS held, min(seq) FILTER (WHERE n > 0) AS first, coalesce(sum(n) FILTER (WHERE i = 0), 0) AS a, coalesce(sum(n) FILTER (WHERE i <= 1), 0) AS b FROM c GROUP BY 1, 2),
+h AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY held DESC, first) AS r, sum(held) OVER (PARTITION BY name) AS everything FROM g WHERE held > 0)
+SELECT d.name, CAST(coalesce(held, 0) AS DOUBLE) AS n, CAST(coalesce(everything - held, 0) AS DOUBLE) AS excluded, CAST(CASE WHEN wide THEN 1 WHEN NOT wide THEN 2 END AS BIGINT) AS boundaries, CAST(CASE WHEN wide THEN 2 WHEN NOT wide THEN 3 END AS BIGINT) AS buckets,
+  {', '.join(f"CASE WHEN a >= ceil(held * {p} / 100.0) THEN CASE WHEN wide THEN 50.0::DOUBLE ELSE 40.0::DOUBLE END WHEN NOT wide AND b >= ceil(held * {p} / 100.0) THEN 80.0::DOUBLE END AS p{p}" for p in (50, 95, 99))}
+FROM (SELECT DISTINCT name FROM c) d LEFT JOIN h ON h.name = d.name AND r = 1""")
 def log_operation_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.operation_latency(_events(spark, sf_dir)).select("name", "n", F.when(F.col("boundaries").isNotNull(), F.size("boundaries")).cast("long").alias("boundaries"), "p50", "p95", "p99")
+    """Two scales for each name: the fuller one is reported, the other excluded."""
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("long").alias(c)
+    return summary.operation_latency(_events(spark, sf_dir)).select("name", "n", "excluded", size("boundaries"), size("buckets"), "p50", "p95", "p99")
 
 
 @query("""x AS (SELECT unnest(['workspaces', 'panesOpen', 'panesActive', 'chats', 'peakPanesOpen', 'peakChats']) AS measure, CAST(unnest([k, k % 7, k % 3, k % 5, k % 7 + 1, k % 5 + 2]) AS DOUBLE) AS x FROM l WHERE kind = 'workspace-shape')
@@ -176,7 +196,7 @@ def log_workspace_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(summary.workspace_shape(_events(spark, sf_dir)), "mean")
 
 
-_NAMES = """x AS (SELECT seq, seq * 2 AS place, op AS chat FROM l WHERE kind = 'workspace-names' UNION ALL SELECT seq, seq * 2 + 1, 'n-' || "user" FROM l WHERE kind = 'workspace-names')"""
+_NAMES = """x AS (SELECT seq, seq * 2 AS place, op AS chat FROM l WHERE kind = 'workspace-names' UNION ALL SELECT seq, seq * 2 + 1, chat FROM l WHERE kind = 'workspace-names')"""
 
 
 @query(f"{_NAMES}, {_capped('x', 'chat', 200, 'name, CAST(count(DISTINCT seq) AS BIGINT) AS windows', 'place')}")
@@ -184,7 +204,8 @@ def log_workspace_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.workspace_names(_events(spark, sf_dir))
 
 
-@query(f"{_NAMES} SELECT CAST(least(count(DISTINCT chat), 201) AS BIGINT) AS distinct_count, CAST(least(count(DISTINCT chat), 200) AS BIGINT) AS considered, 0::BIGINT AS generated, 0.0::DOUBLE AS share FROM x")
+@query(f"""{_NAMES}, f AS (SELECT chat, row_number() OVER (ORDER BY min(place)) AS rank FROM x GROUP BY 1), g AS (SELECT count(*) AS names, count(*) FILTER (WHERE rank <= 200) AS considered, count(*) FILTER (WHERE rank <= 200 AND chat LIKE 'chat-%') AS generated FROM f)
+SELECT CAST(least(names, 201) AS BIGINT) AS distinct_count, CAST(considered AS BIGINT) AS considered, CAST(generated AS BIGINT) AS generated, generated::DOUBLE / considered AS share FROM g""")
 def log_generated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.generated_shaped(_events(spark, sf_dir))
 
@@ -226,6 +247,11 @@ def log_operation_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.operation_rejections(_events(spark, sf_dir)).drop("invalid")
 
 
+@query("SELECT platform, CAST(count(*) AS BIGINT) AS n FROM l WHERE platform IS NOT NULL GROUP BY 1")
+def log_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.axis(_events(spark, sf_dir), "platform")
+
+
 @query(_capped("l", "app_version", 64, "name AS release, CAST(count(*) AS BIGINT) AS n, min(instant) AS first_seen, max(instant) AS last_seen"))
 def log_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.releases(_events(spark, sf_dir))
@@ -267,9 +293,10 @@ def event_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("seq", validation.is_valid(V.parse_strict(F.col("value"))).alias("valid"))
 
 
+@_shared
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The outcomes of the requests, written once, as tallies read them several times."""
-    return written(ingest.admitted(synthetic.requests(spark, sf_dir)).select("seq", "arrived_at_ms", "declared", "key", "status", "reason", "deduped", "accepted"))
+    """The outcomes of the requests; tallies read them several times."""
+    return ingest.admitted(synthetic.requests(spark, sf_dir)).select("seq", "arrived_at_ms", "declared", "key", "status", "reason", "deduped", "accepted")
 
 
 _REQUESTS = f"""b AS (SELECT seq // {synthetic.BATCH} AS b, CAST(count(*) AS INTEGER) AS events, bool_or(seq % {synthetic.BATCH} = 3) AS third FROM t GROUP BY 1),
@@ -312,3 +339,28 @@ def liveness_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     accepted = synthetic.rows(spark, sf_dir).agg(F.max("ms").alias("last_accepted_at"))
     row = tallies.liveness_row(accepted, _outcomes(spark, sf_dir), F.lit(1), F.lit(newest + 5000))
     return row.select("last_accepted_at", "age_ms", "accepted_since_boot", "last_rejection_at", F.array_join("mismatched_versions", ",").alias("mismatched"))
+
+
+@query(f"""{_REQUESTS} SELECT seq, CASE WHEN seq % 7 = 3 THEN 401 WHEN status IN (404, 415) OR seq % 29 = 8 THEN status WHEN seq * 10000 > {ingest.MAX_BODY} THEN 413 ELSE status END AS status FROM v""", synthetic.SQL)
+def admission_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A receiver with a token; bodies that say they are too long are refused before they are read."""
+    r = synthetic.requests(spark, sf_dir)
+    more = F.create_map(F.lit("authorization"), F.when(F.col("seq") % 7 == 3, "Bearer other").otherwise("bearer  t0k "), F.lit("Content-Length"), (F.col("seq") * 10_000).cast("string"))
+    return ingest.judged(r.withColumn("headers", F.map_concat("headers", more)), ingest.Settings(token="t0k")).select("seq", "status")
+
+
+@query(f"{_REQUESTS} SELECT seq, CASE WHEN status = 202 AND NOT deduped THEN 503 ELSE status END AS status, 0::INTEGER AS accepted FROM v", synthetic.SQL)
+def not_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.not_stored(_outcomes(spark, sf_dir)).select("seq", "status", "accepted")
+
+
+@query(f"{_REQUESTS} SELECT CAST(count(*) AS BIGINT) AS total, '{ingest.REASONS[503]}' AS last_reason, max(ts) AS last_seen FROM v WHERE status = 202 AND NOT deduped", synthetic.SQL)
+def persist_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tallies.persist_tally(ingest.not_stored(_outcomes(spark, sf_dir)), F.lit(10**9)).select("total", "last_reason", "last_seen")
+
+
+@query(f"{_REQUESTS} SELECT CAST(least(count(*), 10000) AS BIGINT) AS size, 10000 AS max_keys FROM h WHERE taken AND ts + {ingest.TTL_MS} > (SELECT max(ts) FROM v)", synthetic.SQL)
+def seen_key_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = _outcomes(spark, sf_dir)
+    live = live_keys(ingest.live_entries(outcomes), outcomes.agg(F.max("arrived_at_ms")).first()[0])
+    return tallies.seen_key_tally(live).select("size", F.col("configured.max_keys").alias("max_keys"))

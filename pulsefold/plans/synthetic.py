@@ -19,15 +19,18 @@ BATCH = 20
 #: Kind of each event, by its type and k: SQL that both engines read.
 KIND = """CASE WHEN type = 'error' THEN 'error' WHEN type = 'purchase' THEN 'crash' WHEN type = 'view' THEN 'performance-stall'
   WHEN type = 'click' AND k % 3 = 0 THEN 'operational-metrics' WHEN type = 'click' AND k % 3 = 1 THEN 'process-memory' WHEN type = 'click' THEN 'feature-usage'
-  WHEN k % 2 = 0 THEN 'workspace-names' ELSE 'workspace-shape' END"""
+  WHEN k % 3 = 0 THEN 'workspace-names' WHEN k % 3 = 1 THEN 'workspace-shape' ELSE 'server-stall' END"""
+#: Platform of each event, by its k, and a name in a workspace, by k and user: SQL that both engines read.
+PLATFORM = "CASE k % 4 WHEN 1 THEN 'darwin' WHEN 2 THEN 'linux' WHEN 3 THEN 'win32' END"
+CHAT = """CASE WHEN k % 5 = 0 THEN 'chat-' || lpad(CAST("user" AS VARCHAR(20)), 6, '0') ELSE 'n-' || CAST("user" AS VARCHAR(20)) END"""
 #: A column more of the adapter's table, in SQL.
 SQL = f"""{ADAPTER},
-t AS (SELECT seq, ms, mag, k, op, CASE WHEN runtime = 'bogus' THEN 'server' ELSE runtime END AS runtime, app_version, schema_version, "user", {KIND} AS kind,
+t AS (SELECT seq, ms, mag, k, op, CASE WHEN runtime = 'bogus' THEN 'server' ELSE runtime END AS runtime, app_version, schema_version, "user", {KIND} AS kind, {PLATFORM} AS platform, {CHAT} AS chat,
              CASE WHEN k % 6 = 0 THEN NULL ELSE ms + 7 END AS received, CAST(coalesce(CASE WHEN k % 6 = 0 THEN NULL ELSE ms + 7 END, ms) AS DOUBLE) AS instant FROM a)"""
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).withColumn("kind", F.expr(KIND))
+    e = events(spark, sf_dir).withColumns({"kind": F.expr(KIND), "platform": F.expr(PLATFORM), "chat": F.expr(CHAT.replace('"', "`"))})
     return e.withColumns({"runtime": F.when(F.col("runtime") == "bogus", "server").otherwise(F.col("runtime")), "received": F.when(F.col("k") % 6 != 0, F.col("ms") + 7)})
 
 
@@ -41,7 +44,7 @@ def _bodies(e: DataFrame, valid: bool) -> DataFrame:
     Each kind is a branch with an expression of its own, which compiles. The JSON is written, as a log is.
     """
     k, mag, user, kind = F.col("k"), F.col("mag"), F.col("user"), F.col("kind")
-    common = {"schemaVersion": F.lit(11) if valid else F.col("schema_version"), "type": kind, "runtime": F.col("runtime"), "timestamp": F.col("ms"), "appVersion": F.col("app_version")}
+    common = {"schemaVersion": F.lit(11) if valid else F.col("schema_version"), "type": kind, "runtime": F.col("runtime"), "timestamp": F.col("ms"), "appVersion": F.col("app_version"), "platform": F.col("platform")}
     if not valid:
         common["receivedAt"] = F.col("received")
     window = {"windowStartedAt": F.col("ms") - 1000, "windowEndedAt": F.col("ms")}
@@ -50,16 +53,20 @@ def _bodies(e: DataFrame, valid: bool) -> DataFrame:
     frame = _object(function=F.when(k % 3 > 0, text("f", k % 4)), file=F.when(k % 5 > 0, F.concat(text("file", k % 3), F.lit(".ts"))), line=F.when(k % 2 > 0, k))
     n = k % 5
     buckets = F.array(*[F.when(F.least(F.floor(mag / 40), F.lit(2)) == i, n).otherwise(F.lit(0)) for i in range(3)])
-    operation = _object(operation=text("op-", user), count=n, okCount=n - F.when(n > 0, k % 2).otherwise(0), failCount=F.when(n > 0, k % 2).otherwise(0), min=mag, avg=mag + 1, max=mag + 2, buckets=buckets)
+    operation = lambda held: _object(operation=text("op-", user), count=n, okCount=n - F.when(n > 0, k % 2).otherwise(0), failCount=F.when(n > 0, k % 2).otherwise(0), min=mag, avg=mag + 1, max=mag + 2, buckets=held)
     low = F.floor(mag * 1000)
+    wide = F.array(*[F.when(F.least(F.floor(mag / 50), F.lit(1)) == i, n).otherwise(F.lit(0)) for i in range(2)])
+    scaled = operation(F.when(k % 10 < 3, wide).otherwise(buckets))
+    stalled = F.array(*[F.when(F.least(F.floor(mag / 40), F.lit(2)) == i, n).otherwise(F.lit(0)) for i in range(3)])
     objects = {
         "error": {**common, "name": F.col("op"), "message": F.lit("private"), "frames": F.array(frame)},
         "crash": {**common, "reason": text("r", k % 13), "exitCode": F.when(k % 4 > 0, k % 3)},
         "performance-stall": {**common, "lagMs": mag if valid else F.when(k % 19 > 0, mag), "source": F.lit("event-loop") if valid else text("s", k % 20)},
-        "operational-metrics": {**common, **window, "boundaries": F.array(F.lit(40), F.lit(80)), "rejected": k % 4, "rejectedStale": F.when(k % 2 == 0, k % 4), "operations": F.array(operation)},
+        "operational-metrics": {**common, **window, "boundaries": F.when(k % 10 < 3, F.array(F.lit(50))).otherwise(F.array(F.lit(40), F.lit(80))), "rejected": k % 4, "rejectedStale": F.when(k % 2 == 0, k % 4), "operations": F.array(scaled)},
+        "server-stall": {**common, **server, **window, "count": n, "totalMs": mag * n, "maxMs": mag, "boundaries": F.array(F.lit(40), F.lit(80)), "buckets": stalled, "culprits": F.array(_object(culprit=text("c-", k % 6), count=n, totalOverlapMs=mag))},
         "process-memory": {**common, **window, "samples": k + 1, "rssMinBytes": low, "rssAvgBytes": low + k, "rssMaxBytes": low + 2 * k, "heapUsedMaxBytes": F.when(k % 2 > 0, low), "processAgeMs": k * 10},
         "feature-usage": {**common, **renderer, **window, "features": F.array(_object(name=F.col("op"), count=k + 1), _object(name=text("f-", user), count=k % 3 + 1))},
-        "workspace-names": {**common, **server, **window, "chats": F.array(F.col("op"), text("n-", user), F.col("op")), "chatCount": k + 3, "truncated": k == 98},
+        "workspace-names": {**common, **server, **window, "chats": F.array(F.col("op"), F.col("chat"), F.col("op")), "chatCount": k + 3, "truncated": k == 98},
         "workspace-shape": {**common, **renderer, **window, "workspaces": k, "panesOpen": k % 7, "panesActive": k % 3, "chats": k % 5, "peakPanesOpen": k % 7 + 1, "peakChats": k % 5 + 2},
     }
     out = None
@@ -86,7 +93,7 @@ FAULTS = {
     3: (r'"appVersion":"[^"]*"', '"appVersion":null'),
     4: (r'"schemaVersion":11', '"schemaVersion":12'),
     5: (r'"type":"[a-z-]+"', '"type":"unknown"'),
-    6: (r'("name":"[^"]*","message":"private"|"reason":"[^"]*"|"lagMs":[0-9.E-]+|"rejected":\d+|"samples":\d+|"features":\[.*\]|"chatCount":\d+|"workspaces":\d+)', '"gone":1'),
+    6: (r'("name":"[^"]*","message":"private"|"reason":"[^"]*"|"lagMs":[0-9.E-]+|"rejected":\d+|"totalMs":[0-9.E-]+|"samples":\d+|"features":\[.*\]|"chatCount":\d+|"workspaces":\d+)', '"gone":1'),
     7: (r'("frames":\[.*\]|"reason":"[^"]*"|"source":"[a-z-]+"|"boundaries":\[[^\]]*\]|"rssMaxBytes":\d+|"count":\d+|"truncated":[a-z]+|"peakChats":\d+)', '"frames":{},"reason":5,"source":"other","boundaries":[80,40],"rssMaxBytes":-1,"count":0.5,"truncated":"no","peakChats":-1'),
 }
 

@@ -25,6 +25,16 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A name in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)  # else there is nothing yet to remove in the end
+    fs.deleteOnExit(at)
+    return f"{path}/data"
+
+
 @contextmanager
 def temporary(df: DataFrame) -> Iterator[DataFrame]:
     """The table, written as Parquet and read again, for as long as the block lasts."""

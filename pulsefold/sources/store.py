@@ -8,7 +8,6 @@ names are no rows.
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import dataclass, field
 
@@ -24,6 +23,7 @@ from pulsefold.operators.rollup import rollup
 
 from .ledger import Conflict, Files, Ledger
 from .ndjson import filtered, ordered_lines, parsed, typed
+from .scratch import scratch_folder
 
 #: Width of the partitions by instant.
 DAY_MS = 86_400_000
@@ -35,7 +35,7 @@ SCHEMA = struct_of(
     "signature string, error_name string, reason string, source string, lag double, day long"
 )
 #: The version of a store without a commit.
-EMPTY = {"batch": -1, "events": [], "outcomes": [], "keys": None, "prunes": [], "appended": 0, "crossed_ms": None, "swept_ms": None}
+EMPTY = {"batch": -1, "events": [], "outcomes": [], "keys": None, "prunes": [], "appended": 0, "crossed_ms": None, "swept_ms": None, "next_seq": 0}
 
 
 @dataclass(frozen=True)
@@ -172,7 +172,7 @@ class Store:
             self.drop(part)
             raise
 
-    def commit(self, part: dict | None, number: int | None = None, now_ms: int = 0, max_rows: int = 0, outcomes: dict | None = None, keys: dict | None = None) -> dict:
+    def commit(self, part: dict | None, number: int | None = None, now_ms: int = 0, max_rows: int = 0, outcomes: dict | None = None, keys: dict | None = None, last_seq: int | None = None) -> dict:
         """Make a part visible, together with what belongs to its batch; nothing if a batch of this number is.
 
         `crossed_ms` notes when the events appended since the last prune came to `max_rows`.
@@ -185,6 +185,8 @@ class Store:
             if part is not None and (part["rows"] or part["others"] or part["unreadable"]):
                 m["events"].append(part)
                 m["appended"] += part["rows"]
+            lasts = [x for x in (last_seq, part and part["high_seq"]) if x is not None]
+            m["next_seq"] = max([m["next_seq"], *(x + 1 for x in lasts)])
             m["outcomes"] += [outcomes] if outcomes else []
             m["keys"] = keys or m["keys"]
             m["swept_ms"] = now_ms if m["swept_ms"] is None else m["swept_ms"]
@@ -196,13 +198,14 @@ class Store:
 
     def load(self, path: str) -> None:
         """Add the lines of NDJSON files in their order; `unreadable` and `total` count what is no event."""
-        first = max((p["high_seq"] + 1 for p in self.snapshot().parts if p["high_seq"] is not None), default=0)
-        log = parsed(ordered_lines(self.spark, path, first), F.col("seq"))
+        lines = ordered_lines(self.spark, path, self.ledger.latest()["next_seq"])
+        log = parsed(lines, F.col("seq"))
         e = F.col("event")
         lost, others = log.agg(F.count_if(e.isNull()), F.count_if(e.isNotNull() & ~(V.is_object(e) | V.is_array(e)))).first()
+        last = lines.agg(F.max("seq")).first()[0]
         part = self._part(typed(log), others, lost)
         try:
-            self.commit(part)
+            self.commit(part, last_seq=last)
         except BaseException:
             self.drop(part)
             raise
@@ -284,7 +287,7 @@ class Store:
         told = None
         if len(tables) > parts:
             one = self.spark.read.option("basePath", f"{self.folder}/outcomes").parquet(*[f"{self.folder}/{p['path']}" for p in tables]).drop("part")
-            told = {"path": self.write(one, "outcomes"), "rows": sum(p["rows"] for p in tables)}
+            told = {"path": self.write(one, "outcomes"), "rows": sum(p["rows"] for p in tables), "last_ms": max((p["last_ms"] for p in tables if p["last_ms"] is not None), default=None)}
         gone = {p["path"] for p in [*(old if many else []), *(tables if told else [])]}
 
         def make(m: dict) -> dict:
@@ -323,7 +326,7 @@ class Store:
 
         def make(m: dict) -> dict | None:
             prunes = [p for p in m["prunes"] if p["at_ms"] >= before_ms]
-            outcomes = [p for p in m["outcomes"] if p.get("last_ms") is None or p["last_ms"] >= before_ms]
+            outcomes = [p for p in m["outcomes"] if p["last_ms"] is None or p["last_ms"] >= before_ms]
             if len(prunes) == len(m["prunes"]) and len(outcomes) == len(m["outcomes"]):
                 return None
             return m | {"prunes": prunes, "outcomes": outcomes}
@@ -331,6 +334,7 @@ class Store:
         self.ledger.change(make)
 
 
-def shown(manifest: dict) -> str:
-    """The manifest as readable JSON."""
-    return json.dumps(manifest, indent=1)
+
+def scratch_store(spark: SparkSession) -> Store:
+    """An empty store that goes when the application ends."""
+    return Store(spark, scratch_folder(spark))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pulsefold.plans import catalog, catalog_log
+from pulsefold.plans import catalog, catalog_log, catalog_store
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -22,7 +22,7 @@ def shown(value):
     return f"{value:.4f}" if isinstance(value, float) else str(value)
 
 
-QUERIES, ORACLES = catalog.QUERIES | catalog_log.QUERIES, catalog.ORACLES | catalog_log.ORACLES
+QUERIES, ORACLES = (a | b | c for a, b, c in zip(*((m.QUERIES, m.ORACLES) for m in (catalog, catalog_log, catalog_store)), strict=True))
 
 
 @pytest.mark.parametrize("name", QUERIES)
