@@ -45,7 +45,9 @@ def nth_latest(df: DataFrame, order: str, n: int, buckets: int = 4096) -> int |
     while low < high:
         width = -(-(high - low + 1) // buckets)
         inside = df.filter(F.col(order).between(low, high))
-        counts = inside.groupBy(F.floor((F.col(order) - low) / width).cast("long").alias("b") if width > 1 else (F.col(order) - low).alias("b")).agg(F.count("*").alias("n")).collect()
+        wide = high - low >= 1 << 63  # a difference may leave 64 bits
+        above = F.col(order).cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)") if wide else F.col(order) - F.lit(low)
+        counts = inside.select(above.alias("above")).groupBy(F.expr(f"above div {width}").alias("b")).agg(F.count("*").alias("n")).collect()
         for b, c in sorted(((r["b"], r["n"]) for r in counts), reverse=True):
             if c >= n:
                 low, high = low + b * width, min(high, low + (b + 1) * width - 1)

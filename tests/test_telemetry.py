@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -445,3 +446,265 @@ def test_pages(spark):
     assert [json.loads(x)["timestamp"] for x in some["events"]] == list(range(10, 40, 3))
     assert pages.page(log, offset="999", since="").first()["events"] == []
     assert tuple(pages.capabilities(spark, True).first()) == (11, [9, 10, 11], True)
+
+
+# the store's versions
+
+
+def appended(store, spark, parts, per=10, kind="crash"):
+    """`parts` parts of `per` events; event i has the stamp 1000 i."""
+    for i in range(parts):
+        rows = [(k, json.dumps({**event(kind, reason=f"r{k % 3}", platform="linux" if k % 2 else "mac", appVersion=f"1.{k % 4}"), "receivedAt": 1000 * k})) for k in range(i * per, (i + 1) * per)]
+        store.append(spark.createDataFrame(rows, "seq long, value string"))
+
+
+def test_filters_reach_the_parts(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    day = 86_400_000
+    for d in range(3):
+        rows = [(10 * d + k, json.dumps({**event("crash" if k % 2 else "error", reason=f"r{k}", name="E", message="", frames=[]), "receivedAt": d * day + k})) for k in range(10)]
+        store.append(spark.createDataFrame(rows, "seq long, value string"))
+    at = store.snapshot()
+    some = at.events(since=2 * day + 3, type="crash", signature="crash:r5")
+    assert [r["seq"] for r in some.collect()] == [25]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    try:
+        plan = at.events(since=2 * day + 3, type="crash", signature="crash:r5")._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(type,crash)" in plan and "EqualTo(signature,crash:r5)" in plan and "GreaterThanOrEqual(instant" in plan
+    assert "PartitionFilters: [isnotnull(day" in plan and len(some.inputFiles()) < len(at.events().inputFiles())
+    assert all(at.parts[2]["path"] in f for f in some.inputFiles())
+    # the same rows as the text gives
+    lines = at.events().select("seq", F.to_json("event").alias("value"))
+    text = ndjson.typed(ndjson.parsed(lines, F.col("seq")))
+    same = [c for c in text.columns if c != "event"]
+    assert sorted(map(repr, text.select(same).collect())) == sorted(map(repr, at.events().select(same).collect()))
+
+
+def test_rollups_of_parts_give_every_label_axis(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    kinds = [*VALID.values()] * 3
+    rows = [(i, json.dumps({**e, "appVersion": f"0.{i % 5}.{i % 3}", "platform": ["mac", "linux", "win"][i % 3], "receivedAt": 50 * i + 7, **({"lagMs": i} if e["type"] == "performance-stall" else {})})) for i, e in enumerate(kinds)]
+    for part in (rows[:7], rows[7:19], rows[19:]):
+        store.append(spark.createDataFrame(part, "seq long, value string"))
+    at = store.snapshot()
+    for chosen in ({}, {"platform": "linux"}, {"type": "crash", "app_version": "0.1.1"}):
+        whole, merged = summary.axes(at.events(**chosen), 10**6), summary.axes(at.events(**chosen), 10**6, at.rollup(**chosen))
+        for name in summary.LABEL_AXES:
+            assert sorted(map(repr, merged[name].collect())) == sorted(map(repr, whole[name].collect())), (name, chosen)
+
+
+def test_label_axes_read_no_event(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    appended(store, spark, 2)
+    at = store.snapshot()
+    for name, table in summary.axes(at.events(), 10**6, at.rollup()).items():
+        read = {f.rpartition("/part=")[0].rpartition("/")[2] for f in table.inputFiles()}
+        assert read <= ({"rollups"} if name in summary.LABEL_AXES else {"events"}), name
+
+
+def test_pages_open_their_parts_alone(spark, tmp_path):
+    from pulsefold.plans import pages
+
+    store = Store(spark, str(tmp_path / "s"))
+    appended(store, spark, 6)
+    at = store.snapshot()
+    log = ndjson.parsed(at.events().select("seq", F.to_json("event").alias("value")), F.col("seq"))
+    for asked in ({"limit": "7", "offset": "13"}, {"limit": "5", "offset": "55"}, {"offset": "99"}, {"limit": "4", "offset": "9", "platform": "linux"}, {"limit": "9", "since": "21500", "signature": "crash:r1"}, {"since": "1e9"}):
+        assert pages.page(at, **asked).first() == pages.page(log, **asked).first(), asked
+    matched, skip, rows = pages._sought(at, 7, 13.0, None, {})
+    assert (matched, skip) == (60, 13) and all(any(at.parts[i]["path"] in f for i in (4, 3)) for f in rows.inputFiles()) and rows.count() == 7
+    # arrivals of two parts overlap: they are one stretch
+    store.append(spark.createDataFrame([(k, json.dumps({**event("crash", reason="late"), "receivedAt": 5})) for k in (15, 45)], "seq long, value string"))
+    late = store.snapshot()
+    both = ndjson.parsed(late.events().select("seq", F.to_json("event").alias("value")), F.col("seq"))
+    assert pages.page(late, limit="20", offset="10").first()["matched"] == 62
+    key = lambda page: sorted(page.first()["events"])
+    assert key(pages.page(late, limit="62")) == key(pages.page(both, limit="62"))
+
+
+def test_prunes_cut_drop_and_keep_parts(spark, tmp_path):
+    r = random.Random(8)
+    for i, (rows, age) in enumerate([(0, 31_500), (25, 0), (12, 35_000), (1000, 10**9), (5, 1)]):
+        store = Store(spark, str(tmp_path / f"s{i}"))
+        appended(store, spark, 5)
+        before = {p["path"] for p in store.snapshot().parts}
+        want = [k for k in range(50) if not age or 1000 * k >= 49_000 - age]
+        want = want[-rows:] if rows else want
+        report = store.prune(49_000, rows, age)
+        after = store.snapshot()
+        assert sorted(x["seq"] for x in after.events().collect()) == want
+        assert report == {"before": 50, "after": len(want), "pruned": 50 - len(want), "rewrote": len(want) < 50}
+        kept = [p for p in after.parts if p["path"] in before]
+        assert len(kept) == sum(all(k in want for k in range(10 * j, 10 * j + 10)) for j in range(5)) and len(after.parts) - len(kept) <= 1
+        assert after.manifest["prunes"][-1]["pruned"] == 50 - len(want)
+    # arrivals in no order: the edge is found over all parts
+    store, seqs = Store(spark, str(tmp_path / "mixed")), list(range(40))
+    r.shuffle(seqs)
+    for i in range(4):
+        store.append(spark.createDataFrame([(s, json.dumps({**event("crash", reason="x"), "receivedAt": s})) for s in seqs[10 * i : 10 * i + 10]], "seq long, value string"))
+    store.prune(0, 17)
+    assert sorted(x["seq"] for x in store.read().collect()) == list(range(23, 40))
+
+
+def test_nth_latest(spark):
+    from pulsefold.operators.retention import nth_latest
+
+    r = random.Random(9)
+    values = [r.choice([r.randint(-50, 50), r.randint(-(1 << 62), 1 << 62)]) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "x long").repartition(3)
+    for n in (1, 2, 150, 299, 300, 301):
+        assert nth_latest(df, "x", n, buckets=7) == sorted(values, reverse=True)[min(n, 300) - 1]
+    assert nth_latest(df.filter("x > 1e30"), "x", 1) is None
+
+
+def test_writers_side_by_side(spark, tmp_path):
+    """A prune that began before an append keeps what the append added; of two prunes at once one gives up."""
+    from pulsefold.sources.ledger import Conflict
+
+    store, other = (Store(spark, str(tmp_path / "s")) for _ in range(2))
+    appended(store, spark, 2)
+    take = store._part
+
+    def meanwhile(*a, **k):
+        store._part = take
+        other.append(spark.createDataFrame([(99, json.dumps({**event("crash", reason="new"), "receivedAt": 1}))], "seq long, value string"))
+        return take(*a, **k)
+
+    store._part = meanwhile
+    assert store.prune(0, 5)["after"] == 5
+    assert sorted(x["seq"] for x in store.read().collect()) == [15, 16, 17, 18, 19, 99] and store.snapshot().manifest["appended"] == 1
+
+    def pruned(*a, **k):
+        store._part = take
+        other.prune(0, 3)
+        return take(*a, **k)
+
+    store._part = pruned
+    with pytest.raises(Conflict):
+        store.prune(0, 2)
+    assert sorted(x["seq"] for x in store.read().collect()) == [18, 19, 99]
+    assert {p["path"] for p in store.snapshot().parts} <= {f"events/{n}" for n in store.files.listed("events")}
+
+
+def test_pruned_events_leave_the_disk(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    appended(store, spark, 3)
+    old = store.snapshot()
+    store.prune(0, 5)
+    now = max(store.ledger.numbers().values()) + 10_000
+    assert store.clean(now, 60_000) == 0 and old.events().count() == 30  # a reader may still hold it
+    assert store.clean(now, 5_000) == 6  # three parts and their rollups
+    assert store.read().count() == 5 and len(store.files.listed("events")) == 1 and len(store.ledger.numbers()) == 1
+    files = [f for f in (tmp_path / "s").rglob("*.parquet")]
+    assert sum(f.name.endswith(".parquet") for f in files if "events" in f.parts) >= 1
+    store.append(spark.createDataFrame([(77, json.dumps(event("crash", reason="more")))], "seq long, value string"))
+    assert store.compact(1) and store.read().count() == 6 and len(store.snapshot().parts) == 1 and not store.compact(1)
+
+
+def test_maintenance_is_due_by_its_own_rules(spark, tmp_path):
+    from pulsefold.streaming.maintenance import Maintenance
+
+    store = Store(spark, str(tmp_path / "s"))
+    keeper = Maintenance(store, max_rows=4, max_age_ms=0, debounce_ms=60_000)
+    rows = lambda a, b: spark.createDataFrame([(i, json.dumps({**event("crash", reason="x"), "receivedAt": i})) for i in range(a, b)], "seq long, value string")
+    assert keeper.tick(10**9) is None  # nothing to prune
+    store.commit(store.part(rows(0, 3)), 0, now_ms=1000, max_rows=4)
+    assert not keeper.due(10**9)  # the bound isn't reached
+    store.commit(store.part(rows(3, 6)), 1, now_ms=2000, max_rows=4)
+    assert not keeper.due(61_000) and keeper.due(62_000)  # a burst is let pass
+    store.commit(store.part(rows(6, 7)), 2, now_ms=61_999, max_rows=4)
+    assert not keeper.due(61_999) and keeper.due(62_000)  # later appends don't put it off
+    assert keeper.tick(62_000)["after"] == 4 and not keeper.due(10**9)
+    store.commit(store.part(rows(7, 12)), 3, now_ms=70_000, max_rows=4)
+    assert Maintenance(Store(spark, store.folder), max_rows=4).due(130_000)  # it is armed again, and a restart knows
+    aged = Maintenance(store, max_age_ms=1000, sweep_ms=300_000)
+    assert not aged.due(361_999) and aged.due(362_000)  # since the last prune
+
+
+def test_an_idle_receiver_sweeps(spark, tmp_path):
+    """Without any request the timer prunes what has grown old, and its files go."""
+    import time
+
+    r = Receiver(spark, str(tmp_path / "r"), max_age_ms=1000, sweep_ms=2000)
+    now = int(time.time() * 1000)
+    r.batch(spark.createDataFrame([request(0, [VALID["crash"]], "a", now)], ingest.REQUEST), 0)
+    assert r.store.read().count() == 1
+    timer = r.start_maintenance("1 second", grace_ms=0)
+    try:
+        end = time.time() + 90
+        while time.time() < end and (r.store.snapshot().rows or r.store.files.listed("events")):
+            time.sleep(1)
+    finally:
+        timer.stop()
+    assert r.store.read().count() == 0 and not r.store.files.listed("events") and r.prunes().count() >= 1
+    assert r.outcomes().count() == 1  # the tallies since the start stay
+    r.batch(spark.createDataFrame([request(1, [VALID["crash"]], "a", now + 10)], ingest.REQUEST), 1)
+    assert r.outcomes().filter("deduped").count() == 1
+
+
+def test_lines_keep_their_order_over_files_and_tasks(spark, tmp_path):
+    r = random.Random(10)
+    lines, at = [], 0
+    for i in range(4):
+        own = [json.dumps({"i": at + k, "pad": "x" * r.randint(0, 3000)}) if r.random() > 0.1 else r.choice(["", "torn{", "  "]) for k in range(300)]
+        at += 300
+        (tmp_path / "log").mkdir(exist_ok=True)
+        (tmp_path / "log" / f"{i:03d}.ndjson").write_text("\n".join(own) + "\n")
+        lines += own
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    got = []
+    try:
+        for size in ("1g", "50k", "7k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            table = ndjson.ordered_lines(spark, str(tmp_path / "log"))
+            got.append([tuple(x) for x in table.orderBy("seq").collect()])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got[0] == got[1] == got[2] == list(enumerate(lines))
+    log = ndjson.parsed(ndjson.ordered_lines(spark, str(tmp_path / "log")), F.col("seq"))
+    for _ in range(2):
+        ndjson.write_lines(log.repartition(5), str(tmp_path / "again"))
+    events = [x for x in lines if x.startswith("{\"i")]
+    assert [json.loads(x[1])["i"] for x in sorted(ndjson.ordered_lines(spark, str(tmp_path / "again")).collect())] == [json.loads(x)["i"] for x in events] * 2
+
+
+def test_targets(spark):
+    from pulsefold.functions.target import parts
+
+    want = {
+        "/ingest": ("/ingest", []), "/a/./b/../c": ("/a/c", []), "/a/%2E%2e/b": ("/b", []), "/..": ("/", []), "/a/b/..": ("/a/", []), "\\ingest\\x": ("/ingest/x", []), "ingest": ("/ingest", []), "": ("/", []), " /ingest\t": ("/ingest", []),
+        "/events?type=a%20b+c&x=%zz&=1&y&&z=a=b#f?g=1": ("/events", [("type", "a b c"), ("x", "%zz"), ("", "1"), ("y", ""), ("z", "a=b")]), "?q=%C3%A9%": ("/", [("q", "é%")]),
+        "http://h:80/p?x=1": ("/p", [("x", "1")]), "http:/p": ("/p", []), "http:p": ("/p", []), "https:h/p": ("/p", []), "//user:pw@h:9/p": ("/p", []), "//[::1]/p": ("/p", []), "//1.2.3.4/p": ("/p", []), "///h/p": ("/p", []),
+        "//": None, "///": None, "//?a": None, "//:80/p": None, "//a b/p": None, "//h:99999/p": None, "//h:x/p": None, "//[x/p": None, "//1.2.3.256/p": None, "//a%20b/p": None, "http://": None, None: None,
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(want)], "i int, t string").select("i", parts(F.col("t")).alias("p"))
+    got = {r["i"]: r["p"] and (r["p"]["path"], [tuple(q) for q in r["p"]["query"]]) for r in df.collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+
+
+def test_routes_over_a_store(spark, tmp_path, monkeypatch):
+    from pulsefold.plans import routes
+
+    store = Store(spark, str(tmp_path / "s"))
+    appended(store, spark, 3)
+    (tmp_path / "lines").write_text("torn{\n42\n" + json.dumps({**event("error", name="E", message="", frames=[]), "receivedAt": 7}) + "\n")
+    store.load(str(tmp_path / "lines"))
+    (tmp_path / "package.json").write_text('{"version":"2.0"}')
+    state = routes.State(started_at=8, version=routes.version_of(str(tmp_path / "package.json")))
+    at = store.snapshot()
+    ask = lambda target, log=at: tuple(routes.answer(spark, log, target, state, 30_000).first())
+    body = json.loads(ask("/summary")[1])
+    assert (body["total"], body["matched"], body["unreadable"], body["byType"]["crash"], body["byType"]["error"], body["receiverVersion"]) == (32, 31, 1, 30, 1, "2.0")
+    text = ndjson.parsed(at.events().select("seq", F.to_json("event").alias("value")), F.col("seq"))
+    for target in ("/summary?platform=linux", "/summary?since=15000&type=crash", "/events?limit=3&offset=4&signature=crash%3Ar1"):
+        one, two = (json.loads(ask(target, log)[1]) for log in (at, text))
+        assert {k: v for k, v in one.items() if k not in ("total", "unreadable")} == {k: v for k, v in two.items() if k not in ("total", "unreadable")}, target
+    files = set((tmp_path / "s").rglob("*"))
+    held = [p for p in tmp_path.rglob("table-*")]
+    ask("/summary", text)
+    assert set((tmp_path / "s").rglob("*")) == files and [p for p in tmp_path.rglob("table-*")] == held
+    monkeypatch.setattr(routes.summary, "document", lambda *a: (_ for _ in ()).throw(OSError("disk gone")))
+    assert ask("/summary")[0] == 500 and json.loads(ask("/summary")[1]) == {"error": "could not read summary: disk gone"}
+    assert routes.version_of(str(tmp_path / "none")) is None and ask("/x") == (404, '{"error": "not found"}') and ask("//")[0] == 400
