@@ -708,3 +708,41 @@ def test_routes_over_a_store(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(routes.summary, "document", lambda *a: (_ for _ in ()).throw(OSError("disk gone")))
     assert ask("/summary")[0] == 500 and json.loads(ask("/summary")[1]) == {"error": "could not read summary: disk gone"}
     assert routes.version_of(str(tmp_path / "none")) is None and ask("/x") == (404, '{"error": "not found"}') and ask("//")[0] == 400
+
+
+def test_hot_keys_are_folded_in_slices(spark):
+    """Keys of many arrivals, judged slice by slice, give what the fold gives, whatever the slices' width is."""
+    r = random.Random(12)
+    rows = []
+    for name, n, span in (("hot", 900, 9000), ("dense", 400, 300), ("sparse", 60, 90_000), ("few", 5, 900)):
+        rows += [(name, r.randint(0, span)) for _ in range(n)]
+    rows += [("", 5), (None, 5), ("hot", None), ("hot", 0), ("hot", 0)]
+    df = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "seq long, key string, at long").repartition(4)
+    until, want = {}, {}
+    for i, (k, t) in sorted(enumerate(rows), key=lambda x: (x[1][1] is None, x[1][1], x[0])):
+        ok = not k or (t is not None and t >= until.get(k, -1))
+        want[i] = ok
+        if k and ok:
+            until[k] = t + 100
+    plain = {x["seq"]: x["accepted"] for x in repeats.accepted_arrivals(df, "key", "at", "seq", 100).collect()}
+    assert plain == want
+    assert {x["seq"]: x["accepted"] for x in repeats.accepted_arrivals(df, "key", "at", "seq", 100, hot_rows=50).collect()} == want
+    some = df.filter("key <> ''").withColumns({"__key": F.col("key"), "__at": F.col("at")})
+    for width in (7, 100, 1000):
+        out = repeats.spread_arrivals(some, "seq", 100, width)
+        assert {x["seq"]: x["accepted"] for x in out.collect()} == {i: ok for i, ok in want.items() if rows[i][0]}
+
+
+def test_one_hot_key_is_spread_over_tasks(spark):
+    """All rows have one key: no task reads more than its share of them."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(40_000).select(F.col("id").alias("seq"), F.lit("k").alias("key"), (F.col("id") * 50).alias("at"))
+        some = df.withColumns({"__key": F.col("key"), "__at": F.col("at")})
+        out = repeats.spread_arrivals(some, "seq", 10_000, 1 << 16).select("seq", "accepted", F.spark_partition_id().alias("task"))
+        rows = out.groupBy("task").agg(F.count("*").alias("n"), F.sum(F.col("accepted").cast("int")).alias("taken")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sum(x["n"] for x in rows) == 40_000 and sum(x["taken"] for x in rows) == 200
+    assert max(x["n"] for x in rows) <= 0.35 * 40_000  # four partitions
