@@ -40,7 +40,8 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(tasks)
 
 
-def _chunked(values: Column, size: int) -> Column:
+def chunked(values: Column, size: int) -> Column:
+    """The array in pieces of `size` elements; it has one at least."""
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size)), lambda c: F.slice(values, (c * size + 1).cast("int"), F.lit(size)))
 
 
@@ -52,7 +53,7 @@ def _added(values: Column, start: Column) -> Column:
 
 def sums_before(values: Column, size: int = 128) -> Column:
     """For each of the integers `values` (one at least) the sum of those before it. Chunks keep what is copied small."""
-    chunks = _chunked(values, size)
+    chunks = chunked(values, size)
     totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x))
     return F.flatten(F.zip_with(chunks, _added(totals, F.lit(0)), _added))
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import chunked
+
 
 @dataclass(frozen=True)
 class Template:
@@ -51,13 +53,20 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def _trace(turns: Column, template: Template) -> tuple[Column, Column]:
-    """(array of the state after each turn, array that says if the turn had a move).
+#: Turns whose states are written in one string; strings of all turns would be copied for each of them.
+STRETCH = 256
+
+
+def _letters(template: Template) -> dict[str, str]:
+    return {s: chr(ord("a") + i) for i, s in enumerate(["lost", "start", *sorted({*template.moves.values(), *template.resume.values()} - {"lost", "start"})])}
 
-    The states are folded into a string of one letter each, upper case where there was no move, so a turn adds one byte.
+
+def _trace(turns: Column, template: Template) -> Column:
+    """The state after each turn as an array of letters, upper case where the turn had no move.
+
+    Turns are folded stretch by stretch, and only the last state goes from one to the next.
     """
-    states = ["lost", "start", *sorted({*template.moves.values(), *template.resume.values()} - {"lost", "start"})]
-    letter = {s: chr(ord("a") + i) for i, s in enumerate(states)}
+    letter = _letters(template)
     pairs = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) if d else F.create_map().cast("map<string,string>")
     moves = pairs({f"{letter[state]}{role}": letter[to] for (state, role), to in template.moves.items()})
     resume = pairs({role: letter[state].upper() for role, state in template.resume.items()})
@@ -66,10 +75,12 @@ def _trace(turns: Column, template: Template) -> tuple[Column, Column]:
         before = F.lower(F.right(trace, F.lit(1)))
         return F.concat(trace, F.coalesce(F.try_element_at(moves, F.concat(before, turn["role"])), F.try_element_at(resume, turn["role"]), F.lit(letter["lost"].upper())))
 
-    trace = F.aggregate(turns, F.lit(letter["start"]), step)
-    letters = F.slice(F.filter(F.split(trace, ""), lambda c: c != ""), F.lit(2), F.size(turns))
-    name = F.create_map(*[F.lit(x) for s, c in letter.items() for x in (c, s)])
-    return F.transform(letters, lambda c: F.element_at(name, F.lower(c))), F.transform(letters, lambda c: c == F.lower(c))
+    def stretch(s: Column, part: Column) -> Column:
+        one = F.transform(F.array(F.aggregate(part, s["last"], step)), lambda t: F.struct(F.right(t, F.lit(1)).alias("last"), F.array_append(s["out"], F.substring(t, F.lit(2), F.lit(STRETCH))).alias("out")))
+        return F.get(one, F.lit(0))
+
+    start = F.struct(F.lit(letter["start"]).alias("last"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(chunked(turns, STRETCH), start, stretch, lambda s: F.flatten(F.transform(s["out"], lambda t: F.filter(F.split(t, ""), lambda c: c != ""))))
 
 
 def format_chats(
@@ -93,8 +104,9 @@ def format_chats(
     """
     turn = F.struct(F.col(turn_column).alias("turn"), F.coalesce(F.col(role_column), F.lit("")).alias("role"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     turns = df.groupBy(F.col(conv_column)).agg(F.sort_array(F.collect_list(turn)).alias("__turns"))
-    states, moved = _trace(F.col("__turns"), template)
-    traced = turns.withColumn("__states", states).withColumn("__moved", moved)
+    name = F.create_map(*[F.lit(x) for s, c in _letters(template).items() for x in (c, s)])
+    traced = turns.withColumn("__letters", _trace(F.col("__turns"), template))
+    traced = traced.withColumn("__states", F.transform("__letters", lambda c: F.element_at(name, F.lower(c)))).withColumn("__moved", F.transform("__letters", lambda c: c == F.lower(c)))
     no = F.lit(False)
     segment = lambda text, flag: F.struct(text.alias("text"), flag.alias("loss"))
     segments = F.flatten(

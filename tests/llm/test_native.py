@@ -136,6 +136,23 @@ def test_turn_order(spark):
     assert got == {1: (True, None), 2: (True, None), 3: (True, None), 4: (False, None), 5: (False, 0), 6: (False, 1), 7: (False, 1), 8: (False, 2)}
 
 
+def test_long_conversations_take_time_in_proportion(spark):
+    """States go over from stretch to stretch, and twice the turns don't take four times the time."""
+    import time
+
+    took = []
+    for n in (chat.STRETCH, chat.STRETCH + 1, 30_000, 60_000):
+        role = F.when(F.col("id") % 7777 == 7776, "tool").when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+        df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+        start = time.perf_counter()
+        r = chat.format_chats(df).select("valid", "bad_turn", F.size("segments").alias("n"), F.size(F.filter("segments", lambda s: s["loss"])).alias("learnt")).first()
+        took.append(time.perf_counter() - start)
+        roles = ["tool" if i % 7777 == 7776 else "assistant" if i % 2 else "user" for i in range(n)]
+        assert (r["n"], r["learnt"], r["bad_turn"]) == (3 * n, roles.count("assistant"), 7776 if n > 7776 else None)
+        assert r["valid"] == (n < 7776 and n % 2 == 0)
+    assert took[3] < 3 * took[2] + 3 and took[3] < 40
+
+
 def test_chats_of_odd_tables(spark):
     schema = "conv_id long, turn long, role string, text string, formatted string, segments string, turns string"
     df = spark.createDataFrame([(None, None, "user", "x", "a", "b", "c"), (1, 1, "user", "b", "", "", ""), (1, 1, "user", "a", "", "", ""), (1, 1, "user", "a", "", "", "")], schema)
