@@ -355,9 +355,10 @@ def type_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = spark.createDataFrame(list(TYPES.items()), "type string, introduced int")
     e = events(spark, sf_dir)
     versions = e.groupBy("schema_version").agg(F.count("*").alias("n"))
-    eligible = dim.join(F.broadcast(versions), F.col("schema_version") >= F.col("introduced"), "left").groupBy("type", "introduced").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("eligible"))
+    # broadcast: a row for each type
+    eligible = versions.join(F.broadcast(dim), F.col("schema_version") >= F.col("introduced")).groupBy("type").agg(F.sum("n").alias("eligible"))
     emitted = e.groupBy("type").agg(F.count("*").alias("emitted"))
-    out = eligible.join(emitted, "type", "left").withColumn("emitted", F.coalesce("emitted", F.lit(0)))
+    out = dim.join(eligible, "type", "left").join(emitted, "type", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("eligible", "emitted")})
     return out.withColumn("verdict", F.when(F.col("emitted") > 0, "emitting").when(F.col("eligible") > 0, "eligible-silent").otherwise("no-eligible-builds"))
 
 

@@ -261,8 +261,9 @@ def type_reach(events: DataFrame) -> DataFrame:
     """(type, introduced, eligible, emitted, verdict). The events are counted by version first, so the join meets few rows."""
     dimension = events.sparkSession.createDataFrame(list(INTRODUCED.items()), "type string, introduced int")
     versions = events.filter(finite(F.col("schema_number"))).groupBy("schema_number").agg(_n(events).alias("n"))
-    eligible = dimension.join(versions, F.col("schema_number") >= F.col("introduced"), "left").groupBy("type", "introduced").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("eligible"))
-    out = eligible.join(by_type(events).withColumnRenamed("n", "emitted"), "type")
+    # broadcast: a row for each type
+    eligible = versions.join(F.broadcast(dimension), F.col("schema_number") >= F.col("introduced")).groupBy("type").agg(F.sum("n").alias("eligible"))
+    out = dimension.join(eligible, "type", "left").withColumn("eligible", F.coalesce("eligible", F.lit(0))).join(by_type(events).withColumnRenamed("n", "emitted"), "type")
     return out.withColumn("verdict", F.when(F.col("emitted") > 0, "emitting").when(F.col("eligible") > 0, "eligible-silent").otherwise("no-eligible-builds"))
 
 
