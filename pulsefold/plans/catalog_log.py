@@ -124,6 +124,13 @@ def log_app_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.axis(_events(spark, sf_dir), "app_version")
 
 
+@query(f"x AS (SELECT seq, left(repeat('y', 122) || app_version, 128) AS v FROM l), {_capped('x', 'v', 10, 'name AS app_version, CAST(count(*) AS BIGINT) AS n')}")
+def log_long_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys are cut before they are counted: versions that begin alike are one."""
+    long = _events(spark, sf_dir).withColumn("app_version", F.concat(F.repeat(F.lit("y"), F.lit(122)), F.col("app_version")))
+    return summary.axis(long, "app_version")
+
+
 @query(f"SELECT {_RUNTIME} AS runtime, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY 1")
 def log_runtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.axis(_events(spark, sf_dir), "runtime")

@@ -13,7 +13,9 @@ from pulsefold.sources.scratch import scratch_folder
 from pulsefold.sources.store import Store, scratch_store
 from pulsefold.streaming.receiver import Receiver
 
-from . import pages, summary, synthetic
+from . import pages, summary, synthetic, tallies
+from .adapter import SQL as ADAPTER
+from .adapter import events
 from .catalog_log import _REQUESTS, _SIGNATURE, _newest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +117,21 @@ def store_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.select(F.explode("events").alias("e"), "matched", "total").select(F.get_json_object("e", "$.timestamp").cast("long").alias("ms"), "matched", "total")
 
 
+@query("""b AS (SELECT count(*) AS before FROM a), y AS (SELECT count(*) AS young FROM a WHERE ms >= (SELECT max(ms) FROM a) - 604800000)
+SELECT 500::BIGINT AS max_events, CAST(least(young, 500) AS BIGINT) AS retained, CAST(before - least(young, 500) AS BIGINT) AS total_pruned, CAST(least(young, 900) - least(young, 500) AS BIGINT) AS last_pruned, CAST(before - least(young, 500) AS BIGINT) AS in_timeline FROM b, y""", ADAPTER)
+def retention_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two prunes of a store, told by its versions: by age and count, then by a lower count."""
+    e = events(spark, sf_dir).select("seq", "ms")
+    own = scratch_store(spark)
+    own.append(e.select("seq", F.to_json(F.struct(F.col("ms").alias("receivedAt"))).alias("value")))
+    now = e.agg(F.max("ms")).first()[0]
+    for rows in (900, 500):
+        own.prune(now, rows, 604_800_000)
+    tally = tallies.retention_tally(own.snapshot().prunes(tallies.PRUNE), F.lit(now + 1), 500, 604_800_000)
+    total = F.aggregate("timeline", F.lit(0).cast("long"), lambda s, x: s + x["n"].cast("long"))
+    return tally.select(F.col("configured.max_rows").cast("long").alias("max_events"), "retained", "total_pruned", F.col("last.pruned").alias("last_pruned"), total.alias("in_timeline"))
+
+
 @query(f"""{_REQUESTS} SELECT seq, status, deduped, CAST(accepted AS INTEGER) AS accepted FROM v""", synthetic.SQL)
 def receiver_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of requests that come in several batches: keys are remembered from one to the next."""
