@@ -5,8 +5,9 @@ they agree, up to SLACK bits, in one of BLOCKS blocks, which holds for all finge
 that remain are verified by the weighted Jaccard similarity of their word-shingle multisets.
 
 A window that reaches the similarity s shares at least the share s of its shingles with its item. Windows
-with fewer shingles of any benchmark item are not fingerprinted: a bit table of fixed size, set for the hashes of
-all items' shingles, tells them apart, and can only err towards more windows.
+with fewer shingles of any benchmark item are not fingerprinted: a bit table, set for the hashes of all items' shingles,
+tells them apart, and can only err towards more windows. It has 16 bits for a shingle, up to a largest size. Of windows and items
+the fewer are written under every mask of a block, so that the join's rows follow the smaller side.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: Bits of a fingerprint, its blocks, bits by which a block may differ, and the radius that this guarantees.
 BITS, BLOCKS, SLACK = 64, 4, 3
 RADIUS = BLOCKS * (SLACK + 1) - 1
-#: Bits of the table of item shingles.
-FILTER_BITS = 1 << 23
+#: Bits of the table of item shingles: for each of them, at least and at most.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 23, 1 << 30
 
 _WIDTH = BITS // BLOCKS
 _MASKS = [sum(1 << b for b in bits) for n in range(SLACK + 1) for bits in combinations(range(_WIDTH), n)]
@@ -73,10 +74,12 @@ def items_of(benchmark: DataFrame, item_column: str = "item_id", text_column: st
 
 
 def _bit_table(items: DataFrame) -> np.ndarray:
-    """The table of all items' shingles; its size is fixed, and so is the number of rows read from Spark."""
-    slot = F.pmod("element", F.lit(FILTER_BITS))
+    """The table of all items' shingles, a power of two of bits; its largest size bounds what is read from Spark and broadcast."""
+    shingles = items.agg(F.sum(F.size("elements"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * shingles - 1).bit_length() if shingles else 0))
+    slot = F.pmod("element", F.lit(bits))
     slots = items.select(F.explode("elements").alias("element")).select(F.floor(slot / 32768).alias("part"), F.pmod(slot, F.lit(32768)).alias("bit"))
-    table = bytearray(FILTER_BITS // 8)
+    table = bytearray(bits // 8)
     for row in slots.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
         table[row["part"] * 4096 : row["part"] * 4096 + 4096] = row["bits"]
     return np.frombuffer(bytes(table), np.uint8)
@@ -100,7 +103,7 @@ def windows(df: DataFrame, sizes: list[int], table: np.ndarray, similarity: floa
                 for k in sorted({int(_shingle_size(n)) for n in sizes}):
                     own = [n for n in sizes if _shingle_size(n) == k]
                     g, at = grams(words, t.doc, k)
-                    slot = (g.view(np.int64) % FILTER_BITS)
+                    slot = g.view(np.int64) % (8 * len(table))
                     hit = table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1
                     if not hit.any():
                         continue
@@ -196,11 +199,15 @@ def leaks(
     slim = df.select(F.col(id_column).alias("id"), F.unhex(F.md5(text_of(text_column))).alias("key"), text_of(text_column).alias("text"))
     found = written(windows(slim, sizes, _bit_table(items), similarity))
     blocks = lambda p: F.array(*[F.struct(F.lit(i).alias("block"), _block(p, i).alias("value")) for i in range(BLOCKS)])
-    asked = found.select("n", "print").distinct().select("n", "print", F.explode(blocks(F.col("print"))).alias("b"))
-    near = items.select("item_id", "n", F.col("print").alias("item_print"), F.explode(blocks(F.col("print"))).alias("b"))
-    # a block that differs by SLACK bits at most is one of the item's block under some mask
-    near = near.select("item_id", "n", "item_print", F.col("b.block").alias("block"), F.explode(F.transform(F.array(*map(F.lit, _MASKS)), lambda m: F.col("b.value").bitwiseXOR(m.cast("long")))).alias("value"))
-    met = asked.select("n", "print", F.col("b.block").alias("block"), F.col("b.value").alias("value")).join(near, ["n", "block", "value"])
+    asked = written(found.select("n", "print").distinct())
+    known = items.select("item_id", "n", F.col("print").alias("item_print"))
+    cut = lambda p: F.explode(blocks(F.col(p))).alias("b")
+    # a block that differs by SLACK bits at most is the other one's under some mask
+    masked = F.explode(F.transform(F.array(*map(F.lit, _MASKS)), lambda m: F.col("b.value").bitwiseXOR(m.cast("long")))).alias("value")
+    few = asked.count() < known.count()
+    one = asked.select("n", "print", cut("print")).select("n", "print", F.col("b.block").alias("block"), masked if few else F.col("b.value").alias("value"))
+    two = known.select("item_id", "n", "item_print", cut("item_print")).select("item_id", "n", "item_print", F.col("b.block").alias("block"), F.col("b.value").alias("value") if few else masked)
+    met = one.join(two, ["n", "block", "value"])
     met = met.filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).select("n", "print", "item_id").distinct()
     pairs = found.join(met, ["n", "print"]).join(items.select("item_id", F.col("elements").alias("item_elements")), "item_id")
     own = (F.size("elements") + F.least("n", F.lit(WORDS)) - 1).alias("n")  # words of the window

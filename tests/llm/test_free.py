@@ -326,6 +326,10 @@ def test_leaks_of_items(spark, odd, none):
                     want[d, i] = best
     assert got.keys() == want.keys() and len(got) > 30
     assert all(got[k] == pytest.approx(want[k]) for k in got)
+    # with more items than windows the masks are the windows'
+    more = bench.unionByName(spark.createDataFrame([(1000 + i, prose(5000 + i, 20 + i % 30)) for i in range(200)], "item_id long, text string"))
+    some = {(x["id"], x["item_id"]): x["similarity"] for x in decontaminate.leaks(df.filter("doc_id < 12"), more).collect()}
+    assert some == {k: v for k, v in got.items() if k[0] < 12} and len(some) > 3
     assert {x["doc_id"] for x in decontaminate.clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
     assert decontaminate.clean(odd, bench.limit(0)).count() == 13 and decontaminate.clean(none, bench).count() == 0
     assert decontaminate.leaks(odd, spark.createDataFrame([(1, "MORE")], "item_id long, text string")).select("id").collect() == [(2,)]
