@@ -16,12 +16,16 @@ from pulsefold.operators.repeats import TTL_MS, accepted_arrivals, unseen
 REQUEST = "seq long, arrived_at_ms long, method string, target string, headers map<string,string>, body binary"
 #: Route of a batch, and the headers that carry its schema version and idempotency key (fixed values).
 ROUTE, VERSION_HEADER, KEY_HEADER = ("POST", "/ingest"), "x-telemetry-schema", "idempotency-key"
+#: How a token is sent.
+BEARER = r"(?i)^Bearer\s+(\S+)\s*\z"
 #: Largest body in bytes (fixed value).
 MAX_BODY = 1 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
+    """What a receiver asks of requests; without a token it asks for none."""
+
     token: str | None = None
     max_body: int = MAX_BODY
     accepted: tuple[int, ...] = validation.ACCEPTED
@@ -30,7 +34,7 @@ class Settings:
 
 #: What is told of a refusal, by status and, for the two kinds of 400, by gate.
 REASONS = {401: "no or another token", 404: "no such route", 415: "schema version not accepted", 413: "body too large", 422: "batch not valid", 503: "events not stored"}
-NO_TARGET, NO_BATCH = "request target not readable", "body is no batch"
+NO_TARGET, NO_BATCH, NO_BODY = "request target not readable", "body is no batch", "body not readable"
 
 
 def first_status(gates: dict[int, Column] | list[tuple[int, Column]], accepted: int = 202) -> Column:
@@ -52,7 +56,7 @@ def judged(requests: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """`requests` with declared, key, events (array<variant>), the status before idempotency, which is that of the first
     gate that refuses, and its reason (null if none does).
 
-    Header names may not repeat in other case. A batch is valid if each event carries the declared version and
+    Header names may not repeat in other case. A null body is one that could not be read to its end; `max_body` 0 bounds none. A batch is valid if each event carries the declared version and
     is valid in it; an empty one is. The version inside the body is not read, only its events are.
     """
     versions = sorted({*settings.accepted, validation.VERSION})
@@ -60,19 +64,19 @@ def judged(requests: DataFrame, settings: Settings = Settings()) -> DataFrame:
     read = read.withColumn("path", parts(F.col("target"))["path"]).withColumn("parsed", V.parse_strict(F.decode("body", "UTF-8")))
     read = read.withColumn("events", F.when(V.is_object(F.col("parsed")), V.elements(V.field(F.col("parsed"), "events"))))
     valid = F.forall("events", lambda e: validation.is_valid(e, F.col("declared").cast("int")))
-    token = F.regexp_extract(F.coalesce(header("authorization"), F.lit("")), r"(?i)^Bearer\s+(\S+)\s*\z", 1)
+    token = F.regexp_extract(F.coalesce(header("authorization"), F.lit("")), BEARER, 1)
     no_target = F.col("path").isNull()
     gates: list[tuple[int, Column]] = [(401, token != settings.token)] if settings.token else []
     gates += [
         (400, no_target),
         (404, (F.col("method") != ROUTE[0]) | (F.col("path") != ROUTE[1])),
         (415, F.col("declared").isNull() | ~F.col("declared").isin(*map(str, versions))),
-        (413, (F.try_to_number(header("content-length"), F.lit("999999999999999")) > settings.max_body) | (F.octet_length("body") > settings.max_body)),
+        *([(413, (F.try_to_number(header("content-length"), F.lit("999999999999999")) > settings.max_body) | (F.octet_length("body") > settings.max_body))] if settings.max_body > 0 else []),
         (400, F.col("events").isNull()),
         (422, ~valid),
     ]
     told = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])
-    reason = F.when(F.col("status") == 400, F.when(no_target, NO_TARGET).otherwise(NO_BATCH)).otherwise(F.try_element_at(told, F.col("status")))
+    reason = F.when(F.col("status") == 400, F.when(no_target, NO_TARGET).when(F.col("body").isNull(), NO_BODY).otherwise(NO_BATCH)).otherwise(F.try_element_at(told, F.col("status")))
     return read.withColumn("status", first_status(gates)).withColumn("reason", reason).drop("path", "parsed")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hmac
 import json
+import re
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -17,6 +19,7 @@ from pulsefold.sources.scratch import temporary
 from pulsefold.sources.store import Snapshot
 
 from . import body, pages, summary, tallies
+from .ingest import BEARER
 
 #: Paths of the routes (fixed values).
 SUMMARY_PATH, EVENTS_PATH, CAPABILITIES_PATH = "/summary", "/events", "/capabilities"
@@ -30,7 +33,7 @@ class State:
 
     started_at: int
     version: str | None = None
-    needs_token: bool = False
+    token: str | None = None
     outcomes: DataFrame | None = None
     prunes: DataFrame | None = None
     live_keys: DataFrame | None = None
@@ -101,9 +104,17 @@ def page_body(log: DataFrame | Snapshot, query: dict[str, str]) -> dict:
     return {"events": [json.loads(e) for e in page["events"]], **{c: page[c] for c in ("total", "matched", "limit", "offset")}}
 
 
-def answer(spark: SparkSession, log: DataFrame | Snapshot, target: str, state: State, now_ms: int, method: str = "GET") -> DataFrame:
-    """(status, body) for a GET of the summary, of a page of events, or of what is accepted; 400 and 404 else, and 500 with the reason if the log can't be read."""
+def answer(spark: SparkSession, log: DataFrame | Snapshot, target: str, state: State, now_ms: int, method: str = "GET", authorization: str | None = None) -> DataFrame:
+    """(status, body) for a GET of the summary, of a page of events, or of what is accepted.
+
+    401 comes first, where the state has a token and `authorization` another or none; 400 and 404 are of the target, and 500 tells why the log
+    can't be read.
+    """
     told = lambda status, what: spark.createDataFrame([(status, body.encoded(what))], "status int, body string")
+    if state.token:
+        sent = re.match(BEARER.replace(r"\z", r"\Z"), authorization or "")
+        if not sent or not hmac.compare_digest(sent[1].encode(), state.token.encode()):
+            return told(401, {"error": "unauthorized"})
     parts = parameters(spark, target)
     if parts is None:
         return told(400, {"error": "invalid request-target"})
@@ -115,6 +126,6 @@ def answer(spark: SparkSession, log: DataFrame | Snapshot, target: str, state: S
             except Exception as e:  # whatever keeps the log from being read, who asks is told
                 return told(500, {"error": f"could not read {name}: {str(e).splitlines()[0] if str(e) else type(e).__name__}"})
     if method == "GET" and path == CAPABILITIES_PATH:
-        own = pages.capabilities(spark, state.needs_token).first()
+        own = pages.capabilities(spark, bool(state.token)).first()
         return told(200, {"schemaVersion": own["schema_version"], "acceptedSchemaVersions": own["accepted_versions"], "authRequired": own["auth"]})
     return told(404, {"error": "not found"})

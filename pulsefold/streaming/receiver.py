@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pulsefold.functions.numbers import retention_setting
 from pulsefold.operators.repeats import live_keys
-from pulsefold.plans.ingest import REQUEST, Settings, admitted, live_entries, log_rows, not_stored
+from pulsefold.plans.ingest import MAX_BODY, REQUEST, Settings, admitted, live_entries, log_rows, not_stored
+from pulsefold.plans.routes import State, answer, version_of
 from pulsefold.plans.tallies import ENTRY, OUTCOME, PRUNE
 from pulsefold.sources.store import Store
 
-from .maintenance import Maintenance
+from .maintenance import DEBOUNCE_MS, SWEEP_MS, Maintenance
 
 
 def request_stream(spark: SparkSession, folder: str, files: int = 100) -> DataFrame:
@@ -22,6 +25,10 @@ def request_stream(spark: SparkSession, folder: str, files: int = 100) -> DataFr
     return spark.readStream.schema(REQUEST).option("maxFilesPerTrigger", files).parquet(folder)
 
 
+#: Bounds of the store unless the environment says otherwise (fixed values).
+MAX_EVENTS, MAX_AGE_HOURS = 10_000, 0
+
+
 class Receiver:
     """Admits micro-batches, and keeps the store within its bounds.
 
@@ -33,8 +40,8 @@ class Receiver:
     Retention is `maintenance`: it runs after a batch if it is due, and by its own timer (`start_maintenance`) without traffic, too.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings = Settings(), max_rows: int = 0, max_age_ms: int = 0, sweep_ms: int = 300_000, debounce_ms: int = 0) -> None:
-        self.spark, self.folder, self.settings = spark, folder, settings
+    def __init__(self, spark: SparkSession, folder: str, settings: Settings = Settings(), max_rows: int = 0, max_age_ms: int = 0, sweep_ms: int = SWEEP_MS, debounce_ms: int = 0, version: str | None = None) -> None:
+        self.spark, self.folder, self.settings, self.version = spark, folder, settings, version
         self.store = Store(spark, folder)
         self.started_at = int(time.time() * 1000)
         self.maintenance = Maintenance(self.store, max_rows, max_age_ms, sweep_ms, debounce_ms)
@@ -80,6 +87,13 @@ class Receiver:
         """Retention and cleaning by a timer of their own."""
         return self.maintenance.start(f"{self.folder}/timer-{uuid.uuid4().hex}", every, grace_ms, self.started_at)
 
+    def answer(self, target: str, now_ms: int, method: str = "GET", authorization: str | None = None) -> DataFrame:
+        """(status, body) of a read route, from one version of the store: its events, outcomes, keys and prunes belong together."""
+        at = self.store.snapshot()
+        m = self.maintenance
+        state = State(self.started_at, self.version, self.settings.token, at.outcomes(OUTCOME), at.prunes(PRUNE), at.keys(ENTRY), m.max_rows, m.max_age_ms)
+        return answer(self.spark, at, target, state, now_ms, method, authorization)
+
     def outcomes(self) -> DataFrame:
         return self.store.snapshot().outcomes(OUTCOME)
 
@@ -92,3 +106,15 @@ class Receiver:
         if at.manifest["batch"] != number:
             raise ValueError(f"the last batch is {at.manifest['batch']}")
         return at.keys(ENTRY)
+
+
+def from_environment(spark: SparkSession, folder: str, environment: Mapping[str, str], version_file: str | None = None) -> Receiver:
+    """A receiver with the settings of an environment: AUTH_TOKEN, STORE_MAX_EVENTS, STORE_MAX_AGE_HOURS and INGEST_MAX_BODY_BYTES.
+
+    A bound that is not there, blank, malformed or negative is the usual one; 0 switches it off. An empty token asks for none. The keys that
+    were live before a restart are in the store, and so is when it was last pruned.
+    """
+    bound = lambda name, usual: retention_setting(environment.get(name), usual)
+    settings = Settings(token=environment.get("AUTH_TOKEN") or None, max_body=int(bound("INGEST_MAX_BODY_BYTES", MAX_BODY)))
+    rows, hours = int(bound("STORE_MAX_EVENTS", MAX_EVENTS)), bound("STORE_MAX_AGE_HOURS", MAX_AGE_HOURS)
+    return Receiver(spark, folder, settings, rows, int(hours * 3_600_000), debounce_ms=DEBOUNCE_MS, version=version_of(version_file) if version_file else None)

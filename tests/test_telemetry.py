@@ -746,3 +746,32 @@ def test_one_hot_key_is_spread_over_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert sum(x["n"] for x in rows) == 40_000 and sum(x["taken"] for x in rows) == 200
     assert max(x["n"] for x in rows) <= 0.35 * 40_000  # four partitions
+
+
+def test_a_receiver_by_its_environment(spark, tmp_path):
+    """Settings, a restart, and the routes over one version of the store."""
+    from pulsefold.streaming import receiver as module
+
+    usual = module.from_environment(spark, str(tmp_path / "u"), {"STORE_MAX_EVENTS": "-3", "STORE_MAX_AGE_HOURS": " ", "INGEST_MAX_BODY_BYTES": "x", "AUTH_TOKEN": ""})
+    assert (usual.maintenance.max_rows, usual.maintenance.max_age_ms, usual.settings.max_body, usual.settings.token) == (10_000, 0, 1 << 20, None)
+    (tmp_path / "package.json").write_text('{"version":"3.1"}')
+    own = {"STORE_MAX_EVENTS": "0x10", "STORE_MAX_AGE_HOURS": "0.5", "INGEST_MAX_BODY_BYTES": "0", "AUTH_TOKEN": "t0k"}
+    r = module.from_environment(spark, str(tmp_path / "r"), own, str(tmp_path / "package.json"))
+    assert (r.maintenance.max_rows, r.maintenance.max_age_ms, r.settings.max_body, r.settings.token, r.version) == (16, 1_800_000, 0, "t0k", "3.1")
+    e, auth = VALID["crash"], {"Authorization": "Bearer t0k"}
+    long = request(2, [], None, 3000, headers={**auth, "Content-Length": "9999999"})
+    r.batch(spark.createDataFrame([request(0, [e], "a", 1000, headers=auth), request(1, [e], "b", 2000), long, request(3, [], None, 4000, body=None, headers=auth)], ingest.REQUEST), 0)
+    got = {x["seq"]: (x["status"], x["reason"]) for x in r.outcomes().collect()}
+    assert got == {0: (202, None), 1: (401, ingest.REASONS[401]), 2: (202, None), 3: (400, ingest.NO_BODY)}
+    again = module.from_environment(spark, str(tmp_path / "r"), own)
+    again.batch(spark.createDataFrame([request(4, [e], "a", 5000, headers=auth)], ingest.REQUEST), 1)
+    assert again.outcomes().filter("deduped").select("seq").collect() == [(4,)]  # keys outlive the restart
+    ask = lambda target, **k: tuple(again.answer(target, 9000, **k).first())
+    assert ask("/summary")[0] == ask("/events", authorization="Bearer t0k!")[0] == ask("//", authorization="t0k")[0] == 401
+    status, text = ask("/summary", authorization="bearer  t0k")
+    body = json.loads(text)
+    again.started_at = 0
+    assert status == 200 and body["total"] == 1 and body["deduped"]["total"] == 0 and body["seenKeys"]["size"] == 1  # tallies begin with the start
+    assert json.loads(ask("/summary", authorization="Bearer t0k")[1])["deduped"]["total"] == 1
+    assert json.loads(ask("/capabilities", authorization="Bearer t0k")[1])["authRequired"] is True
+    assert [x["receivedAt"] for x in json.loads(ask("/events", authorization="Bearer t0k")[1])["events"]] == [1000]
