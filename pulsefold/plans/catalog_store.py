@@ -11,11 +11,14 @@ from pulsefold.functions.validation import INTRODUCED
 from pulsefold.operators.histogram import OVERFLOW
 from pulsefold.sources.scratch import scratch_folder
 from pulsefold.sources.store import Store, scratch_store
+from pulsefold.streaming import keyed
 from pulsefold.streaming.receiver import Receiver
 
 from . import pages, summary, synthetic, tallies
 from .adapter import SQL as ADAPTER
 from .adapter import events
+from .catalog import ORACLES as PLAIN
+from .catalog import TTL
 from .catalog_log import _REQUESTS, _SIGNATURE, _newest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +161,19 @@ def _received(spark: SparkSession, sf_dir: str) -> Receiver:
             receiver.batch(requests.filter(F.col("seq").between(least + i * width, least + (i + 1) * width - 1)), i)
         _receivers[key] = receiver
     return _receivers[key]
+
+
+def keyed_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals of each user as a stream that is stopped and started again between its batches, with the keys in its state store."""
+    e = events(spark, sf_dir).select("seq", "user", "ms")
+    least, most = e.agg(F.min("ms"), F.max("ms")).first()
+    width = -(-(most - least + 1) // BATCHES)
+    source, sink, checkpoint = (scratch_folder(spark) for _ in range(3))
+    for i in range(BATCHES):
+        e.filter(F.col("ms").between(least + i * width, least + (i + 1) * width - 1)).write.mode("append").parquet(source)
+        arrivals = spark.readStream.schema(e.schema).parquet(source)
+        keyed.start(keyed.accepted_stream(arrivals, "user", "ms", "seq", TTL), sink, checkpoint, available_now=True).awaitTermination()
+    return spark.read.parquet(sink).select(F.col("order").alias("seq"), F.col("key").cast(e.schema["user"].dataType).alias("user"), "accepted")
+
+
+QUERIES["keyed_arrivals"], ORACLES["keyed_arrivals"] = keyed_arrivals, PLAIN["dedup_first_seen"]

@@ -775,3 +775,28 @@ def test_a_receiver_by_its_environment(spark, tmp_path):
     assert json.loads(ask("/summary", authorization="Bearer t0k")[1])["deduped"]["total"] == 1
     assert json.loads(ask("/capabilities", authorization="Bearer t0k")[1])["authRequired"] is True
     assert [x["receivedAt"] for x in json.loads(ask("/events", authorization="Bearer t0k")[1])["events"]] == [1000]
+
+
+def test_keys_in_the_state_of_a_stream(spark, tmp_path):
+    """Ties, nulls and batches: the outcomes of the whole table, over restarts; what was remembered before counts, too."""
+    from pulsefold.streaming import keyed
+
+    rows = [(i, ("a", "b", "", None, f"k{i % 5}")[i % 7 % 5], None if i % 31 == 30 else 3 * (i // 2)) for i in range(240)]
+    schema = "seq long, key string, at long"
+    source, sink = str(tmp_path / "source"), str(tmp_path / "sink")
+    for part in (rows[:80], [], rows[80:160], rows[160:]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(source)
+        stream = keyed.accepted_stream(spark.readStream.schema(schema).parquet(source), "key", "at", "seq", 20)
+        keyed.start(stream, sink, str(tmp_path / "checkpoint"), available_now=True).awaitTermination()
+    got = {r["order"]: r["accepted"] for r in spark.read.parquet(sink).collect()}
+    plain = repeats.accepted_arrivals(spark.createDataFrame(rows, schema), "key", "at", "seq", 20)
+    assert got == {r["seq"]: r["accepted"] for r in plain.collect()} and len(got) == len(rows)
+
+    entries = spark.createDataFrame([("a", 100), ("a", 50), ("b", None), ("", 900)], "key string, expires_at long")
+    late = keyed.accepted_stream(spark.readStream.schema(schema).parquet(source), "key", "at", "seq", 20, entries=entries)
+    keyed.start(late, str(tmp_path / "second"), str(tmp_path / "other"), available_now=True).awaitTermination()
+    first = spark.read.parquet(str(tmp_path / "second")).filter("accepted AND key IN ('a', 'b', '')").groupBy("key").agg(F.min("at").alias("at")).collect()
+    wanted = {k: min(t for _, x, t in rows if (x or "") == k and t is not None and t >= least) for k, least in (("a", 100), ("b", 0), ("", 0))}
+    assert {r["key"]: r["at"] for r in first} == wanted
+    with pytest.raises(ValueError):
+        keyed.accepted_stream(late, "key", "at", "order", 20, keep_ms=10)
