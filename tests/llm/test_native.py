@@ -227,6 +227,42 @@ def test_a_file_of_all_notices_has_all_labels(spark):
     assert all(got[i] == ([], 0.0) for i in range(2, len(texts)))
 
 
+@pytest.mark.parametrize("share", [0.3, 0.5, 0.8])
+def test_rare_words_nominate_every_alignment(spark, share):
+    """Scores of all files and templates, whole licences with words lost, put in and torn apart included, equal those of all offsets in plain Python."""
+    r = random.Random(5)
+    templates = licenses.TEMPLATES + licenses.WHOLE
+    lower = [[w.lower() for w in re.findall(licenses.WORD, t[1])] for t in templates]
+    files = []
+    for n in range(90):
+        words = list(lower[n % len(lower)]) if n % 9 else []
+        for _ in range(r.randint(0, 3)):
+            at = r.randint(0, len(words))
+            words[at : at + r.choice([0, 0, 30])] = r.choice([["other"], [], ["hereby", "the", "software"]])
+        words = [w if r.random() > (0, 0.2, 0.5)[n % 3] else r.choice(["the", "of", "x"]) for w in words]
+        files.append(["intro"] * r.randint(0, 4) + words + r.choice([[], lower[r.randrange(len(lower))]]))
+    known = licenses.vocabulary()
+    hits = [(n, [(i, w) for i, w in enumerate(f) if w in known], [w for w in set(f) if w in known]) for n, f in enumerate(files)]
+    df = spark.createDataFrame(hits, "key int, hits array<struct<at:int,word:string>>, known array<string>")
+    got = {(x["key"], f["template"]): f["score"] for x in licenses.aligned(df, licenses.weights(df, len(files), share=share), share).collect() for f in x["found"]}
+    want = {}
+    for n, f in enumerate(files):
+        for k, t in enumerate(lower):
+            weight = [max(math.log((len(files) + 1) / (sum(w in g for g in files) + 1)), 0.01) for w in t]
+            best = max((sum(v for i, (w, v) in enumerate(zip(t, weight, strict=True)) if 0 <= i + o < len(f) and f[i + o] == w) for o in range(-len(t), len(f))), default=0)
+            if best / sum(weight) >= share:
+                want[n, k] = best / sum(weight)
+    assert got == pytest.approx(want) and len(want) > 60
+
+
+def test_whole_licences_need_all_their_phrases(spark):
+    whole = {t[0]: t[1] for t in licenses.WHOLE}
+    texts = ["Copyright (c) A. Body\n\n" + whole["mit"] + "\nint main() {}", whole["zlib"], whole["zlib"].replace("plainly", "clearly"), whole["bsd-3-clause"], whole["bsd-3-clause"].split("3. ")[0], *["word"] * 40]
+    got = {x["doc_id"]: x["labels"] for x in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(5)] == [["mit"], ["zlib"], [], ["bsd", "bsd-3-clause"], ["bsd"]]
+    assert all(got[i] == [] for i in range(5, len(texts)))
+
+
 # secrets
 
 
