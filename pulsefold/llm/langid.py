@@ -21,6 +21,10 @@ from .kernels import appended, lists, texts_of
 BUCKETS, DIM = 1 << 15, 16
 #: Labelled rows of each language that training reads at most, on average (they are drawn by a hash of their id).
 SAMPLE = 500
+#: Languages that are learnt at most, those with most rows; the model has a column for each.
+LANGUAGES = 1000
+#: Subwords whose embeddings are looked up at once.
+SLICE = 1 << 18
 #: Passes over the sample, rows of a step, its rate, and the share of the sample kept for calibration.
 EPOCHS, STEP, RATE, HELD = 12, 32, 0.5, 0.2
 #: Share of the calibration rows whose prediction is accepted.
@@ -72,10 +76,10 @@ class Model:
     least: float  # a prediction with a lower score is not accepted
 
 
-def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE, seed: int = 7) -> Model | None:
-    """A model from about `sample` rows of each language at most; None without a labelled text."""
+def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE, seed: int = 7, languages_at_most: int = LANGUAGES) -> Model | None:
+    """A model from about `sample` rows of each language at most, of the languages with most rows (ties: by name); None without a labelled text."""
     usable = labelled.filter(F.col(lang_column).isNotNull() & (F.length(text_of(text_column)) > 0))
-    counts = {r[0]: r[1] for r in usable.groupBy(lang_column).count().collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy(lang_column).count().orderBy(F.col("count").desc(), lang_column).limit(languages_at_most).collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, sample / n))])
@@ -161,12 +165,14 @@ def predict(df: DataFrame, model: Model | None, text_column: str = "text", keep:
         for first, last, t in texts_of(strings) if m else ():
             total = np.zeros((t.n, len(m.languages)))
             grams = np.zeros(t.n)
-            some = np.flatnonzero(np.diff(t.bounds))
-            if not len(some):
-                continue
             for bucket in _subwords(t.data, t.bounds):
-                total[some] += np.add.reduceat(m.table[bucket], t.bounds[some], axis=0)
-                grams[some] += np.add.reduceat((bucket != BUCKETS).astype(np.int64), t.bounds[some])
+                for at in range(0, len(bucket), SLICE):  # a very long text isn't looked up whole
+                    part = bucket[at : at + SLICE]
+                    begin, end = np.maximum(t.bounds[:-1], at), np.minimum(t.bounds[1:], at + len(part))
+                    some = np.flatnonzero(begin < end)
+                    if len(some):
+                        total[some] += np.add.reduceat(m.table[part], begin[some] - at, axis=0)
+                        grams[some] += np.add.reduceat((part != BUCKETS).astype(np.int64), begin[some] - at)
             logits = (total / np.maximum(grams, 1)[:, None] + m.bias) / m.temperature
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)

@@ -430,6 +430,19 @@ def test_predictions_are_those_of_plain_python(spark, odd):
     assert len(held) > 150 and right > 0.95 and abs(np.mean([x["score"] for x in held]) - right) < 0.05
 
 
+def test_long_texts_in_slices_and_the_bound_of_languages(spark, odd, monkeypatch):
+    """Slices that end within texts add up to the same scores; of many languages those with most rows are learnt."""
+    rows = [(i, prose(i, 30) + (" éè" * 20 if i % 3 else ""), ("xx", "yy", "yy")[i % 3], "a", 0) for i in range(120)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    model = langid.fit(df)
+    both = df.unionByName(odd)
+    whole = sorted((str(x["text"]), x["lang_pred"], x["score"]) for x in langid.predict(both, model).collect())
+    monkeypatch.setattr(langid, "SLICE", 37)
+    sliced = sorted((str(x["text"]), x["lang_pred"], x["score"]) for x in langid.predict(both, model).collect())
+    assert [x[:2] for x in whole] == [x[:2] for x in sliced] and [x[2] for x in sliced] == pytest.approx([x[2] for x in whole], abs=1e-4)
+    assert model.languages == ["xx", "yy"] and langid.fit(df, languages_at_most=1).languages == ["yy"]
+
+
 # language model
 
 
