@@ -61,12 +61,14 @@ def judge(df: DataFrame, rules: DataFrame, url_column: str = "url", default: str
     lengths = table.agg(F.sort_array(F.collect_set("labels")).alias("labels"), F.sort_array(F.collect_set("chars")).alias("chars")).first()
     distinct = parts.select(F.col("__host").alias("h"), F.col("__path").alias("p")).distinct()
     have = F.size(F.split("h", r"\."))
-    expressions = [
-        F.when((have >= n) & (F.length("p") >= m), F.concat(F.substring_index("h", ".", -n), F.substring("p", 1, m)))
-        for n in lengths["labels"]
-        for m in lengths["chars"]
-    ]
-    made = F.explode(F.array_distinct(F.array_compact(F.array(*expressions)))) if expressions else F.explode(F.array().cast("array<string>"))
+    # one expression, however many lengths the rules have; they are no more than the longest rule is long
+    listed = lambda c: F.array(*map(F.lit, lengths[c])).cast("array<int>")
+    host = lambda n: F.call_function("substring_index", F.col("h"), F.lit("."), -n)
+    made = F.transform(
+        F.filter(listed("labels"), lambda n: n <= have),
+        lambda n: F.transform(F.filter(listed("chars"), lambda m: m <= F.length("p")), lambda m: F.concat(host(n), F.substring(F.col("p"), F.lit(1), m))),
+    )
+    made = F.explode(F.array_distinct(F.flatten(made)))
     asked = distinct.select("h", "p", made.alias("e")).withColumn("__digest", F.sha2("e", 256)).withColumn("prefix", F.substring("__digest", 1, PREFIX))
     known = small_or_plain(table.withColumn("prefix", F.substring("digest", 1, PREFIX)).drop("labels", "chars"))
     met = asked.join(known, "prefix").filter(F.col("__digest") == F.col("digest"))
