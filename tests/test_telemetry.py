@@ -800,3 +800,11 @@ def test_keys_in_the_state_of_a_stream(spark, tmp_path):
     assert {r["key"]: r["at"] for r in first} == wanted
     with pytest.raises(ValueError):
         keyed.accepted_stream(late, "key", "at", "order", 20, keep_ms=10)
+
+
+def test_tasks_get_files_of_bounded_rows(spark):
+    """JSON compresses so well that one file of it would keep one task busy for long."""
+    from pulsefold.sources.scratch import written
+
+    df = written(spark.range(10, numPartitions=1), file_rows=3)
+    assert len(df.inputFiles()) == 4 and df.count() == 10
