@@ -808,3 +808,15 @@ def test_tasks_get_files_of_bounded_rows(spark):
 
     df = written(spark.range(10, numPartitions=1), file_rows=3)
     assert len(df.inputFiles()) == 4 and df.count() == 10
+
+
+def test_texts_are_parsed_and_judged_once(spark):
+    """Neither the outcomes of requests nor the filter of typed events computes a text's JSON anew."""
+    parses = lambda df: df._jdf.queryExecution().executedPlan().toString().count("parse_json")
+    lines = spark.createDataFrame([(0, '{"type":"crash"}')], "seq long, value string")
+    assert "Filter" not in ndjson.typed(ndjson.parsed(lines, F.col("seq"))).select("seq")._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    e = VALID["crash"]
+    requests = spark.createDataFrame([request(0, [e], "a", 1000), request(1, [{}], "a", 1500)], ingest.REQUEST)
+    told = ingest.outcomes(requests)
+    assert parses(told) == 0
+    assert {r["seq"]: (r["status"], r["accepted"]) for r in told.collect()} == {0: (202, 1), 1: (422, 0)}
