@@ -820,3 +820,13 @@ def test_texts_are_parsed_and_judged_once(spark):
     told = ingest.outcomes(requests)
     assert parses(told) == 0
     assert {r["seq"]: (r["status"], r["accepted"]) for r in told.collect()} == {0: (202, 1), 1: (422, 0)}
+
+
+def test_a_part_has_no_file_for_each_task_and_day(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    day = 86_400_000
+    events = spark.range(80, numPartitions=8).select(F.col("id").alias("seq"), F.format_string('{"receivedAt":%d}', F.col("id") % 4 * day).alias("value"))
+    store.append(events)
+    files = list((tmp_path / "store" / "events").rglob("*.parquet"))
+    assert len(files) <= 8 and sum(f.stat().st_size for f in files) < 8 * 100_000  # blooms of the usual size take over 1 MB a column
+    assert store.read().count() == 80
