@@ -113,6 +113,14 @@ def grams(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return out[at], at
 
 
+def gram_at(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the run of n words that begins at each position `at`, as in grams()."""
+    out = np.zeros(len(at), _U)
+    for i in range(n):
+        out = mixed(out * _BASE + hashes[at + i])
+    return out
+
+
 def shingles(texts: Texts, hashes: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of each n-word shingle; a text of fewer words, but one at least, has a single shingle of them all."""
     out, at = grams(hashes, texts.doc, n)

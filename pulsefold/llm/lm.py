@@ -1,9 +1,14 @@
 """Language-model scores: a stupid-backoff model of the whole corpus, applied to each of its documents.
 
-Documents are put in blocks of a few megabytes. Their n-grams of every order are exploded, one row for each block that
-has one, so an n-gram of every document is one row a block and not one a document. The rows are added up to the count
-table by the hash of the n-gram, the table is joined to the exploded rows, and each block gets the counts of the
-n-grams that other blocks have, too; of the others it has the count itself. Then every document of the block is summed.
+Documents are put in blocks of a few megabytes. Their n-grams are exploded, one row for each block that has one, so an
+n-gram of every document is one row a block and not one a document. The rows are added up by the hash of the n-gram, and
+each block gets the counts of the n-grams that other blocks have, too; of the others it has the count itself. Then every
+document of the block is summed.
+
+Single words come first: each word of a text gets its count, kept beside the text, and one that no other document has
+rules out the n-grams with it. The longer n-grams are worked off in SLICES, one after the other, by the hash of a word: a
+slice scores the words that follow one of its words, and all n-grams that decide such a score end in that word or have
+it before their last. So a slice ends with sums per document, and its shuffle files go before the next one begins.
 
 With c the counts in all other documents (a document's own occurrences are left out at every order), a word w after
 its context v of up to ORDER - 1 words has
@@ -16,27 +21,35 @@ and, at the end, S(w) = max(c(w), UNSEEN) / c(all words). N-grams are known by 6
 from __future__ import annotations
 
 import math
+from contextlib import ExitStack
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsefold.sources.scratch import bucketed, shuffles_removed
+
 from .base import text_of, written
-from .kernels import grams, texts_of
+from .kernels import gram_at, lists, texts_of
 
 #: Longest n-gram, the factor of a step back, the count of a word that no other document has.
 ORDER, BACKOFF, UNSEEN = 3, 0.4, 0.5
 #: Bytes of text in a block, and documents in it, at most; a longer text is a block of its own.
 BLOCK, BLOCK_DOCUMENTS = 4 << 20, 1 << 14
+#: Slices of the n-grams beyond single words, and the words of a corpus for which one more slice is worth it.
+SLICES, SLICE_WORDS = 6, 1 << 19
+#: Bytes of text in a bucket of blocks, about.
+BUCKET = 16 << 20
 #: Logarithms are added up as whole numbers of this unit, so that their order does not matter.
 UNIT = 1e-6
 
 
 def _blocked(batches):
-    """(block, id, text, n_words). Blocks are named by task and number; they are kept, so a name stays what it is."""
-    task, number, size, rows = TaskContext.get().partitionId(), 0, 0, 0
+    """(block, id, text, n_words, row). Blocks and rows are named by task and number; they are kept, so a name stays what it is."""
+    task, number, size, rows, row = TaskContext.get().partitionId(), 0, 0, 0, 0
     for batch in batches:
         names, counts = np.empty(len(batch), np.int64), np.empty(len(batch), np.int64)
         for first, last, t in texts_of(batch.column(1)):
@@ -46,46 +59,65 @@ def _blocked(batches):
                     number, size, rows = number + 1, 0, 0
                 size, rows = size + own, rows + 1
                 names[i] = (task << 32) + number
-        yield pa.RecordBatch.from_arrays([pa.array(names), *batch.columns, pa.array(counts)], names=["block", "id", "text", "n_words"])
+        row_names = (task << 40) + np.arange(row, row := row + len(batch))
+        yield pa.RecordBatch.from_arrays([pa.array(names), *batch.columns, pa.array(counts), pa.array(row_names)], names=["block", "id", "text", "n_words", "row"])
 
 
-def _hashes(strings, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """(text of each word, for each n up to `order` the hash of the n-gram that ends there, 0 where a text begins, words of each text)."""
-    docs, sizes, found = [], [], [[] for _ in range(order)]
+def _words(strings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash and place in its text of each word, words of each text)."""
+    docs, words, sizes = [], [], []
     for first, _, t in texts_of(strings):
-        words = t.hashes()
-        for n, out in enumerate(found, 1):
-            full = np.zeros(len(words), np.uint64)
-            g, at = grams(words ^ np.uint64(n), t.doc, n)
-            full[at + n - 1] = g
-            out.append(full)
         docs.append(t.doc + first)
+        words.append(t.hashes())
         sizes.append(t.words_per_text())
     join = lambda x, kind: np.concatenate([np.empty(0, kind), *x]).astype(kind)
-    return join(docs, np.int64), [join(x, np.uint64) for x in found], join(sizes, np.int64)
+    sizes = join(sizes, np.int64)
+    return join(docs, np.int64), join(words, np.uint64), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
+
+
+def _others(column) -> np.ndarray:
+    """Of lists of counts, all counts in a row."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _turns(words: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of each word."""
+    return ((words >> np.uint64(32)) % np.uint64(slices)).astype(np.int64)
 
 
-def _place(sizes: np.ndarray) -> np.ndarray:
-    """The place of each word in its text, from 0."""
-    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+def _grams(words: np.ndarray, place: np.ndarray, others: np.ndarray, order: int, turn: int, slices: int):
+    """For each n from 2 to `order` (last words, hashes) of the n-grams of the slice `turn` that another text may have."""
+    ends = _turns(words, slices) == turn
+    before = np.concatenate([[False], ends[:-1]]) if len(ends) else ends
+    known = others > 0
+    alone = np.concatenate([[0], np.cumsum(~known)])  # words before that no other text has
+    for n in range(2, order + 1):
+        at = np.flatnonzero((before | ends if n < order else before) & known & (place >= n - 1))
+        at = at[alone[at + 1] == alone[at + 1 - n]]
+        yield at, gram_at(words ^ np.uint64(n), at - n + 1, n)
 
 
-def _exploded(order: int):
-    """(block, gram, n) of batches (block, text)."""
+def _exploded(of_block):
+    """(block, gram, n) of batches that begin with block; of_block gives the n-grams of rows of one block, repeats included."""
 
     def run(batches):
         for batch in batches:
             block = batch.column(0).to_numpy()
             cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else [0]
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                _, found, sizes = _hashes(batch.column(1).slice(a, b - a), order)
-                place = _place(sizes)
-                gram, n = np.unique(np.concatenate([g[place >= k] for k, g in enumerate(found)]), return_counts=True)
+                gram, n = np.unique(of_block(batch.slice(a, b - a)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), block[a])), pa.array(gram.view(np.int64)), pa.array(n)], names=["block", "gram", "n"])
 
     return run
 
 
+def _elsewhere(rows: DataFrame) -> DataFrame:
+    """(block, gram, total) of the n-grams in (block, gram, n) that other blocks have, too; what only the block has, it knows."""
+    total = F.sum("n").over(Window.partitionBy("gram"))
+    return rows.withColumn("total", total).filter("total > n").select("block", "gram", "total")
+
+
 def _totals(own: np.ndarray, gram: np.ndarray, total: np.ndarray) -> np.ndarray:
     """For each of the n-grams `own` of a block its count in the corpus: the one in (gram, total), else the block's."""
     keys, at, n = np.unique(own, return_inverse=True, return_counts=True)
@@ -108,32 +140,67 @@ def _own(doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scores(strings, gram: np.ndarray, total: np.ndarray, all_words: int, order: int, backoff: float) -> np.ndarray:
-    """The score of each text of a block, in UNITs."""
-    doc, found, sizes = _hashes(strings, order)
-    place = _place(sizes)
+def _counts(doc: np.ndarray, grams: np.ndarray, answers: pa.Table) -> np.ndarray:
+    """How often all other texts have each n-gram of a block; answers: (gram, total) of those that other blocks have, too."""
+    gram, total = answers["gram"].to_numpy().view(np.uint64), answers["total"].to_numpy()
     by_gram = np.argsort(gram)
-    gram, total = gram[by_gram], total[by_gram]
-    counts = []
-    for k, g in enumerate(found):
-        some = np.flatnonzero(place >= k)
-        c = np.zeros(len(g), np.int64)
-        c[some] = _totals(g[some], gram, total) - _own(doc[some], g[some])
+    return _totals(grams, gram[by_gram], total[by_gram]) - _own(doc, grams)
+
+
+def _scores(strings, others: np.ndarray, answers: pa.Table, all_words: int, order: int, backoff: float, turn: int, slices: int) -> np.ndarray:
+    """What the words of the slice `turn` add to the score of each text of a block, in UNITs."""
+    doc, words, place, sizes = _words(strings)
+    counts = [others]
+    for at, g in _grams(words, place, others, order, turn, slices):
+        c = np.zeros(len(doc), np.int64)
+        c[at] = _counts(doc[at], g, answers)
         counts.append(c)
-    rest = np.maximum(all_words - sizes, 1)
-    value = np.log(np.maximum(counts[0], UNSEEN)) - np.log(rest)[doc]
-    steps = np.minimum(place, order - 1)  # back to the single word
-    level = np.zeros(len(doc), np.int64)
+    turns = np.zeros(len(doc), np.int64)  # that of the word before; the first word of a text is in slice 0
+    turns[1:] = _turns(words, slices)[:-1]
+    turns[place == 0] = 0
+    some = np.flatnonzero(turns == turn)
+    value = np.log(np.maximum(others[some], UNSEEN)) - np.log(np.maximum(all_words - sizes, 1))[doc[some]]
+    steps = np.minimum(place[some], order - 1)  # back to the single word
+    level = np.zeros(len(some), np.int64)
     for k in range(1, order):
-        seen = np.flatnonzero(counts[k] > 0)
-        value[seen] = np.log(counts[k][seen]) - np.log(counts[k - 1][seen - 1])
+        c = counts[k][some]
+        seen = np.flatnonzero(c > 0)
+        value[seen] = np.log(c[seen]) - np.log(counts[k - 1][some[seen] - 1])
         level[seen] = k
     value += (steps - level) * math.log(backoff)
     out = np.zeros(len(sizes), np.int64)
-    np.add.at(out, doc, np.rint(value / UNIT).astype(np.int64))
+    np.add.at(out, doc[some], np.rint(value / UNIT).astype(np.int64))
     return out
 
 
+def _with_others(blocks: DataFrame, kind: str) -> DataFrame:
+    """The blocks with `others`, for each word of a text how often all other texts have it."""
+    grams = lambda batch: _words(batch.column(1))[1]
+    known = _elsewhere(blocks.select("block", "text").mapInArrow(_exploded(grams), "block long, gram long, n long"))
+
+    def counted(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        doc, words, _, sizes = _words(texts["text"])
+        return texts.append_column("others", lists(_counts(doc, words, answers), sizes, pa.int64()))
+
+    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(counted, f"block long, id {kind}, text string, n_words long, row long, others array<long>")
+
+
+def _slice(blocks: DataFrame, kind: str, all_words: int, order: int, backoff: float, turn: int, slices: int) -> DataFrame:
+    """(row, id, n_words, units): what the words of one slice add to each score."""
+
+    def grams(batch: pa.RecordBatch) -> np.ndarray:
+        _, words, place, _ = _words(batch.column(1))
+        return np.concatenate([np.empty(0, np.uint64), *(g for _, g in _grams(words, place, _others(batch.column(2)), order, turn, slices))])
+
+    known = _elsewhere(blocks.select("block", "text", "others").mapInArrow(_exploded(grams), "block long, gram long, n long"))
+
+    def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        units = _scores(texts["text"], _others(texts["others"]), answers, all_words, order, backoff, turn, slices)
+        return pa.table({"row": texts["row"], "id": texts["id"], "n_words": texts["n_words"], "units": pa.array(units, pa.int64())})
+
+    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(scored, f"row long, id {kind}, n_words long, units long")
+
+
 def score(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", backoff: float = BACKOFF, order: int = ORDER) -> DataFrame:
     """(id, n_words, log_score, mean_log_score), one row per row of `df`.
 
@@ -142,22 +209,19 @@ def score(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", b
     gives an empty one. Other columns are left out.
     """
     kind = df.schema[id_column].dataType.simpleString()
+    spark = df.sparkSession
     slim = df.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
-    blocks = written(slim.mapInArrow(_blocked, f"block long, id {kind}, text string, n_words long"))
-    all_words = blocks.agg(F.sum("n_words")).first()[0] or 0
-    exploded = blocks.select("block", "text").mapInArrow(_exploded(order), "block long, gram long, n long")
-    counts = exploded.groupBy("gram").agg(F.sum("n").alias("total"))
-    # what only the block has, it knows
-    known = exploded.join(counts, "gram").filter("total > n").select("block", "gram", "total")
-
-    def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        gram, total = answers["gram"].to_numpy().view(np.uint64), answers["total"].to_numpy()
-        units = _scores(texts["text"], gram, total, all_words, order, backoff)
-        return pa.table({"id": texts["id"], "n_words": texts["n_words"], "units": pa.array(units, pa.int64())})
-
-    out = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(scored, f"id {kind}, n_words long, units long")
+    n_bytes = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // BUCKET + 1)
+    with shuffles_removed(spark), ExitStack() as kept:
+        with bucketed(slim.mapInArrow(_blocked, f"block long, id {kind}, text string, n_words long, row long"), "block", buckets) as plain:
+            all_words = plain.agg(F.sum("n_words")).first()[0] or 0
+            blocks = kept.enter_context(bucketed(_with_others(plain, kind), "block", buckets))
+        slices = min(SLICES, 1 + all_words // SLICE_WORDS) if order > 1 else 1
+        parts = [written(_slice(blocks, kind, all_words, order, backoff, turn, slices)) for turn in range(slices)]
+    out = reduce(DataFrame.unionAll, parts).groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.sum("units").alias("units"))
     out = out.withColumn("log_score", F.col("units") / F.lit(1 / UNIT))
-    return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))).drop("units")
+    return out.select("id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
 
 
 ORACLE = rf"""

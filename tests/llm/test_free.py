@@ -487,6 +487,62 @@ def test_scores_by_stupid_backoff(spark, order, monkeypatch):
         assert got[i]["mean_log_score"] == (pytest.approx(s / n, abs=1e-4) if n else None)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_in_slices(spark, order, monkeypatch):
+    """The slices add up to the scores in one go and to plain Python's; ids that repeat stay apart."""
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abcdefgh") * r.choice([1, 1, 1, 2, 30]) + str(r.choice(["", "", r.random()])) for _ in range(r.randint(0, 40))) for _ in range(60)] + [None, "", "new", "a"]
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    once = Counter(map(tuple, lm.score(df, order=order).collect()))
+    monkeypatch.setattr(lm, "SLICE_WORDS", 1)
+    sliced = Counter(map(tuple, lm.score(df, order=order).collect()))
+    assert sliced == once
+    want = sorted((i // 2, n, s) for i, (n, s) in enumerate(plain_scores(texts, order)))
+    for got, (i, n, s) in zip(sorted(x[:3] for x in sliced.elements()), want, strict=True):
+        assert got[:2] == (i, n) and got[2] == pytest.approx(s, abs=1e-4)
+    assert not spark.catalog.listTables()
+
+
+def test_scores_take_little_disk(spark, monkeypatch):
+    """The shuffle files and tables that lie on disk at once, as n-grams of all orders took several times the text."""
+    import threading
+    from pathlib import Path
+
+    r = random.Random(9)
+    vocabulary = prose(5, 3000).split()
+    texts = [" ".join(r.choices(vocabulary, k=400)) for _ in range(1000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(lm, "SLICE_WORDS", 1, raising=False)
+    context, done, seen = spark.sparkContext, threading.Event(), []
+    context._jvm.System.gc()
+    folders = [Path(str(x)) for x in context._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    tables = Path(context._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+
+    def used() -> int:
+        total = 0
+        for p in [*(p for d in folders for p in d.rglob("shuffle_*.data")), *tables.rglob("*.parquet")]:
+            try:
+                total += p.stat().st_size if p.is_file() else 0
+            except OSError:  # gone meanwhile
+                pass
+        return total
+
+    done.wait(2)
+    before = used()
+
+    def watch() -> None:
+        while not done.wait(0.05):
+            seen.append(used() - before)
+
+    thread = threading.Thread(target=watch)
+    thread.start()
+    rows = lm.score(df).collect()
+    done.set()
+    thread.join()
+    assert len(rows) == len(texts)
+    assert max(seen) < 3.5 * sum(map(len, texts))
+
+
 def test_scores_do_not_depend_on_blocks(spark):
     texts = [prose(i % 7, 30) for i in range(40)] + ["a b", "a b c a b", "", "a b d"] * 20
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
