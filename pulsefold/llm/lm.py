@@ -1,14 +1,13 @@
 """Language-model scores: a stupid-backoff model of the whole corpus, applied to each of its documents.
 
-Documents are put in blocks of a few megabytes. Their n-grams are exploded, one row for each block that has one, so an
-n-gram of every document is one row a block and not one a document. The rows are added up by the hash of the n-gram, and
-each block gets the counts of the n-grams that other blocks have, too; of the others it has the count itself. Then every
-document of the block is summed.
+Documents are put in blocks of a few megabytes. A block's n-grams are hashed, sorted and counted once, and the sorted
+array is cut into parts by ranges of the hash: what travels is one row for each block and part, with all its n-grams, and
+not one row for each n-gram. The rows of a part meet in one group, which adds the counts up and answers each row with an
+array in the same order: how often other blocks have its n-grams. The block sorts its n-grams once more, lays the
+answers beside them, and sums every document.
 
-Single words come first: each word of a text gets its count, kept beside the text, and one that no other document has
-rules out the n-grams with it. The longer n-grams are worked off in SLICES, one after the other, by the hash of a word: a
-slice scores the words that follow one of its words, and all n-grams that decide such a score end in that word or have
-it before their last. So a slice ends with sums per document, and its shuffle files go before the next one begins.
+The parts are worked off in SLICES, one after the other. A slice leaves its answers, which are small, and its shuffle files
+go before the next one begins.
 
 With c the counts in all other documents (a document's own occurrences are left out at every order), a word w after
 its context v of up to ORDER - 1 words has
@@ -27,20 +26,22 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsefold.sources.scratch import bucketed, shuffles_removed
+from pulsefold.sources.scratch import bucketed, shuffles_removed, temporary
 
 from .base import text_of, written
-from .kernels import gram_at, lists, texts_of
+from .kernels import gram_at, texts_of
 
 #: Longest n-gram, the factor of a step back, the count of a word that no other document has.
 ORDER, BACKOFF, UNSEEN = 3, 0.4, 0.5
 #: Bytes of text in a block, and documents in it, at most; a longer text is a block of its own.
-BLOCK, BLOCK_DOCUMENTS = 4 << 20, 1 << 14
-#: Slices of the n-grams beyond single words, and the words of a corpus for which one more slice is worth it.
-SLICES, SLICE_WORDS = 6, 1 << 19
+BLOCK, BLOCK_DOCUMENTS = 8 << 20, 1 << 14
+#: Slices of the n-grams, and the words of a corpus for which one more slice is worth it.
+SLICES, SLICE_WORDS = 3, 1 << 19
+#: N-grams in a part, about; n-grams are dealt by their hashes, and a block has each of them once.
+PART = 1 << 21
 #: Bytes of text in a bucket of blocks, about.
 BUCKET = 16 << 20
 #: Logarithms are added up as whole numbers of this unit, so that their order does not matter.
@@ -48,8 +49,8 @@ UNIT = 1e-6
 
 
 def _blocked(batches):
-    """(block, id, text, n_words, row). Blocks and rows are named by task and number; they are kept, so a name stays what it is."""
-    task, number, size, rows, row = TaskContext.get().partitionId(), 0, 0, 0, 0
+    """(block, id, text, n_words). Blocks are named by task and number; they are kept, so a name stays what it is."""
+    task, number, size, rows = TaskContext.get().partitionId(), 0, 0, 0
     for batch in batches:
         names, counts = np.empty(len(batch), np.int64), np.empty(len(batch), np.int64)
         for first, last, t in texts_of(batch.column(1)):
@@ -59,8 +60,7 @@ def _blocked(batches):
                     number, size, rows = number + 1, 0, 0
                 size, rows = size + own, rows + 1
                 names[i] = (task << 32) + number
-        row_names = (task << 40) + np.arange(row, row := row + len(batch))
-        yield pa.RecordBatch.from_arrays([pa.array(names), *batch.columns, pa.array(counts), pa.array(row_names)], names=["block", "id", "text", "n_words", "row"])
+        yield pa.RecordBatch.from_arrays([pa.array(names), *batch.columns, pa.array(counts)], names=["block", "id", "text", "n_words"])
 
 
 def _words(strings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,132 +75,111 @@ def _words(strings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return join(docs, np.int64), join(words, np.uint64), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
 
 
-def _others(column) -> np.ndarray:
-    """Of lists of counts, all counts in a row."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False)
-
-
-def _turns(words: np.ndarray, slices: int) -> np.ndarray:
-    """The slice of each word."""
-    return ((words >> np.uint64(32)) % np.uint64(slices)).astype(np.int64)
-
-
-def _grams(words: np.ndarray, place: np.ndarray, others: np.ndarray, order: int, turn: int, slices: int):
-    """For each n from 2 to `order` (last words, hashes) of the n-grams of the slice `turn` that another text may have."""
-    ends = _turns(words, slices) == turn
-    before = np.concatenate([[False], ends[:-1]]) if len(ends) else ends
-    known = others > 0
-    alone = np.concatenate([[0], np.cumsum(~known)])  # words before that no other text has
-    for n in range(2, order + 1):
-        at = np.flatnonzero((before | ends if n < order else before) & known & (place >= n - 1))
-        at = at[alone[at + 1] == alone[at + 1 - n]]
-        yield at, gram_at(words ^ np.uint64(n), at - n + 1, n)
-
-
-def _exploded(of_block):
-    """(block, gram, n) of batches that begin with block; of_block gives the n-grams of rows of one block, repeats included."""
-
-    def run(batches):
-        for batch in batches:
-            block = batch.column(0).to_numpy()
-            cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else [0]
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                gram, n = np.unique(of_block(batch.slice(a, b - a)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), block[a])), pa.array(gram.view(np.int64)), pa.array(n)], names=["block", "gram", "n"])
-
-    return run
-
-
-def _elsewhere(rows: DataFrame) -> DataFrame:
-    """(block, gram, total) of the n-grams in (block, gram, n) that other blocks have, too; what only the block has, it knows."""
-    total = F.sum("n").over(Window.partitionBy("gram"))
-    return rows.withColumn("total", total).filter("total > n").select("block", "gram", "total")
-
-
-def _totals(own: np.ndarray, gram: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """For each of the n-grams `own` of a block its count in the corpus: the one in (gram, total), else the block's."""
-    keys, at, n = np.unique(own, return_inverse=True, return_counts=True)
-    i = np.searchsorted(gram, keys)
-    known = i < len(gram)
-    known[known] = gram[i[known]] == keys[known]
-    n[known] = total[i[known]]
-    return n[at]
-
-
-def _own(doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    """How often the text of each n-gram has it."""
-    order = np.lexsort((gram, doc))
-    g, d = gram[order], doc[order]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
-    run = np.cumsum(new) - 1
+def _grams(words: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(last words, hashes) of all n-grams."""
+    at = np.flatnonzero(place >= n - 1)
+    return at, gram_at(words ^ np.uint64(n), at - n + 1, n)
+
+
+def _parts(grams: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each n-gram; sorted n-grams have sorted parts."""
+    return ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin, and the number of rows at the end."""
+    n = len(columns[0])
+    new = np.ones(n + 1, bool)
+    if n:
+        new[1:n] = reduce(np.logical_or, (x[1:] != x[:-1] for x in columns))
+    return np.flatnonzero(new)
+
+
+def _packed(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Binary values of `lengths` numbers each."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]) * values.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The numbers of binary values in a row."""
+    return np.concatenate([np.empty(0, kind), *(_numbers(x, kind) for x in column.chunks)])
+
+
+def _numbers(column: pa.Array, kind: type) -> np.ndarray:
+    if not len(column):
+        return np.empty(0, kind)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind)
+
+
+def _cut(texts: pa.Table, order: int, parts: int, low: int, high: int) -> pa.Table:
+    """(part, block, n, size, grams, counts) of the n-grams of a block in the parts from `low` to before `high`, sorted by their hashes."""
+    _, words, place, _ = _words(texts["text"])
+    block, rows = texts["block"][0].as_py(), []
+    for n in range(1, order + 1):
+        _, grams = _grams(words, place, n)
+        part = _parts(grams, parts)
+        grams = np.sort(grams[(part >= low) & (part < high)])
+        at = _runs(grams)
+        own, counts = grams[at[:-1]], np.diff(at).astype(np.int32)
+        part = _parts(own, parts).astype(np.int64)
+        cut = _runs(part)
+        sizes = np.diff(cut)
+        same = lambda x, kind: pa.array(np.full(len(sizes), x), kind)  # noqa: B023, E731
+        rows.append([pa.array(part[cut[:-1]]), same(block, pa.int64()), same(n, pa.int32()), pa.array(sizes, pa.int64()), _packed(own, sizes), _packed(counts, sizes)])
+    names = ["part", "block", "n", "size", "grams", "counts"]
+    return pa.concat_tables([pa.Table.from_arrays(x, names=names) for x in rows])
+
+
+def _added(rows: pa.Table) -> pa.Table:
+    """(block, n, part, size, elsewhere) of the rows of a part: how often other blocks have each n-gram of a row."""
+    grams, counts = _unpacked(rows["grams"], np.uint64), _unpacked(rows["counts"], np.int32).astype(np.int64)
+    order = np.argsort(grams)
+    at = _runs(grams[order])
+    totals = np.add.reduceat(counts[order], at[:-1]) if len(grams) else counts
+    elsewhere = np.empty(len(grams), np.int64)
+    elsewhere[order] = np.repeat(totals, np.diff(at))
+    elsewhere -= counts
+    return pa.table({**{x: rows[x] for x in ("block", "n", "part", "size")}, "elsewhere": _packed(elsewhere, rows["size"].to_numpy())})
+
+
+def _counts(doc: np.ndarray, grams: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
+    """How often all other texts have each n-gram of a block; elsewhere: how often other blocks have it, by its hash."""
+    order = np.argsort(grams, kind="stable")  # so the occurrences of an n-gram stay in the order of their texts
+    g = grams[order]
+    at, own = np.diff(_runs(g)), np.diff(_runs(g, doc[order]))
+    if len(at) != len(elsewhere):
+        raise ValueError(f"{len(elsewhere)} answers for {len(at)} n-grams")
     out = np.empty(len(g), np.int64)
-    out[order] = np.bincount(run)[run] if len(g) else 0
+    out[order] = np.repeat(elsewhere + at, at) - np.repeat(own, own)
     return out
 
 
-def _counts(doc: np.ndarray, grams: np.ndarray, answers: pa.Table) -> np.ndarray:
-    """How often all other texts have each n-gram of a block; answers: (gram, total) of those that other blocks have, too."""
-    gram, total = answers["gram"].to_numpy().view(np.uint64), answers["total"].to_numpy()
-    by_gram = np.argsort(gram)
-    return _totals(grams, gram[by_gram], total[by_gram]) - _own(doc, grams)
-
-
-def _scores(strings, others: np.ndarray, answers: pa.Table, all_words: int, order: int, backoff: float, turn: int, slices: int) -> np.ndarray:
-    """What the words of the slice `turn` add to the score of each text of a block, in UNITs."""
+def _scores(strings, answers: pa.Table, all_words: int, order: int, backoff: float) -> np.ndarray:
+    """The score of each text of a block, in UNITs."""
     doc, words, place, sizes = _words(strings)
-    counts = [others]
-    for at, g in _grams(words, place, others, order, turn, slices):
+    value, level = np.zeros(len(doc)), np.zeros(len(doc), np.int64)
+    answers = answers.sort_by([("n", "ascending"), ("part", "ascending")])
+    numbers, before = answers["n"].to_numpy(), np.zeros(0, np.int64)
+    for n in range(1, order + 1):
+        at, grams = _grams(words, place, n)
+        first, last = np.searchsorted(numbers, [n, n + 1])
         c = np.zeros(len(doc), np.int64)
-        c[at] = _counts(doc[at], g, answers)
-        counts.append(c)
-    turns = np.zeros(len(doc), np.int64)  # that of the word before; the first word of a text is in slice 0
-    turns[1:] = _turns(words, slices)[:-1]
-    turns[place == 0] = 0
-    some = np.flatnonzero(turns == turn)
-    value = np.log(np.maximum(others[some], UNSEEN)) - np.log(np.maximum(all_words - sizes, 1))[doc[some]]
-    steps = np.minimum(place[some], order - 1)  # back to the single word
-    level = np.zeros(len(some), np.int64)
-    for k in range(1, order):
-        c = counts[k][some]
-        seen = np.flatnonzero(c > 0)
-        value[seen] = np.log(c[seen]) - np.log(counts[k - 1][some[seen] - 1])
-        level[seen] = k
-    value += (steps - level) * math.log(backoff)
+        c[at] = _counts(doc[at], grams, _unpacked(answers["elsewhere"].slice(first, last - first), np.int64))
+        if n == 1:
+            value = np.log(np.maximum(c, UNSEEN)) - np.log(np.maximum(all_words - sizes, 1))[doc]
+        else:
+            seen = np.flatnonzero(c > 0)
+            value[seen] = np.log(c[seen]) - np.log(before[seen - 1])
+            level[seen] = n - 1
+        before = c
+    value += (np.minimum(place, order - 1) - level) * math.log(backoff)  # steps back to the single word
     out = np.zeros(len(sizes), np.int64)
-    np.add.at(out, doc[some], np.rint(value / UNIT).astype(np.int64))
+    np.add.at(out, doc, np.rint(value / UNIT).astype(np.int64))
     return out
 
 
-def _with_others(blocks: DataFrame, kind: str) -> DataFrame:
-    """The blocks with `others`, for each word of a text how often all other texts have it."""
-    grams = lambda batch: _words(batch.column(1))[1]
-    known = _elsewhere(blocks.select("block", "text").mapInArrow(_exploded(grams), "block long, gram long, n long"))
-
-    def counted(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        doc, words, _, sizes = _words(texts["text"])
-        return texts.append_column("others", lists(_counts(doc, words, answers), sizes, pa.int64()))
-
-    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(counted, f"block long, id {kind}, text string, n_words long, row long, others array<long>")
-
-
-def _slice(blocks: DataFrame, kind: str, all_words: int, order: int, backoff: float, turn: int, slices: int) -> DataFrame:
-    """(row, id, n_words, units): what the words of one slice add to each score."""
-
-    def grams(batch: pa.RecordBatch) -> np.ndarray:
-        _, words, place, _ = _words(batch.column(1))
-        return np.concatenate([np.empty(0, np.uint64), *(g for _, g in _grams(words, place, _others(batch.column(2)), order, turn, slices))])
-
-    known = _elsewhere(blocks.select("block", "text", "others").mapInArrow(_exploded(grams), "block long, gram long, n long"))
-
-    def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        units = _scores(texts["text"], _others(texts["others"]), answers, all_words, order, backoff, turn, slices)
-        return pa.table({"row": texts["row"], "id": texts["id"], "n_words": texts["n_words"], "units": pa.array(units, pa.int64())})
-
-    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(scored, f"row long, id {kind}, n_words long, units long")
-
-
 def score(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", backoff: float = BACKOFF, order: int = ORDER) -> DataFrame:
     """(id, n_words, log_score, mean_log_score), one row per row of `df`.
 
@@ -212,18 +191,29 @@ def score(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", b
     spark = df.sparkSession
     slim = df.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
     n_bytes = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // BUCKET + 1)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with shuffles_removed(spark), ExitStack() as kept:
-        with bucketed(slim.mapInArrow(_blocked, f"block long, id {kind}, text string, n_words long, row long"), "block", buckets) as plain:
-            all_words = plain.agg(F.sum("n_words")).first()[0] or 0
-            blocks = kept.enter_context(bucketed(_with_others(plain, kind), "block", buckets))
-        slices = min(SLICES, 1 + all_words // SLICE_WORDS) if order > 1 else 1
-        parts = [written(_slice(blocks, kind, all_words, order, backoff, turn, slices)) for turn in range(slices)]
-    out = reduce(DataFrame.unionAll, parts).groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.sum("units").alias("units"))
+        blocks = kept.enter_context(bucketed(slim.mapInArrow(_blocked, f"block long, id {kind}, text string, n_words long"), "block", max(tasks, n_bytes // BUCKET + 1)))
+        all_words = blocks.agg(F.sum("n_words")).first()[0] or 0
+        slices = min(SLICES, 1 + all_words // SLICE_WORDS)
+        each = max(tasks, order * all_words // (slices * PART) + 1)
+        answers = reduce(DataFrame.unionAll, [kept.enter_context(_slice(blocks, order, slices * each, turn * each, (turn + 1) * each)) for turn in range(slices)])
+
+        def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
+            units = _scores(texts["text"], answers, all_words, order, backoff)
+            return pa.table({"id": texts["id"], "n_words": texts["n_words"], "units": pa.array(units, pa.int64())})
+
+        out = written(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, f"id {kind}, n_words long, units long"))
     out = out.withColumn("log_score", F.col("units") / F.lit(1 / UNIT))
     return out.select("id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
 
 
+def _slice(blocks: DataFrame, order: int, parts: int, low: int, high: int):
+    """(block, n, part, size, elsewhere) of the parts from `low` to before `high`, kept for as long as the block lasts."""
+    rows = blocks.select("block", "text").groupBy("block").applyInArrow(lambda texts: _cut(texts, order, parts, low, high), "part long, block long, n int, size long, grams binary, counts binary")
+    return temporary(rows.groupBy("part").applyInArrow(_added, "block long, n int, part long, size long, elsewhere binary"), "zstd")
+
+
 ORACLE = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 n AS (SELECT sum(len(w)) AS words FROM d),

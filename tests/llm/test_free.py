@@ -543,6 +543,36 @@ def test_scores_take_little_disk(spark, monkeypatch):
     assert max(seen) < 3.5 * sum(map(len, texts))
 
 
+def test_scores_in_many_parts(spark, monkeypatch):
+    """Blocks that have nothing in a part, and parts of a few n-grams, don't change a score."""
+    texts = [prose(i % 5, 30) + f" new{i} a b a b" for i in range(40)] + ["", "a b", "alone"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    monkeypatch.setattr(lm, "PART", 20)
+    monkeypatch.setattr(lm, "SLICE_WORDS", 100)
+    got = {x["id"]: x for x in lm.score(df).collect()}
+    for i, (n, s) in enumerate(plain_scores(texts)):
+        assert got[i]["n_words"] == n and got[i]["log_score"] == pytest.approx(s, abs=1e-4)
+
+
+def test_scores_shuffle_arrays(spark):
+    """N-grams travel in arrays by block and part: a row for each took most of the time."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    quantiles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def stages() -> dict:
+        stages = store.stageList(None, False, False, quantiles, spark.sparkContext._jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    vocabulary = prose(5, 500).split()
+    r = random.Random(10)
+    texts = [" ".join(r.choices(vocabulary, k=200)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    before = stages()
+    assert len(lm.score(df).collect()) == len(texts)
+    rows = sum(n for stage, n in stages().items() if stage not in before)
+    assert 0 < rows < sum(len(t.split()) for t in texts) / 20
+
+
 def test_scores_do_not_depend_on_blocks(spark):
     texts = [prose(i % 7, 30) for i in range(40)] + ["a b", "a b c a b", "", "a b d"] * 20
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
