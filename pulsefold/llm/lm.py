@@ -1,8 +1,8 @@
 """Language-model scores: a stupid-backoff model of the whole corpus, applied to each of its documents.
 
-Documents are put in blocks of a few megabytes. A block's n-grams are hashed, sorted and counted once, and the sorted
-array is cut into parts by ranges of the hash: what travels is one row for each block and part, with all its n-grams, and
-not one row for each n-gram. The rows of a part meet in one group, which adds the counts up and answers each row with an
+Documents are put in blocks of a few megabytes, which keep the hashes of their words and not the texts. A block's n-grams
+are hashed, sorted and counted, and the sorted array is cut into parts by ranges of the hash: what travels is one row for
+each block and part, with all its n-grams, and not one row for each n-gram. The rows of a part meet in one group, which adds the counts up and answers each row with an
 array in the same order: how often other blocks have its n-grams. The block sorts its n-grams once more, lays the
 answers beside them, and sums every document.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pulsefold.sources.scratch import bucketed, shuffles_removed, temporary
 
 from .base import text_of, written
-from .kernels import gram_at, texts_of
+from .kernels import grams, texts_of
 
 #: Longest n-gram, the factor of a step back, the count of a word that no other document has.
 ORDER, BACKOFF, UNSEEN = 3, 0.4, 0.5
@@ -49,36 +49,30 @@ UNIT = 1e-6
 
 
 def _blocked(batches):
-    """(block, id, text, n_words). Blocks are named by task and number; they are kept, so a name stays what it is."""
+    """(block, id, words, n_words), words: their hashes. Blocks are named by task and number; they are kept, so a name stays what it is."""
     task, number, size, rows = TaskContext.get().partitionId(), 0, 0, 0
     for batch in batches:
-        names, counts = np.empty(len(batch), np.int64), np.empty(len(batch), np.int64)
         for first, last, t in texts_of(batch.column(1)):
-            counts[first:last] = t.words_per_text()
-            for i, own in enumerate(np.diff(t.bounds).tolist(), first):
+            counts, names = t.words_per_text(), np.empty(last - first, np.int64)
+            for i, own in enumerate(np.diff(t.bounds).tolist()):
                 if rows and (size + own > BLOCK or rows == BLOCK_DOCUMENTS):
                     number, size, rows = number + 1, 0, 0
                 size, rows = size + own, rows + 1
                 names[i] = (task << 32) + number
-        yield pa.RecordBatch.from_arrays([pa.array(names), *batch.columns, pa.array(counts)], names=["block", "id", "text", "n_words"])
+            columns = [pa.array(names), batch.column(0).slice(first, last - first), _packed(t.hashes(), counts), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "id", "words", "n_words"])
 
 
-def _words(strings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash and place in its text of each word, words of each text)."""
-    docs, words, sizes = [], [], []
-    for first, _, t in texts_of(strings):
-        docs.append(t.doc + first)
-        words.append(t.hashes())
-        sizes.append(t.words_per_text())
-    join = lambda x, kind: np.concatenate([np.empty(0, kind), *x]).astype(kind)
-    sizes = join(sizes, np.int64)
-    return join(docs, np.int64), join(words, np.uint64), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
+def _words(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text and hash of each word, words of each text) of a block."""
+    sizes = texts["n_words"].to_numpy()
+    return np.repeat(np.arange(len(sizes)), sizes), _unpacked(texts["words"], np.uint64), sizes
 
 
-def _grams(words: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _grams(words: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(last words, hashes) of all n-grams."""
-    at = np.flatnonzero(place >= n - 1)
-    return at, gram_at(words ^ np.uint64(n), at - n + 1, n)
+    hashes, at = grams(words ^ np.uint64(n), doc, n)
+    return at + n - 1, hashes
 
 
 def _parts(grams: np.ndarray, parts: int) -> np.ndarray:
@@ -115,14 +109,14 @@ def _numbers(column: pa.Array, kind: type) -> np.ndarray:
 
 def _cut(texts: pa.Table, order: int, parts: int, low: int, high: int) -> pa.Table:
     """(part, block, n, size, grams, counts) of the n-grams of a block in the parts from `low` to before `high`, sorted by their hashes."""
-    _, words, place, _ = _words(texts["text"])
+    doc, words, _ = _words(texts)
     block, rows = texts["block"][0].as_py(), []
     for n in range(1, order + 1):
-        _, grams = _grams(words, place, n)
-        part = _parts(grams, parts)
-        grams = np.sort(grams[(part >= low) & (part < high)])
-        at = _runs(grams)
-        own, counts = grams[at[:-1]], np.diff(at).astype(np.int32)
+        _, found = _grams(words, doc, n)
+        part = _parts(found, parts)
+        found = np.sort(found[(part >= low) & (part < high)])
+        at = _runs(found)
+        own, counts = found[at[:-1]], np.diff(at).astype(np.int32)
         part = _parts(own, parts).astype(np.int64)
         cut = _runs(part)
         sizes = np.diff(cut)
@@ -134,20 +128,29 @@ def _cut(texts: pa.Table, order: int, parts: int, low: int, high: int) -> pa.Tab
 
 def _added(rows: pa.Table) -> pa.Table:
     """(block, n, part, size, elsewhere) of the rows of a part: how often other blocks have each n-gram of a row."""
-    grams, counts = _unpacked(rows["grams"], np.uint64), _unpacked(rows["counts"], np.int32).astype(np.int64)
-    order = np.argsort(grams)
-    at = _runs(grams[order])
-    totals = np.add.reduceat(counts[order], at[:-1]) if len(grams) else counts
-    elsewhere = np.empty(len(grams), np.int64)
+    found, counts = _unpacked(rows["grams"], np.uint64), _unpacked(rows["counts"], np.int32).astype(np.int64)
+    order = np.argsort(found)
+    at = _runs(found[order])
+    totals = np.add.reduceat(counts[order], at[:-1]) if len(found) else counts
+    elsewhere = np.empty(len(found), np.int64)
     elsewhere[order] = np.repeat(totals, np.diff(at))
     elsewhere -= counts
     return pa.table({**{x: rows[x] for x in ("block", "n", "part", "size")}, "elsewhere": _packed(elsewhere, rows["size"].to_numpy())})
 
 
-def _counts(doc: np.ndarray, grams: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
+def _by_hash(hashes: np.ndarray) -> np.ndarray:
+    """The stable order of hashes, from one sort of their high bits with the places below; where those bits don't tell apart, by argsort."""
+    bits = np.uint64(len(hashes).bit_length())
+    places = np.arange(len(hashes), dtype=np.uint64)
+    order = (np.sort(((hashes >> bits) << bits) | places) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    ordered = hashes[order]
+    return order if (ordered[1:] >= ordered[:-1]).all() else np.argsort(hashes, kind="stable")
+
+
+def _counts(doc: np.ndarray, hashes: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
     """How often all other texts have each n-gram of a block; elsewhere: how often other blocks have it, by its hash."""
-    order = np.argsort(grams, kind="stable")  # so the occurrences of an n-gram stay in the order of their texts
-    g = grams[order]
+    order = _by_hash(hashes)  # so the occurrences of an n-gram stay in the order of their texts
+    g = hashes[order]
     at, own = np.diff(_runs(g)), np.diff(_runs(g, doc[order]))
     if len(at) != len(elsewhere):
         raise ValueError(f"{len(elsewhere)} answers for {len(at)} n-grams")
@@ -156,17 +159,18 @@ def _counts(doc: np.ndarray, grams: np.ndarray, elsewhere: np.ndarray) -> np.nda
     return out
 
 
-def _scores(strings, answers: pa.Table, all_words: int, order: int, backoff: float) -> np.ndarray:
+def _scores(texts: pa.Table, answers: pa.Table, all_words: int, order: int, backoff: float) -> np.ndarray:
     """The score of each text of a block, in UNITs."""
-    doc, words, place, sizes = _words(strings)
+    doc, words, sizes = _words(texts)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     value, level = np.zeros(len(doc)), np.zeros(len(doc), np.int64)
     answers = answers.sort_by([("n", "ascending"), ("part", "ascending")])
     numbers, before = answers["n"].to_numpy(), np.zeros(0, np.int64)
     for n in range(1, order + 1):
-        at, grams = _grams(words, place, n)
+        at, found = _grams(words, doc, n)
         first, last = np.searchsorted(numbers, [n, n + 1])
         c = np.zeros(len(doc), np.int64)
-        c[at] = _counts(doc[at], grams, _unpacked(answers["elsewhere"].slice(first, last - first), np.int64))
+        c[at] = _counts(doc[at], found, _unpacked(answers["elsewhere"].slice(first, last - first), np.int64))
         if n == 1:
             value = np.log(np.maximum(c, UNSEEN)) - np.log(np.maximum(all_words - sizes, 1))[doc]
         else:
@@ -193,14 +197,14 @@ def score(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", b
     n_bytes = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with shuffles_removed(spark), ExitStack() as kept:
-        blocks = kept.enter_context(bucketed(slim.mapInArrow(_blocked, f"block long, id {kind}, text string, n_words long"), "block", max(tasks, n_bytes // BUCKET + 1)))
+        blocks = kept.enter_context(bucketed(slim.mapInArrow(_blocked, f"block long, id {kind}, words binary, n_words long"), "block", max(tasks, n_bytes // BUCKET + 1)))
         all_words = blocks.agg(F.sum("n_words")).first()[0] or 0
         slices = min(SLICES, 1 + all_words // SLICE_WORDS)
         each = max(tasks, order * all_words // (slices * PART) + 1)
         answers = reduce(DataFrame.unionAll, [kept.enter_context(_slice(blocks, order, slices * each, turn * each, (turn + 1) * each)) for turn in range(slices)])
 
         def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
-            units = _scores(texts["text"], answers, all_words, order, backoff)
+            units = _scores(texts, answers, all_words, order, backoff)
             return pa.table({"id": texts["id"], "n_words": texts["n_words"], "units": pa.array(units, pa.int64())})
 
         out = written(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, f"id {kind}, n_words long, units long"))
@@ -210,7 +214,7 @@ def score(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", b
 
 def _slice(blocks: DataFrame, order: int, parts: int, low: int, high: int):
     """(block, n, part, size, elsewhere) of the parts from `low` to before `high`, kept for as long as the block lasts."""
-    rows = blocks.select("block", "text").groupBy("block").applyInArrow(lambda texts: _cut(texts, order, parts, low, high), "part long, block long, n int, size long, grams binary, counts binary")
+    rows = blocks.select("block", "words", "n_words").groupBy("block").applyInArrow(lambda texts: _cut(texts, order, parts, low, high), "part long, block long, n int, size long, grams binary, counts binary")
     return temporary(rows.groupBy("part").applyInArrow(_added, "block long, n int, part long, size long, elsewhere binary"), "zstd")
 
 

@@ -554,6 +554,14 @@ def test_scores_in_many_parts(spark, monkeypatch):
         assert got[i]["n_words"] == n and got[i]["log_score"] == pytest.approx(s, abs=1e-4)
 
 
+def test_hashes_are_sorted_stably():
+    """Also where their high bits are the same, or all of them."""
+    r = np.random.default_rng(1)
+    for hashes in (r.integers(0, 1 << 63, 5000), r.integers(0, 50, 5000), np.repeat(r.integers(0, 1 << 63, 50), 100), np.zeros(0)):
+        hashes = r.permutation(hashes).astype(np.uint64)
+        assert (lm._by_hash(hashes) == np.argsort(hashes, kind="stable")).all()
+
+
 def test_scores_shuffle_arrays(spark):
     """N-grams travel in arrays by block and part: a row for each took most of the time."""
     store = spark.sparkContext._jsc.sc().statusStore()
