@@ -47,19 +47,25 @@ _powers = _Powers()
 
 
 @dataclass
-class Texts:
-    """Texts end to end: data (bytes), bounds (n + 1 offsets), and their words by start, end and text."""
+class Raw:
+    """Texts end to end: data (bytes), bounds (n + 1 offsets)."""
 
     data: np.ndarray
     bounds: np.ndarray
-    start: np.ndarray
-    end: np.ndarray
-    doc: np.ndarray
 
     @property
     def n(self) -> int:
         return len(self.bounds) - 1
 
+
+@dataclass
+class Texts(Raw):
+    """Texts end to end, and their words by start, end and text."""
+
+    start: np.ndarray
+    end: np.ndarray
+    doc: np.ndarray
+
     def words_per_text(self) -> np.ndarray:
         return np.bincount(self.doc, minlength=self.n)
 
@@ -73,6 +79,12 @@ class Texts:
 
 def texts_of(strings: pa.Array, chunk: int | None = None) -> Iterator[tuple[int, int, Texts]]:
     """(first, last, Texts) for runs of rows of about `chunk` (CHUNK) bytes; a null counts as the empty text."""
+    for first, last, raw in raw_of(strings, chunk):
+        yield first, last, _split(raw.data, raw.bounds)
+
+
+def raw_of(strings: pa.Array, chunk: int | None = None) -> Iterator[tuple[int, int, Raw]]:
+    """As texts_of(), without the words."""
     strings = pc.fill_null(strings.combine_chunks() if isinstance(strings, pa.ChunkedArray) else strings, "").cast(pa.large_string())
     if not len(strings):
         return
@@ -83,7 +95,7 @@ def texts_of(strings: pa.Array, chunk: int | None = None) -> Iterator[tuple[int,
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + (chunk or CHUNK), "right")) - 1)
         bounds = offsets[first : last + 1] - offsets[first]
         part = data[offsets[first] : offsets[last]]
-        yield first, last, _split(part, bounds)
+        yield first, last, Raw(part, bounds)
         first = last
 
 

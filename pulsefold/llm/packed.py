@@ -20,27 +20,32 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import shared_folder, text_of, written
-from .kernels import Texts, texts_of
+from .kernels import Raw, raw_of
 
 #: Ids of a shard and of a block, at most but for one longer document; the documents of a block.
 SHARD_IDS, BLOCK_IDS, BLOCK_DOCUMENTS = 1 << 24, 1 << 20, 1 << 14
-#: Entries of a worker's memory of encoded pieces.
-PIECES = 1 << 20
+#: Entries of a worker's memory of encoded pieces, but for those of one chunk of text; new pieces that are encoded by one call.
+PIECES, TOGETHER = 1 << 20, 500
 MAGIC = b"PFT2"
 #: Split pattern of tokenizers that drop white space and never join a letter with what is no letter (fixed value).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Lower-case Latin letters.
+PLAIN = re.compile("[a-z\u00DF-\u00F6\u00F8-\u00FF]+")
 
 _LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.uint8) + 1
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -57,35 +62,45 @@ for _a in "Aa":
 # coding
 
 
+def _fields(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which 2-bit fields stand for a rank, control bytes of each document): a document begins a new byte."""
+    control_counts = -(-counts // 4)
+    ends, unused = 4 * np.cumsum(control_counts), 4 * control_counts - counts
+    there = np.ones(4 * int(control_counts.sum()), bool)
+    for k in (1, 2, 3):
+        there[ends[unused >= k] - k] = False
+    return there, control_counts
+
+
 def packed(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(control, data, control bytes, data bytes) of documents of `counts` ranks each, end to end."""
-    values = ranks.astype("<u4")
-    extra = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    control_counts = -(-counts // 4)
-    # each rank's place among the 2-bit fields; a document begins a new byte
-    before = 4 * (np.cumsum(control_counts) - control_counts) - (np.cumsum(counts) - counts)
-    fields = np.zeros(4 * int(control_counts.sum()), np.uint8)
-    fields[np.arange(len(values)) + np.repeat(before, counts)] = extra
-    quads = fields.reshape(-1, 4)
-    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) <= extra[:, None]]
-    ends = np.concatenate([[0], np.cumsum(extra, dtype=np.int64) + np.arange(1, len(values) + 1)])
-    bounds = np.concatenate([[0], np.cumsum(counts)])
-    return control, data, control_counts, np.diff(ends[bounds])
+    width = 2 if int(ranks.max(initial=0)) <= 0xFFFF else 4
+    values = ranks.astype(f"<u{width}")
+    extra = (values > 0xFF).astype(np.uint8)
+    if width > 2:
+        extra += values > 0xFFFF
+        extra += values > 0xFFFFFF
+    there, control_counts = _fields(counts)
+    fields = np.zeros(len(there), np.uint8)
+    fields[there] = extra
+    quads = fields.view("<u4")
+    control = (quads | quads >> 6 | quads >> 12 | quads >> 18).astype(np.uint8)
+    data = values.view(np.uint8).reshape(-1, width)[np.arange(width, dtype=np.uint8) <= extra[:, None]]
+    more = np.concatenate([[0], np.cumsum(extra, dtype=np.int64)])
+    return control, data, control_counts, np.diff(more[np.concatenate([[0], np.cumsum(counts)])]) + counts
 
 
 def unpacked(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The ranks of documents of `counts` ranks each, by a lookup of the lengths of each control byte."""
-    control_counts = -(-counts // 4)
-    before = 4 * (np.cumsum(control_counts) - control_counts) - (np.cumsum(counts) - counts)
-    lengths = _LENGTHS[control].reshape(-1)[np.arange(int(counts.sum())) + np.repeat(before, counts)]
-    at = np.cumsum(lengths, dtype=np.int64) - lengths
+    lengths = _LENGTHS[control].reshape(-1)[_fields(counts)[0]]
+    at = np.cumsum(lengths, dtype=np.int64)
+    at -= lengths
+    # at each byte the number that begins there, of as many bytes as the longest; each rank takes as many of them as it has
     wide = np.concatenate([data, np.zeros(3, np.uint8)])
-    out = wide[at].astype(np.uint32)
-    for k in (1, 2, 3):
-        more = np.flatnonzero(lengths > k)
-        out[more] |= wide[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
-    return out & _MASKS[lengths]
+    numbers = data.astype(np.uint32)
+    for k in range(1, int(lengths.max(initial=1))):
+        numbers |= wide[k : k + len(data)].astype(np.uint32) << np.uint32(8 * k)
+    return numbers[at] & _MASKS[lengths]
 
 
 # tokens
@@ -95,81 +110,119 @@ class Encoder:
     """Ids of whole texts, as the library gives them; pieces that no token can cross are encoded once and remembered.
 
     Where the tokenizer splits by WORD_PATTERN, a text falls apart at white space, after an ASCII letter that another
-    ASCII character follows, and after an ASCII digit, whatever stands around. Texts with a name of a special token are encoded whole, as all texts
-    are with another tokenizer.
+    ASCII character follows, and after an ASCII digit, whatever stands around. Where it lower-cases, A-Z before an ASCII character (which composes
+    with nothing) is taken as a-z first. Texts with a name of a special token are encoded whole, as all texts are with another tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
-        first = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [spec.get("pre_tokenizer") or {}])[0]
-        pieces = first.get("type") == "Split" and first.get("pattern", {}).get("Regex") == WORD_PATTERN and first.get("invert") and first.get("behavior") == "Removed"
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [spec.get("pre_tokenizer") or {}])
+        pieces = steps[0].get("type") == "Split" and steps[0].get("pattern", {}).get("Regex") == WORD_PATTERN and steps[0].get("invert") and steps[0].get("behavior") == "Removed"
         changes = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.by_piece = bool(pieces) and set(changes) <= {"NFC", "Replace", "Lowercase"}
+        self.lowers = self.by_piece and "Lowercase" in changes
         self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
-        self.known: dict[str, bytes] = {}
+        # remembered pieces: the number of each, their ids end to end, where each one's begin, and how many chunks of text had it
+        self.known: dict[str, int] = {}
+        self.flat, self.at, self.seen = np.empty(0, self.kind), np.zeros(1, np.int64), np.zeros(0, np.int64)
         # tokens that end a word; a run of letters is one word, so they tell where each of many runs ends
         suffix = (spec.get("model") or {}).get("end_of_word_suffix")
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool)
         if suffix:
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        # the same model for lower-case Latin letters: NFC and lower-casing leave them as they are, and white space alone parts them
+        self.plain = None
+        if self.by_piece and suffix and len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space", True) and not steps[1].get("use_regex", True):
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def texts(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    def texts(self, t: Raw) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, number of each text's)."""
-        raw = t.data.tobytes()
-        if not self.by_piece or any(s in raw for s in self.special):
+        raw, data = t.data.tobytes(), t.data
+        if self.lowers:
+            upper = (data - np.uint8(ord("A"))) < 26
+            upper[:-1] &= data[1:] < 0x80
+            data = data | upper.view(np.uint8) << 5
+        lower = data.tobytes()
+        if not self.by_piece or any(s in raw or s in lower for s in self.special):
             each = [self.whole(raw[a:b].decode()) for a, b in zip(t.bounds[:-1], t.bounds[1:], strict=True)]
             return np.concatenate([np.empty(0, self.kind), *each]), np.array([len(x) for x in each], np.int64)
-        kinds = _KIND[t.data]
+        kinds = _KIND[data]
+        inside = kinds != _SPACE
         edge = np.zeros(len(kinds) + 1, bool)
-        edge[t.start] = True
+        edge[1:-1] = ~inside[:-1]
+        edge[t.bounds] = True
         now, after = kinds[:-1], kinds[1:]
         edge[1:-1] |= (now == _LETTER) & ((after == _DIGIT) | (after == _OTHER)) | (now == _DIGIT) & (after != _SPACE) & (after != _BEYOND)
-        inside = kinds != _SPACE
         start = np.flatnonzero(edge[:-1] & inside)
         if not len(start):
             return np.empty(0, self.kind), np.zeros(t.n, np.int64)
-        solid = np.ascontiguousarray(t.data[inside])
-        bounds = np.append((np.cumsum(inside) - 1)[start], len(solid)).astype(np.int64)
+        solid = data[inside]
+        before = np.cumsum(inside, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+        bounds = np.append(before[start] - 1, len(solid)).astype(np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(solid)).dictionary_encode()
-        found = self._ids(pieces.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
-        flat = np.frombuffer(b"".join(found), self.kind)
-        codes = pieces.indices.to_numpy()
-        counts = sizes[codes]
-        ends = np.cumsum(counts)
-        ids = flat[np.arange(int(ends[-1])) - np.repeat(ends - counts - (np.cumsum(sizes) - sizes)[codes], counts)]
-        return ids, np.diff(np.concatenate([[0], ends])[np.searchsorted(start, t.bounds)])
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        if len(self.known) + len(pieces) > PIECES:
-            self.known.clear()
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        words, rest = [], []
+        # no piece holds a line feed
+        names = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces.dictionary)], pieces.dictionary), pa.scalar("\n", pa.large_string()))[0].as_py().split("\n")
+        found = self._ids(names).take(pieces.indices)
+        ends = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1]
+        ids = np.frombuffer(found.buffers()[2] or b"", np.uint8)[: ends[-1]].view(self.kind)
+        return ids, np.diff(ends[np.searchsorted(start, t.bounds)]) // self.kind.itemsize
+
+    def _ids(self, pieces: list[str]) -> pa.LargeBinaryArray:
+        """The ids of each of the pieces, which differ."""
+        numbers = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        at = np.flatnonzero(numbers < 0)
+        if len(at):
+            new = [pieces[i] for i in at.tolist()]
+            self._learn(new)
+            numbers[at] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        self.seen[numbers] += 1
+        held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.known), [None, pa.py_buffer(self.at * self.kind.itemsize), pa.py_buffer(self.flat)])
+        found = held.take(pa.array(numbers))
+        if len(self.known) > PIECES:
+            self._forget()
+        return found
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode pieces and remember them."""
+        plain, words, rest = [], [], []
         for p in new:
-            (words if p.isascii() and p.isalpha() else rest).append(p)
-        for many, cut_of in ((words, self._by_word), (rest, self._by_offset)):
-            for i in range(0, len(many), 2000):
-                part = many[i : i + 2000]
-                ids, cut = cut_of(part)
-                raw, cut = ids.tobytes(), (cut * self.kind.itemsize).tolist()
-                for p, a, b in zip(part, cut, [*cut[1:], len(raw)], strict=True):
-                    known[p] = raw[a:b]
-        return [known[p] for p in pieces]
-
-
-    def _by_word(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            (plain if self.plain and PLAIN.fullmatch(p) else words if p.isalpha() else rest).append(p)
+        flat, at = [self.flat], [self.at[:-1]]
+        size = len(self.flat)
+        for many, tokenizer in ((plain, self.plain), (words, self.tokenizer), (rest, None)):
+            for i in range(0, len(many), TOGETHER):
+                part = many[i : i + TOGETHER]
+                ids, cut = self._by_word(part, tokenizer) if tokenizer else self._by_offset(part)
+                flat.append(ids)
+                at.append(cut + size)
+                size += len(ids)
+        self.flat, self.at = np.concatenate(flat), np.concatenate([*at, [size]])
+        self.known.update(zip([*plain, *words, *rest], range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
+
+    def _forget(self) -> None:
+        """Keep the half of the pieces that most chunks had, of late above all."""
+        kept = np.zeros(len(self.seen), bool)
+        kept[np.argsort(-self.seen, kind="stable")[: PIECES // 2]] = True
+        sizes = np.diff(self.at)
+        self.flat, self.at = self.flat[np.repeat(kept, sizes)], np.concatenate([[0], np.cumsum(sizes[kept])])
+        self.known = {p: i for i, p in enumerate(compress(self.known, kept.tolist()))}
+        self.seen = self.seen[kept] // 2
+
+    def _by_word(self, part: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, where each piece's begin) of runs of letters."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
         ends = np.flatnonzero(self.ends[ids]) + 1
         return (ids, np.append(0, ends[:-1])) if len(ends) == len(part) and ends[-1] == len(ids) else self._by_offset(part)
 
@@ -190,7 +243,7 @@ def _encoded(path: str, end_id: int | None):
     def run(batches):
         own = encoder(path)
         for batch in batches:
-            for first, last, t in texts_of(batch.column(2), 8 << 20):
+            for first, last, t in raw_of(batch.column(2), 4 << 20):
                 ids, counts = own.texts(t)
                 if end_id is not None:
                     ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
@@ -335,7 +388,7 @@ def _read(id_of: np.ndarray, with_ids: bool):
                     start, documents, n_control, n_data, n_table, _, _ = (int(x) for x in raw[at + 4 : at + 60].view("<u8"))
                     table, at = raw[at + 60 : at + 60 + n_table], at + 60 + n_table
                     ids, there, counts = table[: 8 * documents].view("<i8"), table[8 * documents : 9 * documents].astype(bool), table[9 * documents :].copy().view("<u8").astype(np.int64)
-                    tokens = id_of[unpacked(raw[at : at + n_control], raw[at + n_control : at + n_control + n_data], counts)].astype("<u4")
+                    tokens = id_of[unpacked(raw[at : at + n_control], raw[at + n_control : at + n_control + n_data], counts)]
                     at += n_control + n_data + 1
                     ends = np.cumsum(counts)
                     own = [tokens[a:b] for a, b in zip(ends - counts, ends, strict=True)]

@@ -50,6 +50,38 @@ def test_pieces_give_the_ids_of_whole_texts(path):
             assert ids.tolist() == [i for x in want for i in x]
 
 
+def _ids_of(own, texts):
+    for first, last, t in kernels.texts_of(pa.array(texts)):
+        ids, counts = own.texts(t)
+        want = [own.tokenizer.encode(x, add_special_tokens=False).ids for x in texts[first:last]]
+        assert counts.tolist() == list(map(len, want))
+        assert ids.tolist() == [i for x in want for i in x]
+
+
+def test_words_of_letters_are_encoded_once_and_without_offsets(path, monkeypatch):
+    own = packed.Encoder(path)
+    monkeypatch.setattr(own, "_by_offset", lambda part: pytest.fail(f"offsets of {part}"))
+    _ids_of(own, ["The the THE tHe", "the für Größe größe", "ÄRGER ärger naïveté þÿß Größe Ωμέγα слово", "The"])
+    # A-Z are lower-cased first, unless what follows may compose with them
+    assert set(own.known) == {"the", "für", "größe", "Ärger", "ärger", "naïveté", "þÿß", "Ωμέγα", "слово"}
+
+
+def test_capitals_that_compose_otherwise_than_their_small_letters(path):
+    marks = ["\u0331", "\u030c", "\u0308", "\u030a", "\u0307", "\u0301", "\u0327"]
+    _ids_of(packed.Encoder(path), [f"{a}{m} x{a}{m}{a}x {a}" for a in "AHIJKTWYZ" for m in marks] + ["ÀA AÀ", "A", "ΑΣ ΣΑΣ", "<|ENDOFTEXT|>", "ÉA\u0301A"])
+
+
+def test_pieces_that_most_chunks_have_are_kept(path, monkeypatch):
+    monkeypatch.setattr(packed, "PIECES", 40)
+    own, learnt = packed.Encoder(path), []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda new: (learnt.extend(new), learn(new)))
+    for i in range(30):
+        _ids_of(own, [f"often again a{i}b " + prose(i, 25), "often, 12 " + chr(ord("a") + i % 26) * 3])
+        assert len(own.known) == len(own.at) - 1 == len(own.seen) <= 40 and own.at[-1] == len(own.flat)
+    assert learnt.count("often") == learnt.count("again") == 1 and len(learnt) > 60
+
+
 @pytest.mark.parametrize("shard_ids", [packed.SHARD_IDS, 100])
 def test_files_hold_every_document_in_order(spark, odd, none, clashing, path, shard_ids):
     tokenizer = packed.Encoder(path).tokenizer
