@@ -40,7 +40,7 @@ from .kernels import Raw, raw_of
 #: Ids of a shard and of a block, at most but for one longer document; the documents of a block.
 SHARD_IDS, BLOCK_IDS, BLOCK_DOCUMENTS = 1 << 24, 1 << 20, 1 << 14
 #: Entries of a worker's memory of encoded pieces, but for those of one chunk of text; new pieces that are encoded by one call.
-PIECES, TOGETHER = 1 << 20, 500
+PIECES, TOGETHER = 1 << 19, 500
 MAGIC = b"PFT2"
 #: Split pattern of tokenizers that drop white space and never join a letter with what is no letter (fixed value).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
